@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from strandloom.llm.chat import op10_chat_formatting
+from strandloom.llm.embeddings import op4_embedding_near_dedup
+from strandloom.llm.minhash import op7_minhash_near_dedup
 from strandloom.llm.quality import op8_quality_classifier
 from strandloom.llm.secrets import op1_secret_scan
 from strandloom.llm.token_files import op3_token_files
@@ -11,6 +13,8 @@ from strandloom.llm.toxicity import op9_toxicity
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op3_token_files": op3_token_files,
+    "op4_embedding_near_dedup": op4_embedding_near_dedup,
+    "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_toxicity": op9_toxicity,
     "op10_chat_formatting": op10_chat_formatting,
