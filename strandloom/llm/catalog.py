@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from strandloom.llm.chat import op10_chat_formatting
+from strandloom.llm.decontaminate import op6_benchmark_decontamination
 from strandloom.llm.embeddings import op4_embedding_near_dedup
 from strandloom.llm.minhash import op7_minhash_near_dedup
+from strandloom.llm.packing import op5_packing
 from strandloom.llm.quality import op8_quality_classifier
 from strandloom.llm.secrets import op1_secret_scan
 from strandloom.llm.token_files import op3_token_files
@@ -14,6 +16,8 @@ QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op3_token_files": op3_token_files,
     "op4_embedding_near_dedup": op4_embedding_near_dedup,
+    "op5_packing": op5_packing,
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_toxicity": op9_toxicity,
