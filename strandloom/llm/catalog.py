@@ -8,12 +8,14 @@ from strandloom.llm.embeddings import op4_embedding_near_dedup
 from strandloom.llm.minhash import op7_minhash_near_dedup
 from strandloom.llm.packing import op5_packing
 from strandloom.llm.quality import op8_quality_classifier
+from strandloom.llm.repeats import op2_suffix_dedup
 from strandloom.llm.secrets import op1_secret_scan
 from strandloom.llm.token_files import op3_token_files
 from strandloom.llm.toxicity import op9_toxicity
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_token_files": op3_token_files,
     "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_packing": op5_packing,
