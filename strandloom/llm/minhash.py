@@ -88,7 +88,7 @@ def signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """doc_id, n_shingles, d1 and d2 (digest of the set), bands, sig for every row."""
+    """doc_id, text_hash, n_shingles, d1 and d2 (digest of the set), bands, sig for every row."""
     a, b = _functions(BANDS * ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,10 +111,11 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
                 sigs.append((sig & 0xFF).astype("u1").tobytes())
             flat = pa.array(np.concatenate(bands) if bands else np.zeros(0, "i8"))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS, dtype="i4")), flat)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), lists, pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "d1", "d2", "bands", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), lists, pa.array(sigs, pa.binary())], names=["doc_id", "text_hash", "n_shingles", "d1", "d2", "bands", "sig"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, sig binary")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, d1 long, d2 long, bands array<long>, sig binary")
 
 
 def _forest(sig: np.ndarray, least: int, side: np.ndarray | None) -> Iterator[tuple[int, int]]:
@@ -238,7 +239,7 @@ def verified_links(groups: DataFrame, numerator: int, denominator: int) -> DataF
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, numerator: int = 80, denominator: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept; one row per row of docs.
+    """doc_id, n_shingles, component_id, text_hash, kept; one row per row of docs.
 
     Documents link with denominator * intersection >= numerator * union of their shingle sets.
     """
@@ -255,8 +256,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = store.stored(verified_links(wanted.join(texts, ["rep", "d1", "d2"]), numerator, denominator), "links")
     components = store.stored(connected_components(links), "components")
     of_class = classes.join(components, F.col("rep") == F.col("id"), "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
-    linked = filled.select("doc_id", "n_shingles", "d1", "d2").join(of_class, ["d1", "d2"]).select("doc_id", "n_shingles", "component_id")
-    alone = rows.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    linked = filled.select("doc_id", "text_hash", "n_shingles", "d1", "d2").join(of_class, ["d1", "d2"]).select("doc_id", "n_shingles", "component_id", "text_hash")
+    alone = rows.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_hash")
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
@@ -278,4 +279,4 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str,
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_hash")

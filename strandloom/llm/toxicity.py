@@ -112,20 +112,20 @@ def learn_lexicon(rows: DataFrame) -> dict[str, float]:
 
 
 def with_features(docs: DataFrame, lexicon: dict[str, float]) -> DataFrame:
-    """doc_id and feats of (doc_id, text); the lexicon is bounded and travels with the function."""
+    """doc_id, text_hash and feats of (doc_id, text); the lexicon is bounded and travels with the function."""
     held = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = held.value
         for batch in batches:
             found = [features(t or "", known) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.list_(pa.float64()))], names=["doc_id", "feats"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(found, pa.list_(pa.float64()))], names=["doc_id", "text_hash", "feats"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, feats array<double>")
+    return docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, feats array<double>")
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held_fold: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, score, predicted for each row of docs."""
+    """doc_id, held_out, score, predicted, text_hash for each row of docs."""
     spark = docs.sparkSession
     store.small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -152,11 +152,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", fol
                 f = np.array(batch.column("feats").to_pylist(), dtype=float)
                 m = model.margin(f) if model else None
                 s = np.full(len(f), share) if m is None else calibrate(m) if calibrate else 1 / (1 + np.exp(-m))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s), pa.array((s >= 0.5).astype("i4"))], names=["doc_id", "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(s), pa.array((s >= 0.5).astype("i4"))], names=["doc_id", "text_hash", "score", "predicted"])
 
-    out = scored.mapInArrow(run, "doc_id long, score double, predicted int")
-    return out.select("doc_id", F.coalesce(bucket(F.col("doc_id"), folds) == held_fold, F.lit(True)).alias("held_out"), "score", "predicted")
+    out = scored.mapInArrow(run, "doc_id long, text_hash long, score double, predicted int")
+    return out.select("doc_id", F.coalesce(bucket(F.col("doc_id"), folds) == held_fold, F.lit(True)).alias("held_out"), "score", "predicted", "text_hash")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("text_hash")
