@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "presence_matrix"
+from strandloom.plans import functions_queries, graph_queries, matrix_queries, sequence_queries
+
+FLAGSHIP = "partition_summary"
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+for _part in (matrix_queries, graph_queries, functions_queries, sequence_queries):
+    QUERIES |= _part.QUERIES
+    ORACLES |= _part.ORACLES
