@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 # The standard bacterial code (table 11) in the order T, C, A, G of each base.
 CODE_BASES = "TCAG"
@@ -104,7 +105,7 @@ def infix_distance(query: str, target: str) -> int:
     return int(min(row.min(), len(q)))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def infix_distance_udf(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """infix_distance() by Arrow batch; there is no built-in for free end gaps."""
     for query, target in batches:

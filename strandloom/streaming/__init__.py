@@ -1 +1 @@
-
+"""Incremental arrival of genomes."""
