@@ -10,7 +10,7 @@ The benchmark is a stated query set: its windows are used in blocks of at most B
 (24 bytes each), and every block passes over all documents.
 
 Defined results. A null, empty or word-less text, document or item, matches nothing; items
-shorter than a window are one window; repeated rows, items too, come back as they are; an
+shorter than a window are one window, word for word; repeated rows, items too, come back as they are; an
 empty benchmark finds nothing; an empty table gives no row; other columns are left out,
 whatever their names.
 """
@@ -83,16 +83,12 @@ class Templates:
 
 
 def windows(codes: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, whether it has enough literal words) of each window; a shorter text is one window."""
-    k = min(WINDOW, len(codes))
-    if not k:
-        return np.zeros(0, dtype="u8"), np.zeros(0, dtype=bool)
-    n = len(codes) - k + 1
-    h, literals = np.full(n, k, dtype="u8"), np.zeros(n, dtype="i8")
-    for i in range(k):
-        h = _mixed(h * _MIX + codes[i : n + i])
+    """(hashes, whether it has enough literal words) of each window."""
+    n = max(0, len(codes) - WINDOW + 1)
+    literals = np.zeros(n, dtype="i8")
+    for i in range(WINDOW):
         literals += kinds[i : n + i] == LITERAL
-    return h, literals >= min(LEAST_LITERALS, k)
+    return _short(codes, WINDOW), literals >= LEAST_LITERALS
 
 
 class Block:
@@ -103,8 +99,8 @@ class Block:
         self.ids = [i for i, _ in items]
         self.made = [make(t) for _, t in items]
         hashes, where, self.size = [], [], []
-        for n, (codes, _, kinds) in enumerate(self.made):
-            h, ok = windows(codes, kinds)
+        for n, (codes, values, kinds) in enumerate(self.made):
+            h, ok = windows(codes, kinds) if len(codes) >= WINDOW else (_short(values, len(codes)), np.ones(min(len(codes), 1), dtype=bool))
             self.size.append(len(codes))
             hashes.append(h[ok])
             where.append(np.column_stack((np.full(ok.sum(), n), np.flatnonzero(ok))))
@@ -121,7 +117,7 @@ class Block:
         for width in sorted(widths):
             if len(codes) < width:
                 continue
-            h = windows(codes, kinds)[0] if width == WINDOW else _short(codes, width)
+            h = windows(codes, kinds)[0] if width == WINDOW else _short(values, width)
             lo = np.searchsorted(self.hashes, h)
             hit = np.flatnonzero((lo < len(self.hashes)) & (self.hashes[np.minimum(lo, len(self.hashes) - 1)] == h)) if len(self.hashes) else []
             for d in hit:
@@ -142,7 +138,8 @@ class Block:
 
 
 def _short(codes: np.ndarray, width: int) -> np.ndarray:
-    h = np.full(len(codes) - width + 1, width, dtype="u8")
+    """Hashes of all runs of width codes."""
+    h = np.full(max(0, len(codes) - width + 1) if width else 0, width, dtype="u8")
     for i in range(width):
         h = _mixed(h * _MIX + codes[i : len(h) + i])
     return h
