@@ -6,7 +6,7 @@ next neighbours in that order, across partition borders too. Pairs at or above t
 are united over the passes into components. Inside each component the links are then counted
 in full, in blocks of bounded size, so a class's count isn't limited by the neighbour window.
 
-Defined results. A null label, a null or empty vector, a zero vector, and a vector with null
+Defined results. A null vec_id or label, a null or empty vector, a zero vector, and a vector with null
 or non-finite components link with nothing; vectors of different lengths don't link; rows that
 repeat a vec_id with the same vector count as one vector; an empty table gives no row; other
 columns are left out, whatever their names.
@@ -195,7 +195,7 @@ def near_duplicate_vectors(df: DataFrame, threshold: float = 0.98, id_col: str =
     store.small_batches(spark)
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("vector")).distinct()
     finite = F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    usable = F.coalesce(F.col("label").isNotNull() & finite & F.exists("vector", lambda v: v != 0), F.lit(False))
+    usable = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite & F.exists("vector", lambda v: v != 0), F.lit(False))
     rows = store.stored(rows.withColumn("usable", usable), "vectors")
     good = rows.where("usable")
     classes = store.stored(good.groupBy("label", "vector").agg(F.min("vec_id").alias("class_id"), F.count_distinct("vec_id").alias("copies")).withColumn("dim", F.size("vector")), "classes")
