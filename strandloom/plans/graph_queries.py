@@ -64,11 +64,6 @@ def node_degrees(spark: SparkSession, d: str) -> DataFrame:
     return graph.degrees(graph.edges_of(graph.adjacent_pairs(tpch.placed(spark, d), ORDER)))
 
 
-@query(f"WITH {NODES_SQL} SELECT cluster_id, support FROM nodes JOIN degrees USING (cluster_id) WHERE support < 40 AND degree = 1")
-def low_support_leaves(spark: SparkSession, d: str) -> DataFrame:
-    return graph.low_support_leaves(*built(spark, d), 40).select("cluster_id", "support")
-
-
 @query(f"WITH {NODES_SQL}, kept AS (SELECT cluster_id FROM nodes WHERE n_genomes >= 22) SELECT src, dst, support FROM edges WHERE src IN (SELECT cluster_id FROM kept) AND dst IN (SELECT cluster_id FROM kept)")
 def remove_nodes(spark: SparkSession, d: str) -> DataFrame:
     nodes, edges = built(spark, d)
@@ -152,6 +147,11 @@ def merge_nodes(spark: SparkSession, d: str) -> DataFrame:
     return graph.merge(nodes, edges, pairs)[0].select("cluster_id", "support", "is_paralog")
 
 
+@query(f"""WITH {SPARSE} SELECT cluster_id, support FROM nodes JOIN (SELECT id AS cluster_id, count(*) AS degree FROM both_ways GROUP BY 1) USING (cluster_id) WHERE support < 60 AND degree = 1""")
+def low_support_leaves(spark: SparkSession, d: str) -> DataFrame:
+    return graph.low_support_leaves(*sparse(spark, d), 60).select("cluster_id", "support")
+
+
 @query()
 def remove_contamination(spark: SparkSession, d: str) -> DataFrame:
     nodes, edges = sparse(spark, d)
