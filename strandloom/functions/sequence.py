@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
+from strandloom.session import ship
+
 # The standard bacterial code (table 11) in the order T, C, A, G of each base.
 CODE_BASES = "TCAG"
 CODE_AMINO = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
@@ -113,5 +115,6 @@ def infix_distance_udf(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterat
 
 
 def infix_identity(query: Column, target: Column) -> Column:
+    ship(SparkSession.active())
     n = F.length(query)
     return F.when(n > 0, 1 - infix_distance_udf(query, target) / n).otherwise(F.lit(0.0))

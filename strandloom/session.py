@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +25,22 @@ def builder(master: str | None = None, app: str = "strandloom") -> SparkSession.
     return made.master(master) if master else made
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once for each application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="strandloom-")  # served from here until the driver ends
+    atexit.register(shutil.rmtree, folder, True)
+    shutil.copytree(root, os.path.join(folder, "tree", root.name), ignore=shutil.ignore_patterns("__pycache__"))
+    context.addPyFile(shutil.make_archive(os.path.join(folder, f"{root.name}-package"), "zip", os.path.join(folder, "tree")))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; a temporary one is made only where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
