@@ -13,6 +13,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strandloom.session import ship
+
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -67,7 +69,8 @@ def _clean() -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound the rows that cross to Python at a time; texts can be long."""
+    """Make Python workers ready: they get this package, and a bounded number of rows at a time."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows:
         spark.conf.set(key, str(rows))
