@@ -9,10 +9,13 @@ same offset, which is what the difference cover is for, at one place in about 15
 
 1. Sample: runs of windows with one sampled place; the name of a run is its place's piece.
    Runs whose name is met nowhere else hold no repeated window and go.
-2. Recurse: the name of a whole run (all bytes of its windows). A run whose whole name is met
-   again is repeated throughout.
-3. Merge: only where one piece has several whole names are the remaining windows named one by
-   one, a representative for each whole name, and compared with their neighbours of equal name.
+2. Recurse on names: the whole name of a run covers all bytes of its windows. A run whose
+   whole name is met again is repeated throughout. Where one piece has several whole names, a
+   representative of each is cut into parts of PART windows at fixed distances from its place;
+   a part's name is what all its windows share, and its whole name what they cover, and the
+   same step is taken again.
+3. Merge: the windows of parts that are still undecided are named one by one and compared with
+   their neighbours of equal name.
 
 Counts are pre-aggregated before any shuffle, so a passage in a third of all rows is one row per
 task; joins go by name and can be split.
@@ -30,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.llm import store
@@ -39,6 +42,10 @@ from strandloom.llm.minhash import _mixed
 LENGTH = 400
 #: Bytes of the sampled piece.
 PIECE = 100
+#: Windows in a part of a run.
+PART = 16
+#: Keys of texts that may be broadcast (16 bytes each); beyond, the join shuffles.
+BROADCAST_KEYS = 400_000
 #: Bytes that are hashed at a time; a longer text goes alone.
 CHUNK = 1 << 20
 _BASES = (np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xD6E8FEB86659FD93 | 1))
@@ -89,7 +96,7 @@ def sampled_runs(data: np.ndarray, hashed: Hashed, ends: np.ndarray, length: int
     bits = np.uint64(int(n).bit_length())
     order = ((hashed.of(places, places + piece) >> bits) << bits) | places.astype("u8")
     order[places + piece > ends[: len(places)]] = np.uint64(0xFFFFFFFFFFFFFFFF)
-    width, least, have = length - piece + 1, order, 1
+    width, least, have = length - piece + 1, order, 1  # least place of each window by doubling
     while have * 2 <= width:
         least = np.minimum(least[:-have], least[have:])
         have *= 2
@@ -123,7 +130,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def runs(docs: DataFrame, length: int, piece: int) -> DataFrame:
-    """doc, text_hash, lo, hi (first and last window), name, w1, w2 (the whole run), of (doc, text_hash, text)."""
+    """doc, text_hash, lo, hi (first and last window), place, name, w1, w2 (the whole run), of (doc, text_hash, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,11 +144,38 @@ def runs(docs: DataFrame, length: int, piece: int) -> DataFrame:
                 number = pa.array(np.array(own)[text])
                 shift = start[text]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc").take(number), batch.column("text_hash").take(number), pa.array((lo - shift).astype("i4")), pa.array((hi - shift).astype("i4")), _signed(hashed.of(place, place + piece)), _signed(hashed.of(lo, hi + length)), _signed(hashed.of(lo, hi + length, 1))],
-                    names=["doc", "text_hash", "lo", "hi", "name", "w1", "w2"],
+                    [batch.column("doc").take(number), batch.column("text_hash").take(number), pa.array((lo - shift).astype("i4")), pa.array((hi - shift).astype("i4")), pa.array((place - shift).astype("i4")), _signed(hashed.of(place, place + piece)), _signed(hashed.of(lo, hi + length)), _signed(hashed.of(lo, hi + length, 1))],
+                    names=["doc", "text_hash", "lo", "hi", "place", "name", "w1", "w2"],
                 )
 
-    return docs.mapInArrow(run, "doc long, text_hash long, lo int, hi int, name long, w1 long, w2 long")
+    return docs.mapInArrow(run, "doc long, text_hash long, lo int, hi int, place int, name long, w1 long, w2 long")
+
+
+def parts(docs: DataFrame, length: int) -> DataFrame:
+    """The runs in spans (lo, hi, place, alone) of (doc, text_hash, text, spans), cut into parts; as runs(), with alone."""
+
+    step = min(PART, max(1, length // 4))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, (text, spans) in enumerate(zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist())):
+                hashed = Hashed(np.frombuffer(text.encode(), dtype="u1"))
+                sizes = [s["hi"] + 1 - s["lo"] for s in spans]
+                at = np.concatenate([np.arange(s["lo"], s["hi"] + 1) for s in spans])
+                own = np.repeat(np.arange(len(spans)), sizes)
+                place = np.repeat([s["place"] for s in spans], sizes)
+                part = (place - at) // step
+                cut = np.flatnonzero((np.diff(part) != 0) | (np.diff(own) != 0))
+                first, last = np.concatenate(([0], cut + 1)), np.concatenate((cut, [len(at) - 1]))
+                lo, hi, place = at[first], at[last], place[first]
+                core = place - step * part[first]
+                same = pa.array(np.full(len(lo), i))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc").take(same), batch.column("text_hash").take(same), pa.array(lo.astype("i4")), pa.array(hi.astype("i4")), pa.array(place.astype("i4")), _signed(hashed.of(core, core + length - step + 1)), _signed(hashed.of(lo, hi + length)), _signed(hashed.of(lo, hi + length, 1)), pa.array(np.array([s["alone"] for s in spans])[own[first]])],
+                    names=["doc", "text_hash", "lo", "hi", "place", "name", "w1", "w2", "alone"],
+                )
+
+    return docs.mapInArrow(run, "doc long, text_hash long, lo int, hi int, place int, name long, w1 long, w2 long, alone boolean")
 
 
 def window_names(docs: DataFrame, length: int) -> DataFrame:
@@ -150,8 +184,7 @@ def window_names(docs: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, (text, spans) in enumerate(zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist())):
-                data = np.frombuffer(text.encode(), dtype="u1")
-                hashed = Hashed(data)
+                hashed = Hashed(np.frombuffer(text.encode(), dtype="u1"))
                 at = np.concatenate([np.arange(s["lo"], s["hi"] + 1) for s in spans])
                 alone = np.concatenate([np.full(s["hi"] + 1 - s["lo"], s["alone"]) for s in spans])
                 same = pa.array(np.full(len(at), i))
@@ -160,25 +193,48 @@ def window_names(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(run, "doc long, text_hash long, at int, n1 long, n2 long, alone boolean")
 
 
+def _settled(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(spans that are repeated throughout, representatives of the undecided) of named spans.
+
+    rows(doc, text_hash, lo, hi, place, name, w1, w2, alone); alone: not known to be repeated.
+    """
+    names = rows.groupBy("name").agg(F.count(F.lit(1)).alias("met")).where("met > 1").select("name")
+    known = store.stored(rows.join(names, "name", "left_semi"), "known")
+    whole = known.groupBy("name", "w1", "w2").agg(F.count(F.lit(1)).alias("met"), F.min(F.struct("doc", "text_hash", "lo", "hi", "place", "alone")).alias("one"))
+    whole = store.stored(whole, "whole")
+    full = known.join(whole.where("met > 1").select("name", "w1", "w2"), ["name", "w1", "w2"], "left_semi").select("doc", "text_hash", "lo", "hi")
+    left = F.count_if((F.col("met") == 1) & F.col("one.alone"))
+    mixed = whole.groupBy("name").agg(F.count(F.lit(1)).alias("kinds"), left.alias("left")).where("kinds > 1 and left > 0").select("name")
+    ones = whole.join(mixed, "name", "left_semi").select("one.doc", "one.text_hash", "one.lo", "one.hi", "one.place", ((F.col("met") == 1) & F.col("one.alone")).alias("alone"))
+    return full, ones
+
+
+def _of_text(ones: DataFrame) -> DataFrame:
+    """(span_doc, span_hash, spans): the spans of a text together."""
+    return ones.groupBy(F.col("doc").alias("span_doc"), F.col("text_hash").alias("span_hash")).agg(F.collect_list(F.struct("lo", "hi", "place", "alone")).alias("spans"))
+
+
+def _same_text() -> Column:
+    return F.col("doc").eqNullSafe(F.col("span_doc")) & (F.col("text_hash") == F.col("span_hash"))
+
+
+def _few(keys: DataFrame) -> bool:
+    return keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, piece: int = PIECE) -> DataFrame:
     """doc, text_hash, spans: windows lo..hi that are repeated; only texts that have some."""
     found = store.stored(runs(docs, length, piece), "runs")
-    names = found.groupBy("name").agg(F.count(F.lit(1)).alias("met")).where("met > 1").select("name")
-    known = store.stored(found.join(names, "name", "left_semi"), "known")
+    full, ones = _settled(found.withColumn("alone", F.lit(True)))
+    spans = store.stored(_of_text(ones), "undecided")
     store.forget(found)
-    whole = known.groupBy("name", "w1", "w2").agg(F.count(F.lit(1)).alias("met"), F.min(F.struct("doc", "text_hash", "lo", "hi")).alias("one"))
-    whole = store.stored(whole, "whole")
-    again = whole.where("met > 1").select("name", "w1", "w2")
-    full = known.join(again, ["name", "w1", "w2"], "left_semi").select("doc", "text_hash", "lo", "hi")
-    mixed = whole.groupBy("name").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("name")
-    ones = whole.join(mixed, "name", "left_semi").select("one.*", (F.col("met") == 1).alias("alone"))
-    spans = ones.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("lo", "hi", "alone")).alias("spans"))
-    texts = docs
-    each = texts.join(spans, texts["doc"].eqNullSafe(spans["doc"]) & (texts["text_hash"] == spans["text_hash"]), "inner").select(texts["doc"], texts["text_hash"], "text", "spans")
-    named = store.stored(window_names(each, length), "windows")
-    twice = named.select("doc", "text_hash", "at", "n1", "n2").groupBy("n1", "n2").agg(F.count(F.lit(1)).alias("met")).where("met > 1").select("n1", "n2")
+    keys = spans.select("span_doc", "span_hash")
+    held = store.stored(docs.join(F.broadcast(keys) if _few(keys) else keys, _same_text(), "left_semi"), "texts")
+    more, ones = _settled(store.stored(parts(held.join(spans, _same_text()), length), "parts"))
+    named = store.stored(window_names(held.join(store.stored(_of_text(ones), "undecided"), _same_text()), length), "windows")
+    twice = named.groupBy("n1", "n2").agg(F.count(F.lit(1)).alias("met")).where("met > 1").select("n1", "n2")
     single = named.where("alone").join(twice, ["n1", "n2"], "left_semi").select("doc", "text_hash", F.col("at").alias("lo"), F.col("at").alias("hi"))
-    return full.unionByName(single).groupBy("doc", "text_hash").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    return full.unionByName(more).unionByName(single).groupBy("doc", "text_hash").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, piece: int = PIECE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -188,7 +244,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, piece: int = PIECE, id
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     spans = store.stored(repeated_spans(rows, length, piece), "repeats").select(F.col("doc").alias("span_doc"), F.col("text_hash").alias("span_hash"), "spans")
-    joined = rows.join(spans, F.col("doc").eqNullSafe(F.col("span_doc")) & (F.col("text_hash") == F.col("span_hash")), "left")
+    keys = spans.select("span_doc", "span_hash")
+    keys = F.broadcast(keys) if _few(keys) else keys
+    cut = rows.join(keys, _same_text(), "left_semi").join(spans, _same_text())
+    whole = rows.join(keys, _same_text(), "left_anti")
+    untouched = whole.select(F.col("doc").alias("doc_id"), F.octet_length("text").cast("long").alias("n_bytes"), F.array().cast("array<array<bigint>>").alias("removed"), F.encode("text", "UTF-8").alias("kept"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,7 +271,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, piece: int = PIECE, id
                 out_kept.append(b"".join(kept))
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(out_n, pa.int64()), pa.array(out_spans, pa.list_(pa.list_(pa.int64()))), pa.array(out_kept, pa.binary())], names=["doc_id", "n_bytes", "removed", "kept"])
 
-    return joined.select("doc", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, removed array<array<long>>, kept binary")
+    return cut.select("doc", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, removed array<array<long>>, kept binary").unionByName(untouched)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
