@@ -2,8 +2,9 @@
 
 For the two tokenizer families below the text may be cut at single blanks and newlines
 without changing any id, because their pre-tokenizers always end a piece there. Every piece
-not seen before is encoded by the tokenizers library; repeated pieces come from the cache.
-Texts with any other white space, and all other tokenizers, are encoded whole.
+not seen before is encoded by the tokenizers library: a word of letters is one piece for its
+pre-tokenizer too, so it goes straight to the library's model; repeated pieces come from the
+cache. Texts with any other white space, and all other tokenizers, are encoded whole.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-#: Words kept by a worker; at about 200 bytes each, a bound of 200 MB.
-CACHE_WORDS = 1_000_000
+#: Words kept by a worker for a tokenizer; at about 220 bytes each, a bound of 55 MB.
+CACHE_WORDS = 250_000
 LONGEST_CACHED = 48
 _UNSAFE = re.compile(r"[^\S \n]|[ \n]{2}|\A[ \n]|[ \n]\Z")
 _TAIL = ".,;:!?"
@@ -40,22 +41,43 @@ class Encoder:
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = self.first if self.kind == "word" else {}
         self.newline = self._encode(["\n"])[0] if self.kind == "blank" else b""
+        self.model, self.normalizer = self.tokenizer.model, self.tokenizer.normalizer
+        printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in printed]
+        self.bytes = {b: chr(256 + k) for k, b in enumerate(rest)}  # the byte alphabet: printed bytes stand for themselves
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _letters(self, words: list[str], lead: str) -> dict[str, bytes]:
+        """Ids of those words that are nothing but letters, after normalising too."""
+        out = {}
+        mark = lead.translate(self.bytes)
+        for w in words:
+            if not w.isalpha():
+                continue
+            text = w if self.normalizer is None else w.lower() if w.isascii() else self.normalizer.normalize_str(w)
+            if not text.isalpha():
+                continue
+            if not text.isascii():
+                text = text.encode().decode("latin-1").translate(self.bytes)
+            out[w] = np.array([t.id for t in self.model.tokenize(mark + text)], dtype="<u4").tobytes()
+        return out
+
     def _fill(self, cache: dict[str, bytes], words: Iterable[str], lead: str) -> dict[str, bytes]:
         """Ids of words that the cache lacks; the cache keeps the short ones while there is room."""
         tails = {w: w.rstrip(_TAIL) for w in words}
         tails = {w: core if core.isalpha() else w for w, core in tails.items()}
         wanted = [w for w in {*tails.values()} if w not in cache]
-        found = dict(zip(wanted, self._encode([lead + w for w in wanted])))
+        found = self._letters(wanted, lead)
+        wanted = [w for w in wanted if w not in found]
+        found.update(zip(wanted, self._encode([lead + w for w in wanted])))
         ends = [*{w[len(core):] for w, core in tails.items() if len(core) < len(w)}]
         ends_ids = dict(zip(ends, self._encode(ends)))
         for w, core in tails.items():
             if len(core) < len(w):
                 found[w] = (cache.get(core) or found[core]) + ends_ids[w[len(core):]]
-        if len(cache) < CACHE_WORDS:
+        if len(self.first) + len(self.later) * (self.kind == "blank") < CACHE_WORDS:
             cache.update((w, i) for w, i in found.items() if len(w) <= LONGEST_CACHED)
         return found
 
