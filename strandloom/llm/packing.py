@@ -29,7 +29,7 @@ from strandloom.llm.tokens import encoded
 
 WINDOW = 2048
 #: Lengths that may stand in the middle of a combination of three: the most frequent ones.
-MIDDLES = 24
+MIDDLES = 128
 ROUNDS = 400
 
 
@@ -124,16 +124,15 @@ def solve(histogram: dict[int, int], window: int = WINDOW) -> Plan:
         counts[length] = n
     items = combinations(counts, window)
     solved = np.floor(non_negative_least_squares(items, counts.astype(float)) + 1e-9).astype("i8")
-    left = counts.copy()
-    left[0] = np.iinfo("i8").max // 4
+    left, rows, wanted = counts.tolist(), items.tolist(), solved.tolist()
+    left[0] = 1 << 62  # stands for no item
     repeats = np.zeros(len(items), dtype="i8")
-    for wanted in (solved, None):  # the solution as far as it fits, then whatever still fits
+    for most in (lambda k: wanted[k], lambda k: 1 << 62):  # the solution as far as it fits, then whatever still fits
         for k in np.argsort(-solved, kind="stable").tolist():
-            lengths, need = np.unique(items[k][items[k] > 0], return_counts=True)
-            can = int((left[lengths] // need).min())
-            n = can if wanted is None else min(can, int(wanted[k]))
+            n = min(most(k), *(left[x] // (rows[k].count(x) if x else 1) for x in rows[k]))
             if n > 0:
-                left[lengths] -= n * need
+                for x in rows[k]:
+                    left[x] -= n if x else 0
                 repeats[k] += n
     slots, next_rank, sequence = [], np.zeros(window + 1, dtype="i8"), 0
     for k in np.flatnonzero(repeats).tolist():
