@@ -1,9 +1,9 @@
 """Exact token ids with a bounded cache of words.
 
 For the two tokenizer families below the text may be cut at single blanks and newlines
-without changing any id, because their pre-tokenizers always end a piece there. Every piece
+without changing any id, because their pre-tokenizers always end a piece there. Every word
 not seen before is encoded by the tokenizers library: a word of letters is one piece for its
-pre-tokenizer too, so it goes straight to the library's model; repeated pieces come from the
+pre-tokenizer too, so it goes straight to the library's model; repeated words come from the
 cache. Texts with any other white space, and all other tokenizers, are encoded whole.
 """
 
@@ -13,15 +13,23 @@ import functools
 import json
 import os
 import re
+import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Words kept by a worker for a tokenizer; at about 220 bytes each, a bound of 55 MB.
 CACHE_WORDS = 250_000
 LONGEST_CACHED = 48
-_UNSAFE = re.compile(r"[^\S \n]|[ \n]{2}|\A[ \n]|[ \n]\Z")
-_TAIL = ".,;:!?"
+#: Texts are cut into words together up to so many characters, or one longer text.
+CHARS_AT_ONCE = 4_000_000
+#: Signs that are a piece of their own after a word of letters.
+_TAIL = ".,;:!?#$%&*)"
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(LONGEST_CACHED)]
+#: Marks of words that no blank leads, neither of them in a word: a text's first, and one that a newline leads.
+_BARE, _LINE = "\t", "\n"
 
 
 @functools.lru_cache(maxsize=4)
@@ -38,87 +46,107 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = _kind(json.loads(self.tokenizer.to_str()))
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = self.first if self.kind == "word" else {}
-        self.newline = self._encode(["\n"])[0] if self.kind == "blank" else b""
+        self.cache: dict[str, bytes] = {}
+        self.newline = self._encode([_LINE])[0] if self.kind == "blank" else b""
         self.model, self.normalizer = self.tokenizer.model, self.tokenizer.normalizer
         printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in printed]
         self.bytes = {b: chr(256 + k) for k, b in enumerate(rest)}  # the byte alphabet: printed bytes stand for themselves
+        self.lead = " " if self.kind == "blank" else ""
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _letters(self, words: list[str], lead: str) -> dict[str, bytes]:
-        """Ids of those words that are nothing but letters, after normalising too."""
-        out = {}
-        mark = lead.translate(self.bytes)
+    def _letters(self, word: str, lead: str) -> bytes | None:
+        """Ids of a word that is nothing but letters, after normalising too; else None."""
+        text = word
+        if self.normalizer is not None:
+            text = word.lower() if word.isascii() else self.normalizer.normalize_str(word)
+            if not text.isalpha():
+                return None
+        if not text.isascii():
+            text = text.encode().decode("latin-1").translate(self.bytes)
+        ids = [t.id for t in self.model.tokenize(lead + text)]
+        return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else np.array(ids, dtype="<u4").tobytes()
+
+    def _fill(self, words: Iterable[str]) -> list[str]:
+        """Puts the ids of words that it lacks into the cache; returns those too long to stay there."""
+        cache, lead, others, ends, long = self.cache, self.lead.translate(self.bytes), {}, {}, []
         for w in words:
-            if not w.isalpha():
+            if len(w) > LONGEST_CACHED:
+                long += {w, w.rstrip(_TAIL)}
+            if w[0] in "\t\n":
+                others[w] = w[1:]
                 continue
-            text = w if self.normalizer is None else w.lower() if w.isascii() else self.normalizer.normalize_str(w)
-            if not text.isalpha():
+            core = w.rstrip(_TAIL)
+            if not core.isalpha():
+                others[w] = self.lead + w
                 continue
-            if not text.isascii():
-                text = text.encode().decode("latin-1").translate(self.bytes)
-            out[w] = np.array([t.id for t in self.model.tokenize(mark + text)], dtype="<u4").tobytes()
-        return out
-
-    def _fill(self, cache: dict[str, bytes], words: Iterable[str], lead: str) -> dict[str, bytes]:
-        """Ids of words that the cache lacks; the cache keeps the short ones while there is room."""
-        tails = {w: w.rstrip(_TAIL) for w in words}
-        tails = {w: core if core.isalpha() else w for w, core in tails.items()}
-        wanted = [w for w in {*tails.values()} if w not in cache]
-        found = self._letters(wanted, lead)
-        wanted = [w for w in wanted if w not in found]
-        found.update(zip(wanted, self._encode([lead + w for w in wanted])))
-        ends = [*{w[len(core):] for w, core in tails.items() if len(core) < len(w)}]
-        ends_ids = dict(zip(ends, self._encode(ends)))
-        for w, core in tails.items():
+            ids = cache.get(core)
+            if ids is None:
+                ids = self._letters(core, lead)
+                if ids is None:
+                    others[w] = self.lead + w
+                    continue
+                cache[core] = ids
             if len(core) < len(w):
-                found[w] = (cache.get(core) or found[core]) + ends_ids[w[len(core):]]
-        if len(self.first) + len(self.later) * (self.kind == "blank") < CACHE_WORDS:
-            cache.update((w, i) for w, i in found.items() if len(w) <= LONGEST_CACHED)
-        return found
-
-    def ids(self, texts: list[str]) -> list[bytes]:
+                tail = w[len(core) :]
+                if tail not in ends:
+                    ends[tail] = self._encode([tail])[0]
+                cache[w] = ids + ends[tail]
+        for w, ids in zip(others, self._encode([*others.values()])):
+            cache[w] = self.newline + ids if w[0] == _LINE else ids
+        return long
+
+    def ids(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
-        cut: dict[int, list[list[str]]] = {}
-        first, later = set(), set()
+        rows: list[int] = []
+        marked: list[str] = []
+        size = 0
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if not self.kind or _UNSAFE.search(text):
+            flat = text.replace("\n", " ") if self.kind else text
+            if not self.kind or not _plain(flat):
                 out[i] = self._encode([text])[0]
                 continue
-            lines = [line.split(" ") for line in text.split("\n")]
-            cut[i] = lines
-            for words in lines:
-                first.add(words[0])
-                later.update(words[1:])
-        if self.kind == "word":
-            first, later = first | later, set()
-        new_first = self._fill(self.first, (w for w in first if w not in self.first), "")
-        new_later = self._fill(self.later, (w for w in later if w not in self.later), " ") if later else {}
-        get_first, get_later = _lookup(self.first, new_first), _lookup(self.later, new_later)
-        for i, lines in cut.items():
-            if self.kind == "word":
-                out[i] = b"".join([get_first(w) for words in lines for w in words])
-            else:
-                out[i] = self.newline.join([get_first(words[0]) + b"".join([get_later(w) for w in words[1:]]) for words in lines])
+            rows.append(i)
+            marked.append(_BARE + text.replace("\n", " \n") if self.kind == "blank" else flat)
+            size += len(text)
+            if size >= CHARS_AT_ONCE:
+                self._by_word(rows, marked, out)
+                rows, marked, size = [], [], 0
+        if rows:
+            self._by_word(rows, marked, out)
         return out
 
-
-def _lookup(cache: dict[str, bytes], extra: dict[str, bytes]):
-    if not extra:
-        return cache.__getitem__
-    known = cache.get
-
-    def get(word: str) -> bytes:
-        found = known(word)
-        return extra[word] if found is None else found
-
-    return get
+    def _by_word(self, rows: list[int], marked: list[str], out: list[bytes]) -> None:
+        """Ids of texts with a blank between words: the different words' ids, gathered in the words' order."""
+        cut = pc.split_pattern(pa.array(marked, pa.large_string()), " ")
+        coded = cut.values.dictionary_encode()
+        words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        long = self._fill({*words}.difference(self.cache))
+        found = [*map(self.cache.__getitem__, words)]
+        for w in long:
+            self.cache.pop(w, None)
+        while len(self.cache) > CACHE_WORDS:  # the last added go first
+            self.cache.popitem()
+        ids = np.frombuffer(b"".join(found), "<u4")
+        n = np.fromiter(map(len, found), "i8", len(found)) // 4
+        first, each = (np.cumsum(n) - n)[at], n[at]
+        ends = np.zeros(len(at) + 1, "i8")
+        np.cumsum(each, out=ends[1:])
+        gathered = ids[np.repeat(first - ends[:-1], each) + np.arange(ends[-1])].tobytes()
+        borders = (4 * ends[cut.offsets.to_numpy()]).tolist()
+        for i, lo, hi in zip(rows, borders, borders[1:]):
+            out[i] = gathered[lo:hi]
+
+
+def _plain(text: str) -> bool:
+    """Has no white space but single blanks between words."""
+    if text.isprintable():
+        return "  " not in text and text[0] != " " and text[-1] != " "
+    return " ".join(text.split()) == text
 
 
 def _kind(spec: dict) -> str:
