@@ -4,7 +4,10 @@ Words are lower-cased; numbers, names and units become typed placeholders, and s
 first word of a sentence, whose capital says nothing. Windows of five template words are
 joined by hash with the benchmark's; a matched window counts only while the values in its
 slots map one to one to the item's along its diagonal. An item is found in a document where
-the counted windows cover at least four fifths of the item's words.
+the counted windows cover at least four fifths of the item's words. A window short of literal
+words is matched with the words at sentence starts, and made longer until it has enough; an
+item that never has enough is matched by its words with placeholders for numbers and units
+only, or, short of words even so, word for word.
 
 The benchmark is a stated query set: its windows are used in blocks of at most BLOCK_WINDOWS
 (24 bytes each), and every block passes over all documents.
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.llm import store
-from strandloom.llm.minhash import _MIX, _mixed
+from strandloom.llm.minhash import _mixed
 
 WINDOW, COVERED = 5, 0.8
 BLOCK_WINDOWS = 2_000_000
@@ -42,15 +45,32 @@ _PLACEHOLDER = np.array([0, 0xA11CE5, 0xBEEF01, 0xC0FFEE, 0, 0xD0DE11], dtype="u
 _START = 5
 
 
+#: What an index is made over: the template; the template with the words at sentence starts; words with placeholders for numbers and units only; plain words.
+TEMPLATE, ANCHORED, FOLDED, EXACT = range(4)
+#: Texts are taken together up to so many characters, or one longer text.
+CHARS_AT_ONCE = 2_000_000
+_FACTOR = 0x9E3779B97F4A7C15
+_BITS = 20
+
+
+class View:
+    """Words of some texts in a row: their number of text, values, kinds, and codes by what is indexed."""
+
+    def __init__(self, text: np.ndarray, values: np.ndarray, kinds: np.ndarray, codes: dict[int, np.ndarray]) -> None:
+        self.text, self.values, self.kinds, self.codes = text, values, kinds, codes
+        self.slot = (kinds == NUMBER) | (kinds == UNIT) | (kinds == NAME)
+
+
 class Templates:
-    """Codes, values and kinds of a text's template words; word entries are cached within a bound."""
+    """Template words and plain words of texts; word entries are cached within a bound."""
 
     def __init__(self) -> None:
-        self.words: dict[str, tuple[int, int]] = {}
+        self.words: dict[str, int] = {}
+        self.kinds, self.values = np.zeros(0, dtype="i8"), np.zeros(0, dtype="u8")
 
     def _entry(self, token: str) -> tuple[int, int]:
-        low = token.lower()
-        if token in ".!?\n":
+        low = token.casefold()
+        if token[0] in ".!?\n":
             return END, 0
         if token[0].isdigit() or low in NUMBERS:
             return NUMBER, xxhash.xxh64_intdigest(low)
@@ -58,91 +78,160 @@ class Templates:
             return UNIT, xxhash.xxh64_intdigest(low)
         return NAME if token[0].isupper() else LITERAL, xxhash.xxh64_intdigest(low)
 
-    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(codes, values, kinds): the template, the slot values, and the kinds (_START at sentence starts)."""
-        tokens = _TOKEN.findall(text) if text else []
+    def _numbers(self, tokens: list[str]) -> np.ndarray:
         known = self.words
         if len(known) > 500_000:
             known.clear()
-        for t in {*tokens}.difference(known):
-            known[t] = self._entry(t)
-        got = [known[t] for t in tokens]
-        kinds = np.fromiter((g[0] for g in got), dtype="i8", count=len(got))
-        values = np.fromiter((g[1] for g in got), dtype="u8", count=len(got))
-        first = np.ones(len(got), dtype=bool)
-        first[1:] = kinds[:-1] == END
+            self.kinds, self.values = self.kinds[:0], self.values[:0]
+        new = list({*tokens}.difference(known))
+        if new:
+            made = [self._entry(t) for t in new]
+            known.update(zip(new, range(len(known), len(known) + len(new))))
+            self.kinds = np.concatenate((self.kinds, np.array([m[0] for m in made], dtype="i8")))
+            self.values = np.concatenate((self.values, np.array([m[1] for m in made], dtype="u8")))
+        return np.fromiter(map(known.__getitem__, tokens), dtype="i8", count=len(tokens))
+
+    def __call__(self, texts: list[str | None]) -> tuple[View, View]:
+        """(template words, plain words): _START stands at sentence starts, runs of names are one template word."""
+        tokens = [_TOKEN.findall(t) if t else [] for t in texts]
+        at = self._numbers([t for own in tokens for t in own])
+        text = np.repeat(np.arange(len(texts)), [len(own) for own in tokens])
+        kinds, values = self.kinds[at], self.values[at]
+        first = np.ones(len(at), dtype=bool)
+        first[1:] = (kinds[:-1] == END) | (text[1:] != text[:-1])
         words = kinds != END
-        kinds, values, first = kinds[words], values[words], first[words]
-        before = np.concatenate(([LITERAL], kinds[:-1])) if len(kinds) else kinds
-        kinds = np.where((kinds == UNIT) & (before != NUMBER), LITERAL, kinds)
+        text, kinds, values, first = text[words], kinds[words], values[words], first[words]
+        counted = np.zeros(len(kinds), dtype=bool)
+        counted[1:] = (kinds[:-1] == NUMBER) & (text[1:] == text[:-1])
+        kinds = np.where((kinds == UNIT) & ~counted, LITERAL, kinds)
+        own = np.where(kinds == NAME, LITERAL, kinds)
+        plain = View(text, values, own, {FOLDED: np.where(own == LITERAL, values, _PLACEHOLDER[own]), EXACT: values})
         kinds = np.where(first & (kinds != NUMBER), _START, kinds)
         follows = np.zeros(len(kinds), dtype=bool)
         follows[1:] = (kinds[1:] == NAME) & (kinds[:-1] == NAME)
-        kinds, values = kinds[~follows], values[~follows]
-        return np.where(kinds == LITERAL, values, _PLACEHOLDER[kinds]), values, kinds
+        text, kinds, values = text[~follows], kinds[~follows], values[~follows]
+        codes = np.where(kinds == LITERAL, values, _PLACEHOLDER[kinds])
+        return View(text, values, kinds, {TEMPLATE: codes, ANCHORED: np.where(kinds == _START, values, codes)}), plain
+
+
+class Runs:
+    """Hashes of all runs of any width of some codes, from one running sum."""
 
+    powers = inverses = np.zeros(0, dtype="u8")
 
-def windows(codes: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, whether it has enough literal words) of each window."""
-    n = max(0, len(codes) - WINDOW + 1)
-    literals = np.zeros(n, dtype="i8")
-    for i in range(WINDOW):
-        literals += kinds[i : n + i] == LITERAL
-    return _short(codes, WINDOW), literals >= LEAST_LITERALS
+    def __init__(self, codes: np.ndarray) -> None:
+        n = len(codes)
+        if len(Runs.powers) < n:
+            for name, x in (("powers", _FACTOR), ("inverses", pow(_FACTOR, -1, 1 << 64))):
+                factors = np.full(2 * n, x, dtype="u8")
+                factors[0] = 1
+                setattr(Runs, name, np.cumprod(factors))
+        self.sums = np.zeros(n + 1, dtype="u8")
+        np.cumsum(codes * Runs.powers[:n], out=self.sums[1:])
+
+    def __call__(self, width: int) -> np.ndarray:
+        n = max(0, len(self.sums) - width)
+        return _mixed((self.sums[width:] - self.sums[:n]) * Runs.inverses[:n])
+
+
+def spans(literal: np.ndarray, starts: np.ndarray) -> list[tuple[int, int]]:
+    """(place, width) of a window for each start: WINDOW words, or as many more as hold LEAST_LITERALS."""
+    at, before = np.flatnonzero(literal), np.concatenate(([0], np.cumsum(literal)))
+    if len(at) < LEAST_LITERALS:
+        return []
+    found = set()
+    for j in starts.tolist():
+        last = before[j] + LEAST_LITERALS - 1
+        i, end = (j, max(j + WINDOW, at[last] + 1)) if last < len(at) else (min(j, at[-LEAST_LITERALS]), max(j + WINDOW, at[-1] + 1))
+        found.add((int(i), int(end - i)))
+    return sorted(found)
+
+
+def indexed(template: View, plain: View) -> list[tuple[int, int, int]]:
+    """(what, place, width) of the windows of one item; each way, if any, they hold all of its words."""
+    found, n = [], len(template.kinds) - WINDOW + 1
+    if n > 0:
+        literal = template.kinds == LITERAL
+        enough = np.convolve(literal, np.ones(WINDOW, dtype="i8"), "valid") >= LEAST_LITERALS
+        found += [(TEMPLATE, j, WINDOW) for j in np.flatnonzero(enough).tolist()]
+        found += [(ANCHORED, j, w) for j, w in spans(literal | (template.kinds == _START), np.flatnonzero(~enough))]
+    size = len(plain.kinds)
+    if size and not found:
+        wide = [(FOLDED, j, w) for j, w in spans(plain.kinds == LITERAL, np.arange(size - WINDOW + 1))] if size >= WINDOW else []
+        found += wide or [(EXACT, j, min(WINDOW, size)) for j in range(max(1, size - WINDOW + 1))]
+    return found
 
 
 class Block:
-    """Windows of some items, sorted by hash, with their slots."""
+    """Windows of some items, sorted by hash within what they are made over and their width, with their slots."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
         make = Templates()
         self.ids = [i for i, _ in items]
-        self.made = [make(t) for _, t in items]
-        hashes, where, self.size = [], [], []
-        for n, (codes, values, kinds) in enumerate(self.made):
-            h, ok = windows(codes, kinds) if len(codes) >= WINDOW else (_short(values, len(codes)), np.ones(min(len(codes), 1), dtype=bool))
-            self.size.append(len(codes))
-            hashes.append(h[ok])
-            where.append(np.column_stack((np.full(ok.sum(), n), np.flatnonzero(ok))))
-        h, at = np.concatenate(hashes or [np.zeros(0, "u8")]), np.concatenate(where or [np.zeros((0, 2), "i8")])
-        order = np.argsort(h, kind="stable")
-        self.hashes, self.where = h[order], at[order]
-
-    def found(self, made: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[tuple[int, float]]:
-        """(item, covered share) of the items that a document's template contains."""
-        codes, values, kinds = made
-        widths = {WINDOW} | {s for s in self.size if 0 < s < WINDOW}
-        cover: dict[int, np.ndarray] = {}
-        maps: dict[tuple[int, int], tuple[dict, dict]] = {}
-        for width in sorted(widths):
-            if len(codes) < width:
+        self.made = [make([t]) for _, t in items]
+        got: dict[tuple[int, int], tuple[list, list]] = {}
+        for n, views in enumerate(self.made):
+            runs, hashes = {k: Runs(c) for view in views for k, c in view.codes.items()}, {}
+            for what, j, width in indexed(*views):
+                if (what, width) not in hashes:
+                    hashes[what, width] = runs[what](width)
+                h, where = got.setdefault((what, width), ([], []))
+                h.append(hashes[what, width][j])
+                where.append((n, j))
+        self.index = {}
+        for key, (h, where) in sorted(got.items()):
+            order = np.argsort(h := np.array(h, dtype="u8"), kind="stable")
+            few = np.zeros(1 << _BITS, dtype=bool)
+            few[h >> np.uint64(64 - _BITS)] = True
+            self.index[key] = h[order], np.array(where, dtype="i4")[order], few
+
+    def found(self, views: tuple[View, View], texts: int) -> list[list[tuple[int, float]]]:
+        """For each text, (item, covered share) of the items that it contains."""
+        cover: dict[tuple[int, int, int], np.ndarray] = {}
+        maps: dict[tuple[int, int, int, int], tuple[dict, dict]] = {}
+        runs: dict[int, Runs] = {}
+        for (what, width), (hashes, where, few) in self.index.items():
+            way = 0 if what in (TEMPLATE, ANCHORED) else 1
+            view = views[way]
+            if len(view.text) < width:
                 continue
-            h = windows(codes, kinds)[0] if width == WINDOW else _short(values, width)
-            lo = np.searchsorted(self.hashes, h)
-            hit = np.flatnonzero((lo < len(self.hashes)) & (self.hashes[np.minimum(lo, len(self.hashes) - 1)] == h)) if len(self.hashes) else []
-            for d in hit:
-                k = lo[d]
-                while k < len(self.hashes) and self.hashes[k] == h[d]:
-                    item, j = self.where[k]
-                    k += 1
-                    if min(WINDOW, self.size[item]) != width:
-                        continue
-                    there, back = maps.setdefault((int(item), int(d - j)), ({}, {}))
-                    pairs = [(a, b) for a, b, kind in zip(self.made[item][1][j : j + width].tolist(), values[d : d + width].tolist(), kinds[d : d + width].tolist()) if kind in (NUMBER, UNIT, NAME)]
-                    if any(there.get(a, b) != b or back.get(b, a) != a for a, b in pairs):
-                        continue
-                    for a, b in pairs:
-                        there[a], back[b] = b, a
-                    cover.setdefault(int(item), np.zeros(self.size[item], dtype=bool))[j : j + width] = True
-        return [(self.ids[i], float(c.mean())) for i, c in cover.items() if c.mean() >= COVERED]
-
-
-def _short(codes: np.ndarray, width: int) -> np.ndarray:
-    """Hashes of all runs of width codes."""
-    h = np.full(max(0, len(codes) - width + 1) if width else 0, width, dtype="u8")
-    for i in range(width):
-        h = _mixed(h * _MIX + codes[i : len(h) + i])
-    return h
+            if what not in runs:
+                runs[what] = Runs(view.codes[what])
+            h = runs[what](width)
+            likely = np.flatnonzero(few[h >> np.uint64(64 - _BITS)])
+            likely = likely[view.text[likely] == view.text[likely + width - 1]]
+            lo, hi = np.searchsorted(hashes, h[likely]), np.searchsorted(hashes, h[likely], "right")
+            for d, k0, k1 in zip(likely[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist()):
+                text = int(view.text[d])
+                for item, j in where[k0:k1].tolist():
+                    own = self.made[item][way]
+                    slots = [] if what == EXACT else np.flatnonzero(own.slot[j : j + width]).tolist()
+                    if slots:
+                        there, back = maps.setdefault((text, way, item, d - j), ({}, {}))
+                        pairs = [(int(own.values[j + i]), int(view.values[d + i])) for i in slots]
+                        if any(there.get(a, b) != b or back.get(b, a) != a for a, b in pairs):
+                            continue
+                        for a, b in pairs:
+                            there[a], back[b] = b, a
+                    cover.setdefault((text, way, item), np.zeros(len(own.kinds), dtype=bool))[j : j + width] = True
+        found: list[list[tuple[int, float]]] = [[] for _ in range(texts)]
+        for (text, _, item), c in cover.items():
+            if c.mean() >= COVERED:
+                found[text].append((self.ids[item], float(c.mean())))
+        return found
+
+
+def _together(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """The texts in runs of at most CHARS_AT_ONCE characters, or of one text."""
+    run, size = [], 0
+    for t in texts:
+        if run and size + len(t or "") > CHARS_AT_ONCE:
+            yield run
+            run, size = [], 0
+        run.append(t)
+        size += len(t or "")
+    if run:
+        yield run
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
@@ -172,7 +261,7 @@ def contaminated_by(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             block, make = Block(held.value), Templates()
             for batch in batches:
-                found = [block.found(make(t)) for t in batch.column("text").to_pylist()]
+                found = [f for texts in _together(batch.column("text").to_pylist()) for f in block.found(make(texts), len(texts))]
                 ids = [sorted({*before, *(i for i, _ in f if i is not None)}) for before, f in zip(batch.column("items").to_pylist(), found)]
                 most = [max([before, *(c for _, c in f)]) for before, f in zip(batch.column("covered").to_pylist(), found)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "text_hash", "text")), pa.array(ids, pa.list_(pa.int64())), pa.array(most, pa.float64())], names=["doc_id", "text_hash", "text", "items", "covered"])

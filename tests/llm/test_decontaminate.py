@@ -41,3 +41,13 @@ def test_empty_sides_and_blocks(spark, monkeypatch):
     whole = sorted(map(str, contaminated_by(docs, items).collect()))
     monkeypatch.setattr(decontaminate, "BLOCK_WINDOWS", 10)
     assert sorted(map(str, contaminated_by(docs, items).collect())) == whole
+
+
+def test_items_rich_in_slots(spark):
+    items = ["Compute 12 plus 7 times 30.", "What is 15 percent of 80?", "Who wrote Hamlet and Macbeth?", "Add 3 4 5 6 7 8 9 10 to 11 then halve", "12 15 18 21 24 27", "Tom Anna Bob"]
+    other = ["Compute 9 plus 4 times 11.", "What is 40 percent of 7?", "Who wrote Ulysses and Dubliners?", "Add 1 2 4 6 7 8 9 12 to 13 then halve", "11 15 18 21 24 29", "Tom Anna Ben"]
+    table = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"Some words. {t} And more") for i, t in enumerate([*items, *other, "He wrote Ulysses and sang", "Add 3 4 5 6 7 8 9 10 to"])], "doc_id long, text string")
+    got = {r.doc_id: r["items"] for r in contaminated_by(docs, table).collect()}
+    assert [got[i] for i in range(6)] == [[i] for i in range(6)]
+    assert [got[6 + i] for i in range(6)] == [[0], [1], [2], [3], [], []] and got[12] == got[13] == []
