@@ -1,3 +1,5 @@
+import re
+
 from strandloom.llm.decontaminate import contaminated_by
 from tests.llm.data import documents, empty
 
@@ -51,3 +53,12 @@ def test_items_rich_in_slots(spark):
     got = {r.doc_id: r["items"] for r in contaminated_by(docs, table).collect()}
     assert [got[i] for i in range(6)] == [[i] for i in range(6)]
     assert [got[6 + i] for i in range(6)] == [[0], [1], [2], [3], [], []] and got[12] == got[13] == []
+
+
+def test_copies_in_other_lines_case_and_punctuation(spark):
+    items = [ITEM, "What is the capital city?", "Count the words.\nThen, if any Of them rhyme, name the ones that Do; stop at ten"]
+    table = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    ways = [str.upper, lambda t: t.replace(" ", "\n"), lambda t: "question: " + t, lambda t: re.sub("[.,;?]", "", t), lambda t: t.replace("\n", " "), lambda t: t.replace("12", "40").lower()]
+    docs = spark.createDataFrame([(len(ways) * i + k, f"here, {way(t)} and more") for i, t in enumerate(items) for k, way in enumerate(ways)] + [(99, "what is the capital of the city")], "doc_id long, text string")
+    got = {r.doc_id: r["items"] for r in contaminated_by(docs, table).collect()}
+    assert got == {99: []} | {len(ways) * i + k: [i] for i in range(len(items)) for k in range(len(ways))}
