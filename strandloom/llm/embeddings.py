@@ -1,10 +1,9 @@
-"""Near-duplicate vectors by sorted projection passes (operator 4).
+"""Near-duplicate vectors by full comparison within labels (operator 4).
 
-Equal vectors of a label form one class. A pass concatenates the signs of random projections
-into a key, orders the classes by (label, key) over all partitions and compares each with its
-next neighbours in that order, across partition borders too. Pairs at or above the threshold
-are united over the passes into components. Inside each component the links are then counted
-in full, in blocks of bounded size, so a class's count isn't limited by the neighbour window.
+Equal vectors of a label form one class. The classes of a label and length are cut into blocks
+of bounded size and every pair of blocks is compared in full, so no pair is missed whatever the
+label's size and density. A pair of blocks returns each class's count of links and, in place of
+the pairs, the least class that it reaches there; the components are found from these.
 
 Defined results. A null vec_id or label, a null or empty vector, a zero vector, and a vector with null
 or non-finite components link with nothing; vectors of different lengths don't link; rows that
@@ -18,178 +17,98 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.llm import store
 from strandloom.llm.components import connected_components
 
-PASSES, WINDOW, BITS, BLOCK = 14, 32, 60, 512
+#: Numbers of a block of vectors, and cosines held at once.
+BLOCK_NUMBERS, COSINES = 1 << 21, 1 << 22
 
 
-def _unit(vectors: list[list[float]]) -> np.ndarray:
+def _unit(vectors: np.ndarray) -> np.ndarray:
     x = np.array(vectors, dtype=float)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _vectors(column: pa.Array) -> np.ndarray:
-    """Unit vectors of a batch whose lists have one length."""
-    return _unit(column.values.to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)) if len(column) else np.zeros((0, 0))
-
-
-def projection_keys(classes: DataFrame, passes: int, seed: int) -> DataFrame:
-    """Each class once per pass, with its key: the sign bits, first hash foremost."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
-        for batch in batches:
-            dims = np.array(batch.column("dim").to_pylist())
-            for dim in np.unique(dims).tolist():
-                own = batch.filter(pa.array(dims == dim))
-                if dim not in planes:
-                    planes[dim] = np.random.default_rng(seed).standard_normal((dim, passes * BITS))
-                bits = (_vectors(own.column("vector")) @ planes[dim] >= 0).reshape(own.num_rows, passes, BITS)
-                keys = (bits @ (1 << np.arange(BITS - 1, -1, -1, dtype="i8"))).astype("i8")
-                for k in range(passes):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(own.num_rows, k, dtype="i4")), own.column("label"), own.column("dim"), pa.array(keys[:, k]), own.column("class_id"), own.column("vector")], names=["pass", "label", "dim", "key", "class_id", "vector"])
-
-    kind = dict(classes.dtypes)["label"]
-    return classes.select("label", "dim", "class_id", "vector").mapInArrow(run, f"pass int, label {kind}, dim int, key long, class_id long, vector array<double>")
-
-
-def _near(groups: np.ndarray, unit: np.ndarray, ids: np.ndarray, window: int, threshold: float, crossing: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Pairs within the window of one order, of one group, at or above the threshold."""
-    found = []
-    for k in range(1, min(window, len(ids) - 1) + 1):
-        same = groups[k:] == groups[:-k]
-        if crossing is not None:
-            same &= crossing[k:] != crossing[:-k]
-        at = np.flatnonzero(same)
-        if len(at):
-            cos = np.einsum("ij,ij->i", unit[at], unit[at + k])
-            for i in at[cos >= threshold].tolist():
-                a, b = int(ids[i]), int(ids[i + k])
-                if a != b:
-                    found.append((max(a, b), min(a, b)))
-    return found
-
-
-def candidate_pairs(classes: DataFrame, threshold: float, passes: int = PASSES, window: int = WINDOW, seed: int = 11) -> DataFrame:
-    """Verified pairs (a, b) of neighbours in any pass."""
+def _united(least: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least place of each place's component, after the places a and b are joined too."""
+    while True:
+        x, y = least[a], least[b]
+        apart = x != y
+        if not apart.any():
+            return least
+        a, b = a[apart], b[apart]
+        root = np.arange(len(least))
+        np.minimum.at(root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while not np.array_equal(root, further := root[root]):
+            root = further
+        least = root[least]
+
+
+def _compared(one: np.ndarray, other: np.ndarray | None, copies: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(links, least place reached) of the unit vectors of a block, or of two blocks one after the other."""
+    cols, start = (one, 0) if other is None else (other, len(one))
+    links, least = np.zeros(len(copies), dtype="i8"), np.arange(len(copies))
+    step = max(1, COSINES // max(1, len(cols)))
+    for at in range(0, len(one), step):
+        skip = at if other is None else 0
+        linked = one[at : at + step] @ cols[skip:].T >= threshold
+        if other is None:
+            linked = np.triu(linked, 1)
+        a, b = np.nonzero(linked)
+        if len(a):
+            a, b = a + at, b + skip + start
+            links += np.bincount(a, copies[b], len(links)).astype("i8") + np.bincount(b, copies[a], len(links)).astype("i8")
+            least = _united(least, a, b)
+    return links, least
+
+
+def all_links(classes: DataFrame, threshold: float) -> DataFrame:
+    """(class_id, links, near): vectors of other classes linked to a class, and the least class reached, by pairs of blocks that link it."""
     spark = classes.sparkSession
-    rows = classes.count() * passes
-    n = max(1, min(store.partitions(spark), rows // (8 * window)))
-    order = ["pass", "label", "dim", "key", "class_id"]
-    dealt = store.stored(projection_keys(classes, passes, seed), "keys").repartitionByRange(n, *order).sortWithinPartitions(*order)
-    kind = dict(classes.dtypes)["label"]
-    schema = f"a long, b long, border int, side int, pos long, pass int, label {kind}, dim int, class_id long, vector array<double>"
-
-    def group_of(batch: pa.RecordBatch) -> list[tuple]:
-        return list(zip(*(batch.column(c).to_pylist() for c in ("pass", "label", "dim"))))
-
-    def blocks(rows: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple]]]:
-        """Runs of one dimension: (group numbers, unit vectors, ids, rows)."""
-        start = 0
-        for i in range(1, len(rows) + 1):
-            if i == len(rows) or rows[i][0][2] != rows[start][0][2]:
-                own = rows[start:i]
-                number: dict = {}
-                yield np.array([number.setdefault(r[0], len(number)) for r in own]), _unit([r[2] for r in own]), np.array([r[1] for r in own]), own
-                start = i
-
-    def pairs_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-        empty = [None] * len(pairs)
-        return _border_batch([(a, b, None, None, None, None, None, None, None, None) for a, b in pairs]) if pairs else _border_batch(empty)
-
-    def _border_batch(rows: list) -> pa.RecordBatch:
-        names = ["a", "b", "border", "side", "pos", "pass", "label", "dim", "class_id", "vector"]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), label_kind, pa.int32(), pa.int64(), pa.list_(pa.float64())]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(len(names))], names=names)
-
-    label_kind = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "smallint": pa.int16(), "tinyint": pa.int8(), "double": pa.float64(), "float": pa.float32()}.get(kind, pa.string())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, kept, pos = TaskContext.get().partitionId(), [], 0
-        for batch in batches:
-            new = list(zip(group_of(batch), batch.column("class_id").to_pylist(), batch.column("vector").to_pylist()))
-            if pos < window:
-                heads = [(None, None, task, 1, pos + i, *g, c, v) for i, (g, c, v) in enumerate(new[: window - pos])]
-                if heads:
-                    yield _border_batch(heads)
-            pos += len(new)
-            old, rows_now = len(kept), kept + new
-            pairs: list[tuple[int, int]] = []
-            for groups, unit, ids, own in blocks(rows_now):
-                pairs += _near(groups, unit, ids, window, threshold)
-            if pairs:
-                yield pairs_batch(sorted(set(pairs)))
-            kept = rows_now[-window:]
-        tails = [(None, None, task + 1, 0, i, *g, c, v) for i, (g, c, v) in enumerate(kept)]
-        if tails:
-            yield _border_batch(tails)
-
-    found = store.stored(dealt.mapInArrow(run, schema), "neighbours")
-    edge = found.where("border is not null").select("border", "side", "pos", "pass", "label", "dim", "class_id", "vector")
-    edge = edge.repartition(n, "border").sortWithinPartitions("border", "side", "pos")
-
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(rows: list[tuple]) -> pa.RecordBatch:
-            got = [p for groups, unit, ids, own in blocks(rows) for p in _near(groups, unit, ids, 2 * window, threshold, np.array([r[3] for r in own]))]
-            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in got], pa.int64()) for i in (0, 1)], names=["a", "b"])
-
-        now, rows = None, []
-        for batch in batches:
-            for border, side, g, c, v in zip(batch.column("border").to_pylist(), batch.column("side").to_pylist(), group_of(batch), batch.column("class_id").to_pylist(), batch.column("vector").to_pylist()):
-                if border != now and rows:
-                    yield pairs(rows)
-                    rows = []
-                now = border
-                rows.append((g, c, v, side))
-        if rows:
-            yield pairs(rows)
-
-    inside = found.where("a is not null").select("a", "b")
-    return inside.unionByName(edge.mapInArrow(over, "a long, b long")).distinct()
-
-
-def count_links(members: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """(class_id, links): vectors of other classes linked to it, of (component, class_id, copies, vector).
-
-    A component is cut into blocks; every pair of blocks is compared in one bounded step.
-    """
-    spark = members.sparkSession
-    sizes = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    own = members.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
+    group = ["kind", "dim"]
+    rows = classes.select(F.col("label").cast("string").alias("kind"), "dim", "class_id", "copies", "vector")
+    sizes = rows.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / F.greatest(F.lit(1), F.floor(F.lit(BLOCK_NUMBERS) / F.col("dim")))).cast("int").alias("blocks"))
+    own = rows.join(sizes, group).withColumn("own", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = own.withColumn("other", other).select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class_id", "copies", "vector")
-    rows = rows.repartition(store.partitions(spark), "component", "i", "j").sortWithinPartitions("component", "i", "j", "class_id")
+    key = [*group, "i", "j"]
+    dealt = own.withColumn("other", other).select(*group, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class_id", "copies", "vector")
+    dealt = dealt.repartition(store.partitions(spark), *key).sortWithinPartitions(*key, "own", "class_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(key: tuple, rows: list[tuple]) -> pa.RecordBatch:
-            unit, ids, copies, side = _unit([r[3] for r in rows]), [r[1] for r in rows], np.array([r[2] for r in rows]), np.array([r[0] for r in rows])
-            linked = np.einsum("ik,jk->ij", unit, unit) >= threshold if len(rows) < 9 else unit @ unit.T >= threshold
-            np.fill_diagonal(linked, False)
-            if key[1] != key[2]:
-                linked &= side[:, None] != side[None, :]
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array((linked @ copies).astype("i8"))], names=["class_id", "links"])
-
-        now, rows = None, []
+        def links(key: tuple, parts: list[tuple]) -> pa.RecordBatch:
+            side, ids, copies, unit = (np.concatenate([p[k] for p in parts]) for k in range(4))
+            n = int((side == key[2]).sum())
+            both = key[2] != key[3]
+            count, least = _compared(unit[:n] if both else unit, unit[n:] if both else None, copies, threshold)
+            smallest = np.full(len(ids), np.iinfo("i8").max)
+            np.minimum.at(smallest, least, ids)
+            hit = np.flatnonzero(count)
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids[hit], count[hit], smallest[least[hit]])], names=["class_id", "links", "near"])
+
+        now, parts = None, []
         for batch in batches:
-            for c, i, j, *rest in zip(*(batch.column(k).to_pylist() for k in ("component", "i", "j", "own", "class_id", "copies", "vector"))):
-                if (c, i, j) != now and rows:
-                    yield links(now, rows)
-                    rows = []
-                now = (c, i, j)
-                rows.append(tuple(rest))
-        if rows:
-            yield links(now, rows)
-
-    return rows.mapInArrow(run, "class_id long, links long").groupBy("class_id").agg(F.sum("links").alias("links"))
-
-
-def near_duplicate_vectors(df: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", passes: int = PASSES, window: int = WINDOW) -> DataFrame:
+            keys = list(zip(*(batch.column(k).to_pylist() for k in key)))
+            cuts = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if lo == hi:
+                    continue
+                if keys[lo] != now and parts:
+                    yield links(now, parts)
+                    parts = []
+                now, cut = keys[lo], batch.slice(lo, hi - lo)
+                values = cut.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(hi - lo, -1)
+                parts.append((cut.column("own").to_numpy(), cut.column("class_id").to_numpy(), cut.column("copies").to_numpy(), _unit(values)))
+        if parts:
+            yield links(now, parts)
+
+    return dealt.mapInArrow(run, "class_id long, links long, near long")
+
+
+def near_duplicate_vectors(df: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """vec_id, n_links, component_id, kept; one row per vector."""
     spark = df.sparkSession
     store.small_batches(spark)
@@ -199,10 +118,9 @@ def near_duplicate_vectors(df: DataFrame, threshold: float = 0.98, id_col: str =
     rows = store.stored(rows.withColumn("usable", usable), "vectors")
     good = rows.where("usable")
     classes = store.stored(good.groupBy("label", "vector").agg(F.min("vec_id").alias("class_id"), F.count_distinct("vec_id").alias("copies")).withColumn("dim", F.size("vector")), "classes")
-    pairs = store.stored(candidate_pairs(classes, threshold, passes, window), "pairs")
-    components = store.stored(connected_components(pairs), "components")
-    members = classes.join(components, classes["class_id"] == components["id"]).select("component", "class_id", "copies", "vector")
-    counted = count_links(members, threshold)
+    links = store.stored(all_links(classes, threshold), "links")
+    components = store.stored(connected_components(links.select(F.col("class_id").alias("a"), F.col("near").alias("b"))), "components")
+    counted = links.groupBy("class_id").agg(F.sum("links").alias("links"))
     of_class = classes.join(counted, "class_id", "left").join(components, F.col("class_id") == F.col("id"), "left")
     of_class = of_class.select("label", "vector", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "class_id").alias("component_id"))
     linked = good.join(of_class, ["label", "vector"]).select("vec_id", "n_links", "component_id")

@@ -110,3 +110,26 @@ def test_vectors_agree_with_all_pairs(spark):
 
 def test_empty_vectors(spark):
     assert near_duplicate_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+@pytest.mark.parametrize("numbers", [1 << 21, 64 * 300])
+def test_a_dense_label_misses_no_pair(spark, monkeypatch, numbers):
+    from strandloom.llm import embeddings
+
+    monkeypatch.setattr(embeddings, "BLOCK_NUMBERS", numbers, raising=False)
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal(64) * 5.4 + rng.standard_normal((2000, 64))
+    x[1000:1400] = x[:400] + rng.standard_normal((400, 64)) * 0.5
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in near_duplicate_vectors(df, 0.985).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.985
+    np.fill_diagonal(linked, False)
+    assert linked.sum() >= 700 and {i: r.n_links for i, r in got.items()} == dict(enumerate(linked.sum(1).tolist()))
+    least = np.arange(len(x))
+    for _ in range(len(x)):
+        lower = np.minimum(least, np.where(linked, least, len(x)).min(1))
+        if (lower == least).all():
+            break
+        least = lower
+    assert [got[i].component_id for i in range(len(x))] == least.tolist()
