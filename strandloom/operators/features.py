@@ -78,7 +78,9 @@ def cycles(edges: DataFrame, least: int = 3, most: int = 20) -> DataFrame:
 def cycle_sets(cycle_nodes: DataFrame) -> DataFrame:
     """(cycle, component): cycles that share more than one node, united."""
     c = cycle_nodes
-    shared = c.withColumnRenamed("cycle", "src").join(c.withColumnRenamed("cycle", "dst"), "node").where("src < dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("src", "dst")
+    pairs = c.join(c.withColumnRenamed("node", "other"), "cycle").where("node < other")
+    least = pairs.groupBy("node", "other").agg(F.min("cycle").alias("src"))
+    shared = pairs.join(least, ["node", "other"]).where("src < cycle").select("src", F.col("cycle").alias("dst")).distinct()
     comp = graph.components(shared).withColumnRenamed("cluster_id", "cycle")
     return c.select("cycle").distinct().join(comp, "cycle", "left").select("cycle", F.coalesce("component", "cycle").alias("component"))
 

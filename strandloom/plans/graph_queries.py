@@ -104,7 +104,7 @@ def missing_genomes(spark: SparkSession, d: str) -> DataFrame:
     return correction.missing_genomes(edges, p.select("cluster_id", "genome_id").distinct())
 
 
-#: A sparse graph for the iterative operators: edges seen in two genomes or more.
+#: A sparse graph, edges seen in two genomes or more, for the first forms of some queries; those on the whole graph are further below.
 SPARSE = NODES_SQL + """, sparse AS (SELECT src, dst, support FROM edges WHERE support >= 2 AND src <> dst), both_ways AS (SELECT src AS id, dst AS nbr FROM sparse UNION SELECT dst, src FROM sparse)"""
 
 
@@ -122,7 +122,7 @@ def breadth_first(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def graph_components(spark: SparkSession, d: str) -> DataFrame:
-    return graph.components(sparse(spark, d)[1])
+    return graph.components(built(spark, d)[1])
 
 
 @query(f"""WITH {SPARSE}, pairs2 AS (SELECT a.id AS a, b.id AS b FROM both_ways a JOIN both_ways b USING (nbr) WHERE a.id < b.id GROUP BY 1, 2)
@@ -154,13 +154,13 @@ def low_support_leaves(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def remove_contamination(spark: SparkSession, d: str) -> DataFrame:
-    nodes, edges = sparse(spark, d)
+    nodes, edges = built(spark, d)
     return correction.remove_contamination(nodes, edges, 30)[0].select("cluster_id", "support")
 
 
 @query()
 def prune_contig_ends(spark: SparkSession, d: str) -> DataFrame:
-    nodes, edges = sparse(spark, d)
+    nodes, edges = built(spark, d)
     return correction.prune_contig_ends(nodes, edges, 30)[0].select("cluster_id", "support")
 
 
@@ -175,7 +175,7 @@ def gene_neighbourhood(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def highly_variable(spark: SparkSession, d: str) -> DataFrame:
     nodes, edges = built(spark, d)
-    return features.highly_variable(nodes, stored(edges.where("support >= 3 and src <> dst"), "sparse"), min_cycles=2).select("cluster_id", "support", "is_highly_variable")
+    return features.highly_variable(nodes, edges, min_cycles=2).select("cluster_id", "support", "is_highly_variable")
 
 
 @query(f"""WITH {EDGES_SQL}, fresh AS (SELECT src AS a, dst AS b, 'new' AS genome_id FROM edges WHERE support >= 3), every AS (SELECT src, dst, unnest(genomes) AS genome_id FROM edges UNION SELECT a, b, genome_id FROM fresh)
@@ -184,3 +184,37 @@ def upsert_edges(spark: SparkSession, d: str) -> DataFrame:
     edges = built(spark, d)[1]
     fresh = edges.where("support >= 3").select(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit("new").alias("genome_id"))
     return graph.upsert_edges(edges, fresh).select("src", "dst", "support")
+
+
+#: The whole graph, both ways.
+WHOLE = NODES_SQL + """, both_ways AS (SELECT src AS id, dst AS nbr FROM edges UNION SELECT dst, src FROM edges)"""
+
+
+@query(f"""WITH RECURSIVE {WHOLE}, walk AS (SELECT min(src) AS node, 0 AS depth FROM edges UNION SELECT nbr, depth + 1 FROM walk JOIN both_ways ON id = node WHERE depth < 3)
+SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY 1""")
+def breadth_first_whole(spark: SparkSession, d: str) -> DataFrame:
+    edges = built(spark, d)[1]
+    return graph.bfs(edges, edges.agg(F.min("src").alias("start")), 3).select("node", "depth")
+
+
+@query(f"""WITH {WHOLE}, pairs2 AS (SELECT DISTINCT a.id AS a, b.id AS b FROM both_ways a JOIN both_ways b USING (nbr) WHERE a.id < b.id AND split_part(a.id, '|', 2) = split_part(b.id, '|', 2))
+SELECT a, b FROM pairs2""")
+def shared_neighbours_whole(spark: SparkSession, d: str) -> DataFrame:
+    from strandloom.operators.clustering import sharing_a_neighbour
+
+    nodes, edges = built(spark, d)
+    brand = nodes.select("cluster_id", F.substring_index("cluster_id", "|", -1).alias("brand"))
+    pairs = brand.withColumnRenamed("cluster_id", "a").join(brand.withColumnRenamed("cluster_id", "b"), "brand").where("a < b").select("a", "b")
+    return sharing_a_neighbour(pairs, edges)
+
+
+@query(f"""WITH {NODES_SQL} SELECT cluster_id, support FROM nodes JOIN degrees USING (cluster_id) WHERE support < 60 AND degree = 1""")
+def low_support_leaves_whole(spark: SparkSession, d: str) -> DataFrame:
+    return graph.low_support_leaves(*built(spark, d), 60).select("cluster_id", "support")
+
+
+@query(f"""WITH RECURSIVE {WHOLE}, walk AS (SELECT min(src) AS node, 0 AS depth FROM edges UNION SELECT nbr, depth + 1 FROM walk JOIN both_ways ON id = node WHERE depth < 2), near AS (SELECT node, min(depth) AS depth FROM walk GROUP BY 1)
+SELECT cluster_id, support, CAST(depth AS INTEGER) AS depth FROM near JOIN nodes ON cluster_id = node""")
+def gene_neighbourhood_whole(spark: SparkSession, d: str) -> DataFrame:
+    nodes, edges = built(spark, d)
+    return graph.neighbourhood(nodes, edges, edges.agg(F.min("src")).first()[0], 2)[0].select("cluster_id", "support", "depth")

@@ -161,3 +161,22 @@ def test_bands(spark):
     assert {r.band: r.n_clusters for r in matrix.partition_summary(p).collect()} == {"core": 2, "shell": 1, "cloud": 1}
     assert matrix.core_threshold(5) == 5 and matrix.core_threshold(0) == 1 and matrix.core_threshold(100) == 99
     assert matrix.packed_counts(matrix.packed_rows(p)).where(F.col("cluster_id") == "a").first().n_genomes == 10
+
+
+def test_queries_take_edges_of_one_genome(spark, monkeypatch):
+    from strandloom.plans import graph_queries as q
+
+    n = nodes(spark, [("a|1", 9, ["g1"]), ("b|1", 9, []), ("c|1", 9, []), ("d|1", 1, ["g1"]), ("e|2", 99, []), ("f|2", 99, [])])
+    e = edges(spark, [("a|1", "b|1"), ("b|1", "c|1"), ("a|1", "c|1"), ("c|1", "d|1"), ("e|2", "f|2")])
+    monkeypatch.setattr(q, "built", lambda s, d: (n, e))
+    got = lambda name, *cols: {tuple(r[c] for c in cols) for r in q.QUERIES[name](spark, "").collect()}
+    assert got("graph_components", "cluster_id", "component") == {(f"{x}|1", "a|1") for x in "abcd"} | {("e|2", "e|2"), ("f|2", "e|2")}
+    for name in ("remove_contamination", "prune_contig_ends"):
+        assert {x[0] for x in got(name, "cluster_id")} == {"a|1", "b|1", "c|1", "e|2", "f|2"}
+    assert got("breadth_first_whole", "node", "depth") == {("a|1", 0), ("b|1", 1), ("c|1", 1), ("d|1", 2)}
+    assert got("gene_neighbourhood_whole", "cluster_id", "depth") == got("breadth_first_whole", "node", "depth")
+    assert got("low_support_leaves_whole", "cluster_id") == {("d|1",)}
+    assert got("shared_neighbours_whole", "a", "b") == {("a|1", "b|1"), ("a|1", "c|1"), ("a|1", "d|1"), ("b|1", "c|1"), ("b|1", "d|1")}
+    two = edges(spark, [("a|1", "b|1"), ("b|1", "c|1"), ("a|1", "c|1"), ("b|1", "d|1"), ("a|1", "d|1")])
+    monkeypatch.setattr(q, "built", lambda s, d: (n, two))
+    assert {c for c, flag in got("highly_variable", "cluster_id", "is_highly_variable") if flag} == {"d|1"}
