@@ -22,17 +22,18 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8) the least doc_id stays.
+    """Of each group of near copies (five-word shingles, similarity 0.8) one row stays, of the least doc_id.
 
-    Of rows that repeat an id and its text one stays; a document without words is no copy.
+    Rows are told apart by a number of their own, so null and repeated ids are linked too; a null
+    id comes after all others; a document without words is no copy.
     """
-    found = store.stored(near_duplicates(docs, width=5), "copies")
-    kept = without(docs, found.where("not kept"))
-    again = found.where("kept and n_shingles > 0").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    if again.isEmpty():
-        return kept
-    one = docs.withColumn("__hash", F.xxhash64(F.coalesce("text", F.lit("")))).join(again.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__again")), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__again")))
-    return without(kept, again).unionByName(one.dropDuplicates(["__id", "__again"]).select(*docs.columns))
+    rows = store.stored(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    found = store.stored(near_duplicates(rows, id_col="__row", width=5).where("n_shingles > 0").select(F.col("doc_id").alias("__row"), "component_id", "text_hash"), "copies")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "__row")
+    own = found.join(rows.select("__row", "doc_id"), "__row").select("component_id", "text_hash", "__row", order.alias("order"))
+    least = own.groupBy("component_id").agg(F.min("order").alias("least"))
+    gone = own.join(least, "component_id").where(F.col("__row") != F.col("least.__row")).select(F.col("__row").alias("doc_id"), "text_hash")
+    return without(rows, store.stored(gone, "gone"), "__row").drop("__row")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

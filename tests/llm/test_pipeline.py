@@ -63,3 +63,13 @@ def test_run_is_the_stages_in_turn(spark, tmp_path):
 def test_every_operator_is_registered():
     names = set(__spark_entry__.queries())
     assert {f"op{n}_" for n in range(1, 11)} <= {re.match(r"op\d+_", q)[0] for q in names if q.startswith("op")} and "pipeline" in names
+
+
+def test_one_of_each_group_whatever_its_ids(spark):
+    a, b, c = (" ".join(f"{p}{i}" for i in range(60)) for p in "abc")
+    rows = [(1, a), (1, a + " more"), (1, a), (2, b), (2, b + " more"), (None, b), (None, c), (None, c), (None, c + " more"), (3, ""), (3, ""), (None, None), (4, "alone")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.minhash_near_dedup(spark, docs, "")
+    assert out.columns == docs.columns
+    got = [(r.doc_id, (r.text or "").split(" more")[0]) for r in out.collect()]
+    assert sorted(got, key=str) == sorted([(1, a), (2, b), (None, c), (3, ""), (3, ""), (None, ""), (4, "alone")], key=str)
