@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.operators import graph
 from strandloom.session import stored
 
+#: Levels of a tree that are kept apart before they are written together.
+LEVELS = 32
+
 
 def directed_edges(pairs: DataFrame) -> DataFrame:
     """(a, b, genomes): distinct genomes of each ordered pair (a, b, genome_id)."""
@@ -33,20 +39,29 @@ def structural_variants(nodes: DataFrame, edges: DataFrame, pairs: DataFrame) ->
     return inversions(directed_edges(pairs)).unionByName(duplications(nodes, edges))
 
 
-def spanning_tree(edges: DataFrame, rounds: int = 1000) -> DataFrame:
-    """(node, parent, depth, root): breadth-first trees from each component's least id; least parent wins."""
+def spanning_tree(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(node, parent, depth, root): breadth-first trees from each component's least id; least parent wins.
+
+    A round is one level; with rounds given, deeper trees are an error. A level's neighbours are
+    in it or in those next to it, so no round reads the whole tree.
+    """
     step = stored(graph.both_ways(edges.where("src <> dst")).distinct(), "steps")
     comp = stored(graph.components(edges), "trees")
-    seen = stored(comp.where("cluster_id = component").select(F.col("cluster_id").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"), F.col("component").alias("root")), "trees")
-    front = seen
-    for d in range(1, rounds):
+    front = stored(comp.where("cluster_id = component").select(F.col("cluster_id").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"), F.col("component").alias("root")), "trees")
+    before, levels = front, [front]
+    for d in itertools.count(1):
         reached = front.join(step, front["node"] == step["id"]).groupBy(F.col("nbr")).agg(F.min("id").alias("parent"), F.first("root").alias("root"))
-        new = reached.join(seen.select(F.col("node").alias("nbr")), "nbr", "left_anti")
-        front = stored(new.select(F.col("nbr").alias("node"), "parent", F.lit(d).alias("depth"), "root"), "trees")
+        near = before.unionByName(front).select(F.col("node").alias("nbr"))
+        new = reached.join(near, "nbr", "left_anti")
+        before, front = front, stored(new.select(F.col("nbr").alias("node"), "parent", F.lit(d).alias("depth"), "root"), "trees")
         if front.isEmpty():
             break
-        seen = stored(seen.unionByName(front), "trees")
-    return seen
+        if rounds is not None and d >= rounds:
+            raise RuntimeError(f"a tree is deeper than {rounds - 1} levels")
+        levels.append(front)
+        if len(levels) == LEVELS:
+            levels = [stored(functools.reduce(DataFrame.unionByName, levels), "trees")]
+    return stored(functools.reduce(DataFrame.unionByName, levels), "trees")
 
 
 def cycles(edges: DataFrame, least: int = 3, most: int = 20) -> DataFrame:

@@ -1,5 +1,7 @@
+import inspect
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from strandloom.operators import clustering, correction, features, graph
@@ -180,3 +182,13 @@ def test_queries_take_edges_of_one_genome(spark, monkeypatch):
     two = edges(spark, [("a|1", "b|1"), ("b|1", "c|1"), ("a|1", "c|1"), ("b|1", "d|1"), ("a|1", "d|1")])
     monkeypatch.setattr(q, "built", lambda s, d: (n, two))
     assert {c for c, flag in got("highly_variable", "cluster_id", "is_highly_variable") if flag} == {"d|1"}
+
+
+def test_trees_of_any_depth(spark, monkeypatch):
+    monkeypatch.setattr(features, "LEVELS", 3, raising=False)
+    e = edges(spark, [(f"c{i}", f"c{i + 1}") for i in range(9)])
+    assert {(r.node, r.parent, r.depth) for r in features.spanning_tree(e).collect()} == {(f"c{i}", f"c{i - 1}" if i else None, i) for i in range(10)}
+    assert features.spanning_tree(e, 10).count() == 10
+    with pytest.raises(RuntimeError):
+        features.spanning_tree(e, 9)
+    assert inspect.signature(features.spanning_tree).parameters["rounds"].default is None
