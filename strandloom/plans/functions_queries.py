@@ -123,8 +123,7 @@ def annotation_scan(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT lang || doc_id AS id, length(regexp_replace(text, '\\s', '', 'g')) AS length FROM documents WHERE NOT regexp_matches(text, '(^|[\\r\\n])>') AND length(regexp_replace(text, '\\s', '', 'g')) > 0")
 def fasta_scan(spark: SparkSession, d: str) -> DataFrame:
-    docs = tpch.table(spark, d, "documents").where(~F.col("text").rlike(r"(^|[\r\n])>"))
-    files = docs.select(F.concat(F.lit(">"), F.col("lang"), F.col("doc_id"), F.lit(" a header\n"), F.col("text")).alias("value"))
+    files = tpch.table(spark, d, "documents").select(F.concat(F.lit(">"), F.col("lang"), F.col("doc_id"), F.lit(" a header\n"), F.coalesce("text", F.lit(""))).alias("value"))
     return annotation.fasta_records(files).select("id", F.length("sequence").alias("length"))
 
 

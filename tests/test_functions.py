@@ -57,3 +57,22 @@ def test_infix_distance_agrees_with_all_substrings(spark):
 def test_attributes_and_escapes(spark):
     m, esc, back, stem = one(spark, txt.attributes(F.lit("ID=a;x=1=2;ID=b;bare")), txt.gff_escape(F.lit("a%;b,c")), txt.gml_unescape(txt.gml_escape(F.lit('a"&b'))), txt.file_stem(F.lit("file:/x/y.z/genome.v1.gff")))
     assert (m, esc, back, stem) == ({"ID": "b", "x": "1=2"}, "a%25%3Bb%2Cc", 'a"&b', "genome.v1")
+
+
+def test_fasta_scan_reads_texts_with_record_lines(spark, tmp_path):
+    from strandloom.plans import functions_queries
+
+    texts = ["ac gt\n", ">inner one\nAC\nGT\n>empty\n\n>two\r\nTT", "AA\n> quoted reply\nCC", None, "a > b"]
+    spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for i, t in enumerate(texts):
+        record = [f"en{i}", ""]
+        for line in (t or "").splitlines():
+            if line.startswith(">"):
+                want.append(tuple(record))
+                record = [(line[1:].split() or [""])[0], ""]
+            else:
+                record[1] += "".join(line.split())
+        want.append(tuple(record))
+    got = [(r.id, r.length) for r in functions_queries.fasta_scan(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted((i, len(s)) for i, s in want if s)
