@@ -41,17 +41,60 @@ def ship(spark: SparkSession) -> None:
     context.addPyFile(shutil.make_archive(os.path.join(folder, f"{root.name}-package"), "zip", os.path.join(folder, "tree")))
 
 
+_made: list[tuple[SparkSession, str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one is made only where that is unset."""
+    """The folder in spark.checkpoint.dir, shared by the driver and all executors.
+
+    Where it is unset, a temporary one is made for a local master; on a cluster that is an
+    error, as each executor would write to its own disk.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="strandloom-")
         spark.conf.set("spark.checkpoint.dir", found)
+        _made.append((spark, found))
     return found.rstrip("/")
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; it is deleted when the driver's Python ends."""
+    path = f"{shared_dir(spark)}/strandloom/{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write once, read back: a lost executor costs no recomputation and plans stay short."""
-    path = f"{shared_dir(df.sparkSession)}/strandloom/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._strandloom_path = path
+    return back
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete stored tables that no later plan reads."""
+    for table in tables:
+        path = getattr(table, "_strandloom_path", None)
+        if path:
+            _delete(table.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in _made:
+        try:
+            if spark.sparkContext._jsc is not None:
+                _delete(spark, path)
+        except Exception:  # noqa: BLE001  the session may be gone at exit
+            return
