@@ -1,71 +1,24 @@
-"""Tables and folders that every executor can reach.
+"""Tables and folders that every executor can reach, and settings for Python workers.
 
-Lineage is cut by writing Parquet under the folder named in ``spark.checkpoint.dir``. The
-setting is read from the session; only where it is unset (tests, local runs) a temporary
-folder is made and set.
+Lineage is cut by writing Parquet under the folder named in ``spark.checkpoint.dir``, as in
+strandloom.session.
 """
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from strandloom.session import ship
-
-_made: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder shared by the driver and all executors."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="strandloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        _made.append((spark, found))
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; it is deleted when the driver's Python ends."""
-    path = f"{shared_dir(spark)}/strandloom/{name}-{uuid.uuid4().hex}"
-    _made.append((spark, path))
-    return path
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write the rows once and read them back, so a lost executor costs no recomputation."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    back = df.sparkSession.read.schema(df.schema).parquet(path)
-    back._strandloom_path = path
-    return back
-
-
-def forget(*tables: DataFrame) -> None:
-    """Delete stored tables that no later plan reads."""
-    for table in tables:
-        path = getattr(table, "_strandloom_path", None)
-        if path:
-            _delete(table.sparkSession, path)
-
+from strandloom.session import forget, fresh_path, shared_dir, ship, stored
 
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+__all__ = ["forget", "free_name", "fresh_path", "partitions", "shared_dir", "small_batches", "stored"]
 
 
-@atexit.register
-def _clean() -> None:
-    for spark, path in _made:
-        try:
-            if spark.sparkContext._jsc is not None:
-                _delete(spark, path)
-        except Exception:  # noqa: BLE001  the session may be gone at exit
-            return
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores added until no column of df is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:

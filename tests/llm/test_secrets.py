@@ -1,6 +1,11 @@
+import hashlib
+import random
 import re
 
-from strandloom.llm.secrets import KINDS, redact, scan_secrets, spelled
+from pyspark.sql import functions as F
+
+from strandloom.llm.keep import without
+from strandloom.llm.secrets import KINDS, op1_secret_scan, redact, scan_secrets, spelled
 from tests.llm.data import documents, empty
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -51,5 +56,49 @@ def test_redaction_and_rows_stay(spark):
     assert texts[4].text == "one" and texts[0].text is None
 
 
+def brute_spans(rows):
+    """Spans, counts of live and copied values, owners and repositories of each row, by plain loops."""
+    found, owners, repos = [], {}, {}
+    for text, owner, repo in rows:
+        got = [(m.start(), 0, m.end(), m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+        got += [(m.start(), 1, m.end(), m[0]) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+        got += [(m.start(), 2, m.end(), m[0]) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+        mixed = [m for m in re.finditer("[A-Za-z0-9+/_-]{20,}", text) if all(re.search(c, m[0]) for c in ("[0-9]", "[a-z]", "[A-Z]"))]
+        got += [(m.start(), 3, m.end(), m[0]) for m in mixed if not any(m.start() < e and s < m.end() for s, k, e, _ in got if k < 3)]
+        found.append(sorted(got))
+        for *_, value in got:
+            owners.setdefault(value, set()).add(owner)
+            repos.setdefault(value, set()).add((owner, repo))
+    out = []
+    for got in found:
+        live = [len(owners[v]) <= 1 and len(repos[v]) <= 16 for *_, v in got]
+        spans = ",".join(f"{KINDS[k]}:{a}:{b}" for (a, k, b, _), ok in zip(got, live) if k < 3 or ok)
+        out.append((spans, sum(live), len(live) - sum(live), max((len(owners[v]) for *_, v in got), default=0), max((len(repos[v]) for *_, v in got), default=0)))
+    return out
+
+
+def test_the_query_agrees_with_plain_loops(spark, tmp_path):
+    pieces = ["password=", "Zk3qW9xT7Zk3qW9xT7", "AKIA", "AB12CD34EF56GH78IJ", "deadbeef0123", " ", "x", "=", "token:", "qW9", "é", "'", "_"]
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 40))) for _ in range(120)]
+    texts += [" ".join(f"token=abcdef{i % 7} {OPAQUE}{i}" for i in range(700)), f"{OPAQUE} x", f"y {OPAQUE}", "", "plain words"]
+    rows = [(i, t, f"s{i % 3}", f"l{i % 2}") for i, t in enumerate(texts)] + [(500 + i, f"see {'Ex4mpleOfAKey' * 2} {i}", "one", f"l{i}") for i in range(17)] + [(600, None, "s0", "l0")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.spans, r.n_live, r.n_copied, r.n_owners, r.n_repositories) for r in op1_secret_scan(spark, f"file://{tmp_path}").collect()}
+    assert got == dict(zip([r[0] for r in rows], brute_spans([(r[1] or "", r[2], r[3]) for r in rows])))
+    first = {r.doc_id: r for r in op1_secret_scan(spark, f"file://{tmp_path}").collect()}
+    for i, text, *_ in rows:
+        spans = base(text)
+        assert first[i].base_sha256 == hashlib.sha256(spans.encode()).hexdigest()
+        assert [first[i].n_assign, first[i].n_access, first[i].n_hex] == [spans.count(k + ":") for k in KINDS[:3]]
+
+
+def test_clashing_names(spark):
+    docs = documents(spark, extra=EXTRA).withColumns({c: F.lit(1) for c in ("__hit_id", "__hit_hash", "__hit_spans", "__hit_text")})
+    out = redact(docs, scan_secrets(docs))
+    assert out.columns == docs.columns and out.count() == docs.count()
+    assert without(docs.withColumn("__gone_id", F.lit(3)), scan_secrets(docs).limit(0)).count() == docs.count()
+
+
 def test_empty(spark):
     assert scan_secrets(empty(spark)).count() == 0
