@@ -1,13 +1,17 @@
 """Toxicity: gradient-boosted trees over dense features with isotonic calibration (operator 9).
 
 The lexicon is a short fixed list and the terms (words and word beginnings) that the learned
-rows show to be toxic. Lexicon, trees and calibration are fitted on three disjoint parts of at
-most FIT_ROWS labelled rows, chosen by a hash of the id; every document is scored in full.
-
-Defined results. A null text counts as empty and is scored; a null doc_id is held out; labels
-other than 0 and 1 are not learned; without rows of both classes in the tree part every score
-is the share of class 1 (0.5 without labels); repeated rows are scored alike; an empty table
-gives no row; other columns are left out, whatever their names.
+rows show to be toxic: every term of theirs counts in the slot of its hash, and a slot's log
+odds are kept where they stand out, so the lexicon has a fixed size whatever the vocabulary.
+Lexicon, trees and calibration are fitted on three disjoint parts of at most fit_rows labelled
+rows, chosen by a hash of the id; every document is scored in full.
+
+Defined results. A null text counts as empty and is scored; a text without words has all
+features 0; a text of any length is scored whole, in one piece; a null doc_id is held out;
+labels other than 0 and 1 are not learned; of rows with one id and different texts the one of
+the least text hash is learned; without rows of both classes in the tree part every score is
+the share of class 1 (0.5 without labels); repeated rows are scored alike; an empty table gives
+no row; other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,17 +22,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.llm import store
 from strandloom.llm.boosting import Boosted, Isotonic
 from strandloom.llm.quality import bucket, clean_labels
 
-#: Bounds of the fit: labelled rows used, and terms kept in the learned lexicon.
+#: The default bound of labelled rows that are learned from.
 FIT_ROWS = 40_000
-LEXICON_TERMS = 5_000
-LEAST_DOCS = 4
+#: Bits of a term's slot: the lexicon is 2^SLOT_BITS numbers of four bytes, 16 MB.
+SLOT_BITS = 22
+#: Toxic rows that a slot must be met in, and the log odds it must have.
+LEAST_DOCS, LEAST_ODDS = 4, 2.5
+#: Words that a worker keeps.
+KNOWN_WORDS = 500_000
 # Insults that are counted before anything is learned, and words of address.
 INSULTS = frozenset("idiot idiots moron morons stupid dumb loser losers scum trash garbage pathetic worthless disgusting clown fool imbecile vermin filth".split())
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta vous votre usted tú tus vosotros".split())
@@ -37,6 +46,7 @@ _WORD = re.compile(r"\w+")
 _TERM_SPLIT = r"[^\p{L}\p{N}_]+"
 _PREFIXES = (4, 5)
 NEAR = 5
+_CAPITALS = bytes(range(ord("A"), ord("Z") + 1))
 
 
 def terms_of(word: str) -> list[str]:
@@ -44,98 +54,125 @@ def terms_of(word: str) -> list[str]:
     return [word, *(word[:k] + "-" for k in _PREFIXES if len(word) > k)]
 
 
-def features(text: str, lexicon: dict[str, float]) -> list[float]:
-    """In the order of FEATURES; densities are per square root of length or per word."""
-    words = _WORD.findall(text)
-    n = len(words)
-    if not n:
-        return [0.0] * len(FEATURES)
-    low = [w.lower() for w in words]
-    odds, insults, people, hits = 0.0, 0, [], []
-    top, kinds = 0.0, set()
-    for i, w in enumerate(low):
-        best = 0.0
-        for t in terms_of(w):
-            best = max(best, lexicon.get(t, 0.0))
-        if w in INSULTS:
-            insults += 1
-            best = max(best, 4.0)
-        if best > 0:
-            hits.append(i)
-            kinds.add(w)
-            odds += best
-            top = max(top, best)
-        if w in SECOND_PERSON:
-            people.append(i)
-    near = 0
-    if hits and people:
-        p = np.array(people)
-        near = sum(int(np.abs(p - i).min() <= NEAR) for i in hits)
-    chars = len(text)
-    capital_words = sum(1 for w in words if len(w) > 2 and w.isupper())
-    mixed = len(re.findall(r"\b(?=\w*\d)(?=\w*[^\W\d_])\w+\b", text)) if re.search(r"\d", text) else 0
-    return [
-        math.log1p(n),
-        float(len(hits)),
-        len(hits) / n,
-        odds,
-        odds / math.sqrt(n),
-        top,
-        float(insults),
-        insults / n,
-        float(near),
-        len(people) / n,
-        sum(1 for c in text if c.isupper()) / chars,
-        capital_words / n,
-        text.count("!") / n,
-        len(re.findall(r"[^\w\s]", text)) / chars,
-        len(re.findall(r"(\w)\1\1", text)) / n,
-        mixed / n,
-        len(re.findall(r"\w[@$*#]\w", text)) / n,
-        len(re.findall(r"(?:\b\w\b[ .\-]){3,}", text)) / n,
-        float(len(kinds)),
-    ]
-
-
-def learn_lexicon(rows: DataFrame) -> dict[str, float]:
-    """Log odds of the terms that stand out in the toxic rows of (text, label); a bounded report."""
+def slot_of(term: str) -> int:
+    """The leading bits of the term's hash, as in learn_lexicon()."""
+    return xxhash.xxh64_intdigest(term.encode(), 42) >> (64 - SLOT_BITS)
+
+
+class Features:
+    """The features of texts, in the order of FEATURES; what is known of a word is kept within a bound."""
+
+    def __init__(self, lexicon: np.ndarray) -> None:
+        self.lexicon = lexicon
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words: dict[str, int] = {}
+        self.lows: dict[str, int] = {}
+        self.rows: list[tuple[float, int, bool, bool, bool, bool]] = []
+        self.table = np.zeros((0, 6))
+
+    def _learn(self, words: set[str]) -> None:
+        for w in words:
+            low = w.lower()
+            odds = max(0.0, *(float(self.lexicon[slot_of(t)]) for t in terms_of(low)))
+            insult = low in INSULTS
+            mixed = re.search(r"\d", w) is not None and re.search(r"[^\W\d_]", w) is not None
+            self.words[w] = len(self.rows)
+            self.rows.append((max(odds, 4.0) if insult else odds, self.lows.setdefault(low, len(self.lows)), insult, low in SECOND_PERSON, len(w) > 2 and w.isupper(), mixed))
+        self.table = np.concatenate((self.table, np.array(self.rows[len(self.table) :], dtype=float).reshape(-1, 6)))
+
+    def __call__(self, text: str | None) -> list[float]:
+        words = _WORD.findall(text) if text else []
+        n = len(words)
+        if not n:
+            return [0.0] * len(FEATURES)
+        if len(self.words) > KNOWN_WORDS:
+            self._forget()
+        if new := {*words}.difference(self.words):
+            self._learn(new)
+        known = self.table[np.fromiter(map(self.words.__getitem__, words), dtype="i8", count=n)]
+        odds = known[:, 0]
+        hits, people = np.flatnonzero(odds > 0), np.flatnonzero(known[:, 3])
+        near = 0
+        if len(hits) and len(people):
+            after = np.searchsorted(people, hits)
+            ahead = people[np.minimum(after, len(people) - 1)] - hits
+            behind = hits - people[np.maximum(after - 1, 0)]
+            near = int((np.minimum(np.abs(ahead), np.abs(behind)) <= NEAR).sum())
+        chars = len(text)
+        capitals = chars - len(text.encode().translate(None, _CAPITALS)) if text.isascii() else sum(map(str.isupper, text))
+        total = float(odds[hits].sum())
+        return [
+            math.log1p(n),
+            float(len(hits)),
+            len(hits) / n,
+            total,
+            total / math.sqrt(n),
+            float(odds.max()),
+            float(known[:, 2].sum()),
+            float(known[:, 2].sum()) / n,
+            float(near),
+            len(people) / n,
+            capitals / chars,
+            float(known[:, 4].sum()) / n,
+            text.count("!") / n,
+            len(re.findall(r"[^\w\s]", text)) / chars,
+            len(re.findall(r"(\w)\1\1", text)) / n,
+            float(known[:, 5].sum()) / n,
+            len(re.findall(r"\w[@$*#]\w", text)) / n,
+            len(re.findall(r"(?:\b\w\b[ .\-]){3,}", text)) / n,
+            float(len(np.unique(known[hits, 1]))),
+        ]
+
+
+def learn_lexicon(rows: DataFrame) -> np.ndarray:
+    """Log odds by slot, of the terms in the toxic rows of (text, label); 0 where they don't stand out."""
+    lexicon = np.zeros(1 << SLOT_BITS, dtype="f4")
     words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), _TERM_SPLIT), lambda w: w != ""))
-    parts = [words, *(F.transform(F.filter(words, lambda w, k=k: F.length(w) > k), lambda w, k=k: F.concat(F.substring(w, 1, k), F.lit("-"))) for k in _PREFIXES)]
-    seen = rows.select("label", F.explode(F.array_distinct(F.flatten(F.array(*parts)))).alias("term")).groupBy("term").agg(F.sum("label").alias("toxic"), F.count(F.lit(1)).alias("docs"))
+
+    def beginnings(size: int) -> Column:
+        return F.transform(F.filter(words, lambda w: F.length(w) > size), lambda w: F.concat(F.substring(w, 1, size), F.lit("-")))
+
+    terms = F.array_distinct(F.flatten(F.array(words, *(beginnings(size) for size in _PREFIXES))))
+    slots = F.array_distinct(F.transform(terms, lambda t: F.shiftrightunsigned(F.xxhash64(t), 64 - SLOT_BITS)))
+    seen = rows.select("label", F.explode(slots).alias("slot")).groupBy("slot").agg(F.sum("label").alias("toxic"), F.count(F.lit(1)).alias("docs"))
     totals = rows.agg(F.sum("label").alias("toxic"), F.count(F.lit(1)).alias("docs")).first()
     toxic, docs = totals["toxic"] or 0, totals["docs"]
     if not toxic or toxic == docs:
-        return {}
+        return lexicon
     odds = F.log(((F.col("toxic") + 0.1) / (toxic + 0.2)) / ((F.col("docs") - F.col("toxic") + 0.1) / (docs - toxic + 0.2)))
-    found = seen.where(F.col("toxic") >= LEAST_DOCS).withColumn("odds", odds).where(F.col("odds") > 2.5)
-    return {r["term"]: float(r["odds"]) for r in found.orderBy(F.desc("odds"), F.desc("toxic"), "term").limit(LEXICON_TERMS).collect()}
+    found = seen.where(F.col("toxic") >= LEAST_DOCS).select("slot", odds.cast("float").alias("odds")).where(F.col("odds") > LEAST_ODDS).toArrow()
+    lexicon[found.column("slot").to_numpy()] = found.column("odds").to_numpy()
+    return lexicon
 
 
-def with_features(docs: DataFrame, lexicon: dict[str, float]) -> DataFrame:
-    """doc_id, text_hash and feats of (doc_id, text); the lexicon is bounded and travels with the function."""
+def with_features(docs: DataFrame, lexicon: np.ndarray) -> DataFrame:
+    """doc_id, text_hash and feats of (doc_id, text); the lexicon is of a fixed size and broadcast."""
     held = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = held.value
+        features = Features(held.value)
         for batch in batches:
-            found = [features(t or "", known) for t in batch.column("text").to_pylist()]
+            found = [features(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(found, pa.list_(pa.float64()))], names=["doc_id", "text_hash", "feats"])
 
     return docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, feats array<double>")
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held_fold: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, score, predicted, text_hash for each row of docs."""
+def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held_fold: int = 0, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> DataFrame:
+    """doc_id, held_out, score, predicted, text_hash for each row of docs; fit_rows bounds the labelled rows learned from."""
     spark = docs.sparkSession
     store.small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = clean_labels(labels, label, id_col).where(bucket(F.col("doc_id"), folds) != held_fold)
-    fit = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(10)))
-    fit = store.stored(fit, "fit")  # at most FIT_ROWS narrow rows: small enough to broadcast
+    fit = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(10)))
+    fit = store.stored(fit, "fit")  # at most fit_rows narrow rows: small enough to broadcast
     lexicon = learn_lexicon(store.stored(rows.join(F.broadcast(fit.where("part < 5")), "doc_id").select("text", "label"), "lexicon"))
     scored = store.stored(with_features(rows, lexicon), "toxicity")
 
-    learned = scored.join(F.broadcast(fit.where("part >= 5")), "doc_id").dropDuplicates(["doc_id"]).select("feats", "label", "part").collect()
+    one = F.min(F.struct("text_hash", "feats", "label", "part")).alias("one")
+    learned = scored.join(F.broadcast(fit.where("part >= 5")), "doc_id").groupBy("doc_id").agg(one).orderBy("doc_id").select("one.feats", "one.label", "one.part").collect()
     x = np.array([r["feats"] for r in learned], dtype=float).reshape(-1, len(FEATURES))
     y, part = np.array([r["label"] for r in learned], dtype=float), np.array([r["part"] for r in learned])
     tree, rest = part < 8, part >= 8
