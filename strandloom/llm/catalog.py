@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandloom.llm.chat import op10_chat_formatting
+from strandloom.llm.chat import chat_typed_parts, op10_chat_formatting
 from strandloom.llm.decontaminate import op6_benchmark_decontamination
 from strandloom.llm.embeddings import op4_embedding_near_dedup
 from strandloom.llm.minhash import op7_minhash_near_dedup
@@ -24,6 +24,7 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_toxicity": op9_toxicity,
     "op10_chat_formatting": op10_chat_formatting,
+    "chat_typed_parts": chat_typed_parts,
 }
 
 ORACLES: dict[str, str] = {}

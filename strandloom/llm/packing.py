@@ -28,9 +28,8 @@ from strandloom.llm import store
 from strandloom.llm.tokens import encoded
 
 WINDOW = 2048
-#: Lengths that may stand in the middle of a combination of three: the most frequent ones.
-MIDDLES = 128
-ROUNDS = 400
+#: The solver stops when no round moves the solution by more than this share of it, or after ROUNDS; what it leaves is packed greedily.
+SETTLED, ROUNDS = 1e-4, 400
 
 
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -71,16 +70,19 @@ class Plan:
 
 
 def combinations(counts: np.ndarray, window: int) -> np.ndarray:
-    """Rows (a, b, c), c or b 0 if unused, that sum to the window; counts: by length, from 0."""
+    """All rows (a, b, c), a >= b >= c, of present lengths that sum to the window, c 0 if unused; counts: by length, from 0.
+
+    At most (window - 1)^2 / 12 rows, whatever the number of documents.
+    """
     present = np.flatnonzero(counts)
-    out = [np.column_stack((a, window - a, np.zeros_like(a))) for a in [present[(present * 2 >= window) & (counts[window - present] > 0)]]]
-    for b in present[np.argsort(-counts[present], kind="stable")][:MIDDLES]:
-        a = present[(present + b < window)]
-        c = window - b - a
-        a, c = a[(counts[c] > 0) & (a >= c)], c[(counts[c] > 0) & (a >= c)]
-        out.append(np.column_stack((a, np.full_like(a, b), c)))
-    found = np.unique(np.sort(np.concatenate(out), axis=1)[:, ::-1], axis=0)
-    return found
+    high = present[(present * 2 >= window) & (counts[np.maximum(window - present, 0)] > 0) & (present < window)]
+    out = [np.column_stack((high, window - high, np.zeros_like(high)))]
+    for b in present.tolist():
+        c = present[(present <= b) & (window - b - present >= b)]
+        a = window - b - c
+        there = counts[a] > 0
+        out.append(np.column_stack((a[there], np.full(int(there.sum()), b), c[there])))
+    return np.concatenate(out)
 
 
 def non_negative_least_squares(items: np.ndarray, target: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
@@ -111,9 +113,12 @@ def non_negative_least_squares(items: np.ndarray, target: np.ndarray, rounds: in
     t = 1.0
     for _ in range(rounds):
         nxt = np.maximum(0, y - back(forward(y) - target) / (1.05 * norm))
+        moved, size = np.abs(nxt - x).sum(), nxt.sum()
         t_next = (1 + np.sqrt(1 + 4 * t * t)) / 2
         y = nxt + (t - 1) / t_next * (nxt - x)
         x, t = nxt, t_next
+        if moved <= SETTLED * size:
+            break
     return x
 
 
