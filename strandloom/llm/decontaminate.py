@@ -9,13 +9,17 @@ words is matched with the words at sentence starts, and made longer until it has
 item that never has enough is matched by its words with placeholders for numbers and units
 only, or, short of words even so, word for word.
 
-The benchmark is a stated query set: its windows are used in blocks of at most BLOCK_WINDOWS
-words (16 bytes a window, two windows a word), and every block passes over all documents.
+The benchmark's windows are a table, made in parallel. One pass over the documents keeps the
+windows whose hash the benchmark may have: up to HELD_HASHES distinct hashes are held sorted
+by every worker, beyond that a filter of 2^FILTER_BITS bits, which lets more through but loses
+nothing. What is kept meets the table in a join by hash, and the slot check streams over the
+joined rows, sorted by document, item and diagonal.
 
 Defined results. A null, empty or word-less text, document or item, matches nothing; items
-shorter than a window are one window, word for word, in any case; repeated rows, items too, come back as they are; an
-empty benchmark finds nothing; an empty table gives no row; other columns are left out,
-whatever their names.
+shorter than a window are one window, word for word, in any case; a text of any length is
+taken whole, a long one alone; repeated rows, items too, come back as they are; items with a
+null id count in covered, but have no id to list; an empty benchmark finds nothing; an empty
+table gives no row; other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,7 +37,8 @@ from strandloom.llm import store
 from strandloom.llm.minhash import _mixed
 
 WINDOW, COVERED = 5, 0.8
-BLOCK_WINDOWS = 2_000_000
+#: Distinct window hashes of the benchmark that a worker holds (8 bytes each), and the bits of the filter beyond (32 MB).
+HELD_HASHES, FILTER_BITS = 4_000_000, 28
 #: Literal words that a window needs, else it is too common to say anything.
 LEAST_LITERALS = 3
 _TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+|[.!?]|\n[^\S\n]*\n")
@@ -162,63 +167,133 @@ def indexed(template: View, plain: View) -> list[tuple[int, int, int]]:
     return found
 
 
-class Block:
-    """Windows of some items, sorted by hash within what they are made over and their width, with their slots."""
+class Hashes:
+    """Which hashes the benchmark's windows may have."""
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
+    def __init__(self, held: np.ndarray | None, bits: np.ndarray | None) -> None:
+        self.held, self.bits = held, bits
+        if held is not None:
+            self.few = np.zeros(1 << _BITS, dtype=bool)
+            self.few[held >> np.uint64(64 - _BITS)] = True
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        """Places of the hashes that may be there."""
+        if self.held is None:
+            at = (h >> np.uint64(64 - FILTER_BITS)).astype("i8")
+            return np.flatnonzero((self.bits[at >> 3] >> (at & 7).astype("u1")) & 1)
+        likely = np.flatnonzero(self.few[h >> np.uint64(64 - _BITS)])
+        found = np.searchsorted(self.held, h[likely])
+        return likely[self.held[np.minimum(found, len(self.held) - 1)] == h[likely]]
+
+
+def _hashes(windows: DataFrame) -> tuple[np.ndarray | None, np.ndarray | None]:
+    """(sorted hashes, None), or where they are too many (None, filter); both are of bounded size."""
+    h = windows.select("h").distinct()
+    if h.limit(HELD_HASHES + 1).count() <= HELD_HASHES:
+        return np.sort(h.toArrow().column("h").to_numpy().astype("i8").view("u8")), None
+    bits = np.zeros(1 << (FILTER_BITS - 3), dtype="u1")
+    for r in h.select((F.shiftrightunsigned("h", 64 - FILTER_BITS)).alias("at")).distinct().toLocalIterator():
+        bits[r["at"] >> 3] |= np.uint8(1 << (r["at"] & 7))
+    return None, bits
+
+
+_WINDOWS = "item long, id long, what int, width int, h long, place int, size int, slots array<long>"
+
+
+def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    """A row for each window of each item: its item's row and id, hash, place, the item's words and the values in its slots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Templates()
-        self.ids = [i for i, _ in items]
-        self.made = [make([t]) for _, t in items]
-        got: dict[tuple[int, int], tuple[list, list]] = {}
-        for n, views in enumerate(self.made):
-            runs, hashes = {k: Runs(c) for view in views for k, c in view.codes.items()}, {}
-            for what, j, width in indexed(*views):
-                if (what, width) not in hashes:
-                    hashes[what, width] = runs[what](width)
-                h, where = got.setdefault((what, width), ([], []))
-                h.append(hashes[what, width][j])
-                where.append((n, j))
-        self.index = {}
-        for key, (h, where) in sorted(got.items()):
-            order = np.argsort(h := np.array(h, dtype="u8"), kind="stable")
-            few = np.zeros(1 << _BITS, dtype=bool)
-            few[h >> np.uint64(64 - _BITS)] = True
-            self.index[key] = h[order], np.array(where, dtype="i4")[order], few
-
-    def found(self, views: tuple[View, View], texts: int) -> list[list[tuple[int, float]]]:
-        """For each text, (item, covered share) of the items that it contains."""
-        cover: dict[tuple[int, int, int], np.ndarray] = {}
-        maps: dict[tuple[int, int, int, int], tuple[dict, dict]] = {}
-        runs: dict[int, Runs] = {}
-        for (what, width), (hashes, where, few) in self.index.items():
-            way = 0 if what in (TEMPLATE, ANCHORED) else 1
-            view = views[way]
-            if len(view.text) < width:
-                continue
-            if what not in runs:
-                runs[what] = Runs(view.codes[what])
-            h = runs[what](width)
-            likely = np.flatnonzero(few[h >> np.uint64(64 - _BITS)])
-            likely = likely[view.text[likely] == view.text[likely + width - 1]]
-            lo, hi = np.searchsorted(hashes, h[likely]), np.searchsorted(hashes, h[likely], "right")
-            for d, k0, k1 in zip(likely[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist()):
-                text = int(view.text[d])
-                for item, j in where[k0:k1].tolist():
-                    own = self.made[item][way]
-                    slots = [] if what == EXACT else np.flatnonzero(own.slot[j : j + width]).tolist()
-                    if slots:
-                        there, back = maps.setdefault((text, way, item, d - j), ({}, {}))
-                        pairs = [(int(own.values[j + i]), int(view.values[d + i])) for i in slots]
-                        if any(there.get(a, b) != b or back.get(b, a) != a for a, b in pairs):
-                            continue
-                        for a, b in pairs:
-                            there[a], back[b] = b, a
-                    cover.setdefault((text, way, item), np.zeros(len(own.kinds), dtype=bool))[j : j + width] = True
-        found: list[list[tuple[int, float]]] = [[] for _ in range(texts)]
-        for (text, _, item), c in cover.items():
-            if c.mean() >= COVERED:
-                found[text].append((self.ids[item], float(c.mean())))
-        return found
+        for batch in batches:
+            out: list[tuple] = []
+            for item, i, text in zip(*(batch.column(c).to_pylist() for c in ("item", "id", "text"))):
+                views = make([text])
+                runs: dict[int, Runs] = {k: Runs(c) for view in views for k, c in view.codes.items()}
+                hashes: dict[tuple[int, int], np.ndarray] = {}
+                for what, j, width in indexed(*views):
+                    if (what, width) not in hashes:
+                        hashes[what, width] = runs[what](width).view("i8")
+                    view = views[_way(what)]
+                    out.append((item, i, what, width, int(hashes[what, width][j]), j, len(view.kinds), _slots(view, what, j, width)))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=[c.split()[0] for c in _WINDOWS.split(", ")])
+
+    items = benchmark.where(F.col(text_col).isNotNull()).select(F.monotonically_increasing_id().alias("item"), F.col(item_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return items.mapInArrow(run, _WINDOWS)
+
+
+def _way(what: int) -> int:
+    return 0 if what in (TEMPLATE, ANCHORED) else 1
+
+
+def _slots(view: View, what: int, at: int, width: int) -> list[int]:
+    return [] if what == EXACT else view.values[at : at + width][view.slot[at : at + width]].view("i8").tolist()
+
+
+def _likely(views: tuple[View, View], classes: list[tuple[int, int]], hashes: Hashes, texts: int) -> list[list[dict]]:
+    """For each text its windows that the benchmark may have."""
+    out: list[list[dict]] = [[] for _ in range(texts)]
+    runs: dict[int, Runs] = {}
+    for what, width in classes:
+        view = views[_way(what)]
+        if len(view.text) < width:
+            continue
+        if what not in runs:
+            runs[what] = Runs(view.codes[what])
+        h = runs[what](width)
+        at = hashes(h)
+        at = at[view.text[at] == view.text[at + width - 1]]
+        start = np.searchsorted(view.text, view.text[at])
+        for d, text, first in zip(at.tolist(), view.text[at].tolist(), start.tolist()):
+            out[text].append({"what": what, "width": width, "h": int(h[d].view("i8")), "at": d - first, "values": _slots(view, what, d, width)})
+    return out
+
+
+def consistent(found: DataFrame) -> DataFrame:
+    """(row, item, id, share) of items whose consistent windows cover enough words.
+
+    found(row, item, id, way, diagonal, what, width, at, place, size, slots, values): one matched
+    window each. A document's windows of one item are dealt together and streamed by diagonal, so
+    a task holds one item's cover and one diagonal's slots.
+    """
+    order = ["row", "item", "way", "diagonal", "what", "width", "at"]
+    rows = found.repartition(store.partitions(found.sparkSession), "row", "item", "way").sortWithinPartitions(*order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(key: tuple, cover: np.ndarray) -> tuple | None:
+            share = float(cover.mean())
+            return (key[0], key[1], key[3], share) if share >= COVERED else None
+
+        now, diagonal = None, None
+        there: dict[int, int] = {}
+        back: dict[int, int] = {}
+        cover = np.zeros(0, dtype=bool)
+        for batch in batches:
+            out = []
+            for row, item, way, d, i, place, width, size, slots, values in zip(*(batch.column(c).to_pylist() for c in ("row", "item", "way", "diagonal", "id", "place", "width", "size", "slots", "values"))):
+                if (row, item, way, i) != now:
+                    if now is not None:
+                        out.append(done(now, cover))
+                    now, diagonal, cover = (row, item, way, i), None, np.zeros(size, dtype=bool)
+                if d != diagonal:
+                    diagonal, there, back = d, {}, {}
+                if len(slots) != len(values) or any(there.get(a, b) != b or back.get(b, a) != a for a, b in zip(slots, values)):
+                    continue
+                for a, b in zip(slots, values):
+                    there[a], back[b] = b, a
+                cover[place : place + width] = True
+            yield _shares(out)
+        if now is not None:
+            yield _shares([done(now, cover)])
+
+    return rows.mapInArrow(run, "row long, item long, id long, share double")
+
+
+def _shares(found: list[tuple | None]) -> pa.RecordBatch:
+    rows = [f for f in found if f is not None]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["row", "item", "id", "share"])
 
 
 def _together(texts: list[str | None]) -> Iterator[list[str | None]]:
@@ -234,40 +309,35 @@ def _together(texts: list[str | None]) -> Iterator[list[str | None]]:
         yield run
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
-    """Items in blocks of bounded window counts, streamed to the driver."""
-    rows, size = [], 0
-    for r in benchmark.where(F.col(text_col).isNotNull()).select(F.col(item_col).cast("long"), F.col(text_col).cast("string")).toLocalIterator():
-        rows.append((r[0], r[1]))
-        size += r[1].count(" ") + 1
-        if size >= BLOCK_WINDOWS:
-            yield rows
-            rows, size = [], 0
-    if rows:
-        yield rows
+_HIT = pa.list_(pa.struct([("what", pa.int32()), ("width", pa.int32()), ("h", pa.int64()), ("at", pa.int64()), ("values", pa.list_(pa.int64()))]))
 
 
 def contaminated_by(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, text_hash, items (sorted ids found) and covered (the largest share); one row per row of docs."""
     spark = docs.sparkSession
     store.small_batches(spark)
+    windows = store.stored(benchmark_windows(benchmark, item_col, item_text), "windows")
+    # widths are few: five words, or as many as an item needs to hold three literal ones
+    classes = sorted((r["what"], r["width"]) for r in windows.select("what", "width").distinct().collect())
+    held = spark.sparkContext.broadcast(_hashes(windows))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = rows.withColumn("items", F.array().cast("array<bigint>")).withColumn("covered", F.lit(0.0))
-    for items in _blocks(benchmark, item_col, item_text):
-        held = spark.sparkContext.broadcast(items)
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            block, make = Block(held.value), Templates()
-            for batch in batches:
-                found = [f for texts in _together(batch.column("text").to_pylist()) for f in block.found(make(texts), len(texts))]
-                ids = [sorted({*before, *(i for i, _ in f if i is not None)}) for before, f in zip(batch.column("items").to_pylist(), found)]
-                most = [max([before, *(c for _, c in f)]) for before, f in zip(batch.column("covered").to_pylist(), found)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "text_hash", "text")), pa.array(ids, pa.list_(pa.int64())), pa.array(most, pa.float64())], names=["doc_id", "text_hash", "text", "items", "covered"])
-
-        rows = rows.mapInArrow(run, f"doc_id {kind}, text_hash long, text string, items array<long>, covered double")
-    return rows.drop("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make, hashes = Templates(), Hashes(*held.value)
+        for batch in batches:
+            found = [f for texts in _together(batch.column("text").to_pylist()) for f in (_likely(make(texts), classes, hashes, len(texts)) if classes else [[]] * len(texts))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(found, _HIT)], names=["doc_id", "text_hash", "hits"])
+
+    scanned = rows.mapInArrow(run, f"doc_id {kind}, text_hash long, hits array<struct<what:int,width:int,h:long,at:long,values:array<long>>>")
+    scanned = store.stored(scanned.withColumn("row", F.monotonically_increasing_id()), "scanned")
+    hits = scanned.where(F.size("hits") > 0).select("row", F.explode("hits").alias("hit")).select("row", "hit.*")
+    met = hits.join(windows, ["what", "width", "h"])
+    met = met.withColumn("way", F.col("what").isin(TEMPLATE, ANCHORED).cast("int")).withColumn("diagonal", F.col("at") - F.col("place"))
+    found = consistent(met).groupBy("row").agg(F.sort_array(F.collect_set("id")).alias("items"), F.max("share").alias("covered"))
+    out = scanned.select("row", "doc_id", "text_hash").join(store.stored(found, "contaminated"), "row", "left")
+    return out.select("doc_id", "text_hash", F.coalesce("items", F.array().cast("array<bigint>")).alias("items"), F.coalesce("covered", F.lit(0.0)).alias("covered"))
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

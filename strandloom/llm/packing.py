@@ -29,7 +29,7 @@ from strandloom.llm.tokens import encoded
 
 WINDOW = 2048
 #: The solver stops when no round moves the solution by more than this share of it, or after ROUNDS; what it leaves is packed greedily.
-SETTLED, ROUNDS = 1e-4, 400
+SETTLED, ROUNDS = 1e-4, 200
 
 
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

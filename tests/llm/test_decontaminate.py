@@ -1,5 +1,9 @@
+import random
 import re
 
+from pyspark.sql import functions as F
+
+from strandloom.llm import decontaminate
 from strandloom.llm.decontaminate import contaminated_by
 from tests.llm.data import documents, empty
 
@@ -33,15 +37,14 @@ def test_inconsistent_slots_don_t_count(spark):
     assert {r.doc_id: r["items"] for r in contaminated_by(docs, items).collect()} == {1: [1], 2: []}
 
 
-def test_empty_sides_and_blocks(spark, monkeypatch):
-    from strandloom.llm import decontaminate
-
+def test_empty_sides_and_the_filter(spark, monkeypatch):
     items = spark.createDataFrame([(i, f"{ITEM} number{i} tail{i}") for i in range(3)], "item_id long, text string")
     docs = documents(spark, extra=[ITEM + " number1 tail1"])
     assert contaminated_by(empty(spark), items).count() == 0
     assert contaminated_by(docs, items.limit(0)).where("size(items) > 0").count() == 0
     whole = sorted(map(str, contaminated_by(docs, items).collect()))
-    monkeypatch.setattr(decontaminate, "BLOCK_WINDOWS", 10)
+    assert any("[0, 1, 2]" in r for r in whole)  # the numbered tails are less than a fifth of the items
+    monkeypatch.setattr(decontaminate, "HELD_HASHES", 10)
     assert sorted(map(str, contaminated_by(docs, items).collect())) == whole
 
 
@@ -62,3 +65,59 @@ def test_copies_in_other_lines_case_and_punctuation(spark):
     docs = spark.createDataFrame([(len(ways) * i + k, f"here, {way(t)} and more") for i, t in enumerate(items) for k, way in enumerate(ways)] + [(99, "what is the capital of the city")], "doc_id long, text string")
     got = {r.doc_id: r["items"] for r in contaminated_by(docs, table).collect()}
     assert got == {99: []} | {len(ways) * i + k: [i] for i in range(len(items)) for k in range(len(ways))}
+
+
+PROBES = ["Tom has 3 kg, Mary has 5 kg and Ann has 7 kg. Bob has 9 kg.", "Compute 12 + 35 * 7 - 4 / 2 + 19 * 3 - 8.", "Alice Smith Bob Jones Carol King: 5 km, 6 km, 7 km.", "Who was Albert Einstein? Where was Marie Curie born? When did Isaac Newton die?"]
+
+
+def plain(items, texts):
+    """Every window of every item against every window of every text, and the slots of each diagonal, by plain loops."""
+    make = decontaminate.Templates()
+    made = [make([t]) for t in items]
+    out = []
+    for text in texts:
+        views, own = make([text]), {}
+        for n, item in enumerate(made):
+            for way in (0, 1):
+                cover, maps = [False] * len(item[way].kinds), {}
+                wanted = sorted((what, width, d, j) for what, j, width in decontaminate.indexed(*item) if decontaminate._way(what) == way
+                                for d in range(len(views[way].kinds) - width + 1) if views[way].codes[what][d : d + width].tolist() == item[way].codes[what][j : j + width].tolist())
+                for what, width, d, j in wanted:
+                    there, back = maps.setdefault(d - j, ({}, {}))
+                    pairs = [] if what == decontaminate.EXACT else [(int(item[way].values[j + k]), int(views[way].values[d + k])) for k in range(width) if item[way].slot[j + k]]
+                    if all(there.get(a, b) == b and back.get(b, a) == a for a, b in pairs):
+                        there.update(pairs)
+                        back.update((b, a) for a, b in pairs)
+                        cover[j : j + width] = [True] * width
+                if cover and sum(cover) / len(cover) >= 0.8:
+                    own[n] = max(own.get(n, 0), sum(cover) / len(cover))
+        out.append((sorted(own), round(max(own.values(), default=0.0), 6)))
+    return out
+
+
+def test_the_query_agrees_with_plain_loops(spark, tmp_path):
+    rng = random.Random(7)
+    items = [*PROBES, ITEM, "short item here", "Count the words.\nThen, if any Of them rhyme, name the ones that Do; stop at ten", "What is 15 percent of 80?"]
+    texts = [None, "", "nothing of that kind in here at all"]
+    for t in items:
+        swapped = re.sub(r"\b[0-9]+\b", lambda m: str(int(m[0]) + 50), t).replace("Tom", "Jim").replace("Mary", "Zoe")
+        clipped = t.split()
+        texts += [t, f"before this. {t} after it", swapped, t.upper(), " ".join(clipped[: len(clipped) * 2 // 3]), f"{t} {t} {swapped}", "word " * 300 + t + " tail" * 300]
+    for _ in range(40):
+        words = rng.choice(items).split()
+        for _ in range(rng.randint(0, 3)):
+            words[rng.randrange(len(words))] = rng.choice(["other", "7", "Kim", "kg"])
+        texts.append(" ".join(words))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    got = {r.doc_id: ([int(i) for i in r.item_ids.split(",") if i], r.covered) for r in decontaminate.op6_benchmark_decontamination(spark, f"file://{tmp_path}").collect()}
+    want = plain(items, texts)
+    assert {i: (sorted(ids), c) for i, (ids, c) in got.items()} == dict(enumerate(want))
+    for k, t in enumerate(PROBES):
+        assert k in got[3 + 7 * k][0] and k in got[4 + 7 * k][0], t
+
+
+def test_names_that_clash(spark):
+    docs = documents(spark, extra=[ITEM]).withColumns({c: F.lit(1) for c in ("hits", "what", "h", "items", "covered", "text_hash_")})
+    items = spark.createDataFrame([(1, ITEM, 1, 2, 3)], "item_id long, text string, item long, id long, what long")
+    assert contaminated_by(docs, items).where("size(items) > 0").count() == 1
