@@ -1,9 +1,18 @@
-"""Near-duplicate vectors by full comparison within labels (operator 4).
-
-Equal vectors of a label form one class. The classes of a label and length are cut into blocks
-of bounded size and every pair of blocks is compared in full, so no pair is missed whatever the
-label's size and density. A pair of blocks returns each class's count of links and, in place of
-the pairs, the least class that it reaches there; the components are found from these.
+"""Near-duplicate vectors by sorted projection passes (operator 4).
+
+Equal vectors of a label form one class. A pass concatenates the signs of random projections
+into a key and orders the classes of a label lexicographically by it; the neighbour window of a
+class is its run of equal keys, about RUN classes where the label is spread evenly. A crowded
+run is cut into blocks of bounded size and every pair of its blocks is compared, so the window
+never cuts a run short. Two vectors at the threshold share a projection's sign with a
+probability that depends on nothing but their angle, so the number of passes that a label
+needs to miss such a pair with probability MISS follows from its key length alone, whatever
+the label's density. A label for which the passes would cost more than comparing it as one run
+is one run: its key is empty, and one pass finds every pair.
+
+The pairs verified in the passes are united into components, and inside each component the
+links are counted in full, again in blocks. A pair of blocks returns link counts and, in place
+of the pairs, the least class that each class reaches there.
 
 Defined results. A null vec_id or label, a null or empty vector, a zero vector, and a vector with null
 or non-finite components link with nothing; vectors of different lengths don't link; rows that
@@ -13,16 +22,20 @@ columns are left out, whatever their names.
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.llm import store
 from strandloom.llm.components import connected_components
 
+#: Classes of a run, by which a label's key length is chosen; the probability of missing a pair at the threshold; the longest key.
+RUN, MISS, BITS = 1024, 1e-6, 40
 #: Numbers of a block of vectors, and cosines held at once.
 BLOCK_NUMBERS, COSINES = 1 << 21, 1 << 22
 
@@ -66,13 +79,49 @@ def _compared(one: np.ndarray, other: np.ndarray | None, copies: np.ndarray, thr
     return links, least
 
 
-def all_links(classes: DataFrame, threshold: float) -> DataFrame:
-    """(class_id, links, near): vectors of other classes linked to a class, and the least class reached, by pairs of blocks that link it."""
-    spark = classes.sparkSession
-    group = ["kind", "dim"]
-    rows = classes.select(F.col("label").cast("string").alias("kind"), "dim", "class_id", "copies", "vector")
-    sizes = rows.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / F.greatest(F.lit(1), F.floor(F.lit(BLOCK_NUMBERS) / F.col("dim")))).cast("int").alias("blocks"))
-    own = rows.join(sizes, group).withColumn("own", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
+def schedule(n: Column, threshold: float) -> tuple[Column, Column]:
+    """(key bits, passes) for a label of n classes."""
+    bits = F.least(F.lit(BITS), F.greatest(F.lit(0), F.ceil(F.log2(n / RUN)).cast("int")))
+    same = 1 - math.acos(min(1.0, max(-1.0, threshold))) / math.pi
+    passes = F.ceil(math.log(MISS) / F.log1p(-F.pow(F.lit(same), bits) * (1 - 1e-12))).cast("int")
+    dearer = (bits == 0) | (passes >= F.pow(F.lit(2.0), bits))
+    return F.when(dearer, 0).otherwise(bits).cast("int"), F.when(dearer, 1).otherwise(passes).cast("int")
+
+
+@functools.lru_cache(maxsize=8)
+def _planes(seed: int, number: int, dim: int) -> np.ndarray:
+    return np.random.default_rng([seed, number, dim]).standard_normal((dim, BITS))
+
+
+def keyed(classes: DataFrame, number: int, seed: int = 11) -> DataFrame:
+    """classes(kind, dim, class_id, copies, vector, bits) with the key of one pass: a sign for each bit, the first hash foremost."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims, bits = batch.column("dim").to_numpy(), batch.column("bits").to_numpy()
+            keys = np.zeros(batch.num_rows, dtype="i8")
+            for dim in np.unique(dims).tolist():
+                own = np.flatnonzero(dims == dim)
+                values = batch.column("vector").take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1)
+                signs = _unit(values) @ _planes(seed, number, dim) >= 0
+                keys[own] = (signs @ (1 << np.arange(BITS - 1, -1, -1, dtype="i8"))).astype("i8") >> (BITS - bits[own])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("kind", "dim", "class_id", "copies", "vector")), pa.array(keys)], names=["kind", "dim", "class_id", "copies", "vector", "key"])
+
+    vector = dict(classes.dtypes)["vector"]
+    return classes.select("kind", "dim", "class_id", "copies", "vector", "bits").mapInArrow(run, f"kind string, dim int, class_id long, copies long, vector {vector}, key long")
+
+
+def links_of_runs(rows: DataFrame, group: list[str], threshold: float) -> DataFrame:
+    """(class_id, links, near) of stored rows(*group, dim, class_id, copies, vector), all pairs of a run (group, dim) compared.
+
+    links: vectors of other classes linked to a class in a pair of blocks; near: the least class
+    reached there. Only runs of several blocks have their rows copied, once for each block.
+    """
+    spark = rows.sparkSession
+    group = [*group, "dim"]
+    blocks = F.ceil(F.count(F.lit(1)) / F.greatest(F.lit(1), F.floor(F.lit(BLOCK_NUMBERS) / F.col("dim")))).cast("int")
+    crowded = store.stored(rows.groupBy(group).agg(blocks.alias("blocks")).where("blocks > 1"), "crowded")
+    own = rows.join(crowded, group, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     key = [*group, "i", "j"]
     dealt = own.withColumn("other", other).select(*group, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class_id", "copies", "vector")
@@ -81,8 +130,8 @@ def all_links(classes: DataFrame, threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links(key: tuple, parts: list[tuple]) -> pa.RecordBatch:
             side, ids, copies, unit = (np.concatenate([p[k] for p in parts]) for k in range(4))
-            n = int((side == key[2]).sum())
-            both = key[2] != key[3]
+            n = int((side == key[-2]).sum())
+            both = key[-2] != key[-1]
             count, least = _compared(unit[:n] if both else unit, unit[n:] if both else None, copies, threshold)
             smallest = np.full(len(ids), np.iinfo("i8").max)
             np.minimum.at(smallest, least, ids)
@@ -97,7 +146,8 @@ def all_links(classes: DataFrame, threshold: float) -> DataFrame:
                 if lo == hi:
                     continue
                 if keys[lo] != now and parts:
-                    yield links(now, parts)
+                    if len(parts) > 1 or len(parts[0][0]) > 1:
+                        yield links(now, parts)
                     parts = []
                 now, cut = keys[lo], batch.slice(lo, hi - lo)
                 values = cut.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(hi - lo, -1)
@@ -108,23 +158,45 @@ def all_links(classes: DataFrame, threshold: float) -> DataFrame:
     return dealt.mapInArrow(run, "class_id long, links long, near long")
 
 
+def linked_components(classes: DataFrame, threshold: float) -> DataFrame:
+    """(id, component) of the classes(kind, dim, class_id, copies, vector) that link, from all passes."""
+    group = ["kind", "dim"]
+    bits, passes = schedule(F.col("n"), threshold)
+    sizes = classes.groupBy(group).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    planned = store.stored(sizes.select(*group, bits.alias("bits"), passes.alias("passes")), "schedule")
+    edges = None
+    for number in range(planned.agg(F.max("passes")).first()[0] or 0):
+        rows = store.stored(keyed(classes.join(planned.where(F.col("passes") > number), group), number), "pass")
+        found = store.stored(links_of_runs(rows, ["kind", "key"], threshold).select(F.col("class_id").alias("a"), F.col("near").alias("b")).where("a <> b").distinct(), "verified")
+        store.forget(rows)
+        edges = found if edges is None else edges.unionByName(found)
+    if edges is None:
+        edges = classes.select(F.col("class_id").alias("a"), F.col("class_id").alias("b")).limit(0)
+    return store.stored(connected_components(edges), "components")
+
+
 def near_duplicate_vectors(df: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """vec_id, n_links, component_id, kept; one row per vector."""
     spark = df.sparkSession
     store.small_batches(spark)
-    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("vector")).distinct()
+    same = ["kind", "h1", "h2"]  # a class: its label and 128 bits of its vector
+    kept = "array<float>" if dict(df.dtypes)[vector_col] == "array<float>" else "array<double>"
+    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("kind"), F.col(vector_col).cast(kept).alias("vector"))
     finite = F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    usable = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite & F.exists("vector", lambda v: v != 0), F.lit(False))
-    rows = store.stored(rows.withColumn("usable", usable), "vectors")
-    good = rows.where("usable")
-    classes = store.stored(good.groupBy("label", "vector").agg(F.min("vec_id").alias("class_id"), F.count_distinct("vec_id").alias("copies")).withColumn("dim", F.size("vector")), "classes")
-    links = store.stored(all_links(classes, threshold), "links")
-    components = store.stored(connected_components(links.select(F.col("class_id").alias("a"), F.col("near").alias("b"))), "components")
-    counted = links.groupBy("class_id").agg(F.sum("links").alias("links"))
-    of_class = classes.join(counted, "class_id", "left").join(components, F.col("class_id") == F.col("id"), "left")
-    of_class = of_class.select("label", "vector", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "class_id").alias("component_id"))
-    linked = good.join(of_class, ["label", "vector"]).select("vec_id", "n_links", "component_id")
-    alone = rows.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    usable = F.coalesce(F.col("vec_id").isNotNull() & F.col("kind").isNotNull() & finite & F.exists("vector", lambda v: v != 0), F.lit(False))
+    rows = rows.withColumn("usable", usable).withColumn("h1", F.xxhash64("vector", F.lit(1))).withColumn("h2", F.xxhash64(F.lit(2), "vector"))
+    narrow = store.stored(rows.select("vec_id", "usable", *same).distinct(), "vectors")
+    good = narrow.where("usable")
+    counted = good.groupBy(same).agg(F.min("vec_id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
+    vectors = rows.where("usable").groupBy(same).agg(F.first("vector").alias("vector"))
+    classes = store.stored(counted.join(vectors, same).withColumn("dim", F.size("vector")), "classes")
+    components = linked_components(classes.select("kind", "dim", "class_id", "copies", "vector"), threshold)
+    members = store.stored(classes.select("dim", "class_id", "copies", "vector").join(components, F.col("class_id") == F.col("id")).drop("id"), "members")
+    links = links_of_runs(members, ["component"], threshold).groupBy("class_id").agg(F.sum("links").alias("links"))
+    of_class = classes.select(*same, "class_id", "copies").join(links, "class_id", "left").join(components, F.col("class_id") == F.col("id"), "left")
+    of_class = of_class.select(*same, (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "class_id").alias("component_id"))
+    linked = good.join(of_class, same).select("vec_id", "n_links", "component_id")
+    alone = narrow.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 

@@ -3,9 +3,10 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strandloom.llm.components import connected_components
-from strandloom.llm.embeddings import near_duplicate_vectors
+from strandloom.llm.embeddings import near_duplicate_vectors, op4_embedding_near_dedup
 from strandloom.llm.minhash import near_duplicates
 from tests.llm.data import documents, empty, prose
 
@@ -108,15 +109,42 @@ def test_vectors_agree_with_all_pairs(spark):
         assert got[i].component_id == min(seen) and got[i].kept == (i == min(seen))
 
 
+def test_the_schedule_and_its_misses(spark):
+    from strandloom.llm.embeddings import schedule
+
+    sizes = spark.createDataFrame([(n,) for n in (2, 1000, 8000, 30_000, 1_000_000, 10**9)], "n long")
+    bits, passes = schedule(F.col("n"), 0.98)
+    got = {r.n: (r.b, r.p) for r in sizes.select("n", bits.alias("b"), passes.alias("p")).collect()}
+    assert got[2] == got[1000] == got[8000] == (0, 1) and got[30_000][0] == 5 and got[10**9][0] == 20
+    same = 1 - np.arccos(0.98) / np.pi
+    for n, (b, p) in got.items():
+        assert b == 0 or (1 - same**b) ** p <= 1e-6 and p < 2**b and n / 2**b <= 1024
+
+
+def test_the_query_over_labels_of_all_kinds(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((90, 8)).astype("f4")
+    x[30:60] = x[:30] + rng.standard_normal((30, 8)).astype("f4") * 0.1
+    rows = [(i, v.tolist(), i % 2 if i < 80 else None) for i, v in enumerate(x)] + [(200, x[0].tolist(), 0), (201, None, 0)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"file://{tmp_path}/embeddings.parquet")
+    got = {r.vec_id: r.n_links for r in op4_embedding_near_dedup(spark, f"file://{tmp_path}").collect()}
+    unit = {i: np.array(v, "f4").astype(float) for i, v, lab in rows if v and lab is not None}
+    label = {i: lab for i, _, lab in rows}
+    want = {i: sum(1 for j in unit if i in unit and i != j and label[i] == label[j] and unit[i] @ unit[j] / np.linalg.norm(unit[i]) / np.linalg.norm(unit[j]) >= 0.98) for i, *_ in rows}
+    assert got == want and max(want.values()) >= 1
+
+
 def test_empty_vectors(spark):
     assert near_duplicate_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
-@pytest.mark.parametrize("numbers", [1 << 21, 64 * 300])
-def test_a_dense_label_misses_no_pair(spark, monkeypatch, numbers):
+@pytest.mark.parametrize("numbers,run", [(64 * 300, 1024), (64 * 300, 100)])
+def test_a_dense_label_misses_no_pair(spark, monkeypatch, numbers, run):
+    """As one run in blocks, and in passes of five key bits whose crowded runs are cut into blocks."""
     from strandloom.llm import embeddings
 
-    monkeypatch.setattr(embeddings, "BLOCK_NUMBERS", numbers, raising=False)
+    monkeypatch.setattr(embeddings, "BLOCK_NUMBERS", numbers)
+    monkeypatch.setattr(embeddings, "RUN", run)
     rng = np.random.default_rng(8)
     x = rng.standard_normal(64) * 5.4 + rng.standard_normal((2000, 64))
     x[1000:1400] = x[:400] + rng.standard_normal((400, 64)) * 0.5
