@@ -12,8 +12,8 @@ than 4 standard deviations above the signature threshold.
 
 Defined results. Words are split at blanks and controls 9 to 13 after A-Z is lower-cased; a
 document with fewer words than a shingle has its whole sequence as one; a null, empty or blank
-text has no shingle and links with nothing; repeated rows are copies of each other and come
-back once per row; an empty table gives no row; other columns are left out, whatever their names.
+text has no shingle and links with nothing; a text of any length is shingled whole; repeated
+rows are copies of each other and come back once per row; an empty table gives no row; other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ from strandloom.llm import store
 from strandloom.llm.components import connected_components
 
 BANDS, ROWS = 24, 4
-#: Classes in a block of a bucket, and of a group of likely links.
-BUCKET_BLOCK, GROUP_BLOCK = 2048, 384
+#: Classes in a block of a bucket, and of a group of likely links, whose block also holds so many shingles on average (8 bytes each).
+BUCKET_BLOCK, GROUP_BLOCK, BLOCK_SHINGLES = 2048, 384, 4_000_000
 #: Ids that may be broadcast (8 bytes each); beyond, the join shuffles.
 BROADCAST_IDS = 400_000
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -250,8 +250,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = store.stored(filled.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "classes")
     likely = store.stored(likely_links(classes, numerator / denominator), "likely")
     groups = store.stored(connected_components(likely), "groups").withColumnRenamed("component", "grp")
-    sized = groups.join(groups.groupBy("grp").agg(F.count(F.lit(1)).alias("size")), "grp")
-    wanted = store.stored(classes.select("rep", "d1", "d2", "sig").join(sized, F.col("rep") == F.col("id")).select("rep", "d1", "d2", "sig", "grp", "size"), "wanted")
+    grouped = classes.select("rep", "d1", "d2", "sig", "n_shingles").join(groups, F.col("rep") == F.col("id"))
+    # a group of long texts is cut into more blocks, so that a block's sets stay small
+    weight = F.greatest(F.count(F.lit(1)), F.ceil(F.sum("n_shingles") * F.lit(GROUP_BLOCK) / F.lit(BLOCK_SHINGLES)))
+    wanted = store.stored(grouped.join(grouped.groupBy("grp").agg(weight.alias("size")), "grp").select("rep", "d1", "d2", "sig", "grp", "size"), "wanted")
     texts = shingle_sets(docs, wanted, id_col, text_col, width)
     links = store.stored(verified_links(wanted.join(texts, ["rep", "d1", "d2"]), numerator, denominator), "links")
     components = store.stored(connected_components(links), "components")

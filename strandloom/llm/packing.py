@@ -8,7 +8,8 @@ slot of that length. What is left is packed greedily in row order, cut at window
 only the last sequence has padding. Ranks and running sums are by scan partition with offsets
 between partitions: no group grows with a hot length.
 
-Defined results. A null text counts as empty and has just the end id; repeated rows are packed
+Defined results. A null text counts as empty and has just the end id; a text of any length
+fills as many windows as it needs; repeated rows are packed
 as documents of their own; an empty table gives no row; other columns are left out, whatever
 their names. The ids of a piece can be read from the stored tokens by row, start and length.
 """

@@ -5,7 +5,7 @@ mean and a covariance shrunk towards the pooled diagonal; the score is the sigmo
 difference of the log densities (Mahalanobis distances through cached Cholesky factors) plus
 the log prior odds. The moments are summed over all learned rows, so nothing is sampled.
 
-Defined results. A null text counts as empty and is scored; a null doc_id is held out; labels
+Defined results. A null text counts as empty and is scored; a text of any length is scored whole; a null doc_id is held out; labels
 other than 0 and 1 are not learned; with fewer than two rows of a class every score is the
 share of class 1 (0.5 without labels); repeated rows are scored alike; an empty table gives
 no row; other columns are left out, whatever their names.

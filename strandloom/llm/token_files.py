@@ -7,7 +7,8 @@ decompressed size, low 32 bits of XXH64 of the content) per frame and a footer.
 fetches the tail of the file, then only the frames of the documents that it wants.
 
 Defined results. Documents come in ascending doc_id order, null ids first, ties by text; a
-null text counts as empty and has just the end id; repeated rows are kept as rows; an empty
+null text counts as empty and has just the end id; a text of any length is one run of ids in
+one frame; repeated rows are kept as rows; an empty
 table gives no shard and no row; other columns are left out, whatever their names.
 """
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandloom.llm.components import connected_components
 from strandloom.llm.embeddings import near_duplicate_vectors, op4_embedding_near_dedup
-from strandloom.llm.minhash import near_duplicates
+from strandloom.llm.minhash import near_duplicates, op7_minhash_near_dedup
 from tests.llm.data import documents, empty, prose
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -59,6 +59,7 @@ def test_blocks_of_a_large_group(spark, monkeypatch):
 
     monkeypatch.setattr(minhash, "BUCKET_BLOCK", 16)
     monkeypatch.setattr(minhash, "GROUP_BLOCK", 12)
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 500)
     rng = random.Random(9)
     base = prose(rng, 80).split()
     extra = []
@@ -72,6 +73,13 @@ def test_blocks_of_a_large_group(spark, monkeypatch):
     assert sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in got) == brute(docs.collect(), 4)
 
 
+def test_the_query(spark, tmp_path):
+    docs = documents(spark, 4)
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = op7_minhash_near_dedup(spark, f"file://{tmp_path}").collect()
+    assert sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in got) == brute(docs.collect(), 4)
+
+
 def test_empty_documents(spark):
     assert near_duplicates(empty(spark)).count() == 0
 
