@@ -87,8 +87,9 @@ def coverage(a: Column, b: Column) -> Column:
 
 
 def length_ratio_ok(a: Column, b: Column, least: float) -> Column:
-    """The length difference is at most 1 - least of the longer length."""
-    return F.abs(F.length(a) - F.length(b)) / F.greatest(F.length(a), F.length(b)) <= 1 - least
+    """The length difference is at most 1 - least of the longer length; two empty sequences agree."""
+    most = F.greatest(F.length(a), F.length(b))
+    return F.when(most > 0, F.abs(F.length(a) - F.length(b)) / most <= 1 - least + 1e-12).otherwise(F.lit(True))
 
 
 def infix_distance(query: str, target: str) -> int:

@@ -63,15 +63,5 @@ def ani_fraction(percent: Column) -> Column:
     return percent / 100
 
 
-def context_similarity(shared: Column, union: Column) -> Column:
-    """Sum of 1/(1+|difference|) over shared neighbours over the size of the union."""
-    return F.when(union > 0, shared / union).otherwise(F.lit(0.0))
-
-
 def path_similarity(distance: Column) -> Column:
     return 1 / (1 + distance)
-
-
-def mode_deviation(length: Column, mode: Column) -> Column:
-    """Relative deviation from the mode length."""
-    return F.when(mode > 0, F.abs(length - mode) / mode).otherwise(F.lit(0.0))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,44 +10,52 @@ from strandloom.operators.graph import both_ways
 from strandloom.session import stored
 
 
-def similar_pairs(seqs: DataFrame, identity: float, identity_of=seq.identity_by_min) -> DataFrame:
+def similar_pairs(seqs: DataFrame, identity: float, identity_of=seq.identity_by_min, lengths: float | None = None) -> DataFrame:
     """(a, b, identity) with a < b of (ord, sequence) whose positional identity is at least identity.
 
+    lengths: the least share that the shorter length has of the longer; identity, if not given.
+
     With L the shorter length, at most m = (1-t)L places differ, so of m+1 blocks at fixed
     places one is equal: an equality join on (block width, block number, block text). Lengths
-    are within a factor of t of each other, so each row takes part in the few width classes
-    that its partners can have.
+    are within that share of each other, so each row takes part in the few width classes that
+    its partners can have.
     """
     t = identity
+    share = identity if lengths is None else lengths
     rows = seqs.where(F.length("sequence") > 0).select("ord", "sequence", F.length("sequence").cast("int").alias("n"))
 
     def width(n):
         """Block width for a shorter length n: the largest w with floor(n / w) > m."""
         return F.greatest(F.lit(1), F.floor(n / (F.floor((1 - t) * n + 1e-9) + 1))).cast("int")
 
-    least = F.ceil(F.col("n") * t - 1e-9).cast("int")
+    least = F.ceil(F.col("n") * share - 1e-9).cast("int")
     widths = F.array_distinct(F.transform(F.sequence(F.greatest(least, F.lit(1)), F.col("n")), lambda n: width(n)))
     keyed = rows.withColumn("w", F.explode(widths))
     keyed = keyed.withColumn("block", F.explode(F.sequence(F.lit(0), F.greatest(F.floor(F.col("n") / F.col("w")).cast("int") - 1, F.lit(0)))))
     keyed = keyed.select("ord", "n", "w", "block", F.substring("sequence", F.col("block") * F.col("w") + 1, F.col("w")).alias("text"))
     meets = keyed.withColumnsRenamed({"ord": "a", "n": "na"}).join(keyed.withColumnsRenamed({"ord": "b", "n": "nb"}), ["w", "block", "text"])
-    ok = (F.col("a") < F.col("b")) & (F.abs(F.col("na") - F.col("nb")) / F.greatest("na", "nb") <= 1 - t + 1e-12) & (F.col("w") == width(F.least("na", "nb")))
+    ok = (F.col("a") < F.col("b")) & (F.abs(F.col("na") - F.col("nb")) / F.greatest("na", "nb") <= 1 - share + 1e-12) & (F.col("w") == width(F.least("na", "nb")))
     pairs = meets.where(ok).select("a", "b").distinct()
     s = rows.select("ord", "sequence")
     both = pairs.join(s.withColumnsRenamed({"ord": "a", "sequence": "sa"}), "a").join(s.withColumnsRenamed({"ord": "b", "sequence": "sb"}), "b")
     return both.select("a", "b", identity_of(F.col("sa"), F.col("sb")).alias("identity")).where(F.col("identity") >= t)
 
 
-def greedy_clusters(seqs: DataFrame, identity: float) -> DataFrame:
+def greedy_clusters(seqs: DataFrame, identity: float, lengths: float | None = None) -> DataFrame:
     """(ord, cluster_id, centroid) of (ord, sequence): greedy incremental clustering without a scan in order.
 
-    The centroids of the sequential pass are the first maximal independent set in ord order: a
-    row without an undecided or central earlier neighbour becomes a centroid; one with a
-    central earlier neighbour a member. A member goes to the most similar earlier centroid, the
+    Equal sequences are folded into their first row, so copies make no pairs. The centroids of
+    the sequential pass are the first maximal independent set in ord order: a row without an
+    undecided or central earlier neighbour becomes a centroid; one with a central earlier
+    neighbour a member. A member, copy or not, goes to the most similar centroid before it, the
     latest of equal ones. Empty sequences are left out.
     """
-    pairs = stored(similar_pairs(seqs, identity), "pairs")
-    left = stored(seqs.where(F.length("sequence") > 0).select("ord"), "left")
+    rows = stored(seqs.where(F.length("sequence") > 0).select("ord", F.xxhash64("sequence").alias("h"), F.sha2("sequence", 256).alias("digest")), "rows")
+    first = rows.groupBy("h", "digest").agg(F.min("ord").alias("one"))
+    rows = stored(rows.join(first, ["h", "digest"]).select("ord", "one"), "rows")
+    ones = seqs.select("ord", "sequence").join(rows.where("ord = one").select("ord"), "ord", "left_semi")
+    pairs = stored(similar_pairs(ones, identity, lengths=lengths), "pairs")
+    left = stored(rows.where("ord = one").select("ord"), "left")
     central = left.limit(0)
     while True:
         waits = pairs.join(left.withColumnRenamed("ord", "b"), "b").join(left.withColumnRenamed("ord", "a"), "a", "left_semi").select(F.col("b").alias("ord")).distinct()
@@ -62,10 +68,13 @@ def greedy_clusters(seqs: DataFrame, identity: float) -> DataFrame:
     central = stored(central, "centroids")
     number = F.row_number().over(Window.orderBy("ord")) - 1  # over centroids only
     named = stored(central.withColumn("cluster_id", F.concat(F.lit("cluster_"), number.cast("string"))), "centroids")
-    best = pairs.join(named.withColumnRenamed("ord", "a"), "a").join(central.withColumnRenamed("ord", "b"), "b", "left_anti")
-    chosen = best.groupBy(F.col("b").alias("ord")).agg(F.max_by(F.struct("cluster_id", "a"), F.struct("identity", "a")).alias("c"))
-    members = chosen.select("ord", "c.cluster_id", F.col("c.a").alias("centroid"))
-    return named.select("ord", "cluster_id", F.col("ord").alias("centroid")).unionByName(members)
+    # a copy may lie behind centroids that came after its sequence's first row
+    both = pairs.select(F.col("b").alias("one"), F.col("a").alias("centroid"), "identity").unionByName(pairs.select(F.col("a").alias("one"), F.col("b").alias("centroid"), "identity"))
+    near = both.unionByName(central.select(F.col("ord").alias("one"), F.col("ord").alias("centroid"), F.lit(1.0).alias("identity")))
+    near = near.join(named.withColumnRenamed("ord", "centroid"), "centroid")
+    best = rows.join(near, "one").where((F.col("centroid") < F.col("ord")) | (F.col("centroid") == F.col("ord")))
+    chosen = best.groupBy("ord").agg(F.max_by(F.struct("cluster_id", "centroid"), F.struct(F.col("centroid") == F.col("ord"), "identity", "centroid")).alias("c"))
+    return chosen.select("ord", "c.cluster_id", "c.centroid")
 
 
 def best_match(queries: DataFrame, centroids: DataFrame, identity: float) -> DataFrame:
@@ -138,7 +147,3 @@ def kept_columns(alignment: DataFrame, most_gaps: float) -> DataFrame:
     gaps = chars.groupBy("cluster_id", "at").agg((F.count_if(F.col("c") == "-") / F.count(F.lit(1))).alias("gaps"))
     kept = chars.join(gaps.where(F.col("gaps") <= most_gaps), ["cluster_id", "at"])
     return kept.groupBy("cluster_id", "name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "c"))), lambda x: x["c"]), "").alias("sequence"))
-
-
-def mismatches(length: int, identity: float) -> int:
-    return math.floor((1 - identity) * length + 1e-9)

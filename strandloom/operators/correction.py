@@ -25,7 +25,7 @@ def contig_end_threshold(mode: str, genomes: int) -> int:
 
 def misassembly_threshold(mode: str, genomes: int) -> int:
     """0 turns the step off."""
-    return 0 if mode == "sensitive" else max(2, math.floor(0.01 * genomes))
+    return 0 if mode == "sensitive" else max(2, math.ceil(0.01 * genomes))
 
 
 def _prune(nodes: DataFrame, edges: DataFrame, least: int, extra, rounds: int) -> tuple[DataFrame, DataFrame]:
@@ -55,7 +55,8 @@ def misassembled_edges(nodes: DataFrame, edges: DataFrame, least: int, share: fl
     n = nodes.select("cluster_id", F.col("support").alias("s"), (F.size("contig_end_genomes") > 0).alias("at_end"))
     e = edges.join(n.withColumnsRenamed({"cluster_id": "src", "s": "s1", "at_end": "e1"}), "src").join(n.withColumnsRenamed({"cluster_id": "dst", "s": "s2", "at_end": "e2"}), "dst")
     weak = F.col("support") < least
-    return e.where(weak & (F.col("e1") | F.col("e2") | (F.col("support") / F.least("s1", "s2") < share))).select("src", "dst")
+    ratio = F.try_divide(F.col("support"), F.least("s1", "s2"))  # null, so not weak, where a node has no support
+    return e.where(weak & (F.col("e1") | F.col("e2") | F.coalesce(ratio < share, F.lit(False)))).select("src", "dst")
 
 
 def clean_misassembly(nodes: DataFrame, edges: DataFrame, least: int) -> DataFrame:
@@ -141,7 +142,7 @@ def refound(missing: DataFrame, seqs: DataFrame, contigs: DataFrame, identity: f
 
 
 def recover_missing(nodes: DataFrame, edges: DataFrame, presence: DataFrame, seqs: DataFrame, contigs: DataFrame, consensus: bool = False, compat: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(nodes, presence) with refound genes added; support becomes the number of genomes.
+    """(nodes, presence) with refound genes added; a changed node's genomes grow, and its support becomes their number.
 
     compat: a gene found in any genome's contigs counts for every missing genome. consensus:
     nodes refound on more edges than their support go.
@@ -155,8 +156,13 @@ def recover_missing(nodes: DataFrame, edges: DataFrame, presence: DataFrame, seq
         found = refound(missing, seqs, contigs)
     found = stored(found, "refound")
     grown = presence.select("cluster_id", "genome_id").unionByName(found.select(F.col("dst").alias("cluster_id"), "genome_id")).distinct()
-    changed = grown.join(found.select(F.col("dst").alias("cluster_id")).distinct(), "cluster_id", "left_semi").groupBy("cluster_id").agg(F.count(F.lit(1)).alias("now"))
-    out = nodes.join(changed, "cluster_id", "left").withColumn("support", F.coalesce("now", "support")).drop("now")
+    changed = grown.join(found.select(F.col("dst").alias("cluster_id")).distinct(), "cluster_id", "left_semi").groupBy("cluster_id").agg(F.sort_array(F.collect_list("genome_id")).alias("now"))
+    out = nodes.join(changed, "cluster_id", "left").withColumn("support", F.when(F.col("now").isNotNull(), F.size("now").cast("long")).otherwise(F.col("support")))
+    if "genomes" in nodes.columns:
+        out = out.withColumn("genomes", F.coalesce("now", "genomes"))
+    if "n_genomes" in nodes.columns:
+        out = out.withColumn("n_genomes", F.when(F.col("now").isNotNull(), F.size("now").cast("long")).otherwise(F.col("n_genomes")))
+    out = out.drop("now")
     if consensus:
         hits = missing.join(found, ["dst", "genome_id"]).select("src", "dst").distinct().groupBy(F.col("dst").alias("cluster_id")).agg(F.count(F.lit(1)).alias("hits"))
         gone = nodes.join(hits, "cluster_id").where("hits > support").select("cluster_id")

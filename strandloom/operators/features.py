@@ -29,8 +29,8 @@ def inversions(directed: DataFrame) -> DataFrame:
 
 
 def duplications(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Nodes of degree 3 or more, and self-loops."""
-    many = nodes.join(graph.degrees(edges).where("degree >= 3"), "cluster_id").select(F.lit("duplication").alias("kind"), F.array("cluster_id").alias("clusters"), "genomes", F.size("genomes").cast("long").alias("support"))
+    """Nodes of degree 3 or more, with the nodes' support, and self-loops, with the edges'."""
+    many = nodes.join(graph.degrees(edges).where("degree >= 3"), "cluster_id").select(F.lit("duplication").alias("kind"), F.array("cluster_id").alias("clusters"), "genomes", "support")
     loops = edges.where("src = dst").select(F.lit("tandem_duplication").alias("kind"), F.array("src").alias("clusters"), "genomes", "support")
     return many.unionByName(loops)
 

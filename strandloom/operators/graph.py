@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.session import stored
+from strandloom.session import forget, stored
 
 
 def place(genes: DataFrame, members: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -129,10 +129,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = lowered(now.select(F.col("b").alias("u"), F.col("a").alias("v")).join(least, F.col("u") == least["a"]).select(F.col("v").alias("a"), F.col("m").alias("b")))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        now, before, seen = stored(lowered(moved), "components"), seen, state(now)
-        seen = state(now)
+        last, now = now, stored(lowered(moved), "components")
+        forget(last)
+        before, seen = seen, state(now)
         if seen == before:
             break
+    else:
+        raise RuntimeError("the components didn't settle")
     roots = now.select(F.col("b").alias("cluster_id"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("cluster_id"), F.col("b").alias("component")).unionByName(roots)
 

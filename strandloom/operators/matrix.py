@@ -131,7 +131,7 @@ def genome_pairs(presence: DataFrame) -> DataFrame:
     size = p.groupBy("genome_id").agg(F.count(F.lit(1)).alias("n"))
     both = p.withColumnRenamed("genome_id", "g1").join(p.withColumnRenamed("genome_id", "g2"), "cluster_id").where("g1 < g2").groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("shared"))
     ids = size.select(F.col("genome_id").alias("g1"), F.col("n").alias("n1"))
-    pairs = ids.join(ids.withColumnsRenamed({"g1": "g2", "n1": "n2"}), F.col("g1") < F.col("g2"))
+    pairs = ids.join(F.broadcast(ids.withColumnsRenamed({"g1": "g2", "n1": "n2"})), F.col("g1") < F.col("g2"))  # one row per genome; the pairs are the result
     out = pairs.join(both, ["g1", "g2"], "left").na.fill(0, ["shared"]).withColumn("either", F.col("n1") + F.col("n2") - F.col("shared"))
     return out.select("g1", "g2", "shared", "either", F.when(F.col("either") > 0, 1 - F.col("shared") / F.col("either")).otherwise(F.lit(1.0)).alias("distance"))
 

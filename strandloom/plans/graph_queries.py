@@ -91,7 +91,7 @@ def inversions(spark: SparkSession, d: str) -> DataFrame:
     return features.inversions(features.directed_edges(pairs)).select(F.col("clusters")[0].alias("a"), F.col("clusters")[1].alias("b"), "support")
 
 
-@query(f"""WITH {NODES_SQL} SELECT 'duplication' AS kind, cluster_id, n_genomes AS support FROM nodes JOIN degrees USING (cluster_id) WHERE degree >= 3 UNION ALL SELECT 'tandem_duplication', src, support FROM edges WHERE src = dst""")
+@query(f"""WITH {NODES_SQL} SELECT 'duplication' AS kind, cluster_id, support FROM nodes JOIN degrees USING (cluster_id) WHERE degree >= 3 UNION ALL SELECT 'tandem_duplication', src, support FROM edges WHERE src = dst""")
 def duplications(spark: SparkSession, d: str) -> DataFrame:
     return features.duplications(*built(spark, d)).select("kind", F.col("clusters")[0].alias("cluster_id"), "support")
 

@@ -192,3 +192,110 @@ def test_trees_of_any_depth(spark, monkeypatch):
     with pytest.raises(RuntimeError):
         features.spanning_tree(e, 9)
     assert inspect.signature(features.spanning_tree).parameters["rounds"].default is None
+
+
+def sequential(seqs, identity, lengths):
+    """The greedy pass in order, one row at a time."""
+    cents, out = [], {}
+    for i, s in seqs:
+        if not s:
+            continue
+        best = None
+        for n, (j, c) in enumerate(cents):
+            if abs(len(s) - len(c)) / max(len(s), len(c)) > 1 - lengths + 1e-12:
+                continue
+            got = sum(x == y for x, y in zip(s, c)) / min(len(s), len(c))
+            if got >= identity and (best is None or got >= best[0]):
+                best = (got, n, j)
+        if best is None:
+            cents.append((i, s))
+            best = (1.0, len(cents) - 1, i)
+        out[i] = (f"cluster_{best[1]}", best[2])
+    return out
+
+
+@pytest.mark.parametrize("identity,lengths", [(0.8, None), (0.8, 0.6), (0.7, 0.95)])
+def test_greedy_clusters_are_those_of_the_pass_in_order(spark, identity, lengths):
+    rng = random.Random(17)
+    base = ["".join(rng.choice("ACGT") for _ in range(rng.randint(12, 30))) for _ in range(6)]
+    seqs = []
+    for i in range(150):
+        s = list(rng.choice(base))
+        for _ in range(rng.randint(0, 5)):
+            s[rng.randrange(len(s))] = rng.choice("ACGT")
+        seqs.append((i, "".join(s)[: rng.choice([99, 99, 20, 15])]))
+    seqs += [(200 + i, rng.choice(seqs)[1]) for i in range(80)] + [(400, ""), (401, None)]
+    got = clustering.greedy_clusters(spark.createDataFrame(seqs, "ord long, sequence string"), identity, lengths).collect()
+    assert {r.ord: (r.cluster_id, r.centroid) for r in got} == sequential(seqs, identity, identity if lengths is None else lengths)
+
+
+def test_copies_make_no_pairs(spark, monkeypatch):
+    seen = []
+    real = clustering.similar_pairs
+    monkeypatch.setattr(clustering, "similar_pairs", lambda s, *a, **k: (seen.append(s.count()), real(s, *a, **k))[1])
+    seqs = spark.range(3000).selectExpr("id AS ord", "repeat('ACGT', 20) AS sequence")
+    got = clustering.greedy_clusters(seqs, 0.9)
+    assert seen == [1] and got.count() == 3000 and got.select("cluster_id").distinct().count() == 1
+
+
+def test_misassembly_by_mode_and_without_support(spark):
+    assert [correction.misassembly_threshold("default", n) for n in (10, 200, 250, 1001)] == [2, 2, 3, 11] and correction.misassembly_threshold("sensitive", 500) == 0
+    nodes = spark.createDataFrame([("a", 0, []), ("b", 50, []), ("c", 60, []), ("d", 5, ["g1"])], "cluster_id string, support long, contig_end_genomes array<string>")
+    edges = spark.createDataFrame([("a", "b", ["g1"], 1), ("b", "c", ["g1"], 1), ("c", "d", ["g1"], 1)], "src string, dst string, genomes array<string>, support long")
+    assert {(r.src, r.dst) for r in correction.misassembled_edges(nodes, edges, 2).collect()} == {("b", "c"), ("c", "d")}
+
+
+def test_duplications_carry_the_nodes_support(spark):
+    nodes = spark.createDataFrame([("a", 9, ["g1", "g2"])], "cluster_id string, support long, genomes array<string>")
+    edges = spark.createDataFrame([("a", x, ["g1"], 1) for x in "bcd"], "src string, dst string, genomes array<string>, support long")
+    assert [(r.kind, r.support) for r in features.duplications(nodes, edges).collect()] == [("duplication", 9)]
+
+
+def test_refound_genes_reach_the_nodes(spark):
+    gene = "ACGTTGCAAGGCTTAACCGG"
+    nodes = spark.createDataFrame([("a", 2, ["g1", "g2"], 2), ("b", 1, ["g1"], 1), ("c", 1, ["g1"], 1)], "cluster_id string, support long, genomes array<string>, n_genomes long")
+    edges = spark.createDataFrame([("a", "b", ["g1"], 1), ("b", "c", ["g1"], 1)], "src string, dst string, genomes array<string>, support long")
+    presence = spark.createDataFrame([("a", "g1"), ("a", "g2"), ("b", "g1"), ("c", "g1")], "cluster_id string, genome_id string")
+    seqs = spark.createDataFrame([("a", "TTTTTTTTTTTTTTTTTT"), ("b", gene), ("c", "GGGGG")], "cluster_id string, sequence string")
+    contigs = spark.createDataFrame([("g1", "c1", "A" * 30), ("g2", "c1", "A" * 40 + gene[:9] + "T" + gene[10:] + "C" * 40)], "genome_id string, contig string, sequence string")
+    out, grown = correction.recover_missing(nodes, edges, presence, seqs, contigs)
+    assert {r.cluster_id: (r.support, r.genomes, r.n_genomes) for r in out.collect()} == {"a": (2, ["g1", "g2"], 2), "b": (2, ["g1", "g2"], 2), "c": (1, ["g1"], 1)}
+    assert {(r.cluster_id, r.genome_id) for r in grown.collect()} == {("a", "g1"), ("a", "g2"), ("b", "g1"), ("b", "g2"), ("c", "g1")}
+    twice = edges.unionByName(spark.createDataFrame([("a", "b", ["g1"], 1)], edges.schema).selectExpr("'a2' AS src", "dst", "genomes", "support"))
+    more = presence.unionByName(spark.createDataFrame([("a2", "g2")], presence.schema))
+    kept, _ = correction.recover_missing(nodes, twice, more, seqs, contigs, consensus=True)
+    assert {r.cluster_id for r in kept.collect()} == {"a", "c"}  # b is refound over two edges, more than its support
+
+
+def family_graph(spark):
+    rng = random.Random(23)
+    gene = "".join(rng.choice("ACGT") for _ in range(200))
+    near = gene[:150] + ("A" if gene[150] != "A" else "C") + gene[151:]
+    far = gene[:4] + "".join(rng.choice("ACGT") for _ in range(196))
+    seqs = {"a": gene, "b": near, "c": far, "x": "GGGG" * 40, "y": "TTTT" * 30}
+    nodes = spark.createDataFrame([(k, s, [f"g{s}"], 1, k in "abc", ["n"]) for k, s in (("a", 5), ("b", 2), ("c", 3), ("x", 4), ("y", 4))], "cluster_id string, support long, genomes array<string>, n_genomes long, is_paralog boolean, annotations array<string>")
+    edges = spark.createDataFrame([("a", "x", ["g5"], 1), ("b", "x", ["g2"], 1), ("c", "x", ["g3"], 1), ("c", "y", ["g3"], 1)], "src string, dst string, genomes array<string>, support long")
+    return nodes, edges, spark.createDataFrame(list(seqs.items()), "cluster_id string, sequence string")
+
+
+def test_mistranslations_and_families_merge_into_the_better_supported_node(spark):
+    nodes, edges, seqs = family_graph(spark)
+    for merged, wired in (correction.correct_mistranslations(nodes, edges, seqs), correction.collapse_families(nodes, edges, seqs)):
+        assert {r.cluster_id: (r.support, r.genomes) for r in merged.collect()} == {"a": (7, ["g2", "g5"]), "c": (3, ["g3"]), "x": (4, ["g4"]), "y": (4, ["g4"])}
+        assert {(r.src, r.dst): r.genomes for r in wired.collect()} == {("a", "x"): ["g2", "g5"], ("c", "x"): ["g3"], ("c", "y"): ["g3"]}
+
+
+def test_mistranslations_stay_apart_beyond_three_steps(spark):
+    nodes, edges, seqs = family_graph(spark)
+    chain = spark.createDataFrame([("a", "p", ["g"], 1), ("p", "q", ["g"], 1), ("q", "r", ["g"], 1), ("b", "r", ["g"], 1)], edges.schema)
+    assert correction.correct_mistranslations(nodes, chain, seqs)[0].count() == 5
+    assert correction.collapse_families(nodes, chain, seqs)[0].count() == 5  # no shared neighbour
+
+
+def test_paralogs_merge_by_distance_or_context(spark):
+    nodes, edges, seqs = family_graph(spark)
+    touching = edges.unionByName(spark.createDataFrame([("a", "b", ["g2"], 1)], edges.schema))
+    assert {r.cluster_id: r.support for r in correction.resolve_paralogs(nodes, touching, seqs)[0].collect()} == {"a": 7, "c": 3, "x": 4, "y": 4}
+    assert correction.resolve_paralogs(nodes, edges, seqs)[0].count() == 5  # two steps apart: 1/3
+    short = seqs.selectExpr("cluster_id", "CASE WHEN cluster_id = 'b' THEN substr(sequence, 1, 100) ELSE sequence END AS sequence")
+    assert correction.resolve_paralogs(nodes, touching, short)[0].count() == 5  # lengths too far apart
