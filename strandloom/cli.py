@@ -23,6 +23,9 @@ def parser() -> argparse.ArgumentParser:
     run.add_argument("-o", "--output", required=True)
     run.add_argument("--identity", type=float, default=0.98)
     run.add_argument("--family-identity", type=float, default=0.7)
+    run.add_argument("--lengths", type=float, help="least share that the shorter sequence has of the longer; the identity, if not given")
+    run.add_argument("--core", type=float, default=0.99)
+    run.add_argument("--qc", nargs="*", default=[], help="quality reports, named as the genomes")
     run.add_argument("--mode", choices=MODES, default="default")
     run.add_argument("--formats", default="matrix,graph,json,summary", help=",".join(SINKS))
     run.add_argument("--merge-paralogs", action="store_true")
@@ -58,13 +61,17 @@ def parser() -> argparse.ArgumentParser:
     ana.add_argument("--accumulation", action="store_true")
     ana.add_argument("--abundance", action="store_true")
     ana.add_argument("--itol", action="store_true")
+    ana.add_argument("--profiles", action="store_true")
     ana.add_argument("--phenotypes")
     ana.add_argument("--epistasis", action="store_true")
     ana.add_argument("--graph")
     ana.add_argument("--neighbourhood")
     ana.add_argument("--depth", type=int, default=2)
     msa = sub.add_parser("msa", help="per-cluster sequences for an aligner")
-    msa.add_argument("annotations", nargs="+")
+    msa.add_argument("annotations", nargs="*")
+    msa.add_argument("--gene-data", help="a saved gene table, in place of annotations")
+    msa.add_argument("--matrix", help="the saved wide presence table")
+    msa.add_argument("--core", action="store_true", help="core clusters only")
     msa.add_argument("-o", "--output", required=True)
     msa.add_argument("--identity", type=float, default=0.98)
     return p
@@ -86,7 +93,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
 
 
 def do_run(spark, a) -> None:
-    config = Config(a.output, a.identity, a.family_identity, a.mode, formats=tuple(a.formats.split(",")), merge_paralogs=a.merge_paralogs, refind=not a.no_refind, consensus=a.consensus, correct=not a.no_correction, min_cycles=a.min_cycles)
+    config = Config(a.output, a.identity, a.family_identity, a.mode, formats=tuple(a.formats.split(",")), merge_paralogs=a.merge_paralogs, refind=not a.no_refind, consensus=a.consensus, lengths=a.lengths, core=a.core, qc=tuple(a.qc), correct=not a.no_correction, min_cycles=a.min_cycles)
     for name, path in pipeline.run(spark, a.inputs, config).paths.items():
         print(f"{name}\t{path}")
 
@@ -104,7 +111,10 @@ def do_qc(spark, a) -> None:
         pairs = tables.ani_pairs(spark, a.ani).select(F.least("g1", "g2").alias("g1"), F.greatest("g1", "g2").alias("g2"), (1 - F.col("ani")).alias("distance")).where("g1 <> g2").dropDuplicates(["g1", "g2"])
         ids = sorted({x for r in pairs.select("g1", "g2").distinct().collect() for x in r})
         sink.write_csv(sink.distance_table(pairs, ids), f"{a.output}/distances.csv")
-        sink.write_csv(spark.createDataFrame(statistics.scaled_plane(pairs, ids), "genome string, x double, y double"), f"{a.output}/mds.csv")
+        plane = statistics.scaled_plane(pairs, ids)
+        sink.write_csv(spark.createDataFrame(plane, "genome string, x double, y double"), f"{a.output}/mds.csv")
+        sink.write_one(spark, f"{a.output}/mds.html", sink.plane_report(plane))
+        sink.write_one(spark, f"{a.output}/qc.html", sink.quality_report_page(report, plane))
 
 
 def _graph(spark, path: str):
@@ -143,6 +153,10 @@ def do_analyze(spark, a) -> None:
     if a.itol:
         sink.write_one(spark, f"{a.output}/itol_multibar.txt", "\n".join(sink.itol_strip(presence)))
         sink.write_one(spark, f"{a.output}/itol_binary.txt", "\n".join(sink.itol_binary(presence)))
+        sink.write_one(spark, f"{a.output}/itol_colours.txt", "\n".join(sink.itol_colours(presence)))
+    if a.profiles:
+        ids = [r["cluster_id"] for r in matrix.most_variable(presence).collect()]
+        sink.write_csv(matrix.genome_matrix(presence, ids), f"{a.output}/profiles.tsv", "\t")
     if a.phenotypes:
         traits = tables.phenotypes(spark, a.phenotypes, presence.select("genome_id").distinct())
         tested = statistics.fisher(statistics.contingency(presence, traits), n)
@@ -157,6 +171,11 @@ def do_analyze(spark, a) -> None:
 
 
 def do_msa(spark, a) -> None:
+    if a.gene_data:
+        presence = tables.presence_csv(spark, a.matrix) if a.matrix else None
+        rows = tables.alignment_groups(tables.gene_data(spark, a.gene_data), presence, tables.genome_count(spark, a.matrix) if a.matrix else 0, a.core)
+        rows.select("cluster_id", F.concat(F.lit(">"), "name", F.lit("\n"), "sequence").alias("value")).repartition("cluster_id").write.mode("overwrite").partitionBy("cluster_id").text(a.output)
+        return
     genes, _ = pipeline.read(spark, a.annotations)
     placed, centroids = pipeline.clustered(genes, a.identity)
     rows = clustering.alignment_rows(placed.select("cluster_id", "genome_id", F.col("ord").alias("line_idx"), "sequence"), centroids)

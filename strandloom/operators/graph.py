@@ -17,6 +17,24 @@ def place(genes: DataFrame, members: DataFrame, keys: list[str] | None = None) -
     return genes.join(members, keys or ["genome_id", "gene_id"])
 
 
+def placements(placed: DataFrame) -> DataFrame:
+    """(cluster_id, genome_id, contig), once each."""
+    return placed.select("cluster_id", "genome_id", "contig").distinct()
+
+
+def contig_sequences(placed: DataFrame, contigs: DataFrame, order: list[str]) -> DataFrame:
+    """(cluster_id, genome_id, contig, sequence): the contig's own sequence, else its genes' ones in order.
+
+    placed has the genes' sequences; contigs(genome_id, contig, sequence) may lack some. A
+    contig's genes are gathered in one row, as its sequence is.
+    """
+    key = ["genome_id", "contig"]
+    genes = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "sequence"))), lambda x: x["sequence"]), "")
+    joined = placed.groupBy(*key).agg(genes.alias("genes"))
+    full = joined.join(contigs.select(*key, "sequence"), key, "left").select(*key, F.coalesce("sequence", "genes").alias("sequence"))
+    return placements(placed).join(full, key)
+
+
 def adjacent_pairs(placed: DataFrame, order: list[str], contig: list[str] | None = None) -> DataFrame:
     """(a, b, genome_id): clusters of consecutive genes of a contig, in reading order."""
     w = Window.partitionBy(*(contig or ["genome_id", "contig"])).orderBy(*order)

@@ -58,10 +58,15 @@ def core_threshold(genomes: int, share: float = CORE) -> int:
     return max(1, math.ceil(share * genomes)) if genomes else 1
 
 
-def core_accessory(presence: DataFrame) -> DataFrame:
+def core_clusters(presence: DataFrame, least: float = CORE) -> DataFrame:
+    """(cluster_id) of at least this share of the genomes."""
+    return with_share(presence).where(is_core(F.col("share"), least)).select("cluster_id")
+
+
+def core_accessory(presence: DataFrame, core: float = CORE) -> DataFrame:
     """One row: clusters at or above the core threshold, and the rest."""
     c = with_share(presence)
-    least = F.greatest(F.lit(1), F.ceil(F.lit(CORE) * F.col("n_total")))
+    least = F.greatest(F.lit(1), F.ceil(F.lit(core) * F.col("n_total")))
     return c.agg(F.count_if(F.col("n_genomes") >= least).alias("n_core"), F.count_if(F.col("n_genomes") < least).alias("n_accessory"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.operators.curves import log_factorials
+from strandloom.session import stored
 
 
 def contingency(presence: DataFrame, traits: DataFrame) -> DataFrame:
@@ -62,19 +63,29 @@ def significant(tested: DataFrame, level: float = 0.05) -> DataFrame:
     return tested.withColumn("significant", F.when(F.col("fdr") < level, "yes").otherwise("no"))
 
 
-def mutual_information(presence: DataFrame, n: int) -> DataFrame:
-    """(c1, c2, mi) in nats of clusters that share a genome; n genomes. The pairs are the result."""
-    p = presence.select("cluster_id", "genome_id").distinct()
-    size = p.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("m"))
-    both = p.withColumnRenamed("cluster_id", "c1").join(p.withColumnRenamed("cluster_id", "c2"), "genome_id").where("c1 < c2").groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n11"))
-    rows = both.join(size.withColumnsRenamed({"cluster_id": "c1", "m": "m1"}), "c1").join(size.withColumnsRenamed({"cluster_id": "c2", "m": "m2"}), "c2")
+def mutual_information(presence: DataFrame, n: int, least: float | None = None) -> DataFrame:
+    """(c1, c2, mi) in nats of clusters that share a genome; n genomes. least: only pairs of that much.
+
+    Clusters with the same genomes are folded into a pattern (one row per genome at most), the
+    patterns are compared and only wanted pairs of patterns are spread to their clusters.
+    """
+    sets = presence.groupBy("cluster_id").agg(F.sort_array(F.collect_set("genome_id")).alias("genomes"))
+    named = stored(sets.select("cluster_id", F.sha2(F.array_join("genomes", "\x1f"), 256).alias("pattern"), "genomes"), "patterns")
+    p = named.groupBy("pattern").agg(F.first("genomes").alias("genomes")).select("pattern", F.size("genomes").alias("m"), F.explode("genomes").alias("genome_id"))
+    one, other = (p.select(F.col("pattern").alias(f"p{k}"), F.col("m").alias(f"m{k}"), "genome_id") for k in (1, 2))
+    rows = one.join(other, "genome_id").where("p1 <= p2").groupBy("p1", "p2", "m1", "m2").agg(F.count(F.lit(1)).alias("n11"))
 
     def cell(count: Column, a: Column, b: Column) -> Column:
         return F.when(count > 0, count / n * F.ln(count * n / (a * b))).otherwise(F.lit(0.0))
 
     n11, m1, m2 = F.col("n11"), F.col("m1"), F.col("m2")
     mi = cell(n11, m1, m2) + cell(m1 - n11, m1, n - m2) + cell(m2 - n11, n - m1, m2) + cell(n - m1 - m2 + n11, n - m1, n - m2)
-    return rows.select("c1", "c2", mi.alias("mi"))
+    scored = rows.select("p1", "p2", mi.alias("mi"))
+    if least is not None:
+        scored = scored.where(F.col("mi") >= least)
+    a, b = (named.select(F.col("pattern").alias(f"p{k}"), F.col("cluster_id").alias(c)) for k, c in ((1, "a"), (2, "b")))
+    spread = scored.join(a, "p1").join(b, "p2").where((F.col("p1") != F.col("p2")) | (F.col("a") < F.col("b")))
+    return spread.select(F.least("a", "b").alias("c1"), F.greatest("a", "b").alias("c2"), "mi")
 
 
 def length_statistics(lengths: DataFrame, by: list[str], k: int = 31) -> DataFrame:

@@ -12,7 +12,7 @@ from strandloom.config import Config, InputError
 from strandloom.operators import clustering, correction, features, graph, matrix
 from strandloom.session import stored
 from strandloom.sinks import files as sink
-from strandloom.sources import annotation
+from strandloom.sources import annotation, tables
 
 log = logging.getLogger(__name__)
 ORDER = ["start", "line_idx"]
@@ -39,10 +39,20 @@ def read(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
     return genes, stored(annotation.gff_contigs(found), "contigs")
 
 
-def clustered(genes: DataFrame, identity: float) -> tuple[DataFrame, DataFrame]:
+def passed(genes: DataFrame, contigs: DataFrame, reports: tuple[str, ...], mode: str) -> tuple[DataFrame, DataFrame]:
+    """genes and contigs of the genomes whose quality report passes, or that have none."""
+    qc = matrix.qc_passed(tables.quality_report(annotation.whole_files(genes.sparkSession, list(reports))), mode)
+    gone = stored(qc.where(~F.col("passed")).select("genome_id"), "failed")
+    kept = stored(genes.join(gone, "genome_id", "left_anti").select(*genes.columns), "genes")
+    if kept.isEmpty():
+        raise InputError("no genome passes the quality reports")
+    return kept, stored(contigs.join(gone, "genome_id", "left_anti").select(*contigs.columns), "contigs")
+
+
+def clustered(genes: DataFrame, identity: float, lengths: float | None = None) -> tuple[DataFrame, DataFrame]:
     """(placed, centroids): greedy clusters in file and line order. Genes are keyed by row, not by id."""
     keyed = stored(genes.withColumn("ord", F.col("file_idx").cast("long") * F.lit(1 << 40) + F.col("line_idx")), "ordered")
-    found = stored(clustering.greedy_clusters(keyed.select("ord", "sequence"), identity), "clusters")
+    found = stored(clustering.greedy_clusters(keyed.select("ord", "sequence"), identity, lengths), "clusters")
     centroids = found.where("ord = centroid").join(keyed.select("ord", "sequence"), "ord").select("cluster_id", "sequence")
     return stored(keyed.join(found.select("ord", "cluster_id"), "ord"), "placed"), stored(centroids, "centroids")
 
@@ -69,7 +79,9 @@ def corrected(nodes: DataFrame, edges: DataFrame, presence: DataFrame, centroids
 def run(spark: SparkSession, paths: list[str], config: Config) -> Result:
     config.validate()
     genes, contigs = read(spark, paths)
-    placed, centroids = clustered(genes, config.identity)
+    if config.qc:
+        genes, contigs = passed(genes, contigs, config.qc, config.mode)
+    placed, centroids = clustered(genes, config.identity, config.lengths)
     nodes, edges = graph.build(placed, ORDER)
     nodes, edges = stored(nodes, "nodes"), stored(edges, "edges")
     presence = placed.select("cluster_id", "genome_id").distinct()
@@ -99,12 +111,18 @@ def write(r: Result, config: Config) -> dict[str, str]:
         "csv": ("gene_presence_absence_roary.csv", lambda p: sink.write_csv(sink.metadata_table(members, r.nodes, ids, True), p)),
         "genes": ("gene_data.csv", lambda p: sink.write_csv(table, p)),
         "graph": ("final_graph.gml", lambda p: sink.write_graph(r.nodes.join(r.centroids, "cluster_id", "left"), r.edges, p)),
-        "json": ("summary.json", lambda p: sink.write_lines(sink.summary_json(r.presence), p)),
+        "json": ("summary.json", lambda p: sink.write_lines(sink.summary_json(r.presence, config.core), p)),
         "jsonl": ("clusters.jsonl", lambda p: sink.write_lines(sink.cluster_json(r.nodes), p)),
         "fasta": ("pan_genome_reference.fa", lambda p: sink.write_lines(sink.fasta_lines(table), p)),
         "gff": ("gff", lambda p: sink.write_annotations(r.placed, p)),
         "parquet": ("matrix.parquet", lambda p: matrix.binary_matrix(r.presence, ids).write.mode("overwrite").parquet(p)),
         "variants": ("structural_variants.csv", lambda p: sink.write_csv(sink.variant_rows(r.variants), p)),
+        "variant_matrix": ("structural_variants_matrix.tsv", lambda p: sink.write_csv(sink.variant_matrix(r.variants, ids), p, "\t")),
+        "dna": ("clusters_dna.fa", lambda p: sink.write_lines(sink.fasta_lines(table), p)),
+        "protein": ("clusters_protein.fa", lambda p: sink.write_lines(sink.fasta_lines(table, True), p)),
+        "graph_parquet": ("graph.parquet", lambda p: sink.write_parquet_graph(r.nodes, r.edges, p)),
+        "resistance_gff": ("genes_for_resistance.gff", lambda p: sink.write_lines(sink.resistance_annotation(table), p)),
+        "graph_html": ("graph_report.html", lambda p: sink.write_one(spark, p, sink.graph_report(r.nodes, r.edges, len(ids)))),
         "html": ("abundance_report.html", lambda p: sink.write_one(spark, p, sink.abundance_report(r.presence))),
     }
     done = {}

@@ -70,9 +70,18 @@ def sequence_identities(spark: SparkSession, d: str) -> DataFrame:
     return tpch.table(spark, d, "part").select("p_partkey", *[F.round(c, 6).alias(n) for n, c in scores.items()])
 
 
-@query()
+BASES = "translate(regexp_replace(lower({c}), '[^aeioulnr]', '', 'g'), 'aeioulnr', 'ACGTACGT')"
+
+
+@query(f"""WITH s AS (SELECT p_partkey, {BASES.format(c='p_type')} AS q, {BASES.format(c='p_name || p_brand || p_name')} AS t FROM part),
+cut AS (SELECT DISTINCT q, t, unnest(range(1, length(t) + 1)) AS i FROM s), pieces AS (SELECT q, t, substr(t, i, n) AS piece FROM (SELECT q, t, i, unnest(range(0, 2 * length(q) + 1)) AS n FROM cut)),
+best AS (SELECT q, t, min(levenshtein(q, piece)) AS d FROM pieces GROUP BY 1, 2)
+SELECT p_partkey, least(coalesce(d, length(q)), length(q)) AS distance, round(CASE WHEN length(q) > 0 THEN 1 - least(coalesce(d, length(q)), length(q)) / length(q) ELSE 0 END, 6) AS identity FROM s LEFT JOIN best USING (q, t)""")
 def infix_identities(spark: SparkSession, d: str) -> DataFrame:
-    return dna(spark, d).select("p_partkey", F.round(seq.infix_identity(F.substring("dna", 4, 8), F.col("dna")), 6).alias("identity"))
+    bases = lambda *c: F.translate(F.regexp_replace(F.lower(F.concat(*c)), "[^aeioulnr]", ""), "aeioulnr", "ACGTACGT")
+    rows = tpch.table(spark, d, "part").select("p_partkey", bases("p_type").alias("q"), bases("p_name", "p_brand", "p_name").alias("t"))
+    identity = seq.infix_identity(F.col("q"), F.col("t"))
+    return rows.select("p_partkey", F.round((1 - identity) * F.length("q")).cast("long").alias("distance"), F.round(identity, 6).alias("identity"))
 
 
 @query("""SELECT event_id, replace(replace(replace(replace(replace(replace(replace(replace(props, '%', '%25'), chr(9), '%09'), chr(10), '%0A'), chr(13), '%0D'), ';', '%3B'), '=', '%3D'), '&', '%26'), ',', '%2C') AS gff,

@@ -120,7 +120,21 @@ def breadth_first(spark: SparkSession, d: str) -> DataFrame:
     return graph.bfs(edges, edges.agg(F.min("src").alias("start")), 3).select("node", "depth")
 
 
-@query()
+def rounds_sql(n: int, more: str) -> str:
+    """Rounds of removing nodes of degree 1 and support below 30, one after another."""
+    out = [NODES_SQL + ", n0 AS MATERIALIZED (SELECT * FROM nodes), e0 AS MATERIALIZED (SELECT src, dst FROM edges)"]
+    for i in range(n):
+        out.append(f"g{i} AS MATERIALIZED (SELECT cluster_id FROM n{i} JOIN (SELECT id, count(DISTINCT nbr) AS deg FROM (SELECT src AS id, dst AS nbr FROM e{i} UNION ALL SELECT dst, src FROM e{i}) GROUP BY 1) ON id = cluster_id WHERE support < 30 AND deg = 1{more})")
+        out.append(f"n{i + 1} AS MATERIALIZED (SELECT * FROM n{i} WHERE cluster_id NOT IN (SELECT cluster_id FROM g{i}))")
+        out.append(f"e{i + 1} AS MATERIALIZED (SELECT * FROM e{i} WHERE src NOT IN (SELECT cluster_id FROM g{i}) AND dst NOT IN (SELECT cluster_id FROM g{i}))")
+    return f"WITH {', '.join(out)} SELECT cluster_id, support FROM n{n}"
+
+
+LABELS_SQL = EDGES_SQL + ", sides2 AS MATERIALIZED (SELECT src AS id, dst AS nbr FROM edges WHERE src <> dst UNION SELECT dst, src FROM edges WHERE src <> dst), l0 AS MATERIALIZED (SELECT DISTINCT id, id AS low FROM sides2)" + "".join(
+    f", l{i + 1} AS MATERIALIZED (SELECT l.id, least(any_value(l.low), min(m.low)) AS low FROM l{i} l JOIN sides2 s ON s.id = l.id JOIN l{i} m ON m.id = s.nbr GROUP BY l.id)" for i in range(12))
+
+
+@query(f"WITH {LABELS_SQL} SELECT id AS cluster_id, low AS component FROM l12")
 def graph_components(spark: SparkSession, d: str) -> DataFrame:
     return graph.components(built(spark, d)[1])
 
@@ -152,15 +166,17 @@ def low_support_leaves(spark: SparkSession, d: str) -> DataFrame:
     return graph.low_support_leaves(*sparse(spark, d), 60).select("cluster_id", "support")
 
 
-@query()
+@query(rounds_sql(12, ""))
 def remove_contamination(spark: SparkSession, d: str) -> DataFrame:
     nodes, edges = built(spark, d)
     return correction.remove_contamination(nodes, edges, 30)[0].select("cluster_id", "support")
 
 
-@query()
+@query(rounds_sql(12, " AND n_ends > 0 AND n_ends % 2 = 0"))
 def prune_contig_ends(spark: SparkSession, d: str) -> DataFrame:
+    """Contig ends count where an even number of genomes has the cluster there, so that the step differs from the one before."""
     nodes, edges = built(spark, d)
+    nodes = nodes.withColumn("contig_end_genomes", F.when(F.size("contig_end_genomes") % 2 == 0, F.col("contig_end_genomes")).otherwise(F.array().cast("array<string>")))
     return correction.prune_contig_ends(nodes, edges, 30)[0].select("cluster_id", "support")
 
 
@@ -218,3 +234,48 @@ SELECT cluster_id, support, CAST(depth AS INTEGER) AS depth FROM near JOIN nodes
 def gene_neighbourhood_whole(spark: SparkSession, d: str) -> DataFrame:
     nodes, edges = built(spark, d)
     return graph.neighbourhood(nodes, edges, edges.agg(F.min("src")).first()[0], 2)[0].select("cluster_id", "support", "depth")
+
+
+@query(f"""WITH {EDGES_SQL} SELECT t.src, t.dst, p.genome_id FROM edges t JOIN presence p ON p.cluster_id = t.src WHERE NOT EXISTS (SELECT 1 FROM presence q WHERE q.cluster_id = t.dst AND q.genome_id = p.genome_id)""")
+def missing_genomes_whole(spark: SparkSession, d: str) -> DataFrame:
+    p = tpch.placed(spark, d)
+    return correction.missing_genomes(graph.edges_of(graph.adjacent_pairs(p, ORDER)), p.select("cluster_id", "genome_id").distinct())
+
+
+@query(f"""WITH {NODES_SQL}, best AS (SELECT split_part(cluster_id, '|', 1) AS name, cluster_id AS target FROM (SELECT *, row_number() OVER (PARTITION BY split_part(cluster_id, '|', 1) ORDER BY support DESC, cluster_id) AS k FROM nodes) WHERE k = 1),
+several AS (SELECT split_part(cluster_id, '|', 1) AS name FROM nodes GROUP BY 1 HAVING count(*) > 1), moved AS (SELECT cluster_id, target FROM nodes JOIN best ON split_part(cluster_id, '|', 1) = name WHERE name IN (SELECT name FROM several)),
+wired AS (SELECT coalesce(s.target, src) AS a, coalesce(t.target, dst) AS b, s.target IS NOT NULL OR t.target IS NOT NULL AS moved, genomes FROM edges LEFT JOIN moved s ON s.cluster_id = src LEFT JOIN moved t ON t.cluster_id = dst)
+SELECT least(a, b) AS src, greatest(a, b) AS dst, count(DISTINCT g) AS support FROM (SELECT a, b, unnest(genomes) AS g FROM wired WHERE a <> b OR NOT moved) GROUP BY 1, 2""")
+def merged_edges(spark: SparkSession, d: str) -> DataFrame:
+    """The edges that merge_nodes leaves, rewired."""
+    nodes, edges = built(spark, d)
+    name = nodes.select("cluster_id", F.substring_index("cluster_id", "|", 1).alias("name"))
+    first = name.groupBy("name").agg(F.min("cluster_id").alias("src"))
+    pairs = name.join(first, "name").where("src <> cluster_id").select("src", F.col("cluster_id").alias("dst"))
+    return graph.merge(nodes, edges, pairs)[1].select("src", "dst", "support")
+
+
+@query(f"""WITH {WHOLE}, near AS MATERIALIZED (SELECT DISTINCT id, nbr FROM both_ways WHERE id <> nbr), size AS (SELECT id, count(*) AS n FROM near GROUP BY 1),
+brand AS (SELECT a.cluster_id AS a, b.cluster_id AS b FROM nodes a JOIN nodes b ON split_part(a.cluster_id, '|', 2) = split_part(b.cluster_id, '|', 2) AND a.cluster_id < b.cluster_id),
+shared AS (SELECT x.id AS a, y.id AS b, count(*) AS k FROM near x JOIN near y USING (nbr) WHERE x.id < y.id AND split_part(x.id, '|', 2) = split_part(y.id, '|', 2) GROUP BY 1, 2)
+SELECT a, b, round(CASE WHEN coalesce(p.n, 0) + coalesce(q.n, 0) - coalesce(k, 0) > 0 THEN coalesce(k, 0) / (coalesce(p.n, 0) + coalesce(q.n, 0) - coalesce(k, 0)) ELSE 0 END, 6) AS similarity FROM brand LEFT JOIN shared USING (a, b) LEFT JOIN size p ON p.id = a LEFT JOIN size q ON q.id = b""")
+def context_similarities(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters of one brand by their direct neighbours."""
+    nodes, edges = built(spark, d)
+    contexts = graph.bfs(edges, nodes.select(F.col("cluster_id").alias("start")), 1)
+    brand = nodes.select("cluster_id", F.substring_index("cluster_id", "|", -1).alias("brand"))
+    pairs = stored(brand.withColumnRenamed("cluster_id", "a").join(brand.withColumnRenamed("cluster_id", "b"), "brand").where("a < b").select("a", "b"), "pairs")
+    return correction.context_similarity(contexts, pairs).withColumn("similarity", F.round("similarity", 6))
+
+
+@query(f"""WITH {NODES_SQL} SELECT 'g0_' || cluster_id AS cluster_id, support, degree FROM nodes JOIN degrees USING (cluster_id) UNION ALL SELECT 'g1_' || cluster_id, support, degree FROM nodes JOIN degrees USING (cluster_id)""")
+def united_graphs(spark: SparkSession, d: str) -> DataFrame:
+    """Two relabelled copies of the graph side by side."""
+    nodes, edges = built(spark, d)
+    (n0, e0), (n1, e1) = graph.relabelled(nodes, edges, 0), graph.relabelled(nodes, edges, 1)
+    return n0.unionByName(n1).join(graph.degrees(e0.unionByName(e1)), "cluster_id").select("cluster_id", "support", "degree")
+
+
+@query(f"WITH {PLACED_SQL} SELECT DISTINCT cluster_id, genome_id, contig FROM placed")
+def placements(spark: SparkSession, d: str) -> DataFrame:
+    return graph.placements(tpch.placed(spark, d))

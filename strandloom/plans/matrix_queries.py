@@ -39,12 +39,12 @@ BAND = "CASE WHEN share >= 0.99 THEN 'core' WHEN share >= 0.95 THEN 'soft_core'
 
 @query(f"WITH {SHARE} SELECT {BAND} AS band, count(*) AS n_clusters FROM shares GROUP BY 1")
 def partition_summary(spark: SparkSession, d: str) -> DataFrame:
-    return matrix.partition_summary(tpch.presence(spark, d))
+    return matrix.partition_summary(tpch.presence_once(spark, d))
 
 
 @query(f"WITH {SHARE} SELECT cluster_id, n_genomes, {BAND} AS band FROM shares")
 def cluster_bands(spark: SparkSession, d: str) -> DataFrame:
-    return matrix.classified(tpch.presence(spark, d)).select("cluster_id", "n_genomes", "band")
+    return matrix.classified(tpch.presence_once(spark, d)).select("cluster_id", "n_genomes", "band")
 
 
 @query(f"WITH {PRESENCE_SQL} SELECT cluster_id, count(*) AS n_genomes FROM presence GROUP BY 1")
@@ -69,7 +69,7 @@ def total_present(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {SHARE} SELECT count(*) FILTER (n_genomes >= greatest(1, ceil(0.99 * n_total))) AS n_core, count(*) FILTER (n_genomes < greatest(1, ceil(0.99 * n_total))) AS n_accessory FROM shares")
 def core_accessory(spark: SparkSession, d: str) -> DataFrame:
-    return matrix.core_accessory(tpch.presence(spark, d))
+    return matrix.core_accessory(tpch.presence_once(spark, d))
 
 
 @query(f"WITH {SHARE} SELECT n_genomes, count(*) AS n_families FROM shares GROUP BY 1")
@@ -84,17 +84,17 @@ def histogram_bands(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {SHARE} SELECT genome_id, count(*) FILTER (n_genomes = n_total) AS n_core, count(*) FILTER (n_genomes <> n_total) AS n_accessory FROM presence JOIN shares USING (cluster_id) GROUP BY 1")
 def genome_profile(spark: SparkSession, d: str) -> DataFrame:
-    return matrix.genome_profile(tpch.presence(spark, d))
+    return matrix.genome_profile(tpch.presence_once(spark, d))
 
 
 @query(f"WITH {SHARE} SELECT cluster_id, round(share * (1 - share), 6) AS variance FROM shares")
 def presence_variance(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(matrix.presence_variance(tpch.presence(spark, d)), "variance")
+    return rounded(matrix.presence_variance(tpch.presence_once(spark, d)), "variance")
 
 
 @query(f"WITH {SHARE} SELECT cluster_id, round(share * (1 - share), 6) AS variance FROM shares ORDER BY share * (1 - share) DESC, cluster_id LIMIT 50")
 def most_variable(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(matrix.most_variable(tpch.presence(spark, d)), "variance")
+    return rounded(matrix.most_variable(tpch.presence_once(spark, d)), "variance")
 
 
 @query(f"WITH {PRESENCE_SQL} SELECT cluster_id, " + ", ".join(f"CAST(count(*) FILTER (genome_id = '{g}') AS INTEGER) AS g{g}" for g in GENOMES) + " FROM presence GROUP BY 1")
@@ -115,7 +115,7 @@ FROM size a JOIN size b ON a.genome_id < b.genome_id LEFT JOIN both_have ON g1 =
 
 @query(PAIRS.format(p=PRESENCE_SQL))
 def genome_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(matrix.genome_pairs(tpch.presence(spark, d)), "distance")
+    return rounded(matrix.genome_pairs(tpch.presence_once(spark, d)), "distance")
 
 
 FACTORIAL = ", lf AS (SELECT CAST(i AS BIGINT) AS i, lgamma(i + 1) AS lf FROM range(0, 26) t(i))"
@@ -192,6 +192,7 @@ def small_presence(spark: SparkSession, d: str) -> DataFrame:
     return s.select(F.concat_ws("/", F.col("n_regionkey").cast("string"), F.col("s_nationkey").cast("string")).alias("cluster_id"), (F.col("s_suppkey") % 12).cast("string").alias("genome_id")).distinct()
 
 
+MI_LEAST = 0.25
 MI_CELL = "CASE WHEN {c} > 0 THEN {c} / 12 * ln({c} * 12 / ({a} * {b})) ELSE 0 END"
 MI = " + ".join(MI_CELL.format(c=c, a=a, b=b) for c, a, b in (("(n11)", "m1", "m2"), ("(m1 - n11)", "m1", "(12 - m2)"), ("(m2 - n11)", "(12 - m1)", "m2"), ("(12 - m1 - m2 + n11)", "(12 - m1)", "(12 - m2)")))
 
@@ -202,6 +203,15 @@ def mutual_information(spark: SparkSession, d: str) -> DataFrame:
     return rounded(statistics.mutual_information(small_presence(spark, d), 12), "mi")
 
 
+MI_WHOLE = " + ".join(MI_CELL.replace("12", "25").format(c=c, a=a, b=b) for c, a, b in (("(n11)", "m1", "m2"), ("(m1 - n11)", "m1", "(25 - m2)"), ("(m2 - n11)", "(25 - m1)", "m2"), ("(25 - m1 - m2 + n11)", "(25 - m1)", "(25 - m2)")))
+
+
+@query(f"""WITH {PRESENCE_SQL}, size AS (SELECT cluster_id, count(*) AS m FROM presence GROUP BY 1), both_have AS (SELECT p.cluster_id AS c1, q.cluster_id AS c2, count(*) AS n11 FROM presence p JOIN presence q USING (genome_id) WHERE p.cluster_id < q.cluster_id GROUP BY 1, 2),
+mis AS (SELECT c1, c2, {MI_WHOLE} AS mi FROM (SELECT c1, c2, n11, a.m AS m1, b.m AS m2 FROM both_have JOIN size a ON a.cluster_id = c1 JOIN size b ON b.cluster_id = c2)) SELECT c1, c2, round(mi, 6) AS mi FROM mis WHERE mi >= {MI_LEAST}""")
+def mutual_information_whole(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(statistics.mutual_information(tpch.presence(spark, d), 25, MI_LEAST), "mi")
+
+
 @query("""WITH l AS (SELECT lang, length(text) AS length FROM documents), n AS (SELECT lang, length, count(*) AS n FROM l GROUP BY 1, 2),
 r AS (SELECT lang, length, n, sum(n * length) OVER (PARTITION BY lang ORDER BY length DESC) AS run, sum(n * length) OVER (PARTITION BY lang) AS total FROM n)
 SELECT lang, CAST(sum(n) AS BIGINT) AS n, CAST(max(total) AS BIGINT) AS total, round(max(total) / sum(n), 4) AS mean, max(CASE WHEN run >= floor(total / 2) THEN length END) AS n50, CAST(sum(n * greatest(length - 30, 0)) AS BIGINT) AS kmers FROM r GROUP BY 1""")
@@ -249,7 +259,7 @@ def class_counts(spark: SparkSession, d: str) -> DataFrame:
 @query(PAIRS.format(p=PRESENCE_SQL).replace("SELECT a.genome_id", ", dist AS (SELECT a.genome_id", 1) + """), both_ways AS (SELECT g1 AS i, g2 AS j, distance AS d FROM dist UNION ALL SELECT g2, g1, distance FROM dist UNION ALL SELECT genome_id, genome_id, 0 FROM size),
 v AS (SELECT i, j, -0.5 * d * d AS v FROM both_ways) SELECT i, j, round(v - avg(v) OVER (PARTITION BY i) - avg(v) OVER (PARTITION BY j) + avg(v) OVER (), 6) AS b FROM v""")
 def double_centred(spark: SparkSession, d: str) -> DataFrame:
-    p = rounded(matrix.genome_pairs(tpch.presence(spark, d)), "distance")
+    p = rounded(matrix.genome_pairs(tpch.presence_once(spark, d)), "distance")
     both = p.select(F.col("g1").alias("i"), F.col("g2").alias("j"), F.col("distance").alias("d")).unionByName(p.select(F.col("g2").alias("i"), F.col("g1").alias("j"), F.col("distance").alias("d")))
     own = tpch.presence(spark, d).select("genome_id").distinct().select(F.col("genome_id").alias("i"), F.col("genome_id").alias("j"), F.lit(0.0).alias("d"))
     return rounded(statistics.double_centred(both.unionByName(own)), "b")
@@ -257,4 +267,4 @@ def double_centred(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def scaled_plane(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame(statistics.scaled_plane(matrix.genome_pairs(tpch.presence(spark, d)), GENOMES), "genome string, x double, y double")
+    return spark.createDataFrame(statistics.scaled_plane(matrix.genome_pairs(tpch.presence_once(spark, d)), GENOMES), "genome string, x double, y double")

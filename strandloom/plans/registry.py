@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from strandloom.plans import functions_queries, graph_queries, matrix_queries, sequence_queries
+from strandloom.plans import file_queries, functions_queries, graph_queries, matrix_queries, sequence_queries
 
 FLAGSHIP = "partition_summary"
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _part in (matrix_queries, graph_queries, functions_queries, sequence_queries):
+for _part in (matrix_queries, graph_queries, functions_queries, sequence_queries, file_queries):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandloom.session import stored
+
 ORDER = ["start", "tie1", "tie2", "tie3", "tie4"]
 
 #: The same views in SQL, for the oracles.
@@ -53,5 +55,10 @@ def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def presence_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As presence(), stored: for operators that read it several times."""
+    return stored(presence(spark, sf_dir), "presence")
+
+
 def presence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed(spark, sf_dir).select("cluster_id", "genome_id").distinct()

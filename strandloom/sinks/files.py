@@ -90,9 +90,9 @@ def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     write_lines(graph_markup(nodes, edges).coalesce(1), path)
 
 
-def summary_json(presence: DataFrame) -> DataFrame:
+def summary_json(presence: DataFrame, core: float = matrix.CORE) -> DataFrame:
     """One row of JSON: genomes, clusters, core, accessory."""
-    c = matrix.core_accessory(presence)
+    c = matrix.core_accessory(presence, core)
     n = presence.agg(F.count_distinct("genome_id").alias("num_genomes"), F.count_distinct("cluster_id").alias("num_clusters"))
     return n.crossJoin(F.broadcast(c)).select(F.to_json(F.struct("num_genomes", "num_clusters", F.col("n_core").alias("core"), F.col("n_accessory").alias("accessory"))).alias("value"))
 
@@ -134,6 +134,35 @@ def write_annotations(genes: DataFrame, path: str) -> None:
     rows.select("genome_id", "value").write.mode("overwrite").partitionBy("genome_id").text(path)
 
 
+def write_parquet_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """Two tables, nodes and edges, under the path."""
+    nodes.select("cluster_id", F.col("support").cast("int").alias("support"), "is_paralog", F.size("genomes").alias("genome_count")).write.mode("overwrite").parquet(f"{path}/nodes")
+    edges.select(F.col("src").alias("from"), F.col("dst").alias("to"), F.col("support").cast("int").alias("support"), F.size("genomes").alias("genome_count")).write.mode("overwrite").parquet(f"{path}/edges")
+
+
+def resistance_annotation(table: DataFrame) -> DataFrame:
+    """Annotation lines of a gene table, as a resistance search wants them; ';' and '=' become entities."""
+    def entity(c: str) -> Column:
+        return F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(";"), F.lit("&semicolon;")), F.lit("="), F.lit("&equals;"))
+
+    attrs = F.concat(F.lit("ID="), "gene_id", F.lit(";product="), entity("annotation"), F.lit(";gene="), entity("gene_name"))
+    return table.select(F.concat_ws("\t", F.coalesce("contig", F.lit("unknown")).cast("string"), F.lit("strandloom"), F.lit("gene"), F.coalesce(F.col("start").cast("string"), F.lit("0")), F.coalesce(F.col("end").cast("string"), F.lit("0")), F.lit("."), F.coalesce("strand", F.lit("+")), F.lit("."), attrs).alias("value"))
+
+
+def alignment_lines(rows: DataFrame, width: int = 80) -> DataFrame:
+    """>name and the sequence in lines of the width, of (cluster_id, name, sequence) in that order."""
+    body = F.rtrim(F.regexp_replace("sequence", f"(.{{{width}}})", "$1\n"), F.lit("\n"))
+    return rows.orderBy("cluster_id", "name").select(F.concat(F.lit(">"), "name", F.lit("\n"), body).alias("value"))
+
+
+def core_alignment(rows: DataFrame, presence: DataFrame, core: bool = True) -> DataFrame:
+    """The rows (cluster_id, name, sequence) of clusters at the core threshold, or of the others."""
+    counts = matrix.with_share(presence)
+    least = F.greatest(F.lit(1), F.ceil(F.lit(matrix.CORE) * F.col("n_total")))
+    wanted = counts.where(F.col("n_genomes") >= least if core else F.col("n_genomes") < least).select("cluster_id")
+    return rows.join(wanted, "cluster_id", "left_semi")
+
+
 def variant_rows(variants: DataFrame) -> DataFrame:
     return variants.select("kind", F.array_join("clusters", ";").alias("clusters"), F.array_join("genomes", ";").alias("genomes"), "support")
 
@@ -173,6 +202,14 @@ def itol_strip(presence: DataFrame) -> list[str]:
     return head + [f"{r['genome_id']},{r['n_core']},{r['n_accessory']}" for r in matrix.genome_profile(presence).orderBy("genome_id").collect()]
 
 
+def itol_colours(presence: DataFrame) -> list[str]:
+    """A colour for each genome by its share of accessory clusters: low, middle, high."""
+    head = ["DATASET_COLORSTRIP", "SEPARATOR COMMA", "DATASET_LABEL,Share of accessory genes", "COLOR,#d62728", "DATA"]
+    share = F.col("n_accessory") / (F.col("n_core") + F.col("n_accessory"))
+    colour = F.when(share < 1 / 3, "#1f77b4").when(share < 2 / 3, "#ff7f0e").otherwise("#d62728")
+    return head + [f"{r['genome_id']},{r['c']}" for r in matrix.genome_profile(presence).select("genome_id", colour.alias("c")).orderBy("genome_id").collect()]
+
+
 def itol_binary(presence: DataFrame, n: int = 50) -> list[str]:
     """Presence of the n most variable clusters in each genome."""
     top = [r["cluster_id"] for r in matrix.most_variable(presence, n).collect()]
@@ -193,5 +230,28 @@ def report_html(title: str, tables: dict[str, list[dict]]) -> str:
     return f"<!doctype html><meta charset='utf-8'><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1>{''.join(body)}<script type='application/json' id='data'>{data}</script>"
 
 
+def graph_report(nodes: DataFrame, edges: DataFrame, genomes: int, most: int = 2000) -> str:
+    """A page of the best supported nodes and the edges among them: a report, so at most `most` nodes."""
+    from strandloom.operators.graph import induced_edges
+
+    top = nodes.orderBy(F.desc("support"), "cluster_id").limit(most)
+    cols = [c for c in ("cluster_id", "support", "is_paralog", "is_highly_variable") if c in nodes.columns]
+    shown = top.select(*cols, F.size("genomes").alias("genome_count"), (F.size("genomes") == genomes).alias("is_core"))
+    wired = induced_edges(edges, top).orderBy(F.desc("support"), "src", "dst").limit(10 * most).select(F.col("src").alias("source"), F.col("dst").alias("target"), "support")
+    return report_html("Gene graph", {"Nodes": [r.asDict() for r in shown.collect()], "Edges": [r.asDict() for r in wired.collect()]})
+
+
+def quality_report_page(report: DataFrame, plane: list[tuple[str, float, float]] | None = None) -> str:
+    """A page of the quality summary and each genome (one row per genome), and their plane if given."""
+    tables = {"Summary": [r.asDict() for r in matrix.qc_summary(report).collect()], "Genomes": [r.asDict() for r in report.orderBy("genome_id").collect()]}
+    if plane:
+        tables["Plane"] = [{"genome": g, "x": x, "y": y} for g, x, y in plane]
+    return report_html("Assembly quality", tables)
+
+
+def plane_report(plane: list[tuple[str, float, float]]) -> str:
+    return report_html("Genomes by distance", {"Plane": [{"genome": g, "x": x, "y": y} for g, x, y in plane]})
+
+
 def abundance_report(presence: DataFrame) -> str:
     return report_html("Gene abundance", {"Bands": [r.asDict() for r in matrix.partition_summary(presence).orderBy("band").collect()], "Families by number of genomes": [r.asDict() for r in matrix.frequency_histogram(presence).orderBy("n_genomes").collect()]})

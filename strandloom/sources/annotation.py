@@ -58,6 +58,14 @@ def fasta_records(text: DataFrame, value: str = "value") -> DataFrame:
     return out.where(F.length("sequence") > 0)
 
 
+def fasta_stream(text: DataFrame, value: str = "value") -> DataFrame:
+    """record_idx, header, sequence where any '>' starts a record; records without sequence stay, header empty too."""
+    parts = F.posexplode(F.slice(F.split(value, ">"), 2, 2**31 - 1)).alias("record_idx", "record")
+    rows = text.select(*[c for c in text.columns if c != value], parts)
+    body = F.regexp_replace(F.regexp_extract("record", r"^[^\r\n]*([\s\S]*)$", 1), r"\s", "")
+    return rows.select(*[c for c in rows.columns if c != "record"], F.trim(F.regexp_extract("record", r"^([^\r\n]*)", 1)).alias("header"), body.alias("sequence"))
+
+
 def last_of_id(records: DataFrame, keys: list[str]) -> DataFrame:
     """The last record of each id."""
     latest = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("record_idx")))

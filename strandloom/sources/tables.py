@@ -29,9 +29,8 @@ def presence_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def genome_count(spark: SparkSession, path: str) -> int:
-    """Columns beyond the metadata, 0 at least; only the header is read."""
-    header = spark.read.text(path).first()
-    return max(0, len(header[0].split(",")) - len(METADATA)) if header else 0
+    """Columns beyond the metadata, 0 at least; only the header is read, quoted cells as one."""
+    return max(0, len(spark.read.csv(path, header=True, escape='"').columns) - len(METADATA))
 
 
 def rtab(spark: SparkSession, path: str) -> DataFrame:
@@ -70,10 +69,13 @@ def by_alias(raw: DataFrame, aliases: dict[str, tuple[tuple[str, ...], str, obje
 
 # The names under which other tools write these columns.
 ASSOCIATION_NAMES = {
-    "gene": (("Gene", "gene", "variant"), "string", ""),
-    "p_value": (("Naive_p", "p_value", "pvalue", "lrt-pvalue", "fisher_p"), "double", 1.0),
-    "fdr": (("Benjamini_H_p", "fdr", "q_value", "fisher_q"), "double", 1.0),
-    "odds_ratio": (("Odds_ratio", "odds_ratio", "beta"), "double", 1.0),
+    "gene": (("Gene", "gene", "gene_id", "cluster_id", "variant"), "string", ""),
+    "trait": (("Trait", "trait", "phenotype"), "string", ""),
+    "p_value": (("Naive_p", "p_value", "pvalue", "p_value_corrected", "lrt-pvalue", "fisher_p"), "double", 1.0),
+    "fdr": (("Benjamini_H_p", "fdr", "padj", "q_value", "fisher_q"), "double", 1.0),
+    "odds_ratio": (("Odds_ratio", "odds_ratio", "effect_size", "effect", "beta"), "double", 1.0),
+    "n_present": (("n_present", "present", "cases"), "long", 0),
+    "n_absent": (("n_absent", "absent", "controls"), "long", 0),
 }
 AMR_NAMES = {
     "gene_name": (("gene_name", "Gene symbol", "Element symbol"), "string", ""),
@@ -91,6 +93,95 @@ def associations(spark: SparkSession, path: str) -> DataFrame:
     return by_alias(spark.read.csv(path, header=True), ASSOCIATION_NAMES)
 
 
+def significant_count(associations: DataFrame, level: float = 0.05) -> DataFrame:
+    """One row: n, and n_significant below the level."""
+    return associations.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("fdr") < level).alias("n_significant"))
+
+
+def effect_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(variant, effect, p_value, fdr) of lines of four words; comments, a header and other lines go."""
+    f = F.split(F.trim("value"), r"\s+")
+    rows = spark.read.text(path).where(~F.col("value").startswith("#") & ~F.col("value").startswith("SNP") & (F.size(f) >= 4))
+    out = rows.select(f[0].alias("variant"), *[f[k].try_cast("double").alias(n) for k, n in ((1, "effect"), (2, "p_value"), (3, "fdr"))])
+    return out.where("effect is not null and p_value is not null and fdr is not null")
+
+
+# The names under which the correlation tool writes its columns, in their usual order.
+CORRELATION_NAMES = (("gene1", "gene_1", "gene_a", "locus1", "id1"), ("gene2", "gene_2", "gene_b", "locus2", "id2"), ("mi", "mutual_information", "mutual-info", "i"), ("pvalue", "p_value", "pval", "p"))
+
+
+def correlations(spark: SparkSession, path: str) -> DataFrame:
+    """(gene1, gene2, mi, p_value) of a table with blanks between columns and a header; bad numbers are 0 and 1."""
+    lines = spark.read.text(path).where((F.trim("value") != "") & ~F.col("value").startswith("#"))
+    first = lines.first()
+    head = first[0].split() if first else []
+    low = [h.lower() for h in head]
+    at = [next((low.index(n) for n in names if n in low), k) for k, names in enumerate(CORRELATION_NAMES)]
+    f = F.split(F.trim("value"), r"\s+")
+    rows = lines.where((F.size(f) >= 4) & (F.trim("value") != (first[0].strip() if first else "")))
+
+    def number(k: int, default: float) -> Column:
+        value = F.get(f, F.lit(at[k])).try_cast("double")
+        return F.coalesce(F.when(~F.isnan(value), value), F.lit(default))
+
+    return rows.select(F.get(f, F.lit(at[0])).alias("gene1"), F.get(f, F.lit(at[1])).alias("gene2"), number(2, 0.0).alias("mi"), number(3, 1.0).alias("p_value"))
+
+
+# The rows of a table of gain and loss rates, by their names.
+RATE_NAMES = {"gain_rate": ("gain", "gain_rate"), "loss_rate": ("loss", "loss_rate"), "alpha": ("alpha",), "convergence": ("convergence", "converged"), "r_squared": ("r_squared", "R2", "adj.r.squared")}
+
+
+def rates(spark: SparkSession, path: str) -> DataFrame:
+    """One row of the rates, 0 where missing, of lines name,value; quoted lines and headers go."""
+    f = F.split("value", ",")
+    rows = spark.read.text(path).where(~F.col("value").startswith(",") & ~F.col("value").startswith('"') & (F.size(f) >= 2))
+    rows = rows.select(F.trim(f[0]).alias("name"), F.trim(f[1]).try_cast("double").alias("v"))
+    return rows.agg(*[F.coalesce(F.max(F.when(F.col("name").isin(*names), F.col("v"))), F.lit(0.0)).alias(k) for k, names in RATE_NAMES.items()])
+
+
+def alpha_kappa(text: DataFrame, value: str = "value") -> DataFrame:
+    """text with alpha and kappa of its lines (the first number after the name), 0 where missing."""
+    def number(pattern: str) -> Column:
+        return F.coalesce(F.regexp_extract(value, pattern, 1).try_cast("double"), F.lit(0.0))
+
+    return text.withColumn("alpha", number(r"(?im)^(?!.*kappa).*alpha[^0-9\-\r\n]*(-?[0-9]+(?:\.[0-9]+)?)")).withColumn("kappa", number(r"(?im)^(?!.*alpha)(?:.*kappa|k)[^0-9\-\r\n]*(-?[0-9]+(?:\.[0-9]+)?)"))
+
+
+def cluster_members(spark: SparkSession, path: str) -> DataFrame:
+    """(cluster_id, gene_id) of lines 'representative member', each pair once per line."""
+    f = F.split(F.trim("value"), r"\s+")
+    return spark.read.text(path).where(F.size(f) >= 2).select(f[0].alias("cluster_id"), f[1].alias("gene_id"))
+
+
+def identity_matrix(pairs: DataFrame, genomes: DataFrame) -> DataFrame:
+    """(g1, g2, ani) of all pairs of genomes(genome_id): 1 on the diagonal, 0 where (g1, g2, ani) has none, either way round.
+
+    One row per genome on each side; the square is the result.
+    """
+    g = genomes.select("genome_id").distinct()
+    grid = g.select(F.col("genome_id").alias("g1")).crossJoin(F.broadcast(g.select(F.col("genome_id").alias("g2"))))
+    both = pairs.select("g1", "g2", "ani").unionByName(pairs.select(F.col("g2").alias("g1"), F.col("g1").alias("g2"), "ani")).groupBy("g1", "g2").agg(F.max("ani").alias("ani"))
+    return grid.join(both, ["g1", "g2"], "left").select("g1", "g2", F.when(F.col("g1") == F.col("g2"), 1.0).otherwise(F.coalesce("ani", F.lit(0.0))).alias("ani"))
+
+
+def alignment_groups(genes: DataFrame, presence: DataFrame | None, genomes: int, core: bool = False, share: float = 0.99) -> DataFrame:
+    """(cluster_id, name, sequence) for an aligner, of a gene table and the presence of its clusters.
+
+    One row for each genome of a cluster, or one for the cluster where presence lacks it; clusters
+    with fewer than two rows or no sequence go; core: only clusters with the core's support.
+    """
+    from strandloom.operators.matrix import core_threshold
+
+    rows = genes.where(F.length("dna_sequence") > 0).select(F.col("gene_id").alias("cluster_id"), F.col("support").try_cast("long").alias("support"), F.col("dna_sequence").alias("sequence"))
+    if core:
+        rows = rows.where(F.col("support") >= core_threshold(genomes, share))
+    if presence is None:
+        return rows.select("cluster_id", F.col("cluster_id").alias("name"), "sequence").limit(0)
+    several = presence.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("cluster_id")
+    met = rows.join(several, "cluster_id", "left_semi").join(presence.select("cluster_id", "genome_id"), "cluster_id")
+    return met.select("cluster_id", F.concat_ws("__", "cluster_id", "genome_id").alias("name"), "sequence")
+
+
 def amr_hits(spark: SparkSession, path: str) -> DataFrame:
     return by_alias(spark.read.csv(path, header=True, sep="\t"), AMR_NAMES)
 

@@ -48,15 +48,27 @@ def watch(spark: SparkSession, inputs: str, folder: str, checkpoint: str, identi
 
 
 def edge_counts(events: DataFrame, delay: str = "10 minutes", width: str = "5 minutes") -> DataFrame:
-    """Adjacency support by event-time window, for gene pairs (a, b, genome_id, ts) that come late or out of order."""
+    """Adjacency support by event-time window, for gene pairs (a, b, genome_id, ts) that come late or out of order.
+
+    The genomes of an edge are held as a set, of one entry per genome, so the support is exact.
+    """
     pairs = events.withWatermark("ts", delay).select("ts", F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), "genome_id")
-    return pairs.groupBy(F.window("ts", width), "src", "dst").agg(F.approx_count_distinct("genome_id").alias("support"))
+    return pairs.groupBy(F.window("ts", width), "src", "dst").agg(F.size(F.collect_set("genome_id")).cast("long").alias("support"))
+
+
+def write_edge_counts(events: DataFrame, folder: str, checkpoint: str, delay: str = "10 minutes", width: str = "5 minutes") -> StreamingQuery:
+    """Keep edge_counts() of a stream in the folder: every batch replaces what it says of all windows. Takes in what is there and stops."""
+    def replace(batch: DataFrame, n: int) -> None:
+        batch.select(F.col("window.start").alias("start"), "src", "dst", "support").write.mode("overwrite").parquet(folder)
+
+    return edge_counts(events, delay, width).writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def write_chunk(placed: DataFrame, order: list[str], folder: str, chunk: int) -> None:
+    """The adjacent pairs of a chunk of genomes, as compressed Parquet; writing a chunk again replaces it."""
+    graph.adjacent_pairs(placed, order).write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/chunk={chunk}")
 
 
-def chunked_edges(chunks: list[DataFrame], order: list[str]) -> DataFrame:
-    """Edges of genome chunks added up: the same as building them at once."""
-    out = None
-    for placed in chunks:
-        pairs = graph.adjacent_pairs(placed, order)
-        out = graph.edges_of(pairs) if out is None else graph.upsert_edges(out, pairs)
-    return out
+def read_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """The edges of all chunks: partial sets in each, united in the final aggregate."""
+    return graph.edges_of(spark.read.parquet(folder).select("a", "b", "genome_id"))
