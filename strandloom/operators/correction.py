@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import sequence as seq
 from strandloom.operators import clustering, graph
-from strandloom.session import stored
+from strandloom.session import forget, stored
 
-ROUNDS = 100
+#: Rounds of pruning after which a graph that still has leaves to cut is an error.
+ROUNDS = 100_000
 COLLAPSE_THRESHOLDS = (0.99, 0.95, 0.9, 0.8, 0.7)
 
 
@@ -29,13 +30,24 @@ def misassembly_threshold(mode: str, genomes: int) -> int:
 
 
 def _prune(nodes: DataFrame, edges: DataFrame, least: int, extra, rounds: int) -> tuple[DataFrame, DataFrame]:
-    nodes, edges = stored(nodes, "nodes"), stored(edges, "edges")
+    """Rounds on narrow tables: a round writes the ids that go and the neighbours that are left; the nodes and edges are cut once, at the end."""
+    weak = stored(nodes.where((F.col("support") < least) & extra).select(F.col("cluster_id").alias("id")), "weak")
+    sides = stored(graph.both_ways(edges).distinct(), "sides")
+    gone = None
     for _ in range(rounds):
-        gone = stored(graph.low_support_leaves(nodes, edges, least).where(extra).select("cluster_id"), "gone")
-        if gone.isEmpty():
+        leaves = sides.groupBy("id").agg(F.count(F.lit(1)).alias("degree")).where("degree = 1").join(weak, "id", "left_semi").select("id")
+        new = stored(leaves, "gone")
+        if new.isEmpty():
             break
-        nodes, edges = (stored(x, n) for x, n in zip(graph.without_nodes(nodes, edges, gone), ("nodes", "edges")))
-    return nodes, edges
+        gone = new if gone is None else gone.unionByName(new)
+        last, sides = sides, stored(sides.join(new, "id", "left_anti").join(new.withColumnRenamed("id", "nbr"), "nbr", "left_anti").select("id", "nbr"), "sides")
+        forget(last)
+    else:
+        raise RuntimeError(f"leaves were left after {rounds} rounds")
+    if gone is None:
+        return nodes, edges
+    gone = stored(gone.withColumnRenamed("id", "cluster_id"), "gone")
+    return tuple(stored(x, n) for x, n in zip(graph.without_nodes(nodes, edges, gone), ("nodes", "edges")))
 
 
 def remove_contamination(nodes: DataFrame, edges: DataFrame, least: int, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:

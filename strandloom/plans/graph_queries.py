@@ -120,11 +120,22 @@ def breadth_first(spark: SparkSession, d: str) -> DataFrame:
     return graph.bfs(edges, edges.agg(F.min("src").alias("start")), 3).select("node", "depth")
 
 
+#: A sparse graph of all rows: a cluster is a part of a supplier. Its ends count in genomes of even numbers only.
+FINE_SQL = NODES_SQL.replace("p_name || '|' || p_brand AS cluster_id", "CAST(l_partkey AS VARCHAR) || '-' || CAST(l_suppkey AS VARCHAR) AS cluster_id").replace("count(*) AS n_ends FROM ends", "count(*) AS n_ends FROM ends WHERE CAST(genome_id AS INTEGER) % 2 = 0")
+
+
+def fine(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    placed = tpch.placed(spark, d).withColumn("cluster_id", F.concat_ws("-", "tie1", "tie2"))
+    nodes, edges = graph.build(placed, ORDER)
+    even = F.filter("contig_end_genomes", lambda g: g.cast("int") % 2 == 0)
+    return stored(nodes.withColumn("contig_end_genomes", even), "nodes"), stored(edges, "edges")
+
+
 def rounds_sql(n: int, more: str) -> str:
-    """Rounds of removing nodes of degree 1 and support below 30, one after another."""
-    out = [NODES_SQL + ", n0 AS MATERIALIZED (SELECT * FROM nodes), e0 AS MATERIALIZED (SELECT src, dst FROM edges)"]
+    """Rounds of removing nodes of degree 1 and support below 2, one after another."""
+    out = [FINE_SQL + ", n0 AS MATERIALIZED (SELECT * FROM nodes), e0 AS MATERIALIZED (SELECT src, dst FROM edges)"]
     for i in range(n):
-        out.append(f"g{i} AS MATERIALIZED (SELECT cluster_id FROM n{i} JOIN (SELECT id, count(DISTINCT nbr) AS deg FROM (SELECT src AS id, dst AS nbr FROM e{i} UNION ALL SELECT dst, src FROM e{i}) GROUP BY 1) ON id = cluster_id WHERE support < 30 AND deg = 1{more})")
+        out.append(f"g{i} AS MATERIALIZED (SELECT cluster_id FROM n{i} JOIN (SELECT id, count(DISTINCT nbr) AS deg FROM (SELECT src AS id, dst AS nbr FROM e{i} UNION ALL SELECT dst, src FROM e{i}) GROUP BY 1) ON id = cluster_id WHERE support < 2 AND deg = 1{more})")
         out.append(f"n{i + 1} AS MATERIALIZED (SELECT * FROM n{i} WHERE cluster_id NOT IN (SELECT cluster_id FROM g{i}))")
         out.append(f"e{i + 1} AS MATERIALIZED (SELECT * FROM e{i} WHERE src NOT IN (SELECT cluster_id FROM g{i}) AND dst NOT IN (SELECT cluster_id FROM g{i}))")
     return f"WITH {', '.join(out)} SELECT cluster_id, support FROM n{n}"
@@ -168,16 +179,14 @@ def low_support_leaves(spark: SparkSession, d: str) -> DataFrame:
 
 @query(rounds_sql(12, ""))
 def remove_contamination(spark: SparkSession, d: str) -> DataFrame:
-    nodes, edges = built(spark, d)
-    return correction.remove_contamination(nodes, edges, 30)[0].select("cluster_id", "support")
+    nodes, edges = fine(spark, d)
+    return correction.remove_contamination(nodes, edges, 2)[0].select("cluster_id", "support")
 
 
-@query(rounds_sql(12, " AND n_ends > 0 AND n_ends % 2 = 0"))
+@query(rounds_sql(12, " AND n_ends > 0"))
 def prune_contig_ends(spark: SparkSession, d: str) -> DataFrame:
-    """Contig ends count where an even number of genomes has the cluster there, so that the step differs from the one before."""
-    nodes, edges = built(spark, d)
-    nodes = nodes.withColumn("contig_end_genomes", F.when(F.size("contig_end_genomes") % 2 == 0, F.col("contig_end_genomes")).otherwise(F.array().cast("array<string>")))
-    return correction.prune_contig_ends(nodes, edges, 30)[0].select("cluster_id", "support")
+    nodes, edges = fine(spark, d)
+    return correction.prune_contig_ends(nodes, edges, 2)[0].select("cluster_id", "support")
 
 
 @query(f"""WITH RECURSIVE {SPARSE}, walk AS (SELECT min(id) AS node, 0 AS depth FROM both_ways UNION SELECT nbr, depth + 1 FROM walk JOIN both_ways ON id = node WHERE depth < 2), near AS (SELECT node, min(depth) AS depth FROM walk GROUP BY 1)

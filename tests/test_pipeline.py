@@ -1,7 +1,7 @@
 import pytest
 
-from strandloom import pipeline
-from strandloom.config import SINKS, Config, ConfigError, InputError
+from strandloom import pipeline, tools
+from strandloom.config import SINKS, Config, ConfigError, InputError, StrandloomError, ToolMissing
 from strandloom.operators import combine
 from strandloom.sources import annotation, tables
 from strandloom.streaming import arrivals
@@ -76,3 +76,40 @@ def test_bad_settings_and_inputs(spark, tmp_path):
     p.write_text("##gff-version 3\n")
     with pytest.raises(InputError):
         pipeline.run(spark, [str(p)], Config(output=f"file://{tmp_path}"))
+
+
+def test_quality_reports_leave_genomes_out(spark, folder, tmp_path):
+    paths = [write_genome(tmp_path, f"q{g}", [("a", 201, 290, "+", random_gene(100))], seed=40 + g) for g in range(3)]
+    (tmp_path / "q1.txt").write_text("Completeness: 20\nContamination: 1\n")
+    (tmp_path / "q2.txt").write_text("Completeness: 99\nContamination: 1\n")
+    config = Config(output=f"file://{tmp_path}/out", qc=(str(tmp_path / "q1.txt"), str(tmp_path / "q2.txt")), lengths=0.5, formats=("summary",))
+    got = pipeline.run(spark, paths, config)
+    assert {r.genome_id for r in got.genes.select("genome_id").distinct().collect()} == {"q0", "q2"}
+    with pytest.raises(ConfigError):
+        Config(output="x", lengths=2.0).validate()
+
+
+def test_reports_and_graph_tables(spark, result, folder):
+    text = "\n".join(r.value for r in spark.read.text(result.paths["graph_html"]).collect())
+    assert "Nodes" in text and "is_core" in text
+    assert spark.read.parquet(result.paths["graph_parquet"] + "/edges").columns == ["from", "to", "support", "genome_count"]
+    dna = annotation.fasta_records(spark.read.text(result.paths["dna"], wholetext=True))
+    assert {r.sequence for r in dna.collect()} == {r.sequence for r in result.centroids.collect()}
+
+
+def test_groups_for_an_aligner_from_saved_files(spark, tmp_path):
+    genes = spark.createDataFrame([("a", "", "x", "c", "1", "9", "+", "5", "ACGT", "T"), ("b", "", "x", "c", "1", "9", "+", "2", "CCCC", "P"), ("c", "", "x", "c", "1", "9", "+", "5", "GGGG", "G"), ("d", "", "x", "c", "1", "9", "+", "5", "", "")], ", ".join(f"{c} string" for c in ("gene_id", "gene_name", "annotation", "contig", "start", "end", "strand", "support", "dna_sequence", "protein_sequence")))
+    presence = spark.createDataFrame([(c, f"g{g}") for c, n in (("a", 5), ("b", 2), ("c", 1), ("d", 5)) for g in range(n)], "cluster_id string, genome_id string")
+    got = tables.alignment_groups(genes, presence, 5, core=True)
+    assert {(r.cluster_id, r.name) for r in got.collect()} == {("a", f"a__g{g}") for g in range(5)}
+    assert tables.alignment_groups(genes, presence, 5).count() == 7 and tables.alignment_groups(genes, None, 5).count() == 0
+
+
+def test_programs_end_in_time():
+    assert tools.run(["cat"], stdin=b"x") == b"x"
+    with pytest.raises(ToolMissing):
+        tools.run(["no-such-program-here"])
+    with pytest.raises(StrandloomError):
+        tools.run(["sleep", "5"], limit=0.1)
+    with pytest.raises(StrandloomError):
+        tools.run(["false"])
