@@ -22,7 +22,8 @@ task; joins go by name and can be split.
 
 Defined results. A text is its UTF-8 bytes; a null text counts as empty; repeated rows are
 copies of each other; a text shorter than L keeps all; an empty table gives no row; other
-columns are left out, whatever their names.
+columns are left out, whatever their names. A text of any length is taken in pieces of CHUNK
+windows, whose cuts split runs and nothing else: a split run is settled by parts and windows.
 """
 
 from __future__ import annotations
@@ -46,8 +47,10 @@ PIECE = 100
 PART = 16
 #: Keys of texts that may be broadcast (16 bytes each); beyond, the join shuffles.
 BROADCAST_KEYS = 400_000
-#: Bytes that are hashed at a time; a longer text goes alone.
+#: Bytes that are hashed at a time, at about 90 bytes of memory each; a longer text is cut into overlapping pieces.
 CHUNK = 1 << 20
+#: Bits of a place in a chunk: the same in chunks of all sizes, so equal windows settle ties alike.
+PLACE_BITS = 22
 _BASES = (np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xD6E8FEB86659FD93 | 1))
 
 
@@ -93,7 +96,7 @@ def sampled_runs(data: np.ndarray, hashed: Hashed, ends: np.ndarray, length: int
     if n < length:
         return (np.zeros(0, dtype="i8"),) * 3
     places = np.arange(n - piece + 1)
-    bits = np.uint64(int(n).bit_length())
+    bits = np.uint64(PLACE_BITS)
     order = ((hashed.of(places, places + piece) >> bits) << bits) | places.astype("u8")
     order[places + piece > ends[: len(places)]] = np.uint64(0xFFFFFFFFFFFFFFFF)
     width, least, have = length - piece + 1, order, 1  # least place of each window by doubling
@@ -110,19 +113,43 @@ def sampled_runs(data: np.ndarray, hashed: Hashed, ends: np.ndarray, length: int
     return windows[np.concatenate(([0], cut + 1))], windows[np.concatenate((cut, [len(windows) - 1]))], place[np.concatenate(([0], cut + 1))]
 
 
-def _chunks(texts: list[bytes]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray]]:
-    """(text numbers, bytes one after another, start of each, end of each byte's text)."""
+def _chunks(texts: list[bytes], length: int) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(text numbers, bytes one after another, start of each, end of each byte's text, place of each in its text).
+
+    A long text comes in pieces that share length - 1 bytes, so each window lies in one of them.
+    """
     own: list[int] = []
     size = 0
     for i, t in enumerate([*texts, None]):
         if own and (t is None or size + len(t) > CHUNK):
             lengths = np.array([len(texts[k]) for k in own])
             stop = np.cumsum(lengths)
-            yield own, np.frombuffer(b"".join(texts[k] for k in own), dtype="u1"), stop - lengths, np.repeat(stop, lengths)
+            yield own, np.frombuffer(b"".join(texts[k] for k in own), dtype="u1"), stop - lengths, np.repeat(stop, lengths), np.zeros(len(own), dtype="i8")
             own, size = [], 0
-        if t is not None:
+        if t is None:
+            break
+        if len(t) <= CHUNK:
             own.append(i)
             size += len(t)
+            continue
+        for at in range(0, max(1, len(t) - length + 1), CHUNK):
+            piece = np.frombuffer(t, dtype="u1", count=min(CHUNK + length - 1, len(t) - at), offset=at)
+            yield [i], piece, np.zeros(1, dtype="i8"), np.full(len(piece), len(piece)), np.array([at])
+
+
+def _pieces(text: str, spans: list[dict], length: int) -> Iterator[tuple[int, "Hashed", list[dict]]]:
+    """(place in the text, hashes from there on, the spans that begin there), in pieces of bounded size."""
+    data = np.frombuffer(text.encode(), dtype="u1")
+    spans = sorted(spans, key=lambda s: s["lo"])
+    at = 0
+    while at < len(spans):
+        first, stop = spans[at]["lo"], at
+        while stop < len(spans) and spans[stop]["lo"] < first + CHUNK:
+            stop += 1
+        own = spans[at:stop]
+        low = min(min(s["lo"], s["place"]) for s in own)
+        yield low, Hashed(data[low : max(s["hi"] for s in own) + 2 * length]), own
+        at = stop
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -135,14 +162,14 @@ def runs(docs: DataFrame, length: int, piece: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t.encode() for t in batch.column("text").to_pylist()]
-            for own, data, start, ends in _chunks(texts):
+            for own, data, start, ends, before in _chunks(texts, length):
                 hashed = Hashed(data)
                 lo, hi, place = sampled_runs(data, hashed, ends, length, piece)
                 if not len(lo):
                     continue
                 text = np.searchsorted(start, lo, side="right") - 1
                 number = pa.array(np.array(own)[text])
-                shift = start[text]
+                shift = start[text] - before[text]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc").take(number), batch.column("text_hash").take(number), pa.array((lo - shift).astype("i4")), pa.array((hi - shift).astype("i4")), pa.array((place - shift).astype("i4")), _signed(hashed.of(place, place + piece)), _signed(hashed.of(lo, hi + length)), _signed(hashed.of(lo, hi + length, 1))],
                     names=["doc", "text_hash", "lo", "hi", "place", "name", "w1", "w2"],
@@ -158,22 +185,22 @@ def parts(docs: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, (text, spans) in enumerate(zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist())):
-                hashed = Hashed(np.frombuffer(text.encode(), dtype="u1"))
-                sizes = [s["hi"] + 1 - s["lo"] for s in spans]
-                at = np.concatenate([np.arange(s["lo"], s["hi"] + 1) for s in spans])
-                own = np.repeat(np.arange(len(spans)), sizes)
-                place = np.repeat([s["place"] for s in spans], sizes)
-                part = (place - at) // step
-                cut = np.flatnonzero((np.diff(part) != 0) | (np.diff(own) != 0))
-                first, last = np.concatenate(([0], cut + 1)), np.concatenate((cut, [len(at) - 1]))
-                lo, hi, place = at[first], at[last], place[first]
-                core = place - step * part[first]
-                same = pa.array(np.full(len(lo), i))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc").take(same), batch.column("text_hash").take(same), pa.array(lo.astype("i4")), pa.array(hi.astype("i4")), pa.array(place.astype("i4")), _signed(hashed.of(core, core + length - step + 1)), _signed(hashed.of(lo, hi + length)), _signed(hashed.of(lo, hi + length, 1)), pa.array(np.array([s["alone"] for s in spans])[own[first]])],
-                    names=["doc", "text_hash", "lo", "hi", "place", "name", "w1", "w2", "alone"],
-                )
+            for i, (text, all_spans) in enumerate(zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist())):
+                for low, hashed, spans in _pieces(text, all_spans, length):
+                    sizes = [s["hi"] + 1 - s["lo"] for s in spans]
+                    at = np.concatenate([np.arange(s["lo"], s["hi"] + 1) for s in spans])
+                    own = np.repeat(np.arange(len(spans)), sizes)
+                    place = np.repeat([s["place"] for s in spans], sizes)
+                    part = (place - at) // step
+                    cut = np.flatnonzero((np.diff(part) != 0) | (np.diff(own) != 0))
+                    first, last = np.concatenate(([0], cut + 1)), np.concatenate((cut, [len(at) - 1]))
+                    lo, hi, place = at[first], at[last], place[first]
+                    core = place - step * part[first]
+                    same = pa.array(np.full(len(lo), i))
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("doc").take(same), batch.column("text_hash").take(same), pa.array(lo.astype("i4")), pa.array(hi.astype("i4")), pa.array(place.astype("i4")), _signed(hashed.of(core - low, core - low + length - step + 1)), _signed(hashed.of(lo - low, hi - low + length)), _signed(hashed.of(lo - low, hi - low + length, 1)), pa.array(np.array([s["alone"] for s in spans])[own[first]])],
+                        names=["doc", "text_hash", "lo", "hi", "place", "name", "w1", "w2", "alone"],
+                    )
 
     return docs.mapInArrow(run, "doc long, text_hash long, lo int, hi int, place int, name long, w1 long, w2 long, alone boolean")
 
@@ -183,12 +210,12 @@ def window_names(docs: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, (text, spans) in enumerate(zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist())):
-                hashed = Hashed(np.frombuffer(text.encode(), dtype="u1"))
-                at = np.concatenate([np.arange(s["lo"], s["hi"] + 1) for s in spans])
-                alone = np.concatenate([np.full(s["hi"] + 1 - s["lo"], s["alone"]) for s in spans])
-                same = pa.array(np.full(len(at), i))
-                yield pa.RecordBatch.from_arrays([batch.column("doc").take(same), batch.column("text_hash").take(same), pa.array(at.astype("i4")), _signed(hashed.of(at, at + length)), _signed(hashed.of(at, at + length, 1)), pa.array(alone.astype(bool))], names=["doc", "text_hash", "at", "n1", "n2", "alone"])
+            for i, (text, all_spans) in enumerate(zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist())):
+                for low, hashed, spans in _pieces(text, all_spans, length):
+                    at = np.concatenate([np.arange(s["lo"], s["hi"] + 1) for s in spans])
+                    alone = np.concatenate([np.full(s["hi"] + 1 - s["lo"], s["alone"]) for s in spans])
+                    same = pa.array(np.full(len(at), i))
+                    yield pa.RecordBatch.from_arrays([batch.column("doc").take(same), batch.column("text_hash").take(same), pa.array(at.astype("i4")), _signed(hashed.of(at - low, at - low + length)), _signed(hashed.of(at - low, at - low + length, 1)), pa.array(alone.astype(bool))], names=["doc", "text_hash", "at", "n1", "n2", "alone"])
 
     return docs.mapInArrow(run, "doc long, text_hash long, at int, n1 long, n2 long, alone boolean")
 

@@ -1,9 +1,11 @@
+import hashlib
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from strandloom.llm.repeats import remove_repeats
+from strandloom.llm import repeats
+from strandloom.llm.repeats import op2_suffix_dedup, remove_repeats
 from tests.llm.data import documents, empty
 
 
@@ -41,6 +43,58 @@ def test_empty_and_removed_bytes_are_whole(spark):
     assert bad.count() == 0
 
 
+def test_the_query(spark, tmp_path):
+    docs = documents(spark, 5)
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = [str((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in op2_suffix_dedup(spark, f"file://{tmp_path}").collect()]
+    want, data = [], [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
+    seen = Counter(x[i : i + 400] for _, x in data for i in range(len(x) - 399))
+    for doc, x in data:
+        gone = [False] * len(x)
+        for i in range(len(x) - 399):
+            if seen[x[i : i + 400]] > 1:
+                gone[i : i + 400] = [True] * 400
+        kept = bytes(b for b, g in zip(x, gone) if not g)
+        want.append(str((doc, len(x), sum(gone), sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone)), hashlib.sha256(kept).hexdigest())))
+    assert sorted(got) == sorted(want)
+
+
+@pytest.mark.parametrize("chunk", [64, 500])
+def test_cut_texts_agree_with_all_windows(spark, monkeypatch, chunk):
+    monkeypatch.setattr(repeats, "CHUNK", chunk)
+    repeats._tables.cache_clear()
+    try:
+        rows = documents(spark, 6).collect()
+        texts = [(r.doc_id, r.text) for r in rows]
+        for i in (len(texts) // 2, 3):
+            texts.append((900 + i, (texts[i][1] or "") * 3))
+        docs = spark.createDataFrame(texts, "doc_id long, text string")
+        with_chunk = lambda: remove_repeats_here(docs, 40, 10)
+        assert with_chunk() == brute(docs.collect(), 40)
+    finally:
+        repeats._tables.cache_clear()
+
+
+def remove_repeats_here(docs, length, piece):
+    """The operator with this process's chunk size, whose workers take theirs from the module."""
+    chunk = repeats.CHUNK
+
+    def within(f):
+        def run(batches):
+            repeats.CHUNK = chunk
+            yield from f(batches)
+
+        return run
+
+    real = type(docs).mapInArrow
+    type(docs).mapInArrow = lambda self, f, *a: real(self, within(f), *a)
+    try:
+        got = remove_repeats(docs, length, piece).select("doc_id", "n_bytes", "removed", "kept").collect()
+    finally:
+        type(docs).mapInArrow = real
+    return sorted(str((r.doc_id, r.n_bytes, r.removed, bytes(r.kept))) for r in got)
+
+
 def test_a_text_longer_than_a_chunk(spark):
     import random
 

@@ -6,8 +6,8 @@ import pytest
 from tokenizers import Tokenizer
 
 from strandloom.llm import store
-from strandloom.llm.packing import WINDOW, pack, solve, tokenized
-from strandloom.llm.token_files import ShardReader, read_token_files, write_token_files
+from strandloom.llm.packing import WINDOW, combinations, op5_packing, pack, solve, tokenized
+from strandloom.llm.token_files import ShardReader, op3_token_files, read_token_files, write_token_files
 from strandloom.llm.tokens import Encoder
 from tests.llm.data import documents, empty, texts
 
@@ -109,3 +109,38 @@ def test_the_solver_uses_most_of_the_histogram():
     for n, lo, hi, first in zip(plan.length, plan.lo, plan.hi, plan.first):
         fill[first : first + hi - lo] += n
     assert (fill == 2048).all()
+
+
+def test_the_queries(spark, tmp_path):
+    docs = documents(spark, extra=["x y z " * 3000, *ODD])
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    got = sorted(op3_token_files(spark, f"file://{tmp_path}").collect(), key=lambda r: r.start)
+    want = sorted((str((i, len(ids), zlib.crc32(ids.tobytes()))) for i, t in rows for ids in [ids_of(WORD, t, 2)]))
+    assert sorted(str((r.doc_id, r.n_tokens, r.ids_crc32)) for r in got) == want
+    assert [r.start for r in got] == np.cumsum([0] + [r.n_tokens for r in got])[:-1].tolist()
+    assert [r.doc_id for r in got] == sorted((r.doc_id for r in got), key=lambda i: (i is not None, i or 0))
+    pieces = op5_packing(spark, f"file://{tmp_path}").collect()
+    lengths = {}
+    for i, t in rows:
+        lengths.setdefault(i, []).append(len(ids_of(BYTE, t, 1)))
+    for i, own in lengths.items():
+        assert sum(p.length for p in pieces if p.doc_id == i) == sum(own)
+        if len(own) == 1:
+            ids = ids_of(BYTE, next(t for j, t in rows if j == i), 1)
+            assert all(p.ids_crc32 == zlib.crc32(ids[p.start : p.start + p.length].tobytes()) and p.doc_tokens == len(ids) for p in pieces if p.doc_id == i)
+    full = {}
+    for p in pieces:
+        full[p.sequence_id] = full.get(p.sequence_id, 0) + p.length
+    assert max(full.values()) <= 2048 and sum(1 for n in full.values() if n < 2048) <= 1
+
+
+def test_all_combinations_are_listed():
+    rng = np.random.default_rng(1)
+    for window in (12, 30, 61):
+        counts = (rng.random(window + 1) < 0.6).astype("i8")
+        counts[0] = counts[window] = 0
+        got = sorted(map(tuple, combinations(counts, window).tolist()))
+        have = [n for n in range(1, window) if counts[n]]
+        want = {(a, b, 0) for a in have for b in have if a >= b and a + b == window} | {(a, b, c) for a in have for b in have for c in have if a >= b >= c and a + b + c == window}
+        assert got == sorted(want)
