@@ -36,8 +36,9 @@ FIT_ROWS = 40_000
 SLOT_BITS = 22
 #: Toxic rows that a slot must be met in, and the log odds it must have.
 LEAST_DOCS, LEAST_ODDS = 4, 2.5
-#: Words that a worker keeps.
-KNOWN_WORDS = 500_000
+#: Words that a worker keeps, at about 160 bytes each.
+KNOWN_WORDS = 300_000
+_INSULT, _PERSON, _CAPITAL, _MIXED = 1, 2, 4, 8
 # Insults that are counted before anything is learned, and words of address.
 INSULTS = frozenset("idiot idiots moron morons stupid dumb loser losers scum trash garbage pathetic worthless disgusting clown fool imbecile vermin filth".split())
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta vous votre usted tú tus vosotros".split())
@@ -49,38 +50,42 @@ NEAR = 5
 _CAPITALS = bytes(range(ord("A"), ord("Z") + 1))
 
 
-def terms_of(word: str) -> list[str]:
-    """The word itself and its beginnings, marked with a trailing '-'."""
-    return [word, *(word[:k] + "-" for k in _PREFIXES if len(word) > k)]
-
-
-def slot_of(term: str) -> int:
-    """The leading bits of the term's hash, as in learn_lexicon()."""
-    return xxhash.xxh64_intdigest(term.encode(), 42) >> (64 - SLOT_BITS)
-
-
 class Features:
     """The features of texts, in the order of FEATURES; what is known of a word is kept within a bound."""
 
     def __init__(self, lexicon: np.ndarray) -> None:
-        self.lexicon = lexicon
+        self.lexicon = memoryview(lexicon)  # quicker than the array, one number at a time
         self._forget()
 
     def _forget(self) -> None:
         self.words: dict[str, int] = {}
-        self.lows: dict[str, int] = {}
-        self.rows: list[tuple[float, int, bool, bool, bool, bool]] = []
-        self.table = np.zeros((0, 6))
+        self.odds, self.flags = np.zeros(4096, dtype="f8"), np.zeros(4096, dtype="u1")
 
     def _learn(self, words: set[str]) -> None:
+        need = len(self.words) + len(words)
+        if need > len(self.odds):
+            more = max(need, 2 * len(self.odds)) - len(self.odds)
+            self.odds, self.flags = np.concatenate((self.odds, np.zeros(more))), np.concatenate((self.flags, np.zeros(more, dtype="u1")))
+        lexicon, digest, shift = self.lexicon, xxhash.xxh64_intdigest, 64 - SLOT_BITS
         for w in words:
-            low = w.lower()
-            odds = max(0.0, *(float(self.lexicon[slot_of(t)]) for t in terms_of(low)))
-            insult = low in INSULTS
-            mixed = re.search(r"\d", w) is not None and re.search(r"[^\W\d_]", w) is not None
-            self.words[w] = len(self.rows)
-            self.rows.append((max(odds, 4.0) if insult else odds, self.lows.setdefault(low, len(self.lows)), insult, low in SECOND_PERSON, len(w) > 2 and w.isupper(), mixed))
-        self.table = np.concatenate((self.table, np.array(self.rows[len(self.table) :], dtype=float).reshape(-1, 6)))
+            low, k, flags = w.lower(), len(self.words), 0
+            odds = lexicon[digest(low, 42) >> shift]
+            for size in _PREFIXES:
+                if len(low) > size:
+                    odds = max(odds, lexicon[digest(low[:size] + "-", 42) >> shift])
+            if low in INSULTS:
+                odds, flags = max(odds, 4.0), _INSULT
+            if low in SECOND_PERSON:
+                flags |= _PERSON
+            if len(w) > 2 and w.isupper():
+                flags |= _CAPITAL
+            if not w.isalpha() and re.search(r"\d", w) and re.search(r"[^\W\d_]", w):
+                flags |= _MIXED
+            self.words[w] = k
+            if odds > 0:
+                self.odds[k] = odds
+            if flags:
+                self.flags[k] = flags
 
     def __call__(self, text: str | None) -> list[float]:
         words = _WORD.findall(text) if text else []
@@ -91,9 +96,10 @@ class Features:
             self._forget()
         if new := {*words}.difference(self.words):
             self._learn(new)
-        known = self.table[np.fromiter(map(self.words.__getitem__, words), dtype="i8", count=n)]
-        odds = known[:, 0]
-        hits, people = np.flatnonzero(odds > 0), np.flatnonzero(known[:, 3])
+        at = np.fromiter(map(self.words.__getitem__, words), dtype="i8", count=n)
+        odds, flags = self.odds[at], self.flags[at]
+        hits, people = np.flatnonzero(odds > 0), np.flatnonzero(flags & _PERSON)
+        insults = float(np.count_nonzero(flags & _INSULT))
         near = 0
         if len(hits) and len(people):
             after = np.searchsorted(people, hits)
@@ -110,24 +116,24 @@ class Features:
             total,
             total / math.sqrt(n),
             float(odds.max()),
-            float(known[:, 2].sum()),
-            float(known[:, 2].sum()) / n,
+            insults,
+            insults / n,
             float(near),
             len(people) / n,
             capitals / chars,
-            float(known[:, 4].sum()) / n,
+            np.count_nonzero(flags & _CAPITAL) / n,
             text.count("!") / n,
             len(re.findall(r"[^\w\s]", text)) / chars,
             len(re.findall(r"(\w)\1\1", text)) / n,
-            float(known[:, 5].sum()) / n,
+            np.count_nonzero(flags & _MIXED) / n,
             len(re.findall(r"\w[@$*#]\w", text)) / n,
             len(re.findall(r"(?:\b\w\b[ .\-]){3,}", text)) / n,
-            float(len(np.unique(known[hits, 1]))),
+            float(len({words[i].lower() for i in hits.tolist()})),
         ]
 
 
 def learn_lexicon(rows: DataFrame) -> np.ndarray:
-    """Log odds by slot, of the terms in the toxic rows of (text, label); 0 where they don't stand out."""
+    """Log odds by slot (the leading bits of a term's hash), of the terms in the toxic rows of (text, label); 0 where they don't stand out."""
     lexicon = np.zeros(1 << SLOT_BITS, dtype="f4")
     words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), _TERM_SPLIT), lambda w: w != ""))
 
