@@ -171,6 +171,7 @@ def test_queries_take_edges_of_one_genome(spark, monkeypatch):
     n = nodes(spark, [("a|1", 9, ["g1"]), ("b|1", 9, []), ("c|1", 9, []), ("d|1", 1, ["g1"]), ("e|2", 99, []), ("f|2", 99, [])])
     e = edges(spark, [("a|1", "b|1"), ("b|1", "c|1"), ("a|1", "c|1"), ("c|1", "d|1"), ("e|2", "f|2")])
     monkeypatch.setattr(q, "built", lambda s, d: (n, e))
+    monkeypatch.setattr(q, "fine", lambda s, d: (n, e))  # what the two pruning queries read
     got = lambda name, *cols: {tuple(r[c] for c in cols) for r in q.QUERIES[name](spark, "").collect()}
     assert got("graph_components", "cluster_id", "component") == {(f"{x}|1", "a|1") for x in "abcd"} | {("e|2", "e|2"), ("f|2", "e|2")}
     for name in ("remove_contamination", "prune_contig_ends"):
