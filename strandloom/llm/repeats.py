@@ -220,18 +220,23 @@ def window_names(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(run, "doc long, text_hash long, at int, n1 long, n2 long, alone boolean")
 
 
+def _counted(keys: DataFrame, label: str) -> DataFrame:
+    """Distinct keys of a count, written: a join with an aggregate in its own stage can't be split at a hot key, one with a table can."""
+    return store.stored(keys, label).hint("merge")
+
+
 def _settled(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(spans that are repeated throughout, representatives of the undecided) of named spans.
 
     rows(doc, text_hash, lo, hi, place, name, w1, w2, alone); alone: not known to be repeated.
     """
-    names = rows.groupBy("name").agg(F.count(F.lit(1)).alias("met")).where("met > 1").select("name")
+    names = _counted(rows.groupBy("name").agg(F.count(F.lit(1)).alias("met")).where("met > 1").select("name"), "names")
     known = store.stored(rows.join(names, "name", "left_semi"), "known")
     whole = known.groupBy("name", "w1", "w2").agg(F.count(F.lit(1)).alias("met"), F.min(F.struct("doc", "text_hash", "lo", "hi", "place", "alone")).alias("one"))
     whole = store.stored(whole, "whole")
     full = known.join(whole.where("met > 1").select("name", "w1", "w2"), ["name", "w1", "w2"], "left_semi").select("doc", "text_hash", "lo", "hi")
     left = F.count_if((F.col("met") == 1) & F.col("one.alone"))
-    mixed = whole.groupBy("name").agg(F.count(F.lit(1)).alias("kinds"), left.alias("left")).where("kinds > 1 and left > 0").select("name")
+    mixed = _counted(whole.groupBy("name").agg(F.count(F.lit(1)).alias("kinds"), left.alias("left")).where("kinds > 1 and left > 0").select("name"), "mixed")
     ones = whole.join(mixed, "name", "left_semi").select("one.doc", "one.text_hash", "one.lo", "one.hi", "one.place", ((F.col("met") == 1) & F.col("one.alone")).alias("alone"))
     return full, ones
 
@@ -259,7 +264,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, piece: int = PIECE) ->
     held = store.stored(docs.join(F.broadcast(keys) if _few(keys) else keys, _same_text(), "left_semi"), "texts")
     more, ones = _settled(store.stored(parts(held.join(spans, _same_text()), length), "parts"))
     named = store.stored(window_names(held.join(store.stored(_of_text(ones), "undecided"), _same_text()), length), "windows")
-    twice = named.groupBy("n1", "n2").agg(F.count(F.lit(1)).alias("met")).where("met > 1").select("n1", "n2")
+    twice = _counted(named.groupBy("n1", "n2").agg(F.count(F.lit(1)).alias("met")).where("met > 1").select("n1", "n2"), "twice")
     single = named.where("alone").join(twice, ["n1", "n2"], "left_semi").select("doc", "text_hash", F.col("at").alias("lo"), F.col("at").alias("hi"))
     return full.unionByName(more).unionByName(single).groupBy("doc", "text_hash").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
