@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from strandloom.llm import divergence, merkle, mixing
 from strandloom.llm.chat import chat_typed_parts, op10_chat_formatting
 from strandloom.llm.decontaminate import op6_benchmark_decontamination
+from strandloom.llm.divergence import op13_source_divergence
 from strandloom.llm.embeddings import op4_embedding_near_dedup
+from strandloom.llm.merkle import op11_merkle_manifest
 from strandloom.llm.minhash import op7_minhash_near_dedup
+from strandloom.llm.mixing import op12_source_mixing
 from strandloom.llm.packing import op5_packing
 from strandloom.llm.quality import op8_quality_classifier
 from strandloom.llm.repeats import op2_suffix_dedup
@@ -24,7 +28,14 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_toxicity": op9_toxicity,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_source_mixing": op12_source_mixing,
+    "op13_source_divergence": op13_source_divergence,
     "chat_typed_parts": chat_typed_parts,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op11_merkle_manifest": merkle.ORACLE,
+    "op12_source_mixing": mixing.ORACLE,
+    "op13_source_divergence": divergence.ORACLE,
+}
