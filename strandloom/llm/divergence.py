@@ -1,6 +1,7 @@
 """Source divergence audit: how far the sources of a language are from each other and which terms mark them (operator 13).
 
-Terms are counted once where the texts lie, into partial counts by language, source and term.
+Terms are counted once where the texts lie, into partial counts by language and term, with those
+of each source in an array.
 Document frequencies go into a count-min sketch: every partial count is added to the slots of
 its term, the slots are summed over all tasks, and those that reach the threshold are kept as
 bits (2^SKETCH_BITS for each of SKETCH_ROWS hashes, whatever the corpus, broadcast). A slot never
@@ -24,6 +25,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,8 +33,8 @@ from pyspark.sql import functions as F
 from strandloom.llm import store
 
 LEAST_DOCS, TOP_TERMS, SCALE = 10, 10, 1_000_000_000
-#: The sketch: 3 x 2^24 bits are 6 MB. More distinct terms than slots only let more terms through.
-SKETCH_BITS, SKETCH_ROWS = 24, 3
+#: The sketch: 2 x 2^24 bits are 4 MB. More distinct terms than slots only let more terms through.
+SKETCH_BITS, SKETCH_ROWS = 24, 2
 #: Partial counts that a worker holds before it hands them on, and bytes of a text cut into words at once.
 HELD_TERMS, PIECE = 400_000, 1 << 20
 #: Bytes to bytes: small letters for A-Z, a space for all of ASCII else. Bytes above 127 are those of other letters and signs.
@@ -50,32 +52,43 @@ def words_of(text: bytes, piece: int = PIECE) -> Iterator[list[bytes]]:
 
 
 def partial_counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs) of (lang, source, text): what each task has counted, several rows a term."""
-
-    def rows(held: dict) -> Iterator[pa.RecordBatch]:
-        for (lang, source), (times, seen) in held.items():
-            k, terms = len(times), list(times)
-            columns = [pa.array([lang] * k, pa.string()), pa.array([source] * k, pa.string()), pa.array(terms, pa.binary()), pa.array(list(times.values()), pa.int64()), pa.array([seen[t] for t in terms], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "n", "docs"])
+    """(lang, term, docs, counts) of (lang, source, text): what each task has counted, several rows a term; counts has the source and n of each source."""
+
+    def rows(lang: str, seen: Counter, by_source: dict[str, Counter]) -> pa.RecordBatch:
+        number = dict(zip(seen, range(len(seen))))
+        at = np.concatenate([np.fromiter(map(number.__getitem__, c), dtype="i8", count=len(c)) for c in by_source.values()])
+        n = np.concatenate([np.fromiter(c.values(), dtype="i8", count=len(c)) for c in by_source.values()])
+        source = np.repeat(np.arange(len(by_source), dtype="i4"), [len(c) for c in by_source.values()])
+        order = np.argsort(at, kind="stable")
+        offsets = np.concatenate(([0], np.cumsum(np.bincount(at, minlength=len(seen))))).astype("i4")
+        names = pa.array(list(by_source), pa.string()).take(pa.array(source[order]))
+        counts = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([names, pa.array(n[order])], names=["source", "n"]))
+        columns = [pa.array([lang] * len(seen), pa.string()), pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64()), counts]
+        return pa.RecordBatch.from_arrays(columns, names=["lang", "term", "docs", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        held: dict[str, tuple[Counter, dict[str, Counter]]] = {}
         for batch in batches:
             for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text")), strict=True):
                 own: set[bytes] = set()
-                times, seen = held.setdefault((lang, source), (Counter(), Counter()))
+                seen, by_source = held.setdefault(lang, (Counter(), {}))
+                times = by_source.setdefault(source, Counter())
                 for words in words_of(text):
                     times.update(words)
                     own.update(words)
                 seen.update(own)
-            if sum(len(times) for times, _ in held.values()) > HELD_TERMS:
-                yield from rows(held)
+            if sum(len(c) for _, by_source in held.values() for c in by_source.values()) > HELD_TERMS:
+                for lang in [*held]:
+                    if held[lang][0]:
+                        yield rows(lang, *held[lang])
                 held = {}
-        yield from rows(held)
+        for lang in held:
+            if held[lang][0]:
+                yield rows(lang, *held[lang])
 
     store.small_batches(docs.sparkSession)
     found = docs.select("lang", "source", F.col("text").cast("binary").alias("text")).where(F.length("text") > 0)
-    return found.mapInArrow(run, "lang string, source string, term binary, n long, docs long").withColumn("term", F.col("term").cast("string"))
+    return found.mapInArrow(run, "lang string, term binary, docs long, counts array<struct<source:string,n:long>>").withColumn("term", F.col("term").cast("string"))
 
 
 def _slots() -> list[Column]:
@@ -93,20 +106,18 @@ def frequent_slots(partial: DataFrame, least: int) -> np.ndarray:
 
 
 def possible(partial: DataFrame, bits: np.ndarray) -> DataFrame:
-    """The partial counts of terms whose slots are all set."""
+    """The partial counts of terms whose slots are all set; only the slots go to Python."""
     held = partial.sparkSession.sparkContext.broadcast(bits)
-    names = [f"slot{k}" for k in range(SKETCH_ROWS)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            stays = np.ones(batch.num_rows, dtype=bool)
-            for name in names:
-                slot = batch.column(name).to_numpy()
-                stays &= (held.value[slot >> 6] >> (slot & 63).astype("u8")) & np.uint64(1) == 1
-            kept = batch.filter(pa.array(stays))
-            yield pa.RecordBatch.from_arrays([kept.column(c) for c in ("lang", "source", "term", "n", "docs")], names=["lang", "source", "term", "n", "docs"])
+    @F.pandas_udf("boolean")
+    def reached(*slots: pd.Series) -> pd.Series:
+        stays = np.ones(len(slots[0]), dtype=bool)
+        for s in slots:
+            slot = s.to_numpy()
+            stays &= (held.value[slot >> 6] >> (slot & 63).astype("u8")) & np.uint64(1) == 1
+        return pd.Series(stays)
 
-    return partial.select("*", *[s.alias(n) for s, n in zip(_slots(), names)]).mapInArrow(run, "lang string, source string, term string, n long, docs long")
+    return partial.where(reached(*_slots()))
 
 
 def _share(n: str, total: str, terms: str) -> Column:
@@ -125,10 +136,12 @@ def audit(docs: DataFrame, least: int = LEAST_DOCS, top: int = TOP_TERMS, text_c
     rows = docs.select(*text)
     partial = store.stored(partial_counts(rows), "partial")
     likely = possible(partial, frequent_slots(partial, least))
-    counts = store.stored(likely.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "counts")
+    total = F.aggregate("counts.n", F.lit(0).cast("long"), lambda acc, n: acc + n)
+    kept = likely.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum(total).alias("all")).where(F.col("docs") >= least)
+    kept = store.stored(kept.select("lang", "term", "all"), "kept")
+    counts = likely.select("lang", "term", F.explode("counts").alias("one")).groupBy("lang", "one.source", "term").agg(F.sum("one.n").alias("n"))
+    own = store.stored(counts.join(kept, ["lang", "term"]), "own")
     store.forget(partial)
-    kept = store.stored(counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("all")).where(F.col("docs") >= least).drop("docs"), "kept")
-    own = store.stored(counts.drop("docs").join(kept, ["lang", "term"]), "own")
 
     langs = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("all").alias("lang_total"))
     sums = own.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("met"))
