@@ -36,7 +36,7 @@ LEAST_DOCS, TOP_TERMS, SCALE = 10, 10, 1_000_000_000
 #: The sketch: 2 x 2^24 bits are 4 MB. More distinct terms than slots only let more terms through.
 SKETCH_BITS, SKETCH_ROWS = 24, 2
 #: Partial counts that a worker holds before it hands them on, and bytes of a text cut into words at once.
-HELD_TERMS, PIECE = 400_000, 1 << 20
+HELD_TERMS, PIECE = 1_000_000, 1 << 20
 #: Bytes to bytes: small letters for A-Z, a space for all of ASCII else. Bytes above 127 are those of other letters and signs.
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
@@ -136,11 +136,12 @@ def audit(docs: DataFrame, least: int = LEAST_DOCS, top: int = TOP_TERMS, text_c
     rows = docs.select(*text)
     partial = store.stored(partial_counts(rows), "partial")
     likely = possible(partial, frequent_slots(partial, least))
-    total = F.aggregate("counts.n", F.lit(0).cast("long"), lambda acc, n: acc + n)
-    kept = likely.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum(total).alias("all")).where(F.col("docs") >= least)
+    each = likely.select("lang", "term", "docs", F.posexplode("counts").alias("at", "one"))
+    once = F.when(F.col("at") == 0, F.col("docs")).otherwise(0)  # a term's documents go with its first source
+    counts = store.stored(each.groupBy("lang", "one.source", "term").agg(F.sum("one.n").alias("n"), F.sum(once).alias("docs")), "counts")
+    kept = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("all")).where(F.col("docs") >= least)
     kept = store.stored(kept.select("lang", "term", "all"), "kept")
-    counts = likely.select("lang", "term", F.explode("counts").alias("one")).groupBy("lang", "one.source", "term").agg(F.sum("one.n").alias("n"))
-    own = store.stored(counts.join(kept, ["lang", "term"]), "own")
+    own = store.stored(counts.drop("docs").join(kept, ["lang", "term"]), "own")
     store.forget(partial)
 
     langs = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("all").alias("lang_total"))
