@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import sequence as seq
 from strandloom.operators import clustering, graph
+from strandloom.operators.distances import centres
 from strandloom.session import forget, stored
 
-#: Rounds of pruning after which a graph that still has leaves to cut is an error.
-ROUNDS = 100_000
+#: Rounds of pruning after which a graph that still has leaves to cut is an error; each halves the ends.
+ROUNDS = 64
+#: Rounds that take off one node of each tail, before tails are taken off whole.
+SINGLE = 6
 COLLAPSE_THRESHOLDS = (0.99, 0.95, 0.9, 0.8, 0.7)
 
 
@@ -29,24 +32,76 @@ def misassembly_threshold(mode: str, genomes: int) -> int:
     return 0 if mode == "sensitive" else max(2, math.ceil(0.01 * genomes))
 
 
-def _prune(nodes: DataFrame, edges: DataFrame, least: int, extra, rounds: int) -> tuple[DataFrame, DataFrame]:
-    """Rounds on narrow tables: a round writes the ids that go and the neighbours that are left; the nodes and edges are cut once, at the end."""
-    weak = stored(nodes.where((F.col("support") < least) & extra).select(F.col("cluster_id").alias("id")), "weak")
-    sides = stored(graph.both_ways(edges).distinct(), "sides")
-    gone = None
-    for _ in range(rounds):
-        leaves = sides.groupBy("id").agg(F.count(F.lit(1)).alias("degree")).where("degree = 1").join(weak, "id", "left_semi").select("id")
-        new = stored(leaves, "gone")
+def pruned(edges: DataFrame, weak: DataFrame, rounds: int = ROUNDS) -> DataFrame | None:
+    """(cluster_id) of the nodes that go when weak ones (id) of degree 1 are removed until there is none.
+
+    The first rounds are single ones, which is all that most graphs need; what is deeper goes by
+    whole tails.
+    """
+    sides, early = stored(graph.both_ways(edges).distinct(), "sides"), None
+    for _ in range(SINGLE):
+        new = stored(sides.groupBy("id").agg(F.count(F.lit(1)).alias("degree")).where("degree = 1").join(weak, "id", "left_semi").select("id"), "gone")
         if new.isEmpty():
+            return early
+        early = new.withColumnRenamed("id", "cluster_id") if early is None else early.unionByName(new.withColumnRenamed("id", "cluster_id"))
+        last, sides = sides, stored(_cut(sides, new), "sides")
+        forget(last)
+    late = _pruned_tails(sides, weak, rounds)
+    return early if late is None else early.unionByName(late)
+
+
+def _cut(sides: DataFrame, gone: DataFrame) -> DataFrame:
+    return sides.join(gone, "id", "left_anti").join(gone.withColumnRenamed("id", "nbr"), "nbr", "left_anti").select("id", "nbr")
+
+
+def _pruned_tails(sides: DataFrame, weak: DataFrame, rounds: int) -> DataFrame | None:
+    """As pruned(), of neighbours (id, nbr), by whole tails.
+
+    A weak node is certain to go once it has one neighbour, whenever that is. So a round removes
+    whole tails: of the weak nodes with two neighbours or fewer, every connected run that holds a
+    node of degree 1. Nodes that fork lose two tails or more before they are an end, so each
+    round halves the ends. Only where a tree is used up does the order matter: ends that vanish
+    at the same time leave the node between them alone, without a neighbour, and it stays. These
+    are the trees of weak nodes with one node in the middle.
+    """
+    whole, gone = sides, None
+    for _ in range(rounds):
+        degree = sides.groupBy("id").agg(F.count(F.lit(1)).alias("degree")).where("degree <= 2")
+        slim = stored(degree.join(weak, "id", "left_semi"), "slim")
+        ends = slim.where("degree = 1").select("id")
+        if ends.isEmpty():
             break
+        runs = sides.where("id < nbr").join(slim.select("id"), "id", "left_semi").join(slim.select(F.col("id").alias("nbr")), "nbr", "left_semi")
+        comp = stored(graph.components(runs.select(F.col("id").alias("src"), F.col("nbr").alias("dst"))), "runs")
+        cut = comp.join(ends.withColumnRenamed("id", "cluster_id"), "cluster_id", "left_semi").select("component").distinct()
+        new = stored(comp.join(cut, "component", "left_semi").select(F.col("cluster_id").alias("id")).unionByName(ends).distinct(), "gone")
         gone = new if gone is None else gone.unionByName(new)
-        last, sides = sides, stored(sides.join(new, "id", "left_anti").join(new.withColumnRenamed("id", "nbr"), "nbr", "left_anti").select("id", "nbr"), "sides")
-        forget(last)
+        last, sides = sides, stored(_cut(sides, new), "sides")
+        if last is not whole:
+            forget(last)
     else:
         raise RuntimeError(f"leaves were left after {rounds} rounds")
+    if gone is None:
+        return None
+    alone = whole.select("id").distinct().join(weak, "id", "left_semi").join(sides, "id", "left_anti")  # gone, or left without a neighbour
+    used = stored(gone.unionByName(alone).distinct().withColumnRenamed("id", "cluster_id"), "used")
+    inside = whole.where("id <> nbr").join(used.withColumnRenamed("cluster_id", "id"), "id", "left_semi")
+    out = inside.join(used.withColumnRenamed("cluster_id", "nbr"), "nbr", "left_anti").select("id").unionByName(whole.where("id = nbr").select("id")).distinct()
+    within = stored(inside.join(used.withColumnRenamed("cluster_id", "nbr"), "nbr", "left_semi").where("id < nbr").select(F.col("id").alias("src"), F.col("nbr").alias("dst")), "within")
+    group = stored(graph.components(within), "groups")
+    held = group.join(out.withColumnRenamed("id", "cluster_id"), "cluster_id", "left_semi").select("component").distinct()
+    trees = stored(group.join(held, "component", "left_anti"), "trees")
+    if trees.isEmpty():
+        return used
+    tree_edges = stored(within.join(trees.select(F.col("cluster_id").alias("src")), "src", "left_semi"), "tree_edges")
+    return stored(used.join(centres(tree_edges, trees), "cluster_id", "left_anti"), "used")
+
+
+def _prune(nodes: DataFrame, edges: DataFrame, least: int, extra, rounds: int) -> tuple[DataFrame, DataFrame]:
+    weak = stored(nodes.where((F.col("support") < least) & extra).select(F.col("cluster_id").alias("id")), "weak")
+    gone = pruned(edges, weak, rounds)
     if gone is None:
         return nodes, edges
-    gone = stored(gone.withColumnRenamed("id", "cluster_id"), "gone")
     return tuple(stored(x, n) for x, n in zip(graph.without_nodes(nodes, edges, gone), ("nodes", "edges")))
 
 

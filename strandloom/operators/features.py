@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-import functools
-import itertools
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.operators import graph
-from strandloom.session import stored
-
-#: Levels of a tree that are kept apart before they are written together.
-LEVELS = 32
+from strandloom.operators.distances import distances
+from strandloom.session import forget, stored
 
 
 def directed_edges(pairs: DataFrame) -> DataFrame:
@@ -21,11 +16,11 @@ def directed_edges(pairs: DataFrame) -> DataFrame:
 
 
 def inversions(directed: DataFrame) -> DataFrame:
-    """(kind, clusters, genomes, support): a pair read both ways by disjoint sets of genomes."""
+    """(kind, clusters, genomes, support): a pair read both ways by disjoint sets of genomes; the smaller set's size is the support."""
     f, r = directed.alias("f"), directed.alias("r")
     both = f.join(r, (F.col("f.a") == F.col("r.b")) & (F.col("f.b") == F.col("r.a"))).where((F.col("f.a") < F.col("f.b")) & ~F.arrays_overlap("f.genomes", "r.genomes"))
     genomes = F.sort_array(F.array_union("f.genomes", "r.genomes"))
-    return both.select(F.lit("inversion").alias("kind"), F.array("f.a", "f.b").alias("clusters"), genomes.alias("genomes"), F.size(genomes).cast("long").alias("support"))
+    return both.select(F.lit("inversion").alias("kind"), F.array("f.a", "f.b").alias("clusters"), genomes.alias("genomes"), F.least(F.size("f.genomes"), F.size("r.genomes")).cast("long").alias("support"))
 
 
 def duplications(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -42,52 +37,46 @@ def structural_variants(nodes: DataFrame, edges: DataFrame, pairs: DataFrame) ->
 def spanning_tree(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node, parent, depth, root): breadth-first trees from each component's least id; least parent wins.
 
-    A round is one level; with rounds given, deeper trees are an error. A level's neighbours are
-    in it or in those next to it, so no round reads the whole tree.
+    Depths come first, in rounds that don't grow with chains; a parent is then the least
+    neighbour one step nearer. With rounds given, deeper trees are an error.
     """
     step = stored(graph.both_ways(edges.where("src <> dst")).distinct(), "steps")
     comp = stored(graph.components(edges), "trees")
-    front = stored(comp.where("cluster_id = component").select(F.col("cluster_id").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"), F.col("component").alias("root")), "trees")
-    before, levels = front, [front]
-    for d in itertools.count(1):
-        reached = front.join(step, front["node"] == step["id"]).groupBy(F.col("nbr")).agg(F.min("id").alias("parent"), F.first("root").alias("root"))
-        near = before.unionByName(front).select(F.col("node").alias("nbr"))
-        new = reached.join(near, "nbr", "left_anti")
-        before, front = front, stored(new.select(F.col("nbr").alias("node"), "parent", F.lit(d).alias("depth"), "root"), "trees")
-        if front.isEmpty():
-            break
-        if rounds is not None and d >= rounds:
-            raise RuntimeError(f"a tree is deeper than {rounds - 1} levels")
-        levels.append(front)
-        if len(levels) == LEVELS:
-            levels = [stored(functools.reduce(DataFrame.unionByName, levels), "trees")]
-    return stored(functools.reduce(DataFrame.unionByName, levels), "trees")
+    depths = distances(edges, comp.where("cluster_id = component").select(F.col("cluster_id").alias("id")))
+    if rounds is not None and (depths.agg(F.max("depth")).first()[0] or 0) >= rounds:
+        raise RuntimeError(f"a tree is deeper than {rounds - 1} levels")
+    near = step.join(depths.select(F.col("node").alias("id"), F.col("depth").alias("own")), "id").join(depths.select(F.col("node").alias("nbr"), F.col("depth").alias("there")), "nbr")
+    parents = near.where("there = own - 1").groupBy(F.col("id").alias("node")).agg(F.min("nbr").alias("parent"))
+    named = depths.join(comp, depths["node"] == comp["cluster_id"]).join(parents, "node", "left")
+    return stored(named.select("node", "parent", F.col("depth").cast("int").alias("depth"), F.col("component").alias("root")), "trees")
+
+
+def ancestors(tree: DataFrame, most: int) -> DataFrame:
+    """(node, up): the node and its ancestors, nearest first, most + 1 at most; a round doubles how far a path goes."""
+    ways = stored(tree.select("node", F.array("node").alias("path"), F.col("parent").alias("next")), "paths")
+    for _ in range(most.bit_length()):
+        further = ways.select(F.col("node").alias("next"), F.col("path").alias("more"), F.col("next").alias("then"))
+        last, ways = ways, stored(ways.join(further, "next", "left").select("node", F.slice(F.concat("path", F.coalesce("more", F.array().cast("array<string>"))), 1, most + 1).alias("path"), F.col("then").alias("next")), "paths")
+        forget(last)
+    return ways.select("node", F.col("path").alias("up"))
 
 
 def cycles(edges: DataFrame, least: int = 3, most: int = 20) -> DataFrame:
     """(cycle, node): one fundamental cycle for each edge outside the trees, of bounded length.
 
-    Both ends walk up to their meeting point, the deeper one first; walks stop where the cycle
-    would be too long.
+    The ends of such an edge are at most a level apart, so in a cycle of most nodes each is at
+    most half of them below the node where the ends' ways up meet.
     """
     tree = stored(spanning_tree(edges), "tree")
-    t = tree.select("node", "parent", "depth")
+    t = tree.select("node", "parent")
     chord = edges.where("src <> dst").join(t.select(F.col("node").alias("src"), F.col("parent").alias("ps")), "src").join(t.select(F.col("node").alias("dst"), F.col("parent").alias("pd")), "dst")
-    chord = chord.where(~(F.coalesce(F.col("ps") == F.col("dst"), F.lit(False)) | F.coalesce(F.col("pd") == F.col("src"), F.lit(False))))
-    walk = stored(chord.select(F.concat_ws("~", "src", "dst").alias("cycle"), F.col("src").alias("a"), F.col("dst").alias("b"), F.array("src", "dst").alias("path")), "walk")
-    met = None
-    for _ in range(most):
-        w = walk.join(t.select(F.col("node").alias("a"), F.col("parent").alias("pa"), F.col("depth").alias("da")), "a").join(t.select(F.col("node").alias("b"), F.col("parent").alias("pb"), F.col("depth").alias("db")), "b")
-        up_a, up_b = F.col("da") >= F.col("db"), F.col("db") > F.col("da")
-        moved = w.select("cycle", F.when(up_a, F.col("pa")).otherwise(F.col("a")).alias("a"), F.when(up_b, F.col("pb")).otherwise(F.col("b")).alias("b"), "path")
-        moved = moved.withColumn("path", F.array_distinct(F.concat("path", F.array("a", "b"))))
-        moved = stored(moved.where(F.size("path") <= most), "walk")
-        here = moved.where("a = b")
-        met = here if met is None else met.unionByName(here)
-        walk = moved.where("a <> b")
-        if walk.isEmpty():
-            break
-    return met.where(F.size("path") >= least).select("cycle", F.explode("path").alias("node"))
+    chord = chord.where(~(F.coalesce(F.col("ps") == F.col("dst"), F.lit(False)) | F.coalesce(F.col("pd") == F.col("src"), F.lit(False)))).select("src", "dst").distinct()
+    up = stored(ancestors(tree, most // 2 + 1), "ancestors")
+    both = chord.join(up.select(F.col("node").alias("src"), F.col("up").alias("a")), "src").join(up.select(F.col("node").alias("dst"), F.col("up").alias("b")), "dst")
+    meet = both.withColumn("top", F.get(F.array_intersect("a", "b"), F.lit(0))).where("top is not null")
+    below = [F.slice(side, F.lit(1), F.array_position(side, F.col("top")).cast("int") - 1) for side in ("a", "b")]
+    met = meet.select(F.concat_ws("~", "src", "dst").alias("cycle"), F.concat(*below, F.array("top")).alias("path"))
+    return met.where((F.size("path") <= most) & (F.size("path") >= least)).select("cycle", F.explode("path").alias("node"))
 
 
 def cycle_sets(cycle_nodes: DataFrame) -> DataFrame:

@@ -197,7 +197,21 @@ def gene_neighbourhood(spark: SparkSession, d: str) -> DataFrame:
     return graph.neighbourhood(nodes, edges, edges.agg(F.min("src")).first()[0], 2)[0].select("cluster_id", "support", "depth")
 
 
-@query()
+#: Trees from each component's least id, cycles of the other edges, and sets of cycles that share two nodes or more, by rounds of passing on the least cycle.
+CYCLES_SQL = LABELS_SQL + """, tree0 AS MATERIALIZED (SELECT id AS node, 0 AS depth FROM l12 WHERE id = low),
+walk AS (SELECT node, depth FROM tree0 UNION SELECT nbr, depth + 1 FROM walk JOIN sides2 ON id = node WHERE depth < 12), depths AS MATERIALIZED (SELECT node, min(depth) AS depth FROM walk GROUP BY 1),
+tree AS MATERIALIZED (SELECT d.node, d.depth, min(p.node) AS parent FROM depths d LEFT JOIN sides2 s ON s.id = d.node LEFT JOIN depths p ON p.node = s.nbr AND p.depth = d.depth - 1 GROUP BY 1, 2),
+paths AS (SELECT node, [node] AS path FROM tree0 UNION ALL SELECT t.node, list_prepend(t.node, p.path) FROM paths p JOIN tree t ON t.parent = p.node),
+chords AS MATERIALIZED (SELECT a.node || '~' || b.node AS cycle, list_concat(list_filter(x.path, lambda v: NOT list_contains(y.path, v)), list_filter(y.path, lambda v: NOT list_contains(x.path, v)), [list_filter(x.path, lambda v: list_contains(y.path, v))[1]]) AS path
+  FROM edges e JOIN tree a ON a.node = e.src JOIN tree b ON b.node = e.dst JOIN paths x ON x.node = a.node JOIN paths y ON y.node = b.node WHERE e.src <> e.dst AND a.parent IS DISTINCT FROM b.node AND b.parent IS DISTINCT FROM a.node),
+c0 AS MATERIALIZED (SELECT cycle, unnest(path) AS node FROM chords WHERE len(path) BETWEEN 3 AND 20),
+both2 AS MATERIALIZED (SELECT a.cycle, a.node AS x, b.node AS y FROM c0 a JOIN c0 b ON a.cycle = b.cycle AND a.node < b.node), m0 AS MATERIALIZED (SELECT DISTINCT cycle, cycle AS low FROM c0)""" + "".join(
+    f", m{i + 1} AS MATERIALIZED (SELECT cycle, min(low) AS low FROM (SELECT b.cycle, min(m.low) OVER (PARTITION BY b.x, b.y) AS low FROM both2 b JOIN m{i} m USING (cycle)) GROUP BY 1)" for i in range(12)) + """,
+big AS (SELECT low FROM m12 GROUP BY 1 HAVING count(*) >= 2), members AS (SELECT DISTINCT low, node FROM c0 JOIN m12 USING (cycle) JOIN big USING (low)),
+flagged AS (SELECT DISTINCT node FROM (SELECT node, support, floor(0.5 * max(support) OVER (PARTITION BY low)) AS least FROM members JOIN nodes ON cluster_id = node) WHERE support < least)"""
+
+
+@query(f"WITH RECURSIVE {CYCLES_SQL.replace(EDGES_SQL, NODES_SQL, 1)} SELECT cluster_id, support, node IS NOT NULL AS is_highly_variable FROM nodes LEFT JOIN flagged ON node = cluster_id")
 def highly_variable(spark: SparkSession, d: str) -> DataFrame:
     nodes, edges = built(spark, d)
     return features.highly_variable(nodes, edges, min_cycles=2).select("cluster_id", "support", "is_highly_variable")

@@ -124,7 +124,7 @@ def test_context_similarity(spark):
 def test_inversions_need_disjoint_genomes(spark):
     pairs = spark.createDataFrame([("a", "b", "g1"), ("b", "a", "g2"), ("c", "d", "g1"), ("d", "c", "g1")], "a string, b string, genome_id string")
     got = features.inversions(features.directed_edges(pairs)).collect()
-    assert [(r.clusters, r.genomes, r.support) for r in got] == [(["a", "b"], ["g1", "g2"], 2)]
+    assert [(r.clusters, r.genomes, r.support) for r in got] == [(["a", "b"], ["g1", "g2"], 1)]
 
 
 def test_expected_curve_is_the_mean_over_all_subsets(spark):
@@ -185,16 +185,148 @@ def test_queries_take_edges_of_one_genome(spark, monkeypatch):
     assert {c for c, flag in got("highly_variable", "cluster_id", "is_highly_variable") if flag} == {"d|1"}
 
 
-def test_trees_of_any_depth(spark, monkeypatch):
-    monkeypatch.setattr(features, "LEVELS", 3, raising=False)
+def test_trees_of_any_depth(spark):
     e = edges(spark, [(f"c{i}", f"c{i + 1}") for i in range(9)])
     assert {(r.node, r.parent, r.depth) for r in features.spanning_tree(e).collect()} == {(f"c{i}", f"c{i - 1}" if i else None, i) for i in range(10)}
-    assert features.spanning_tree(e, 10).count() == 10
     with pytest.raises(RuntimeError):
         features.spanning_tree(e, 9)
     assert inspect.signature(features.spanning_tree).parameters["rounds"].default is None
 
 
+def plain_tree(pairs):
+    """Breadth-first trees from each component's least id, the least parent of each node."""
+    near = {}
+    for a, b in pairs:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    found = {}
+    for root in sorted(near):
+        if root in found:
+            continue
+        found[root], level = (None, 0, root), [root]
+        while level:
+            reached = sorted({y for x in level for y in near[x]} - found.keys())
+            for y in reached:
+                found[y] = (min(x for x in level if x in near[y]), found[level[0]][1] + 1, root)
+            level = reached
+    return found
+
+
+def chains_and_rings(seed):
+    """A few hubs joined by chains of many lengths, tails, rings, double edges of both kinds and a ring alone."""
+    rng = random.Random(seed)
+    pairs, fresh = [], iter(range(10**6))
+    for _ in range(rng.randrange(4, 14)):
+        at = a = f"h{rng.randrange(5)}"
+        for _ in range(rng.randrange(0, 12)):
+            at, last = f"{rng.choice('axz')}{next(fresh)}", at
+            pairs.append((last, at))
+        if rng.random() < 0.7:
+            pairs.append((at, rng.choice([a, f"h{rng.randrange(5)}"])))
+    ring = [f"r{i}" for i in range(rng.randrange(3, 9))]
+    pairs += [*zip(ring, ring[1:]), (ring[-1], ring[0]), ("p", "q")]
+    return [(a, b) for a, b in pairs if a != b or rng.random() < 0.3]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_trees_of_chains_and_rings(spark, monkeypatch, seed):
+    from strandloom.operators import distances
+
+    monkeypatch.setattr(distances, "SHALLOW", 1)
+    pairs = chains_and_rings(seed)
+    got = {r.node: (r.parent, r.depth, r.root) for r in features.spanning_tree(edges(spark, pairs)).collect()}
+    assert got == plain_tree(pairs)
+
+
+def counted(monkeypatch, *modules):
+    """The names of all tables written from now on: each round writes one at least."""
+    import strandloom.session as session
+
+    names = []
+
+    def stored(df, name):
+        names.append(name)
+        return session.stored(df, name)
+
+    for m in modules:
+        monkeypatch.setattr(m, "stored", stored)
+    return names
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    from strandloom.operators import distances
+
+    pairs = [(f"c{i:05}", f"c{i + 1:05}") for i in range(4999)] + [("c00000", "c04999"), ("c01000", "side")]
+    names = counted(monkeypatch, features, graph, distances)
+    got = {r.node: (r.parent, r.depth, r.root) for r in features.spanning_tree(edges(spark, pairs)).collect()}
+    assert got == plain_tree(pairs)
+    assert sum(n in ("components", "arcs", "front") for n in names) < 60, names
+
+
+def plain_cycles(pairs, most):
+    tree, out = plain_tree(pairs), []
+    for a, b in {(min(p), max(p)) for p in pairs if p[0] != p[1]}:
+        if tree[a][0] == b or tree[b][0] == a:
+            continue
+        x, y, nodes = a, b, {a, b}
+        while x != y:
+            if tree[x][1] >= tree[y][1]:
+                x = tree[x][0]
+            else:
+                y = tree[y][0]
+            nodes |= {x, y}
+        if 3 <= len(nodes) <= most:
+            out.append(tuple(sorted(nodes)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("most", [8])
+def test_cycles_follow_the_ways_up(spark, most):
+    pairs = chains_and_rings(7) + chains_and_rings(8)
+    got = {}
+    for r in features.cycles(edges(spark, pairs), most=most).collect():
+        got.setdefault(r.cycle, []).append(r.node)
+    assert sorted(tuple(sorted(x)) for x in got.values()) == plain_cycles(pairs, most)
+
+
+def plain_pruning(pairs, weak):
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    gone = set()
+    while True:
+        now = {v for v, n in near.items() if v not in gone and v in weak and len(n - gone) == 1}
+        if not now:
+            return gone
+        gone |= now
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_pruning_is_that_of_single_rounds(spark, monkeypatch, seed):
+    monkeypatch.setattr(correction, "SINGLE", 1)
+    rng = random.Random(seed)
+    pairs = chains_and_rings(seed) if seed % 2 else []
+    for t in range(8):  # trees of weak nodes, with one node in the middle or two
+        size = rng.randrange(1, 12)
+        pairs += [(f"t{t}_{i}", f"t{t}_{rng.randrange(max(0, i - 3), i)}") for i in range(1, size + 1)]
+    pairs += [("l1", "l1"), ("l1", "l2"), ("l2", "l3"), ("m", "m")]
+    ids = sorted({x for p in pairs for x in p})
+    strong = {x for x in ids if rng.random() < 0.15 and not x.startswith("t")} | {x for x in ids if x.startswith("t1_") and rng.random() < 0.2}
+    weak = spark.createDataFrame([(x,) for x in ids if x not in strong], "id string")
+    found = correction.pruned(edges(spark, pairs), weak)
+    assert {r.cluster_id for r in found.collect()} == plain_pruning(pairs, set(ids) - strong)
+
+
+def test_a_long_tail_takes_few_rounds(spark, monkeypatch):
+    rounds = counted(monkeypatch, correction)
+    tail = [(f"t{i:05}", f"t{i + 1:05}") for i in range(10_000)] + [("t10000", "x"), ("x", "y"), ("y", "z"), ("z", "x"), ("t05000", "u1"), ("u1", "u2")]
+    weak = spark.createDataFrame([(f"t{i:05}",) for i in range(10_001)] + [("u1",), ("u2",)], "id string")
+    assert correction.pruned(edges(spark, tail), weak).count() == 10_003
+    assert rounds.count("sides") < 20
+
+
 def sequential(seqs, identity, lengths):
     """The greedy pass in order, one row at a time."""
     cents, out = [], {}
