@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Characters that an attribute value can't hold, and their escapes, '%' first.
 GFF_ESCAPES = (("%", "%25"), ("\t", "%09"), ("\n", "%0A"), ("\r", "%0D"), (";", "%3B"), ("=", "%3D"), ("&", "%26"), (",", "%2C"))
-GML_ESCAPES = (("&", "&amp;"), ('"', "&quot;"))
+GML_ESCAPES = (("\\", "\\\\"), ('"', '\\"'))
 HTML_ESCAPES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;"))
 
 
@@ -26,7 +26,8 @@ def gml_escape(text: Column) -> Column:
 
 
 def gml_unescape(text: Column) -> Column:
-    return _replaced(text, [(b, a) for a, b in reversed(GML_ESCAPES)])
+    """A backslash before a quote or another backslash goes; others stay."""
+    return F.regexp_replace(text, r'\\([\\"])', "$1")
 
 
 def html_escape(text: Column) -> Column:

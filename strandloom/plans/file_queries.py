@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.functions import text as txt
-from strandloom.operators import curves, graph, matrix, statistics
+from strandloom.operators import graph, matrix, statistics
 from strandloom.plans import graph_queries, matrix_queries, tpch
 from strandloom.plans.functions_queries import DNA_SQL, dna
 from strandloom.plans.matrix_queries import GENOMES, SHARE, TRAITS
@@ -86,6 +86,30 @@ def graph_file_edges(spark: SparkSession, d: str) -> DataFrame:
     return graph_file(spark, d)[1].withColumn("genomes", F.array_join("genomes", ","))
 
 
+def graph_text(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """A graph file of parts and of suppliers' parts, its lines put together here: brackets, quotes and backslashes in names."""
+    part, supplied = tpch.table(spark, d, "part"), tpch.table(spark, d, "lineitem")
+    node = F.concat(
+        F.lit('  node [\n    id "p'), "p_partkey", F.lit('"\n    label "p'), "p_partkey", F.lit('"\n    support '), "p_size", F.lit("\n    is_paralog "), F.col("p_size") % 2,
+        F.lit('\n    is_highly_variable 0\n    length 4\n    seq "ACGT,AC"\n    genomes [\n      "a'), F.col("p_partkey") % 7, F.lit('"\n      "b'), F.col("p_size") % 3,
+        F.lit('"\n    ]\n    member "m1;m'), "p_partkey", F.lit('"\n    annotation "[Fe] \\\\ \\"'), "p_type", F.lit('\\" ['), "p_name", F.lit(']"\n  ]'),
+    )
+    wires = supplied.select((F.col("l_partkey")).alias("a"), F.col("l_suppkey").alias("b")).where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    edge = F.concat(F.lit('  edge [\n    source "p'), "a", F.lit('"\n    target "p'), "b", F.lit('"\n    support '), "n", F.lit('\n    genomes [\n      "g'), F.col("a") % 5, F.lit('"\n    ]\n  ]'))
+    return tables.graph_markup(spark, written(spark, part.select(node.alias("value")).unionByName(wires.select(edge.alias("value"))), "markup"))
+
+
+@query("""SELECT 'p' || p_partkey AS cluster_id, CAST(p_size AS BIGINT) AS support, p_size % 2 = 1 AS is_paralog, 'a' || p_partkey % 7 || ',b' || p_size % 3 AS genomes, 'm1;m' || p_partkey AS members, '[Fe] \\ "' || p_type || '" [' || p_name || ']' AS annotation, 'ACGT' AS sequence FROM part""")
+def graph_text_nodes(spark: SparkSession, d: str) -> DataFrame:
+    n = graph_text(spark, d)[0]
+    return n.select("cluster_id", "support", "is_paralog", F.array_join("genomes", ",").alias("genomes"), F.array_join("members", ";").alias("members"), "annotation", "sequence")
+
+
+@query("SELECT least('p' || l_partkey, 'p' || l_suppkey) AS src, greatest('p' || l_partkey, 'p' || l_suppkey) AS dst, count(*) AS support, 'g' || l_partkey % 5 AS genomes FROM lineitem WHERE l_partkey <> l_suppkey GROUP BY l_partkey, l_suppkey")
+def graph_text_edges(spark: SparkSession, d: str) -> DataFrame:
+    return graph_text(spark, d)[1].withColumn("genomes", F.array_join("genomes", ","))
+
+
 @query(f"WITH {NODES_SQL} SELECT cluster_id, CAST(support AS INTEGER) AS support, is_paralog, CAST(n_genomes AS INTEGER) AS genome_count FROM nodes")
 def parquet_nodes(spark: SparkSession, d: str) -> DataFrame:
     path = fresh_path(spark, "graph")
@@ -317,16 +341,16 @@ def cluster_json(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.text(written(spark, lines.coalesce(1), "json")).withColumn("k", F.monotonically_increasing_id()).select("value", F.row_number().over(Window.orderBy("k")).cast("long").alias("place"))
 
 
-@query(f"WITH {SHARE}, b AS (SELECT CASE WHEN share >= 0.99 THEN 'Core genes' WHEN share >= 0.95 THEN 'Soft core genes' WHEN share >= 0.15 THEN 'Shell genes' ELSE 'Cloud genes' END AS title FROM shares), titles AS (SELECT unnest(['Core genes', 'Soft core genes', 'Shell genes', 'Cloud genes']) AS title) SELECT title, count(b.title) AS n FROM titles LEFT JOIN b USING (title) GROUP BY 1 UNION ALL SELECT 'Total genes', count(*) FROM shares UNION ALL SELECT 'Highly variable genes', 3")
+@query(f"WITH {SHARE}, b AS (SELECT CASE WHEN share >= 0.99 THEN 'Core genes (>= 99%)' WHEN share >= 0.95 THEN 'Soft core genes (95-99%)' WHEN share >= 0.15 THEN 'Shell genes (15-95%)' ELSE 'Cloud genes (0-15%)' END AS title FROM shares), titles AS (SELECT unnest(['Core genes (>= 99%)', 'Soft core genes (95-99%)', 'Shell genes (15-95%)', 'Cloud genes (0-15%)']) AS title) SELECT title, count(b.title) AS n FROM titles LEFT JOIN b USING (title) GROUP BY 1 UNION ALL SELECT 'Total genes', count(*) FROM shares UNION ALL SELECT 'Highly variable genes', 3")
 def summary_text(spark: SparkSession, d: str) -> DataFrame:
     path = fresh_path(spark, "summary")
     sink.write_one(spark, path, sink.summary_text(tpch.presence(spark, d), 3))
-    f = F.split("value", "\t")
-    return spark.read.text(path).select(f[0].alias("title"), f[2].cast("long").alias("n"))
+    f = F.split("value", ": ")
+    return spark.read.text(path).select(f[0].alias("title"), f[1].cast("long").alias("n"))
 
 
 VARIANTS = NODES_SQL + """, directed AS (SELECT a, b, list_sort(list(DISTINCT genome_id)) AS genomes FROM pairs GROUP BY 1, 2),
-variants AS (SELECT 'inversion' AS kind, f.a || ';' || f.b AS clusters, list_sort(list_distinct(list_concat(f.genomes, r.genomes))) AS genomes, CAST(len(f.genomes) + len(r.genomes) AS BIGINT) AS support FROM directed f JOIN directed r ON f.a = r.b AND f.b = r.a WHERE f.a < f.b AND NOT list_has_any(f.genomes, r.genomes)
+variants AS (SELECT 'inversion' AS kind, f.a || ';' || f.b AS clusters, list_sort(list_distinct(list_concat(f.genomes, r.genomes))) AS genomes, CAST(least(len(f.genomes), len(r.genomes)) AS BIGINT) AS support FROM directed f JOIN directed r ON f.a = r.b AND f.b = r.a WHERE f.a < f.b AND NOT list_has_any(f.genomes, r.genomes)
  UNION ALL SELECT 'duplication', cluster_id, (SELECT list_sort(list(DISTINCT genome_id)) FROM placed p WHERE p.cluster_id = nodes.cluster_id), support FROM nodes JOIN degrees USING (cluster_id) WHERE degree >= 3
  UNION ALL SELECT 'tandem_duplication', src, genomes, support FROM edges WHERE src = dst)"""
 
@@ -338,11 +362,12 @@ def variants(spark: SparkSession, d: str) -> DataFrame:
     return features.structural_variants(nodes, edges, graph.adjacent_pairs(tpch.placed(spark, d), ORDER))
 
 
-@query(f"WITH {VARIANTS} SELECT kind, clusters, array_to_string(genomes, ';') AS genomes, support FROM variants")
+@query(f"""WITH {VARIANTS}, rows AS (SELECT CASE kind WHEN 'inversion' THEN 'INVERSION' ELSE 'DUPLICATION' END AS type, '[' || clusters || ']' AS clusters, array_to_string(genomes, ';') AS carriers, support FROM variants)
+SELECT 'SV_' || row_number() OVER (ORDER BY type, clusters, carriers, support) AS id, type, support, clusters, carriers FROM rows""")
 def structural_variants(spark: SparkSession, d: str) -> DataFrame:
     path = fresh_path(spark, "variants")
     sink.write_csv(sink.variant_rows(variants(spark, d)), path)
-    return spark.read.csv(path, header=True).withColumn("support", F.col("support").cast("long"))
+    return spark.read.csv(path, header=True).toDF("id", "type", "support", "clusters", "carriers").withColumn("support", F.col("support").cast("long"))
 
 
 @query(f"WITH {VARIANTS}, named AS (SELECT *, CASE kind WHEN 'inversion' THEN 'INV' ELSE 'DUP' END AS prefix FROM variants), ids AS (SELECT prefix || '_' || row_number() OVER (PARTITION BY prefix ORDER BY clusters, kind) AS variant, genomes FROM named) SELECT variant, " + ", ".join(f"CAST(list_contains(genomes, '{g}') AS INTEGER) AS g{g}" for g in GENOMES) + " FROM ids")
@@ -438,8 +463,3 @@ def quality_of_genomes(spark: SparkSession, d: str) -> DataFrame:
     n = tpch.table(spark, d, "nation")
     qc = matrix.qc_passed(n.select(F.col("n_nationkey").cast("string").alias("genome_id"), (F.col("n_nationkey") * 4).cast("double").alias("completeness"), (F.col("n_nationkey") % 12).cast("double").alias("contamination")))
     return tpch.presence(spark, d).join(F.broadcast(qc), "genome_id").groupBy("genome_id", "passed").agg(F.count(F.lit(1)).alias("n_clusters"))
-
-
-@query("SELECT CAST(n AS INTEGER) AS n, CAST(k AS INTEGER) AS k FROM (SELECT unnest([1, 7, 20, 25, 400]) AS n), range(1, 21) t(i), LATERAL (SELECT CASE WHEN n <= 20 THEN CASE WHEN i <= n THEN i END ELSE round_even(1 + (n - 1) * (i - 1) / 19, 0) END AS k) WHERE k IS NOT NULL".replace("range(1, 21) t(i), LATERAL", "(SELECT unnest(range(1, 21)) AS i), LATERAL"))
-def size_grid(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(n, k) for n in (1, 7, 20, 25, 400) for k in curves.grid(n)], "n int, k int")

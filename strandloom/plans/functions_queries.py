@@ -85,7 +85,7 @@ def infix_identities(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT event_id, replace(replace(replace(replace(replace(replace(replace(replace(props, '%', '%25'), chr(9), '%09'), chr(10), '%0A'), chr(13), '%0D'), ';', '%3B'), '=', '%3D'), '&', '%26'), ',', '%2C') AS gff,
-replace(replace(props, '&', '&amp;'), '"', '&quot;') AS gml, props AS back, translate(event_type || '/' || props, '/\\:', '___') AS file_name FROM events""")
+replace(replace(props, '\\', '\\\\'), '"', '\\"') AS gml, props AS back, translate(event_type || '/' || props, '/\\:', '___') AS file_name FROM events""")
 def escapes(spark: SparkSession, d: str) -> DataFrame:
     p = F.col("props")
     return tpch.table(spark, d, "events").select("event_id", txt.gff_escape(p).alias("gff"), txt.gml_escape(p).alias("gml"), txt.gml_unescape(txt.gml_escape(p)).alias("back"), txt.file_safe(F.concat_ws("/", "event_type", "props")).alias("file_name"))

@@ -85,7 +85,7 @@ def misassembled_edges(spark: SparkSession, d: str) -> DataFrame:
 DIRECTED = PAIRS_SQL + ", directed AS (SELECT a, b, list_sort(list(DISTINCT genome_id)) AS genomes FROM pairs GROUP BY 1, 2)"
 
 
-@query(f"""WITH {DIRECTED} SELECT f.a AS a, f.b AS b, CAST(len(f.genomes) + len(r.genomes) AS BIGINT) AS support FROM directed f JOIN directed r ON f.a = r.b AND f.b = r.a WHERE f.a < f.b AND NOT list_has_any(f.genomes, r.genomes)""")
+@query(f"""WITH {DIRECTED} SELECT f.a AS a, f.b AS b, CAST(least(len(f.genomes), len(r.genomes)) AS BIGINT) AS support FROM directed f JOIN directed r ON f.a = r.b AND f.b = r.a WHERE f.a < f.b AND NOT list_has_any(f.genomes, r.genomes)""")
 def inversions(spark: SparkSession, d: str) -> DataFrame:
     pairs = graph.adjacent_pairs(tpch.placed(spark, d), ORDER)
     return features.inversions(features.directed_edges(pairs)).select(F.col("clusters")[0].alias("a"), F.col("clusters")[1].alias("b"), "support")
@@ -96,30 +96,6 @@ def duplications(spark: SparkSession, d: str) -> DataFrame:
     return features.duplications(*built(spark, d)).select("kind", F.col("clusters")[0].alias("cluster_id"), "support")
 
 
-@query(f"""WITH {EDGES_SQL}, top AS (SELECT src, dst FROM edges WHERE support >= 2)
-SELECT t.src, t.dst, p.genome_id FROM top t JOIN presence p ON p.cluster_id = t.src WHERE NOT EXISTS (SELECT 1 FROM presence q WHERE q.cluster_id = t.dst AND q.genome_id = p.genome_id)""")
-def missing_genomes(spark: SparkSession, d: str) -> DataFrame:
-    p = tpch.placed(spark, d)
-    edges = graph.edges_of(graph.adjacent_pairs(p, ORDER)).where("support >= 2")
-    return correction.missing_genomes(edges, p.select("cluster_id", "genome_id").distinct())
-
-
-#: A sparse graph, edges seen in two genomes or more, for the first forms of some queries; those on the whole graph are further below.
-SPARSE = NODES_SQL + """, sparse AS (SELECT src, dst, support FROM edges WHERE support >= 2 AND src <> dst), both_ways AS (SELECT src AS id, dst AS nbr FROM sparse UNION SELECT dst, src FROM sparse)"""
-
-
-def sparse(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    nodes, edges = built(spark, d)
-    return nodes, edges.where("support >= 2 and src <> dst")
-
-
-@query(f"""WITH RECURSIVE {SPARSE}, walk AS (SELECT min(id) AS node, 0 AS depth FROM both_ways UNION SELECT nbr, depth + 1 FROM walk JOIN both_ways ON id = node WHERE depth < 3)
-SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY 1""")
-def breadth_first(spark: SparkSession, d: str) -> DataFrame:
-    edges = stored(sparse(spark, d)[1], "sparse")
-    return graph.bfs(edges, edges.agg(F.min("src").alias("start")), 3).select("node", "depth")
-
-
 #: A sparse graph of all rows: a cluster is a part of a supplier. Its ends count in genomes of even numbers only.
 FINE_SQL = NODES_SQL.replace("p_name || '|' || p_brand AS cluster_id", "CAST(l_partkey AS VARCHAR) || '-' || CAST(l_suppkey AS VARCHAR) AS cluster_id").replace("count(*) AS n_ends FROM ends", "count(*) AS n_ends FROM ends WHERE CAST(genome_id AS INTEGER) % 2 = 0")
 
@@ -150,17 +126,6 @@ def graph_components(spark: SparkSession, d: str) -> DataFrame:
     return graph.components(built(spark, d)[1])
 
 
-@query(f"""WITH {SPARSE}, pairs2 AS (SELECT a.id AS a, b.id AS b FROM both_ways a JOIN both_ways b USING (nbr) WHERE a.id < b.id GROUP BY 1, 2)
-SELECT a, b FROM pairs2 WHERE split_part(a, '|', 2) = split_part(b, '|', 2)""")
-def shared_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    from strandloom.operators.clustering import sharing_a_neighbour
-
-    nodes, edges = sparse(spark, d)
-    brand = nodes.select("cluster_id", F.substring_index("cluster_id", "|", -1).alias("brand"))
-    pairs = brand.withColumnRenamed("cluster_id", "a").join(brand.withColumnRenamed("cluster_id", "b"), "brand").where("a < b").select("a", "b")
-    return sharing_a_neighbour(pairs, edges)
-
-
 @query(f"""WITH {NODES_SQL}, target AS (SELECT cluster_id, min(cluster_id) OVER (PARTITION BY split_part(cluster_id, '|', 1)) AS low FROM nodes),
 best AS (SELECT split_part(cluster_id, '|', 1) AS name, cluster_id AS target FROM (SELECT *, row_number() OVER (PARTITION BY split_part(cluster_id, '|', 1) ORDER BY support DESC, cluster_id) AS k FROM nodes) WHERE k = 1)
 SELECT target AS cluster_id, CAST(sum(support) AS BIGINT) AS support, bool_or(is_paralog) AS is_paralog FROM nodes JOIN best ON split_part(cluster_id, '|', 1) = name GROUP BY 1""")
@@ -172,11 +137,6 @@ def merge_nodes(spark: SparkSession, d: str) -> DataFrame:
     return graph.merge(nodes, edges, pairs)[0].select("cluster_id", "support", "is_paralog")
 
 
-@query(f"""WITH {SPARSE} SELECT cluster_id, support FROM nodes JOIN (SELECT id AS cluster_id, count(*) AS degree FROM both_ways GROUP BY 1) USING (cluster_id) WHERE support < 60 AND degree = 1""")
-def low_support_leaves(spark: SparkSession, d: str) -> DataFrame:
-    return graph.low_support_leaves(*sparse(spark, d), 60).select("cluster_id", "support")
-
-
 @query(rounds_sql(12, ""))
 def remove_contamination(spark: SparkSession, d: str) -> DataFrame:
     nodes, edges = fine(spark, d)
@@ -189,14 +149,6 @@ def prune_contig_ends(spark: SparkSession, d: str) -> DataFrame:
     return correction.prune_contig_ends(nodes, edges, 2)[0].select("cluster_id", "support")
 
 
-@query(f"""WITH RECURSIVE {SPARSE}, walk AS (SELECT min(id) AS node, 0 AS depth FROM both_ways UNION SELECT nbr, depth + 1 FROM walk JOIN both_ways ON id = node WHERE depth < 2), near AS (SELECT node, min(depth) AS depth FROM walk GROUP BY 1)
-SELECT cluster_id, support, CAST(depth AS INTEGER) AS depth FROM near JOIN nodes ON cluster_id = node""")
-def gene_neighbourhood(spark: SparkSession, d: str) -> DataFrame:
-    nodes, edges = sparse(spark, d)
-    edges = stored(edges, "sparse")
-    return graph.neighbourhood(nodes, edges, edges.agg(F.min("src")).first()[0], 2)[0].select("cluster_id", "support", "depth")
-
-
 #: Trees from each component's least id, cycles of the other edges, and sets of cycles that share two nodes or more, by rounds of passing on the least cycle.
 CYCLES_SQL = LABELS_SQL + """, tree0 AS MATERIALIZED (SELECT id AS node, 0 AS depth FROM l12 WHERE id = low),
 walk AS (SELECT node, depth FROM tree0 UNION SELECT nbr, depth + 1 FROM walk JOIN sides2 ON id = node WHERE depth < 12), depths AS MATERIALIZED (SELECT node, min(depth) AS depth FROM walk GROUP BY 1),
@@ -231,14 +183,14 @@ WHOLE = NODES_SQL + """, both_ways AS (SELECT src AS id, dst AS nbr FROM edges U
 
 @query(f"""WITH RECURSIVE {WHOLE}, walk AS (SELECT min(src) AS node, 0 AS depth FROM edges UNION SELECT nbr, depth + 1 FROM walk JOIN both_ways ON id = node WHERE depth < 3)
 SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY 1""")
-def breadth_first_whole(spark: SparkSession, d: str) -> DataFrame:
+def breadth_first(spark: SparkSession, d: str) -> DataFrame:
     edges = built(spark, d)[1]
     return graph.bfs(edges, edges.agg(F.min("src").alias("start")), 3).select("node", "depth")
 
 
 @query(f"""WITH {WHOLE}, pairs2 AS (SELECT DISTINCT a.id AS a, b.id AS b FROM both_ways a JOIN both_ways b USING (nbr) WHERE a.id < b.id AND split_part(a.id, '|', 2) = split_part(b.id, '|', 2))
 SELECT a, b FROM pairs2""")
-def shared_neighbours_whole(spark: SparkSession, d: str) -> DataFrame:
+def shared_neighbours(spark: SparkSession, d: str) -> DataFrame:
     from strandloom.operators.clustering import sharing_a_neighbour
 
     nodes, edges = built(spark, d)
@@ -247,20 +199,21 @@ def shared_neighbours_whole(spark: SparkSession, d: str) -> DataFrame:
     return sharing_a_neighbour(pairs, edges)
 
 
-@query(f"""WITH {NODES_SQL} SELECT cluster_id, support FROM nodes JOIN degrees USING (cluster_id) WHERE support < 60 AND degree = 1""")
-def low_support_leaves_whole(spark: SparkSession, d: str) -> DataFrame:
-    return graph.low_support_leaves(*built(spark, d), 60).select("cluster_id", "support")
+@query(f"""WITH {FINE_SQL} SELECT cluster_id, support FROM nodes JOIN degrees USING (cluster_id) WHERE support < 2 AND degree = 1""")
+def low_support_leaves(spark: SparkSession, d: str) -> DataFrame:
+    """On the sparse graph of all rows: that of names has no leaf."""
+    return graph.low_support_leaves(*fine(spark, d), 2).select("cluster_id", "support")
 
 
 @query(f"""WITH RECURSIVE {WHOLE}, walk AS (SELECT min(src) AS node, 0 AS depth FROM edges UNION SELECT nbr, depth + 1 FROM walk JOIN both_ways ON id = node WHERE depth < 2), near AS (SELECT node, min(depth) AS depth FROM walk GROUP BY 1)
 SELECT cluster_id, support, CAST(depth AS INTEGER) AS depth FROM near JOIN nodes ON cluster_id = node""")
-def gene_neighbourhood_whole(spark: SparkSession, d: str) -> DataFrame:
+def gene_neighbourhood(spark: SparkSession, d: str) -> DataFrame:
     nodes, edges = built(spark, d)
     return graph.neighbourhood(nodes, edges, edges.agg(F.min("src")).first()[0], 2)[0].select("cluster_id", "support", "depth")
 
 
 @query(f"""WITH {EDGES_SQL} SELECT t.src, t.dst, p.genome_id FROM edges t JOIN presence p ON p.cluster_id = t.src WHERE NOT EXISTS (SELECT 1 FROM presence q WHERE q.cluster_id = t.dst AND q.genome_id = p.genome_id)""")
-def missing_genomes_whole(spark: SparkSession, d: str) -> DataFrame:
+def missing_genomes(spark: SparkSession, d: str) -> DataFrame:
     p = tpch.placed(spark, d)
     return correction.missing_genomes(graph.edges_of(graph.adjacent_pairs(p, ORDER)), p.select("cluster_id", "genome_id").distinct())
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from strandloom.functions import sequence as seq
 from strandloom.functions import text as txt
 from strandloom.operators import matrix
+from strandloom.operators.numbering import numbered
 from strandloom.sources.tables import METADATA
 
 
@@ -58,36 +59,52 @@ def metadata_table(members: DataFrame, nodes: DataFrame, genomes: list[str], gen
 
 
 def graph_markup(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Lines of a graph file: a header, the nodes by id, the edges, a footer."""
-    from pyspark.sql import Window
+    """Blocks of a graph file in order: a header, the nodes by id, the edges, a footer; one row is a whole block.
+
+    Rows are ordered by ranges, so the text is written by many tasks. Line breaks in a value become
+    spaces, as a value is a line; of several annotations the first is written.
+    """
+    have = set(nodes.columns)
+    empty = F.array().cast("array<string>")
 
-    ids = nodes.select("cluster_id").distinct().withColumn("id", F.dense_rank().over(Window.orderBy("cluster_id")) - 1)
+    def given(value: Column, line: Column) -> Column:
+        return F.when(value.isNotNull() & (value != ""), F.concat(line, F.lit("\n"))).otherwise("")
 
     def quoted(name: str, value: Column) -> Column:
-        return F.concat(F.lit(f'    {name} "'), txt.gml_escape(F.coalesce(value, F.lit(""))), F.lit('"\n'))
+        flat = txt.gml_escape(F.regexp_replace(F.coalesce(value, F.lit("")), r"[\r\n]+", " "))
+        return F.concat(F.lit(f'    {name} "'), flat, F.lit('"'))
 
     def number(name: str, value: Column) -> Column:
-        return F.concat(F.lit(f"    {name} "), value.cast("string"), F.lit("\n"))
-
-    def listed(name: str) -> Column:
-        return F.array_join(name, ";")
-
-    have = set(nodes.columns)
-    parts = [number("id", F.col("id")), quoted("label", F.col("cluster_id")), number("support", F.col("support"))]
-    parts += [quoted(n, listed(c)) for n, c in (("genomes", "genomes"), ("members", "members"), ("contig_ends", "contig_end_genomes"), ("annotation", "annotations")) if c in have]
-    parts += [number(n, F.col(c).cast("int")) for n, c in (("paralog", "is_paralog"), ("highly_variable", "is_highly_variable")) if c in have]
-    parts += [quoted("seq", F.col("sequence"))] if "sequence" in have else []
-    node = nodes.join(ids, "cluster_id").select(F.lit(1).alias("part"), F.col("id").alias("k"), F.concat(F.lit("  node [\n"), *parts, F.lit("  ]")).alias("value"))
-    e = edges.join(ids.withColumnsRenamed({"cluster_id": "src", "id": "s"}), "src").join(ids.withColumnsRenamed({"cluster_id": "dst", "id": "t"}), "dst")
-    edge = e.select(F.lit(2).alias("part"), (F.col("s") * 2**31 + F.col("t")).cast("long").alias("k"), F.concat(F.lit("  edge [\n"), number("source", F.col("s")), number("target", F.col("t")), number("weight", F.col("support")), quoted("genomes", listed("genomes")), F.lit("  ]")).alias("value"))
-    spark = nodes.sparkSession
-    frame = spark.createDataFrame([(0, 0, "graph [\n  directed 0"), (3, 0, "]")], "part int, k long, value string")
-    return frame.unionByName(node.withColumn("k", F.col("k").cast("long"))).unionByName(edge).orderBy("part", "k").select("value")
+        return F.concat(F.lit(f"    {name} "), F.coalesce(value.cast("string"), F.lit("0")), F.lit("\n"))
+
+    def block(name: str) -> Column:
+        entries = F.array_join(F.transform(F.coalesce(name, empty), lambda g: F.concat(F.lit('      "'), g, F.lit('"\n'))), "")
+        return F.when(F.size(F.coalesce(name, empty)) > 0, F.concat(F.lit(f"    {name} [\n"), entries, F.lit("    ]\n"))).otherwise("")
+
+    def joined(name: str, by: str) -> Column:
+        return F.array_join(F.coalesce(name, empty), by)
+
+    parts = [quoted("id", F.col("cluster_id")), F.lit("\n"), quoted("label", F.col("cluster_id")), F.lit("\n"), number("support", F.col("support"))]
+    parts += [number(c, F.coalesce(F.col(c), F.lit(False)).cast("int")) for c in ("is_paralog", "is_highly_variable") if c in have]
+    if "sequence" in have:
+        dna = F.coalesce("sequence", F.lit(""))
+        protein = seq.translate(dna)
+        parts += [number("length", F.length(dna)), given(dna, quoted("seq", dna)), given(protein, quoted("protein", protein))]
+    parts += [block("genomes")] if "genomes" in have else []
+    lists = [(name, joined(c, by)) for name, c, by in (("member", "members", ";"), ("contig_end_genomes", "contig_end_genomes", ",")) if c in have]
+    parts += [given(value, quoted(name, value)) for name, value in lists]
+    note = F.get(F.sort_array("annotations"), F.lit(0)) if "annotations" in have else F.col("annotation") if "annotation" in have else None
+    parts += [] if note is None else [given(note, quoted("annotation", note))]
+    node = nodes.select(F.lit(1).alias("part"), F.col("cluster_id").alias("k"), F.concat(F.lit("  node [\n"), *parts, F.lit("  ]")).alias("value"))
+    ends = [quoted("source", F.col("src")), F.lit("\n"), quoted("target", F.col("dst")), F.lit("\n"), number("support", F.col("support")), block("genomes")]
+    edge = edges.select(F.lit(2).alias("part"), F.concat_ws("~", "src", "dst").alias("k"), F.concat(F.lit("  edge [\n"), *ends, F.lit("  ]")).alias("value"))
+    frame = nodes.sparkSession.createDataFrame([(0, "", "graph [\n  directed 0"), (3, "", "]")], "part int, k string, value string")
+    return frame.unionByName(node).unionByName(edge).orderBy("part", "k").select("value")
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """One file, as its readers want; the graph is far smaller than the genes."""
-    write_lines(graph_markup(nodes, edges).coalesce(1), path)
+    """A folder whose parts, in the order of their names, are the graph file; a block lies in one part."""
+    write_lines(graph_markup(nodes, edges), path)
 
 
 def summary_json(presence: DataFrame, core: float = matrix.CORE) -> DataFrame:
@@ -164,7 +181,11 @@ def core_alignment(rows: DataFrame, presence: DataFrame, core: bool = True) -> D
 
 
 def variant_rows(variants: DataFrame) -> DataFrame:
-    return variants.select("kind", F.array_join("clusters", ";").alias("clusters"), F.array_join("genomes", ";").alias("genomes"), "support")
+    """A numbered row for each variant, by type and clusters; the fourth column has the clusters in brackets, the last the genomes."""
+    kind = F.when(F.col("kind") == "tandem_duplication", "DUPLICATION").otherwise(F.upper("kind"))
+    rows = variants.select(kind.alias("VariantType"), F.col("support").alias("Support"), F.concat(F.lit("["), F.array_join("clusters", ";"), F.lit("]")).alias("Genomes"), F.array_join("genomes", ";").alias("Carriers"))
+    found = numbered(rows, [F.col("VariantType"), F.col("Genomes"), F.col("Carriers"), F.col("Support")], "n")
+    return found.select(F.concat(F.lit("SV_"), (F.col("n") + 1).cast("string")).alias("ID"), *rows.columns)
 
 
 #: The prefixes of variant ids.
@@ -185,9 +206,9 @@ def variant_matrix(variants: DataFrame, genomes: list[str]) -> DataFrame:
 def summary_text(presence: DataFrame, variable: int = 0) -> str:
     """Bands and totals; at most a handful of lines."""
     found = {r["band"]: r["n_clusters"] for r in matrix.partition_summary(presence).collect()}
-    rows = [("Core genes", "core", "(99% <= strains <= 100%)"), ("Soft core genes", "soft_core", "(95% <= strains < 99%)"), ("Shell genes", "shell", "(15% <= strains < 95%)"), ("Cloud genes", "cloud", "(0% <= strains < 15%)")]
-    lines = [f"{title}\t{share}\t{found.get(key, 0)}" for title, key, share in rows]
-    return "\n".join([*lines, f"Total genes\t(0% <= strains <= 100%)\t{sum(found.values())}", f"Highly variable genes\t\t{variable}"])
+    rows = [("Core genes (>= 99%)", "core"), ("Soft core genes (95-99%)", "soft_core"), ("Shell genes (15-95%)", "shell"), ("Cloud genes (0-15%)", "cloud")]
+    lines = [f"{title}: {found.get(key, 0)}" for title, key in rows]
+    return "\n".join([*lines, f"Total genes: {sum(found.values())}", f"Highly variable genes: {variable}"])
 
 
 def distance_table(pairs: DataFrame, genomes: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.functions import text as txt
+from strandloom.sources.markup import graph_markup  # noqa: F401  one more reader
 
 #: The leading columns of the wide presence table.
 METADATA = ("Gene", "Non-unique Gene name", "Annotation", "No. isolates", "No. sequences", "Avg sequences per isolate", "Genome Fragment", "Order within Fragment", "Accessory Fragment", "Accessory Order with Fragment", "QC", "Min group size nuc", "Max group size nuc", "Avg group size nuc")
@@ -208,27 +209,3 @@ def quality_report(files: DataFrame) -> DataFrame:
         return F.coalesce(F.regexp_extract("value", rf"(?i){word}[^0-9\r\n]*([0-9]+(?:\.[0-9]+)?)", 1).try_cast("double"), F.lit(default))
 
     return files.select("genome_id", number("completeness", 100.0).alias("completeness"), number("contamination", 0.0).alias("contamination"))
-
-
-def graph_markup(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of a graph file: numeric ids become labels; the flags and lists come typed."""
-    text = spark.read.text(path, wholetext=True)
-
-    def field(name: str, quoted: bool = True) -> Column:
-        return F.regexp_extract("block", rf'(?m)^\s*{name}\s+"([^"]*)"' if quoted else rf"(?m)^\s*{name}\s+([0-9.]+)", 1)
-
-    def listed(name: str) -> Column:
-        return F.filter(F.split(txt.gml_unescape(field(name)), ";"), lambda x: x != "")
-
-    blocks = text.select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)\bnode\s*\[(.*?)\]"), F.lit(1))).alias("block"))
-    nodes = blocks.select(
-        field("id", False).try_cast("long").alias("id"), txt.gml_unescape(field("label")).alias("cluster_id"), F.coalesce(field("support", False).try_cast("long"), F.lit(0)).alias("support"),
-        listed("genomes").alias("genomes"), listed("members").alias("members"), listed("contig_ends").alias("contig_end_genomes"), (field("paralog", False) == "1").alias("is_paralog"),
-        (field("highly_variable", False) == "1").alias("is_highly_variable"), txt.gml_unescape(field("annotation")).alias("annotation"), txt.gml_unescape(field("seq")).alias("sequence"),
-    )
-    pairs = text.select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)\bedge\s*\[(.*?)\]"), F.lit(1))).alias("block"))
-    raw = pairs.select(field("source", False).try_cast("long").alias("s"), field("target", False).try_cast("long").alias("t"), listed("genomes").alias("genomes"))
-    name = nodes.select("id", "cluster_id")
-    named = raw.join(name.withColumnsRenamed({"id": "s", "cluster_id": "a"}), "s").join(name.withColumnsRenamed({"id": "t", "cluster_id": "b"}), "t")
-    edges = named.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), "genomes", F.size("genomes").cast("long").alias("support"))
-    return nodes.drop("id"), edges

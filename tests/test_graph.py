@@ -176,10 +176,10 @@ def test_queries_take_edges_of_one_genome(spark, monkeypatch):
     assert got("graph_components", "cluster_id", "component") == {(f"{x}|1", "a|1") for x in "abcd"} | {("e|2", "e|2"), ("f|2", "e|2")}
     for name in ("remove_contamination", "prune_contig_ends"):
         assert {x[0] for x in got(name, "cluster_id")} == {"a|1", "b|1", "c|1", "e|2", "f|2"}
-    assert got("breadth_first_whole", "node", "depth") == {("a|1", 0), ("b|1", 1), ("c|1", 1), ("d|1", 2)}
-    assert got("gene_neighbourhood_whole", "cluster_id", "depth") == got("breadth_first_whole", "node", "depth")
-    assert got("low_support_leaves_whole", "cluster_id") == {("d|1",)}
-    assert got("shared_neighbours_whole", "a", "b") == {("a|1", "b|1"), ("a|1", "c|1"), ("a|1", "d|1"), ("b|1", "c|1"), ("b|1", "d|1")}
+    assert got("breadth_first", "node", "depth") == {("a|1", 0), ("b|1", 1), ("c|1", 1), ("d|1", 2)}
+    assert got("gene_neighbourhood", "cluster_id", "depth") == got("breadth_first", "node", "depth")
+    assert got("low_support_leaves", "cluster_id") == {("d|1",)}
+    assert got("shared_neighbours", "a", "b") == {("a|1", "b|1"), ("a|1", "c|1"), ("a|1", "d|1"), ("b|1", "c|1"), ("b|1", "d|1")}
     two = edges(spark, [("a|1", "b|1"), ("b|1", "c|1"), ("a|1", "c|1"), ("b|1", "d|1"), ("a|1", "d|1")])
     monkeypatch.setattr(q, "built", lambda s, d: (n, two))
     assert {c for c, flag in got("highly_variable", "cluster_id", "is_highly_variable") if flag} == {"d|1"}
