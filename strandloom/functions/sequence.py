@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -92,20 +91,35 @@ def length_ratio_ok(a: Column, b: Column, least: float) -> Column:
     return F.when(most > 0, F.abs(F.length(a) - F.length(b)) / most <= 1 - least + 1e-12).otherwise(F.lit(True))
 
 
-def infix_distance(query: str, target: str) -> int:
-    """Least edits that place query anywhere in target (free target ends), at most len(query)."""
-    q = np.frombuffer(query.encode(), dtype="u1")
-    t = np.frombuffer(target.encode(), dtype="u1")
-    if not len(q) or not len(t):
-        return len(q)
-    row = np.zeros(len(t) + 1, dtype="i4")
-    ramp = np.arange(len(t) + 1, dtype="i4")
-    for i, c in enumerate(q, 1):
-        best = np.empty_like(row)
-        best[0] = i
-        best[1:] = np.minimum(row[:-1] + (t != c), row[1:] + 1)
-        row = np.minimum.accumulate(best - ramp) + ramp
-    return int(min(row.min(), len(q)))
+def infix_distance(query: str, target: str, enough: int = 0) -> int:
+    """Least edits that place query anywhere in target (free target ends), at most len(query).
+
+    A column of the query is held as bits of where the distances rise and fall, so a letter of
+    the target costs a few operations on whole words; the search ends once enough is reached.
+    """
+    n = len(query)
+    if not n or not target:
+        return n
+    places: dict[str, int] = {}
+    for i, c in enumerate(query):
+        places[c] = places.get(c, 0) | 1 << i
+    whole, last = (1 << n) - 1, 1 << (n - 1)
+    rises, falls, now, best = whole, 0, n, n
+    for c in target:
+        same = places.get(c, 0)
+        across = (((same & rises) + rises) ^ rises | same) & whole
+        more, less = falls | whole & ~(across | rises), rises & across
+        if more & last:
+            now += 1
+        elif less & last:
+            now -= 1
+            if now < best:
+                best = now
+                if best <= enough:
+                    break
+        kept, more, less = same | falls, more << 1, less << 1
+        rises, falls = (less | ~(kept | more)) & whole, more & kept & whole
+    return best
 
 
 @F.pandas_udf(IntegerType())

@@ -7,9 +7,9 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.functions import sequence as seq
 from strandloom.operators import clustering, graph
 from strandloom.operators.distances import centres
+from strandloom.operators.recovery import refound
 from strandloom.session import forget, stored
 
 #: Rounds of pruning after which a graph that still has leaves to cut is an error; each halves the ends.
@@ -195,19 +195,6 @@ def windows(contigs: DataFrame, query_length, pad: int = 5000, step: int = 100)
     return contigs.withColumn("at", at).withColumn("window", F.substring("sequence", F.col("at") + 1, width.cast("int")))
 
 
-def refound(missing: DataFrame, seqs: DataFrame, contigs: DataFrame, identity: float = 0.7, least: int = 10) -> DataFrame:
-    """(dst, genome_id) of missing genomes whose contigs hold the sequence of dst somewhere.
-
-    Each genome is searched in its own contigs. A window is a bounded piece of a contig, so
-    the search is one row per window, whatever a contig's length.
-    """
-    q = seqs.where(F.length("sequence") >= least).select(F.col("cluster_id").alias("dst"), F.col("sequence").alias("query"))
-    asked = missing.select("dst", "genome_id").distinct().join(q, "dst")
-    rows = windows(asked.join(contigs.select("genome_id", "sequence"), "genome_id"), F.length("query"))
-    ok = rows.where(seq.infix_identity(F.col("query"), F.col("window")) >= identity)
-    return ok.select("dst", "genome_id").distinct()
-
-
 def recover_missing(nodes: DataFrame, edges: DataFrame, presence: DataFrame, seqs: DataFrame, contigs: DataFrame, consensus: bool = False, compat: bool = False) -> tuple[DataFrame, DataFrame]:
     """(nodes, presence) with refound genes added; a changed node's genomes grow, and its support becomes their number.
 

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.operators.shared import shared_counts
+
 # The least shares of genomes of the bands.
 CORE, SOFT_CORE, SHELL = 0.99, 0.95, 0.15
 
@@ -128,13 +130,10 @@ def member_cells(members: DataFrame) -> DataFrame:
 
 
 def genome_pairs(presence: DataFrame) -> DataFrame:
-    """(g1, g2, shared, either, distance) of all pairs of genomes, 1 - shared/either.
-
-    The self-join meets on the cluster; genomes are few, clusters many.
-    """
+    """(g1, g2, shared, either, distance) of all pairs of genomes, 1 - shared/either; what they share comes from bitmap blocks."""
     p = presence.select("cluster_id", "genome_id").distinct()
     size = p.groupBy("genome_id").agg(F.count(F.lit(1)).alias("n"))
-    both = p.withColumnRenamed("genome_id", "g1").join(p.withColumnRenamed("genome_id", "g2"), "cluster_id").where("g1 < g2").groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("shared"))
+    both = shared_counts(p.select(F.col("cluster_id").alias("item"), F.col("genome_id").alias("owner"))).select(F.col("a").alias("g1"), F.col("b").alias("g2"), "shared")
     ids = size.select(F.col("genome_id").alias("g1"), F.col("n").alias("n1"))
     pairs = ids.join(F.broadcast(ids.withColumnsRenamed({"g1": "g2", "n1": "n2"})), F.col("g1") < F.col("g2"))  # one row per genome; the pairs are the result
     out = pairs.join(both, ["g1", "g2"], "left").na.fill(0, ["shared"]).withColumn("either", F.col("n1") + F.col("n2") - F.col("shared"))

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.operators.curves import log_factorials
+from strandloom.operators.shared import shared_counts
 from strandloom.session import stored
 
 
@@ -66,14 +67,16 @@ def significant(tested: DataFrame, level: float = 0.05) -> DataFrame:
 def mutual_information(presence: DataFrame, n: int, least: float | None = None) -> DataFrame:
     """(c1, c2, mi) in nats of clusters that share a genome; n genomes. least: only pairs of that much.
 
-    Clusters with the same genomes are folded into a pattern (one row per genome at most), the
-    patterns are compared and only wanted pairs of patterns are spread to their clusters.
+    Clusters with the same genomes are folded into a pattern (a row per genome at most), the
+    patterns are compared by bitmap blocks and only wanted pairs of patterns are spread to their clusters.
     """
     sets = presence.groupBy("cluster_id").agg(F.sort_array(F.collect_set("genome_id")).alias("genomes"))
     named = stored(sets.select("cluster_id", F.sha2(F.array_join("genomes", "\x1f"), 256).alias("pattern"), "genomes"), "patterns")
-    p = named.groupBy("pattern").agg(F.first("genomes").alias("genomes")).select("pattern", F.size("genomes").alias("m"), F.explode("genomes").alias("genome_id"))
-    one, other = (p.select(F.col("pattern").alias(f"p{k}"), F.col("m").alias(f"m{k}"), "genome_id") for k in (1, 2))
-    rows = one.join(other, "genome_id").where("p1 <= p2").groupBy("p1", "p2", "m1", "m2").agg(F.count(F.lit(1)).alias("n11"))
+    p = stored(named.groupBy("pattern").agg(F.first("genomes").alias("genomes")).select("pattern", F.size("genomes").alias("m"), F.explode("genomes").alias("genome_id")), "members")
+    both = shared_counts(p.select(F.col("genome_id").alias("item"), F.col("pattern").alias("owner")))
+    own = p.select("pattern", "m").distinct()
+    rows = both.withColumnsRenamed({"a": "p1", "b": "p2", "shared": "n11"}).join(own.toDF("p1", "m1"), "p1").join(own.toDF("p2", "m2"), "p2")
+    rows = rows.select("p1", "p2", "m1", "m2", "n11").unionByName(own.select(F.col("pattern").alias("p1"), F.col("pattern").alias("p2"), F.col("m").alias("m1"), F.col("m").alias("m2"), F.col("m").cast("long").alias("n11")))
 
     def cell(count: Column, a: Column, b: Column) -> Column:
         return F.when(count > 0, count / n * F.ln(count * n / (a * b))).otherwise(F.lit(0.0))

@@ -442,7 +442,7 @@ def late_edge_counts(spark: SparkSession, d: str) -> DataFrame:
     pairs = rows.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("a"), F.concat(F.lit("u"), F.col("user_id") % 7).alias("b"), (F.col("user_id") % 25).cast("string").alias("genome_id"))
     folder = fresh_path(spark, "windows")
     arrivals.write_edge_counts(pairs, folder, fresh_path(spark, "checkpoint"), width="1 hour").awaitTermination()
-    return spark.read.parquet(folder).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "src", "dst", "support")
+    return arrivals.read_edge_counts(spark, folder).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "src", "dst", "support")
 
 
 @query("SELECT event_id, replace(replace(replace(replace(replace(props, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS html, value / 100 AS fraction, 1 / (1 + user_id % 9) AS path, abs(length(props) - length(event_type)) / greatest(length(props), length(event_type)) <= 0.4 + 1e-12 AS alike FROM events")

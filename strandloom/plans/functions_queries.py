@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import sequence as seq
 from strandloom.functions import text as txt
+from strandloom.operators import correction, sketches
 from strandloom.plans import tpch
 from strandloom.sources import annotation
 
@@ -84,6 +85,36 @@ def infix_identities(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("p_partkey", F.round((1 - identity) * F.length("q")).cast("long").alias("distance"), F.round(identity, 6).alias("identity"))
 
 
+@query(f"""WITH s AS (SELECT source AS g, {BASES.format(c='text')} AS t FROM documents), places AS (SELECT g, t, unnest(range(1, length(t) - 9)) AS i FROM s WHERE length(t) >= 11),
+k AS (SELECT DISTINCT g, least(w, reverse(translate(w, 'ACGT', 'TGCA'))) AS w FROM (SELECT g, substr(t, i, 11) AS w FROM places)), size AS (SELECT g, count(*) AS n FROM k GROUP BY 1),
+both_have AS (SELECT a.g AS g1, b.g AS g2, count(*) AS shared FROM k a JOIN k b ON a.w = b.w AND a.g < b.g GROUP BY 1, 2)
+SELECT g1, g2, shared, round(pow(greatest(shared / x.n, shared / y.n), 1 / 11), 6) AS ani, round(shared / x.n, 6) AS align_1, round(shared / y.n, 6) AS align_2 FROM both_have JOIN size x ON x.g = g1 JOIN size y ON y.g = g2""")
+def genome_identities(spark: SparkSession, d: str) -> DataFrame:
+    """The letters of all documents as bases, a source as a genome: shared k-mers without a hash, and the identity from them."""
+    text = F.translate(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^aeioulnr]", ""), "aeioulnr", "ACGTACGT")
+    rows = tpch.table(spark, d, "documents").select(F.col("source").alias("genome_id"), text.alias("sequence"))
+    found = sketches.genome_identities(rows, k=11, scaled=1)
+    return found.select("g1", "g2", "shared", *[F.round(c, 6).alias(c) for c in ("ani", "align_1", "align_2")])
+
+
+@query(f"""WITH s AS (SELECT p_partkey, p_name || p_type AS cluster_id, p_brand AS genome_id, {BASES.format(c='p_type || p_name')} AS q, {BASES.format(c='p_brand || p_name || p_type || p_name')} AS t FROM part),
+wires AS (SELECT DISTINCT least(a.cluster_id, b.cluster_id) AS src, greatest(a.cluster_id, b.cluster_id) AS dst FROM s a JOIN s b ON b.p_partkey = a.p_partkey + 1 WHERE a.cluster_id <> b.cluster_id),
+presence AS (SELECT DISTINCT cluster_id, genome_id FROM s), missing AS (SELECT DISTINCT dst, p.genome_id FROM wires JOIN presence p ON p.cluster_id = src WHERE NOT EXISTS (SELECT 1 FROM presence o WHERE o.cluster_id = dst AND o.genome_id = p.genome_id)),
+asked AS (SELECT dst, m.genome_id, any_value(q) AS q FROM missing m JOIN s ON s.cluster_id = dst GROUP BY 1, 2 HAVING length(any_value(q)) >= 10), pairs AS (SELECT DISTINCT q, t FROM asked JOIN (SELECT DISTINCT genome_id, t FROM s) USING (genome_id)),
+cut AS (SELECT q, t, unnest(range(1, length(t) + 1)) AS i FROM pairs), pieces AS (SELECT q, t, substr(t, i, n) AS piece FROM (SELECT q, t, i, unnest(range(1, 2 * length(q) + 1)) AS n FROM cut)),
+best AS (SELECT q, t, min(levenshtein(q, piece)) AS d FROM pieces GROUP BY 1, 2)
+SELECT DISTINCT dst, genome_id FROM asked JOIN (SELECT DISTINCT genome_id, t FROM s) USING (genome_id) JOIN best USING (q, t) WHERE 1 - d / length(q) >= 0.7""")
+def refound_genes(spark: SparkSession, d: str) -> DataFrame:
+    """A part's name and type as a gene, a brand as a genome: genes that a neighbour's brands lack, looked for in those brands' texts."""
+    bases = lambda *c: F.translate(F.regexp_replace(F.lower(F.concat(*c)), "[^aeioulnr]", ""), "aeioulnr", "ACGTACGT")
+    rows = tpch.table(spark, d, "part").select("p_partkey", F.concat("p_name", "p_type").alias("cluster_id"), F.col("p_brand").alias("genome_id"), bases("p_type", "p_name").alias("query"), bases("p_brand", "p_name", "p_type", "p_name").alias("sequence"))
+    after = rows.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("cluster_id").alias("other"))
+    wires = rows.join(after, "p_partkey").where("cluster_id <> other").select(F.least("cluster_id", "other").alias("src"), F.greatest("cluster_id", "other").alias("dst")).distinct()
+    missing = correction.missing_genomes(wires, rows.select("cluster_id", "genome_id").distinct())
+    genes = rows.groupBy("cluster_id").agg(F.min("query").alias("sequence"))
+    return correction.refound(missing, genes, rows.select("genome_id", "sequence").distinct())
+
+
 @query("""SELECT event_id, replace(replace(replace(replace(replace(replace(replace(replace(props, '%', '%25'), chr(9), '%09'), chr(10), '%0A'), chr(13), '%0D'), ';', '%3B'), '=', '%3D'), '&', '%26'), ',', '%2C') AS gff,
 replace(replace(props, '\\', '\\\\'), '"', '\\"') AS gml, props AS back, translate(event_type || '/' || props, '/\\:', '___') AS file_name FROM events""")
 def escapes(spark: SparkSession, d: str) -> DataFrame:

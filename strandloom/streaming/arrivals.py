@@ -50,18 +50,31 @@ def watch(spark: SparkSession, inputs: str, folder: str, checkpoint: str, identi
 def edge_counts(events: DataFrame, delay: str = "10 minutes", width: str = "5 minutes") -> DataFrame:
     """Adjacency support by event-time window, for gene pairs (a, b, genome_id, ts) that come late or out of order.
 
-    The genomes of an edge are held as a set, of one entry per genome, so the support is exact.
+    The genomes of an edge are held as a set, of one entry per genome, so the support is exact. A
+    window that ends before the watermark (the latest time seen less the delay) is forgotten, and
+    rows of it that come later are refused.
     """
     pairs = events.withWatermark("ts", delay).select("ts", F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), "genome_id")
     return pairs.groupBy(F.window("ts", width), "src", "dst").agg(F.size(F.collect_set("genome_id")).cast("long").alias("support"))
 
 
 def write_edge_counts(events: DataFrame, folder: str, checkpoint: str, delay: str = "10 minutes", width: str = "5 minutes") -> StreamingQuery:
-    """Keep edge_counts() of a stream in the folder: every batch replaces what it says of all windows. Takes in what is there and stops."""
-    def replace(batch: DataFrame, n: int) -> None:
-        batch.select(F.col("window.start").alias("start"), "src", "dst", "support").write.mode("overwrite").parquet(folder)
+    """Write what each batch changes of edge_counts() into the folder. Takes in what is there and stops; run again for what comes later.
 
-    return edge_counts(events, delay, width).writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    In update mode state is dropped behind the watermark, and a batch's output is the edges that it
+    touched, under the batch's number: a batch that is run again after a failure replaces its own.
+    """
+    def put(batch: DataFrame, n: int) -> None:
+        batch.select(F.col("window.start").alias("start"), "src", "dst", "support").write.mode("overwrite").parquet(f"{folder}/batch={n}")
+
+    return edge_counts(events, delay, width).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_edge_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """(start, src, dst, support): of each window and edge what the last batch that touched it says."""
+    schema = "start timestamp, src string, dst string, support long, batch long"
+    rows = spark.read.schema(schema).option("basePath", folder).parquet(folder)
+    return rows.groupBy("start", "src", "dst").agg(F.max_by("support", "batch").alias("support"))
 
 
 def write_chunk(placed: DataFrame, order: list[str], folder: str, chunk: int) -> None:
