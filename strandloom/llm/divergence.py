@@ -121,9 +121,9 @@ def possible(partial: DataFrame, bits: np.ndarray) -> DataFrame:
 
 
 def _share(n: str, total: str, terms: str) -> Column:
-    """1 + floor(SCALE * (n + 2) / (total + 2 * terms)), exact; null where there is nothing to divide by."""
-    of = f"(cast({total} as decimal(20,0)) + 2 * cast({terms} as decimal(15,0)))"
-    return F.expr(f"1 + (({SCALE}BD * (cast({n} as decimal(20,0)) + 2)) div nullif({of}, 0))").cast("long")
+    """1 + floor(SCALE * (n + 2) / (total + 2 * terms)), exact; null where there is nothing to divide by. Decimals only where a long could overflow."""
+    wide, of = f"({SCALE}BD * (cast({n} as decimal(20,0)) + 2))", f"nullif({total} + 2 * {terms}, 0)"
+    return F.expr(f"1 + if({n} < {SCALE * 9}, ({SCALE} * ({n} + 2L)) div {of}, {wide} div cast({of} as decimal(20,0)))").cast("long")
 
 
 def _apart(p: str, q: str) -> Column:
@@ -138,17 +138,20 @@ def audit(docs: DataFrame, least: int = LEAST_DOCS, top: int = TOP_TERMS, text_c
     likely = possible(partial, frequent_slots(partial, least))
     each = likely.select("lang", "term", "docs", F.posexplode("counts").alias("at", "one"))
     once = F.when(F.col("at") == 0, F.col("docs")).otherwise(0)  # a term's documents go with its first source
-    counts = store.stored(each.groupBy("lang", "one.source", "term").agg(F.sum("one.n").alias("n"), F.sum(once).alias("docs")), "counts")
+    # the tasks have added up what they could, so rows are shuffled before they are added up further
+    dealt = each.select("lang", "one.source", "term", "one.n", once.alias("docs")).repartition("lang", "source", "term")
+    counts = store.stored(dealt.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "counts")
     kept = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("all")).where(F.col("docs") >= least)
     kept = store.stored(kept.select("lang", "term", "all"), "kept")
-    own = store.stored(counts.drop("docs").join(kept, ["lang", "term"]), "own")
     store.forget(partial)
+    langs = store.stored(kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("all").alias("lang_total")), "langs")
+    likely = kept.join(langs, "lang").select("lang", "term", _share("all", "lang_total", "terms").alias("q"))
+    own = store.stored(counts.drop("docs").join(likely, ["lang", "term"]), "own")
 
-    langs = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("all").alias("lang_total"))
     sums = own.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("met"))
-    groups = rows.select("lang", "source").distinct().join(sums, ["lang", "source"], "left").join(langs, "lang", "left").na.fill(0)
+    groups = rows.select("lang", "source").distinct().join(sums, ["lang", "source"], "left").join(langs.drop("lang_total"), "lang", "left").na.fill(0)
     groups = store.stored(groups.withColumn("base", _share("0", "total", "terms")), "groups")
-    shares = own.join(groups.drop("met"), ["lang", "source"]).select("lang", "source", "term", "base", _share("n", "total", "terms").alias("p"), _share("all", "lang_total", "terms").alias("q"))
+    shares = own.join(groups.drop("met"), ["lang", "source"]).select("lang", "source", "term", "base", _share("n", "total", "terms").alias("p"), "q")
     shares = store.stored(shares, "shares")
 
     marks = shares.where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), _apart("p", "q").alias("value"))
