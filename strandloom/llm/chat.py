@@ -86,7 +86,7 @@ class PartVisitor:
 
     def visit_document(self, part: dict, flat: Flat) -> None:
         given = part.get("tokens")
-        self._place("document", part, flat, self.count(part["text"]) if given is None and part.get("text") else given)
+        self._place("document", part, flat, self.count(part["text"]) if given is None and part.get("text") is not None else given)
 
     def visit_other(self, part: dict, flat: Flat) -> None:
         self._place("other", part, flat, part.get("tokens") or 0)

@@ -75,7 +75,7 @@ def test_pages_as_typed_parts(spark, tmp_path):
         asked, answer = got[i, 0], got[i, 1]
         assert asked.formatted_sha256 == hashlib.sha256(f"<|im_start|>user\n{body}<|im_end|>\n".encode()).hexdigest()
         assert asked.kinds == ",".join(["image"] * len(images) + ["document"]) and asked.refs == " ".join([*images, url or ""])
-        assert asked.expanded_tokens == 576 * len(images) + (len(count.encode(page, add_special_tokens=False).ids) if page else 1024)
+        assert asked.expanded_tokens == 576 * len(images) + (1024 if page is None else len(count.encode(page, add_special_tokens=False).ids))
         assert answer.kinds == "" and answer.expanded_tokens == 0
 
 
