@@ -1,22 +1,21 @@
 """How many items two owners share, for all pairs of owners, by blocks of bitmaps.
 
-Owners are numbered and cut into tiles, items are numbered and cut into chunks of one bitmap
-each. A tile's bitmaps of a chunk are multiplied with those of every tile: AND and a count of
+Owners are dealt into tiles and items into chunks of one bitmap each, by hash. A tile's bitmaps of a chunk are multiplied with those of every tile: AND and a count of
 bits for each pair of owners. Sums over chunks are the counts. So an item that all owners have
 costs a bit for each, not a row for each pair, and no row is wider than a tile of bitmaps.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandloom.operators.numbering import numbered
 from strandloom.session import ship, stored
 
 #: Bits of a bitmap as bitmap_construct_agg() makes them, and owners of a tile: at most 1 MB together.
@@ -55,19 +54,28 @@ def _kept(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
         spark.conf.set(key, before)
 
 
+def _dealt(names: DataFrame, name: str, most: int, group: str, place: str) -> DataFrame:
+    """(name, group, place): names dealt by hash into groups of most or fewer, each with its place in its group."""
+    names = stored(names, "names")
+    n = names.count()
+    groups = 1 if n <= most else math.ceil(n / (0.9 * most))
+    by_hash = Window.partitionBy("hashed").orderBy(name)
+    found = names.withColumn("hashed", F.pmod(F.xxhash64(name), F.lit(groups))).withColumn("n", F.row_number().over(by_hash) - 1)
+    return found.select(name, (F.col("hashed") * (1 << 20) + F.expr(f"n div {most}")).alias(group), (F.col("n") % most).alias(place))  # what a group has too many is one more group
+
+
 def shared_counts(members: DataFrame) -> DataFrame:
     """(a, b, shared) of (item, owner): pairs of owners, a < b, with the number of items that both have, where there are any."""
     ship(members.sparkSession)
     rows = stored(members.select("item", "owner").distinct(), "members")
-    owners = stored(numbered(rows.select("owner").distinct(), [F.col("owner")], "o"), "owners")
-    common = rows.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("item")
-    items = stored(numbered(common, [F.col("item")], "i"), "items")
-    placed = rows.join(items, "item").join(owners, "owner").select(F.expr(f"o div {TILE}").alias("tile"), (F.col("o") % TILE).cast("int").alias("row"), F.expr(f"i div {CHUNK}").alias("chunk"), (F.col("i") % CHUNK).alias("bit"))
+    owners = stored(_dealt(rows.select("owner").distinct(), "owner", TILE, "tile", "row"), "owners")
+    items = _dealt(rows.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("item"), "item", CHUNK, "chunk", "bit")
+    placed = rows.join(items, "item").join(owners, "owner")
     maps = placed.groupBy("chunk", "tile", "row").agg(F.bitmap_construct_agg("bit").alias("bits"))
     tiles = stored(maps.groupBy("chunk", "tile").agg(F.sort_array(F.collect_list(F.struct("row", "bits"))).alias("rows")), "tiles")
     one, other = (tiles.select("chunk", F.col("tile").alias(f"t{k}"), F.col("rows").alias(f"rows{k}")) for k in (1, 2))
     paired = one.join(other, "chunk").where("t1 <= t2").repartition("chunk", "t1", "t2")
     cells = _kept(members.sparkSession, paired.select("t1", "t2", _products("rows1", "rows2", F.col("t1") == F.col("t2")).alias("cells")), "cells")
-    sums = cells.select("t1", "t2", F.explode("cells").alias("c")).groupBy((F.col("t1") * TILE + F.col("c.r1")).alias("x"), (F.col("t2") * TILE + F.col("c.r2")).alias("y")).agg(F.sum("c.n").alias("shared"))
-    a, b = (owners.select(F.col("o").alias(k), F.col("owner").alias(name)) for k, name in (("x", "a"), ("y", "b")))
-    return sums.join(a, "x").join(b, "y").select("a", "b", "shared")
+    sums = cells.select("t1", "t2", F.explode("cells").alias("c")).groupBy("t1", F.col("c.r1").alias("r1"), "t2", F.col("c.r2").alias("r2")).agg(F.sum("c.n").alias("shared"))
+    x, y = (owners.select(F.col("tile").alias(f"t{k}"), F.col("row").alias(f"r{k}"), F.col("owner").alias(name)) for k, name in ((1, "x"), (2, "y")))
+    return sums.join(x, ["t1", "r1"]).join(y, ["t2", "r2"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "shared")
