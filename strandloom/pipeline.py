@@ -5,6 +5,8 @@ from __future__ import annotations
 import logging
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -131,6 +133,6 @@ def write(r: Result, config: Config) -> dict[str, str]:
         try:
             job(f"{out}/{file}")
             done[name] = f"{out}/{file}"
-        except OSError as broken:
-            log.warning("%s was not written: %s", name, broken)
+        except (OSError, PySparkException, Py4JJavaError) as broken:
+            log.warning("%s was not written: %s", name, str(broken).partition("\n")[0])
     return done

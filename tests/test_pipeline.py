@@ -1,4 +1,5 @@
 import pytest
+from pyspark.errors import AnalysisException
 
 from strandloom import pipeline, tools
 from strandloom.config import SINKS, Config, ConfigError, InputError, StrandloomError, ToolMissing
@@ -89,6 +90,15 @@ def test_quality_reports_leave_genomes_out(spark, folder, tmp_path):
         Config(output="x", lengths=2.0).validate()
 
 
+def test_a_format_that_fails_is_left_out(result, tmp_path, monkeypatch, caplog):
+    def broken(*_):
+        raise AnalysisException("no such folder\nmore")
+
+    monkeypatch.setattr(pipeline.sink, "matrix_rtab", broken)
+    paths = pipeline.write(result, Config(output=f"file://{tmp_path}/out", formats=("rtab", "summary")))
+    assert set(paths) == {"summary"} and "rtab was not written: no such folder" in caplog.text
+
+
 def test_reports_and_graph_tables(spark, result, folder):
     text = "\n".join(r.value for r in spark.read.text(result.paths["graph_html"]).collect())
     assert "Nodes" in text and "is_core" in text
