@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from strandloom import pipeline
 from strandloom.config import MODES, SINKS, Config, StrandloomError
-from strandloom.operators import clustering, combine, curves, graph, matrix, statistics
+from strandloom.operators import association, clustering, combine, curves, graph, matrix, statistics, trees
 from strandloom.session import builder
 from strandloom.sinks import files as sink
 from strandloom.sources import annotation, tables
+from strandloom.sources import trees as tree_source
 
 
 def parser() -> argparse.ArgumentParser:
@@ -63,6 +64,9 @@ def parser() -> argparse.ArgumentParser:
     ana.add_argument("--itol", action="store_true")
     ana.add_argument("--profiles", action="store_true")
     ana.add_argument("--phenotypes")
+    ana.add_argument("--structured", action="store_true", help="fit traits beside the genomes' places in the plane")
+    ana.add_argument("--continuous", action="store_true", help="traits are numbers, not 0 or 1")
+    ana.add_argument("--tree", help="Newick file of the genomes: gains and losses by branch")
     ana.add_argument("--epistasis", action="store_true")
     ana.add_argument("--graph")
     ana.add_argument("--neighbourhood")
@@ -158,9 +162,22 @@ def do_analyze(spark, a) -> None:
         ids = [r["cluster_id"] for r in matrix.most_variable(presence).collect()]
         sink.write_csv(matrix.genome_matrix(presence, ids), f"{a.output}/profiles.tsv", "\t")
     if a.phenotypes:
-        traits = tables.phenotypes(spark, a.phenotypes, presence.select("genome_id").distinct())
-        tested = statistics.fisher(statistics.contingency(presence, traits), n)
+        traits = tables.phenotypes(spark, a.phenotypes, presence.select("genome_id").distinct()).where("value is not null")
+        if not a.continuous and not traits.where("value not in (0, 1)").isEmpty():
+            raise ValueError(f"a trait in {a.phenotypes} isn't 0 or 1: use --continuous")
+        if a.structured or a.continuous:
+            axes = None
+            if a.structured:
+                plane = statistics.scaled_plane(matrix.genome_pairs(presence), sorted(r["genome_id"] for r in presence.select("genome_id").distinct().collect()))
+                axes = {g: (x, y) for g, x, y in plane}
+            tested = association.structured_association(presence, traits, axes, a.continuous)
+        else:
+            tested = statistics.fisher(statistics.contingency(presence, traits), n)
         sink.write_csv(statistics.significant(statistics.false_discovery(tested, ["trait"])).orderBy("p_value", "cluster_id"), f"{a.output}/associations.csv")
+    if a.tree:
+        branches = trees.branch_changes(presence, tree_source.tree_file(spark, a.tree))
+        sink.write_csv(branches.orderBy("node"), f"{a.output}/branch_changes.csv")
+        sink.write_csv(trees.change_rates(branches).coalesce(1), f"{a.output}/panstripe_rates.csv")
     if a.epistasis:
         sink.write_csv(statistics.mutual_information(presence, n), f"{a.output}/mutual_information.csv")
     if a.neighbourhood:

@@ -79,3 +79,9 @@ def shared_counts(members: DataFrame) -> DataFrame:
     sums = cells.select("t1", "t2", F.explode("cells").alias("c")).groupBy("t1", F.col("c.r1").alias("r1"), "t2", F.col("c.r2").alias("r2")).agg(F.sum("c.n").alias("shared"))
     x, y = (owners.select(F.col("tile").alias(f"t{k}"), F.col("row").alias(f"r{k}"), F.col("owner").alias(name)) for k, name in ((1, "x"), (2, "y")))
     return sums.join(x, ["t1", "r1"]).join(y, ["t2", "r2"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "shared")
+
+
+def folded(presence: DataFrame) -> DataFrame:
+    """(cluster_id, pattern, genomes), stored: clusters with the same genomes have the same pattern."""
+    sets = presence.groupBy("cluster_id").agg(F.sort_array(F.collect_set("genome_id")).alias("genomes"))
+    return stored(sets.select("cluster_id", F.sha2(F.array_join("genomes", "\x1f"), 256).alias("pattern"), "genomes"), "patterns")

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.operators.curves import log_factorials
-from strandloom.operators.shared import shared_counts
+from strandloom.operators.shared import folded, shared_counts
 from strandloom.session import stored
 
 
@@ -70,8 +70,7 @@ def mutual_information(presence: DataFrame, n: int, least: float | None = None)
     Clusters with the same genomes are folded into a pattern (a row per genome at most), the
     patterns are compared by bitmap blocks and only wanted pairs of patterns are spread to their clusters.
     """
-    sets = presence.groupBy("cluster_id").agg(F.sort_array(F.collect_set("genome_id")).alias("genomes"))
-    named = stored(sets.select("cluster_id", F.sha2(F.array_join("genomes", "\x1f"), 256).alias("pattern"), "genomes"), "patterns")
+    named = folded(presence)
     p = stored(named.groupBy("pattern").agg(F.first("genomes").alias("genomes")).select("pattern", F.size("genomes").alias("m"), F.explode("genomes").alias("genome_id")), "members")
     both = shared_counts(p.select(F.col("genome_id").alias("item"), F.col("pattern").alias("owner")))
     own = p.select("pattern", "m").distinct()

@@ -47,11 +47,12 @@ def gene_data(spark: SparkSession, path: str) -> DataFrame:
 
 
 def phenotypes(spark: SparkSession, path: str, genomes: DataFrame) -> DataFrame:
-    """(genome_id, trait, value) of a tab- or comma-separated table; an unknown genome is an error."""
+    """(genome_id, trait, value) of a tab- or comma-separated table, each column after the first a trait; an unknown genome is an error."""
     first = spark.read.text(path).first()[0]
     raw = spark.read.csv(path, header=True, sep="\t" if "\t" in first else ",")
-    key, trait = raw.columns[0], raw.columns[1]
-    rows = raw.select(F.col(key).alias("genome_id"), F.lit(trait).alias("trait"), F.col(trait).try_cast("double").alias("value"))
+    key, *traits = raw.columns
+    own = F.array(*[F.struct(F.lit(t).alias("trait"), F.col(f"`{t}`").try_cast("double").alias("value")) for t in traits])
+    rows = raw.select(F.col(f"`{key}`").alias("genome_id"), F.explode(own).alias("own")).select("genome_id", "own.*")
     unknown = rows.join(genomes, "genome_id", "left_anti").take(1)
     if unknown:
         raise ValueError(f"unknown genome {unknown[0][0]!r} in {path}")

@@ -34,3 +34,23 @@ def test_association_and_quality(spark, tmp_path):
     assert {r["genome_id"]: r["passed"] for r in spark.read.csv(f"{out}/qc.csv", header=True).collect()} == {"good": "true", "bad": "false"}
     (tmp_path / "q.tsv").write_text("genome\tx\nzz\t1\n")
     assert main(["analyze", "--rtab", str(tmp_path / "m.Rtab"), "-o", out, "--phenotypes", str(tmp_path / "q.tsv")], spark) == 1
+
+
+def test_structure_tree_and_several_traits(spark, tmp_path):
+    genomes = [f"g{k}" for k in range(8)]
+    lines = ["Gene\t" + "\t".join(genomes), "a\t" + "\t".join("11101000"), "b\t" + "\t".join("10101010"), "core\t" + "\t".join("1" * 8)]
+    (tmp_path / "m.Rtab").write_text("\n".join(lines) + "\n")
+    (tmp_path / "p.csv").write_text("genome,resistant,growth.rate\n" + "".join(f"{g},{int(k < 4)},{'' if k == 7 else k * k}\n" for k, g in enumerate(genomes)))
+    (tmp_path / "t.nwk").write_text("((g0:1,g1:1,g2:1)x:2,(g3:1,g4:1)y:1,(g5:1,g6:1,g7:1)z:3)r;\n")
+    out = f"file://{tmp_path}/o"
+    common = ["analyze", "--rtab", str(tmp_path / "m.Rtab"), "-o", out]
+    assert main([*common, "--phenotypes", str(tmp_path / "p.csv")], spark) == 1
+    (tmp_path / "b.csv").write_text("genome,resistant,second\n" + "".join(f"{g},{int(k < 4)},{k % 2 if k else ''}\n" for k, g in enumerate(genomes)))
+    assert main([*common, "--phenotypes", str(tmp_path / "b.csv")], spark) == 0
+    assert {r["trait"] for r in spark.read.csv(f"{out}/associations.csv", header=True).collect()} == {"resistant", "second"}
+    assert main([*common, "--phenotypes", str(tmp_path / "p.csv"), "--structured", "--continuous", "--tree", str(tmp_path / "t.nwk")], spark) == 0
+    rows = {(r["cluster_id"], r["trait"]): r for r in spark.read.csv(f"{out}/associations.csv", header=True).collect()}
+    assert len(rows) == 6 and rows["a", "growth.rate"]["n"] == "7" and float(rows["core", "resistant"]["p_value"]) == 1.0
+    changes = {r["name"]: (r["gains"], r["losses"]) for r in spark.read.csv(f"{out}/branch_changes.csv", header=True).collect()}
+    assert changes["x"] == ("2", "0") and changes["g1"] == ("0", "1") and changes["g4"] == ("2", "0")
+    assert {r["parameter"] for r in spark.read.csv(f"{out}/panstripe_rates.csv", header=True).collect()} == {"gain_rate", "loss_rate", "alpha", "convergence", "r_squared"}
