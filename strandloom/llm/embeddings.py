@@ -7,8 +7,9 @@ run is cut into blocks of bounded size and every pair of its blocks is compared,
 never cuts a run short. Two vectors at the threshold share a projection's sign with a
 probability that depends on nothing but their angle, so the number of passes that a label
 needs to miss such a pair with probability MISS follows from its key length alone, whatever
-the label's density. A label for which the passes would cost more than comparing it as one run
-is one run: its key is empty, and one pass finds every pair.
+the label's density. Keys have LEAST_BITS bits at least, with which the passes compare fewer pairs
+than all of a label; only a label of up to FEW classes, about the vectors of one run of a pass,
+is one run as it is: its key is empty, and one pass finds every pair.
 
 The pairs verified in the passes are united into components, and inside each component the
 links are counted in full, again in blocks. A pair of blocks returns link counts and, in place
@@ -34,8 +35,10 @@ from pyspark.sql import functions as F
 from strandloom.llm import store
 from strandloom.llm.components import connected_components
 
-#: Classes of a run, by which a label's key length is chosen; the probability of missing a pair at the threshold; the longest key.
-RUN, MISS, BITS = 1024, 1e-6, 40
+#: Classes of a run, by which a label's key length is chosen; the probability of missing a pair at the threshold; the longest and the shortest key.
+RUN, MISS, BITS, LEAST_BITS = 1024, 1e-6, 40, 4
+#: Classes of a label that is one run.
+FEW = 128
 #: Numbers of a block of vectors, and cosines held at once.
 BLOCK_NUMBERS, COSINES = 1 << 21, 1 << 22
 
@@ -81,7 +84,7 @@ def _compared(one: np.ndarray, other: np.ndarray | None, copies: np.ndarray, thr
 
 def schedule(n: Column, threshold: float) -> tuple[Column, Column]:
     """(key bits, passes) for a label of n classes."""
-    bits = F.least(F.lit(BITS), F.greatest(F.lit(0), F.ceil(F.log2(n / RUN)).cast("int")))
+    bits = F.when(n <= FEW, 0).otherwise(F.least(F.lit(BITS), F.greatest(F.lit(LEAST_BITS), F.ceil(F.log2(n / RUN)).cast("int"))))
     same = 1 - math.acos(min(1.0, max(-1.0, threshold))) / math.pi
     passes = F.ceil(math.log(MISS) / F.log1p(-F.pow(F.lit(same), bits) * (1 - 1e-12))).cast("int")
     dearer = (bits == 0) | (passes >= F.pow(F.lit(2.0), bits))

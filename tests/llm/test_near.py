@@ -120,10 +120,10 @@ def test_vectors_agree_with_all_pairs(spark):
 def test_the_schedule_and_its_misses(spark):
     from strandloom.llm.embeddings import schedule
 
-    sizes = spark.createDataFrame([(n,) for n in (2, 1000, 8000, 30_000, 1_000_000, 10**9)], "n long")
+    sizes = spark.createDataFrame([(n,) for n in (2, 128, 129, 1000, 8000, 30_000, 1_000_000, 10**9)], "n long")
     bits, passes = schedule(F.col("n"), 0.98)
     got = {r.n: (r.b, r.p) for r in sizes.select("n", bits.alias("b"), passes.alias("p")).collect()}
-    assert got[2] == got[1000] == got[8000] == (0, 1) and got[30_000][0] == 5 and got[10**9][0] == 20
+    assert got[2] == got[128] == (0, 1) and got[129] == got[1000] == got[8000] == (4, 10) and got[30_000][0] == 5 and got[10**9][0] == 20
     same = 1 - np.arccos(0.98) / np.pi
     for n, (b, p) in got.items():
         assert b == 0 or (1 - same**b) ** p <= 1e-6 and p < 2**b and n / 2**b <= 1024
@@ -146,13 +146,14 @@ def test_empty_vectors(spark):
     assert near_duplicate_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
-@pytest.mark.parametrize("numbers,run", [(64 * 300, 1024), (64 * 300, 100)])
-def test_a_dense_label_misses_no_pair(spark, monkeypatch, numbers, run):
-    """As one run in blocks, and in passes of five key bits whose crowded runs are cut into blocks."""
+@pytest.mark.parametrize("run,few", [(1024, 2000), (1024, 128), (100, 128)])
+def test_a_dense_label_misses_no_pair(spark, monkeypatch, run, few):
+    """As one run in blocks, and in passes of four and five key bits whose crowded runs are cut into blocks."""
     from strandloom.llm import embeddings
 
-    monkeypatch.setattr(embeddings, "BLOCK_NUMBERS", numbers)
+    monkeypatch.setattr(embeddings, "BLOCK_NUMBERS", 64 * 300)
     monkeypatch.setattr(embeddings, "RUN", run)
+    monkeypatch.setattr(embeddings, "FEW", few)
     rng = np.random.default_rng(8)
     x = rng.standard_normal(64) * 5.4 + rng.standard_normal((2000, 64))
     x[1000:1400] = x[:400] + rng.standard_normal((400, 64)) * 0.5
