@@ -6,8 +6,10 @@ joined by hash with the benchmark's; a matched window counts only while the valu
 slots map one to one to the item's along its diagonal. An item is found in a document where
 the counted windows cover at least four fifths of the item's words. A window short of literal
 words is matched with the words at sentence starts, and made longer until it has enough; an
-item that never has enough is matched by its words with placeholders for numbers and units
-only, or, short of words even so, word for word.
+item that never has enough is one whole window, if it has a literal word at all, so changed
+numbers, units and names in it are found too. Beside that an item is matched by its words with
+placeholders for numbers and units only, in the same way, and, short of literal words even so,
+word for word.
 
 The benchmark's windows are a table, made in parallel. One pass over the documents keeps the
 windows whose hash the benchmark may have: up to HELD_HASHES distinct hashes are held sorted
@@ -152,6 +154,11 @@ def spans(literal: np.ndarray, starts: np.ndarray) -> list[tuple[int, int]]:
     return sorted(found)
 
 
+def whole(what: int, view: View) -> list[tuple[int, int, int]]:
+    """One window of all words of an item with literal words and slots, too few for others."""
+    return [(what, 0, len(view.kinds))] if (view.kinds == LITERAL).any() and view.slot.any() else []
+
+
 def indexed(template: View, plain: View) -> list[tuple[int, int, int]]:
     """(what, place, width) of the windows of one item; each way, if any, they hold all of its words."""
     found, n = [], len(template.kinds) - WINDOW + 1
@@ -160,10 +167,11 @@ def indexed(template: View, plain: View) -> list[tuple[int, int, int]]:
         enough = np.convolve(literal, np.ones(WINDOW, dtype="i8"), "valid") >= LEAST_LITERALS
         found += [(TEMPLATE, j, WINDOW) for j in np.flatnonzero(enough).tolist()]
         found += [(ANCHORED, j, w) for j, w in spans(literal | (template.kinds == _START), np.flatnonzero(~enough))]
+        found = found or whole(TEMPLATE, template)
     size = len(plain.kinds)
     if size:
         wide = [(FOLDED, j, w) for j, w in spans(plain.kinds == LITERAL, np.arange(size - WINDOW + 1))] if size >= WINDOW else []
-        found += wide or [(EXACT, j, min(WINDOW, size)) for j in range(max(1, size - WINDOW + 1))]
+        found += wide or [*(whole(FOLDED, plain) if size >= WINDOW else []), *((EXACT, j, min(WINDOW, size)) for j in range(max(1, size - WINDOW + 1)))]
     return found
 
 

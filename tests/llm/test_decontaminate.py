@@ -117,6 +117,23 @@ def test_the_query_agrees_with_plain_loops(spark, tmp_path):
         assert k in got[3 + 7 * k][0] and k in got[4 + 7 * k][0], t
 
 
+def test_changed_values_of_items_with_few_literal_words(spark):
+    items = ["Compute 12 + 35 * 7 - 4 / 2 + 19 * 3 - 8.", "Anna Lind, John Roe and Carol King: 5 km, 6 km, 7 km.", "12 35 7 4 2 19 3 8", "Add 1 and 2"]
+    texts = {
+        "Please: compute 90 + 41 * 6 - 5 / 3 + 20 * 1 - 7, then stop.": [0],
+        "compute 90 + 41 * 6 - 5 / 3 + 20 * 1 - 90, then stop": [],
+        "compute 90 + 41 * 6 - 5 / 3 + 20 * 1, then stop": [],
+        "Rita Moor, Paul Hart and Nina Bell: 15 km, 16 km, 17 km.": [1],
+        "Rita Moor, Paul Hart and Nina Bell: 15 km, 15 km, 17 km.": [],
+        "the numbers 90 41 6 5 3 20 1 7 of a table": [],
+        "the numbers 12 35 7 4 2 19 3 8 of a table": [2],
+        "add 3 and 4": [],
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r["items"] for r in contaminated_by(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    assert [got[k] for k in range(len(texts))] == list(texts.values())
+
+
 def test_names_that_clash(spark):
     docs = documents(spark, extra=[ITEM]).withColumns({c: F.lit(1) for c in ("hits", "what", "h", "items", "covered", "text_hash_")})
     items = spark.createDataFrame([(1, ITEM, 1, 2, 3)], "item_id long, text string, item long, id long, what long")
