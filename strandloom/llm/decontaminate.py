@@ -286,10 +286,11 @@ def consistent(found: DataFrame) -> DataFrame:
                     now, diagonal, cover = (row, item, way, i), None, np.zeros(size, dtype=bool)
                 if d != diagonal:
                     diagonal, there, back = d, {}, {}
-                if len(slots) != len(values) or any(there.get(a, b) != b or back.get(b, a) != a for a, b in zip(slots, values)):
+                own, turned = dict(zip(slots, values)), dict(zip(values, slots))
+                if len(slots) != len(values) or any(own[a] != b or turned[b] != a or there.get(a, b) != b or back.get(b, a) != a for a, b in zip(slots, values)):
                     continue
-                for a, b in zip(slots, values):
-                    there[a], back[b] = b, a
+                there |= own
+                back |= turned
                 cover[place : place + width] = True
             yield _shares(out)
         if now is not None:

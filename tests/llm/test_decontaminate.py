@@ -85,7 +85,7 @@ def plain(items, texts):
                 for what, width, d, j in wanted:
                     there, back = maps.setdefault(d - j, ({}, {}))
                     pairs = [] if what == decontaminate.EXACT else [(int(item[way].values[j + k]), int(views[way].values[d + k])) for k in range(width) if item[way].slot[j + k]]
-                    if all(there.get(a, b) == b and back.get(b, a) == a for a, b in pairs):
+                    if all((a == c) == (b == e) for a, b in pairs for c, e in [*pairs, *there.items()]):
                         there.update(pairs)
                         back.update((b, a) for a, b in pairs)
                         cover[j : j + width] = [True] * width
