@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import sequence as seq
 from strandloom.operators.graph import both_ways
-from strandloom.session import stored
+from strandloom.operators.numbering import numbered
+from strandloom.session import forget, stored
 
 
 def similar_pairs(seqs: DataFrame, identity: float, identity_of=seq.identity_by_min, lengths: float | None = None) -> DataFrame:
@@ -41,13 +42,46 @@ def similar_pairs(seqs: DataFrame, identity: float, identity_of=seq.identity_by_
     return both.select("a", "b", identity_of(F.col("sa"), F.col("sb")).alias("identity")).where(F.col("identity") >= t)
 
 
+def first_independent(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(ord) of those rows that a pass in ord order takes: a row is taken if none of its earlier partners was.
+
+    pairs(a, b), a < b. A row without an undecided earlier partner is taken, and its later
+    partners go. In between, a row with a single undecided earlier partner is taken exactly if
+    that one isn't; such rows form trees, and pointer doubling brings each to its tree's root with
+    the parity of its steps. Roots that are decided then decide their whole tree, so a chain
+    costs the logarithm of its length. Where every row has several undecided earlier partners
+    (a band, rather than a chain), a round decides the rows that the one before set free.
+    """
+    left = stored(rows.select("ord"), "left")
+    taken = left.limit(0)
+    pairs = stored(pairs.select("a", "b"), "live")
+    while not left.isEmpty():
+        before = pairs.groupBy(F.col("b").alias("ord")).agg(F.count(F.lit(1)).alias("n"), F.min("a").alias("at"))
+        # root: the row where the walk stands; odd: its steps are an odd number
+        state = left.join(before, "ord", "left").select("ord", F.coalesce("n", F.lit(0)).alias("n"), "at")
+        walks = stored(state.select("ord", F.when(F.col("n") == 1, F.col("at")).otherwise(F.col("ord")).alias("at"), (F.col("n") == 1).alias("odd"), (F.col("n") == 1).alias("goes"), (F.col("n") == 0).alias("free")), "walks")
+        while not walks.where("goes").isEmpty():
+            ahead = walks.select(F.col("ord").alias("at"), F.col("at").alias("at2"), F.col("odd").alias("odd2"), F.col("goes").alias("goes2"), F.col("free").alias("free2"))
+            moved = walks.where("goes").join(ahead, "at").select("ord", F.col("at2").alias("at"), (F.col("odd") != F.col("odd2")).alias("odd"), F.col("goes2").alias("goes"), F.col("free2").alias("free"))
+            last, walks = walks, stored(walks.where("not goes").unionByName(moved), "walks")
+            forget(last)
+        decided = walks.where("free")
+        new = stored(decided.where("not odd").select("ord"), "taken")
+        taken = taken.unionByName(new)
+        beaten = pairs.join(new.withColumnRenamed("ord", "a"), "a", "left_semi").select(F.col("b").alias("ord"))
+        gone = stored(decided.select("ord").unionByName(beaten).distinct(), "gone")
+        left = stored(left.join(gone, "ord", "left_anti"), "left")
+        last, pairs = pairs, stored(pairs.join(gone.withColumnRenamed("ord", "a"), "a", "left_anti").join(gone.withColumnRenamed("ord", "b"), "b", "left_anti").select("a", "b"), "live")
+        forget(last, walks)
+    return taken
+
+
 def greedy_clusters(seqs: DataFrame, identity: float, lengths: float | None = None) -> DataFrame:
     """(ord, cluster_id, centroid) of (ord, sequence): greedy incremental clustering without a scan in order.
 
     Equal sequences are folded into their first row, so copies make no pairs. The centroids of
-    the sequential pass are the first maximal independent set in ord order: a row without an
-    undecided or central earlier neighbour becomes a centroid; one with a central earlier
-    neighbour a member. A member, copy or not, goes to the most similar centroid before it, the
+    the sequential pass are the first maximal independent set in ord order (first_independent());
+    the others are members. A member, copy or not, goes to the most similar centroid before it, the
     latest of equal ones. Empty sequences are left out.
     """
     rows = stored(seqs.where(F.length("sequence") > 0).select("ord", F.xxhash64("sequence").alias("h"), F.sha2("sequence", 256).alias("digest")), "rows")
@@ -55,19 +89,8 @@ def greedy_clusters(seqs: DataFrame, identity: float, lengths: float | None = No
     rows = stored(rows.join(first, ["h", "digest"]).select("ord", "one"), "rows")
     ones = seqs.select("ord", "sequence").join(rows.where("ord = one").select("ord"), "ord", "left_semi")
     pairs = stored(similar_pairs(ones, identity, lengths=lengths), "pairs")
-    left = stored(rows.where("ord = one").select("ord"), "left")
-    central = left.limit(0)
-    while True:
-        waits = pairs.join(left.withColumnRenamed("ord", "b"), "b").join(left.withColumnRenamed("ord", "a"), "a", "left_semi").select(F.col("b").alias("ord")).distinct()
-        new = stored(left.join(waits, "ord", "left_anti"), "centroids")
-        if new.isEmpty():
-            break
-        central = central.unionByName(new)
-        gone = new.unionByName(pairs.join(new.withColumnRenamed("ord", "a"), "a").select(F.col("b").alias("ord"))).distinct()
-        left = stored(left.join(gone, "ord", "left_anti"), "left")
-    central = stored(central, "centroids")
-    number = F.row_number().over(Window.orderBy("ord")) - 1  # over centroids only
-    named = stored(central.withColumn("cluster_id", F.concat(F.lit("cluster_"), number.cast("string"))), "centroids")
+    central = stored(first_independent(rows.where("ord = one").select("ord"), pairs.select("a", "b")), "centroids")
+    named = stored(numbered(central, [F.col("ord")], "__n").select("ord", F.concat(F.lit("cluster_"), F.col("__n").cast("string")).alias("cluster_id")), "named")
     # a copy may lie behind centroids that came after its sequence's first row
     both = pairs.select(F.col("b").alias("one"), F.col("a").alias("centroid"), "identity").unionByName(pairs.select(F.col("a").alias("one"), F.col("b").alias("centroid"), "identity"))
     near = both.unionByName(central.select(F.col("ord").alias("one"), F.col("ord").alias("centroid"), F.lit(1.0).alias("identity")))
