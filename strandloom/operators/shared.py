@@ -71,11 +71,22 @@ def shared_counts(members: DataFrame) -> DataFrame:
     owners = stored(_dealt(rows.select("owner").distinct(), "owner", TILE, "tile", "row"), "owners")
     items = _dealt(rows.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("item"), "item", CHUNK, "chunk", "bit")
     placed = rows.join(items, "item").join(owners, "owner")
-    maps = placed.groupBy("chunk", "tile", "row").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    return _multiplied(placed.groupBy("chunk", "tile", "row").agg(F.bitmap_construct_agg("bit").alias("bits")), owners)
+
+
+def shared_bits(maps: DataFrame) -> DataFrame:
+    """As shared_counts(), of items that are bits already: (owner, chunk, bits), once each, of CHUNK bits."""
+    ship(maps.sparkSession)
+    owners = stored(_dealt(maps.select("owner").distinct(), "owner", TILE, "tile", "row"), "owners")
+    return _multiplied(maps.join(owners, "owner").select("chunk", "tile", "row", "bits"), owners)
+
+
+def _multiplied(maps: DataFrame, owners: DataFrame) -> DataFrame:
+    """(a, b, shared) of bitmaps (chunk, tile, row, bits) of owners(owner, tile, row)."""
     tiles = stored(maps.groupBy("chunk", "tile").agg(F.sort_array(F.collect_list(F.struct("row", "bits"))).alias("rows")), "tiles")
     one, other = (tiles.select("chunk", F.col("tile").alias(f"t{k}"), F.col("rows").alias(f"rows{k}")) for k in (1, 2))
     paired = one.join(other, "chunk").where("t1 <= t2").repartition("chunk", "t1", "t2")
-    cells = _kept(members.sparkSession, paired.select("t1", "t2", _products("rows1", "rows2", F.col("t1") == F.col("t2")).alias("cells")), "cells")
+    cells = _kept(maps.sparkSession, paired.select("t1", "t2", _products("rows1", "rows2", F.col("t1") == F.col("t2")).alias("cells")), "cells")
     sums = cells.select("t1", "t2", F.explode("cells").alias("c")).groupBy("t1", F.col("c.r1").alias("r1"), "t2", F.col("c.r2").alias("r2")).agg(F.sum("c.n").alias("shared"))
     x, y = (owners.select(F.col("tile").alias(f"t{k}"), F.col("row").alias(f"r{k}"), F.col("owner").alias(name)) for k, name in ((1, "x"), (2, "y")))
     return sums.join(x, ["t1", "r1"]).join(y, ["t2", "r2"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "shared")

@@ -91,7 +91,7 @@ both_have AS (SELECT a.g AS g1, b.g AS g2, count(*) AS shared FROM k a JOIN k b
 SELECT g1, g2, shared, round(pow(greatest(shared / x.n, shared / y.n), 1 / 11), 6) AS ani, round(shared / x.n, 6) AS align_1, round(shared / y.n, 6) AS align_2 FROM both_have JOIN size x ON x.g = g1 JOIN size y ON y.g = g2""")
 def genome_identities(spark: SparkSession, d: str) -> DataFrame:
     """The letters of all documents as bases, a source as a genome: shared k-mers without a hash, and the identity from them."""
-    text = F.translate(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^aeioulnr]", ""), "aeioulnr", "ACGTACGT")
+    text = F.translate(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^aeioulnr]+", ""), "aeioulnr", "ACGTACGT")
     rows = tpch.table(spark, d, "documents").select(F.col("source").alias("genome_id"), text.alias("sequence"))
     found = sketches.genome_identities(rows, k=11, scaled=1)
     return found.select("g1", "g2", "shared", *[F.round(c, 6).alias(c) for c in ("ani", "align_1", "align_2")])

@@ -92,3 +92,18 @@ def test_refound_is_a_search_of_everything(spark, monkeypatch):
     want = {(g, s) for g, s in missing if len(genes[g]) >= 10 and any(1 - distance(genes[g], t) / len(genes[g]) >= 0.7 for o, t in contigs if o == s and t)}
     rows = [(r.dst, r.genome_id) for r in got.collect()]
     assert set(rows) == want and len(rows) == len(want) and 5 < len(want) < 48
+
+
+def test_numbered_kmers_are_those_of_the_texts(spark, monkeypatch):
+    """Numbers, marks and texts of k-mers agree; no row is made for each place, so a long text costs no more a base than a short one."""
+    monkeypatch.setattr(sketches, "BLOCK", 64)
+    monkeypatch.setattr(sketches, "TABLES", 2)
+    rng = random.Random(8)
+    texts = [(g, bases(rng, n) + "n" + bases(rng, n).lower()) for g, n in (("a", 300), ("b", 40), ("c", 5), ("a", 90), (None, 60), ("d", 0))] + [("b", None)]
+    df = spark.createDataFrame(texts, "genome_id string, sequence string")
+    for k in (1, 7, 9, 11, 12, 31, 33):
+        want = {(g, min(w, turned(w))) for g, s in texts for w in (((s or "").upper())[i : i + k] for i in range(len(s or "") - k + 1)) if set(w) <= set("ACGT")}
+        rows = [(r.genome_id, r.kmer) for r in sketches.distinct_kmers(df, k).collect()]
+        assert set(rows) == want and len(rows) == len(want)
+    plan = sketches.sketches(df, 11, 1)._jdf.queryExecution().toString() + sketches.sketches(df, 21, 1)._jdf.queryExecution().toString()
+    assert "Generate" not in plan
