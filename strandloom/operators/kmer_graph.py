@@ -30,7 +30,14 @@ def coloured(sequences: DataFrame, k: int) -> DataFrame:
     """(kmer, genome_id), once each, of (genome_id, sequence); rows without a genome have no colour and are left out."""
     if k % 2 == 0:
         raise ValueError("k must be odd")
-    return sketches.kmers(sequences.where("genome_id is not null"), k).select("kmer", "genome_id").distinct()
+    return sketches.distinct_kmers(sequences.where("genome_id is not null"), k).select("kmer", "genome_id")
+
+
+def uncoloured(sequences: DataFrame, k: int) -> DataFrame:
+    """(kmer), once each, of the rows that coloured() takes."""
+    if k % 2 == 0:
+        raise ValueError("k must be odd")
+    return sketches.distinct_kmers(sequences.where("genome_id is not null").select(F.lit(0).alias("genome_id"), "sequence"), k).select("kmer")
 
 
 def overlaps(kmers: DataFrame) -> DataFrame:

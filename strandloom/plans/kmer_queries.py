@@ -28,7 +28,7 @@ def query(sql: str | None = None):
 
 
 def bases(text: Column) -> Column:
-    return F.translate(F.regexp_replace(F.lower(text), "[^aeioulnr]", ""), "aeioulnr", "ACGTACGT")
+    return F.translate(F.regexp_replace(F.lower(text), "[^aeioulnr]+", ""), "aeioulnr", "ACGTACGT")
 
 
 def contigs(spark: SparkSession, d: str) -> DataFrame:
@@ -67,5 +67,5 @@ def kmer_graph_statistics(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH s AS (SELECT source AS g, {BASES.format(c='text')} AS t FROM documents), {GRAPH.format(k=K)} SELECT n_out, n_in, count(*) AS overlaps FROM (SELECT shared, coalesce(n_out, 0) AS n_out, coalesce(n_in, 0) AS n_in FROM outs FULL JOIN ins USING (shared)) GROUP BY 1, 2")
 def kmer_overlaps(spark: SparkSession, d: str) -> DataFrame:
     rows = tpch.table(spark, d, "documents").select(F.col("source").alias("genome_id"), bases(F.coalesce("text", F.lit(""))).alias("sequence"))
-    found = kmer_graph.overlaps(kmer_graph.coloured(rows, K).select("kmer").distinct())
+    found = kmer_graph.overlaps(kmer_graph.uncoloured(rows, K))
     return found.groupBy("n_out", "n_in").agg(F.count(F.lit(1)).alias("overlaps"))

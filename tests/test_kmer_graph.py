@@ -105,3 +105,11 @@ def test_a_chain_is_decided_in_few_rounds(spark, monkeypatch):
     rows = spark.range(5000).withColumnRenamed("id", "ord")
     got = clustering.first_independent(rows, rows.where("ord > 0").selectExpr("ord - 1 AS a", "ord AS b"))
     assert sorted(r.ord for r in got.collect()) == list(range(0, 5000, 2)) and len(made) < 24
+
+
+def test_kmers_without_colours_make_no_row_a_place(spark):
+    df = spark.createDataFrame([("a", "ACGTTGCAAGGTNACCTGATTACA" * 3), ("b", "ACGTTGCAAGGTACC"), (None, "TTTTTTTTTTTT"), ("c", None)], "genome_id string, sequence string")
+    got = kmer_graph.uncoloured(df, 11)
+    rows = [r.kmer for r in got.collect()]
+    assert sorted(rows) == sorted({r.kmer for r in kmer_graph.coloured(df, 11).collect()}) and "A" * 11 not in rows
+    assert "Generate" not in got._jdf.queryExecution().toString()
