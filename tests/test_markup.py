@@ -93,3 +93,24 @@ def test_what_is_written_reads_back(spark, tmp_path):
         back, wires = read(spark, f"file://{path}")
         assert (back["a"].support, back["a"].genomes, back["a"].members, back["a"].contig_end_genomes, back["a"].sequence, back["a"].annotation) == (2, ["g1", "g2"], ["m1"], ["g1"], "ATGAAATAG", 'x "y" \\ [z] w')
         assert wires == {("a", "b"): (["g1"], 1), ("a", "a"): (["g2"], 1)}
+
+
+def test_lines_are_not_shuffled(spark, tmp_path):
+    """A block over many ranges, files of few lines beside it, and no exchange but at the borders and of names."""
+    big = ["graph [", "  node [", '    id "long"', "    genomes [", *[f'      "g{i:05}"' for i in range(4000)], "    ]", '    annotation "end"', "  ]", "  edge [", '    source "long"', '    target "x"', "  ]", "]"]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.gml").write_text("\n".join(big))
+    (tmp_path / "in" / "b.gml").write_text('node [\n id 1\n label "x"\n]\nedge [\n source 1\n target 1\n]')
+    (tmp_path / "in" / "c.gml").write_text("graph [\n]")
+    before = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        nodes, edges = tables.graph_markup(spark, f"file://{tmp_path}/in")
+        assert {r.cluster_id: (len(r.genomes), r.annotation) for r in nodes.collect()} == {"long": (4000, "end"), "x": (0, "")}
+        assert sorted((r.src, r.dst) for r in edges.collect()) == [("long", "x"), ("x", "x")]
+    finally:
+        for c, x in before.items():
+            spark.conf.set(c, x)
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("Window") <= 2
