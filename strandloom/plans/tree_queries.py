@@ -31,13 +31,11 @@ def query(sql: str | None = None):
 SELECT tree, name, flag AS parent, length, 2 AS depth FROM lines UNION ALL SELECT tree, flag, 'order ' || tree, sum(length), 1 FROM lines GROUP BY 1, 2
 UNION ALL SELECT DISTINCT tree, 'order ' || tree, NULL, CAST(NULL AS DOUBLE), 0 FROM lines""")
 def newick_nodes(spark: SparkSession, d: str) -> DataFrame:
-    lines = tpch.table(spark, d, "lineitem").select("l_orderkey", "l_returnflag", F.col("l_quantity").cast("double").alias("length"), F.concat(F.col("l_partkey").cast("string"), F.lit(":"), F.col("l_quantity").cast("double").cast("string")).alias("leaf"))
+    lines = tpch.table(spark, d, "lineitem").repartition("l_orderkey").select("l_orderkey", "l_returnflag", F.col("l_quantity").cast("double").alias("length"), F.concat(F.col("l_partkey").cast("string"), F.lit(":"), F.col("l_quantity").cast("double").cast("string")).alias("leaf"))
     flags = lines.groupBy("l_orderkey", "l_returnflag").agg(F.concat(F.lit("("), F.array_join(F.sort_array(F.collect_list("leaf")), ","), F.lit(")"), F.first("l_returnflag"), F.lit(":"), F.sum("length").cast("string")).alias("inner"))
     text = F.concat(F.lit("["), F.col("tree").cast("string"), F.lit("]("), F.array_join(F.sort_array("parts"), ",\n"), F.lit(")'order "), F.col("tree").cast("string"), F.lit("';"))
     texts = flags.groupBy(F.col("l_orderkey").alias("tree")).agg(F.collect_list("inner").alias("parts")).select("tree", text.alias("value"))
-    nodes = source.tree_nodes(texts)
-    above = source.tree_nodes(texts).select("tree", F.col("node").alias("parent"), F.col("name").alias("above"))
-    return nodes.join(above, ["tree", "parent"], "left").select("tree", "name", F.col("above").alias("parent"), "length", "depth")
+    return source.tree_nodes(texts).select("tree", "name", F.col("above").alias("parent"), "length", "depth")
 
 
 LENGTHS = """, size AS (SELECT n_nationkey, n_regionkey, count(c_custkey) AS n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2)"""

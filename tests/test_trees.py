@@ -28,6 +28,14 @@ def test_tree_tables_and_files(spark, tmp_path):
     assert tree_file(spark, str(tmp_path / "t.nwk")).count() == 3
 
 
+def test_parents_names_and_batches_of_small_trees(spark, monkeypatch):
+    """A node carries its parent's name, so no join is needed; small trees leave a task together."""
+    monkeypatch.setattr("strandloom.sources.trees.ROWS", 5)
+    texts = [(k, f"((a{k}:1,b)x:2,c)r{k};") for k in range(9)] + [(9, None), (10, "a;")]
+    rows = tree_nodes(spark.createDataFrame(texts, "tree int, value string")).select("tree", "name", "above").collect()
+    assert sorted((r["tree"], r["name"], r["above"] or "") for r in rows) == sorted([x for k in range(9) for x in ((k, f"a{k}", "x"), (k, "b", "x"), (k, "x", f"r{k}"), (k, "c", f"r{k}"), (k, f"r{k}", ""))] + [(10, "a", "")])
+
+
 def random_tree(rng, leaves):
     """Newick text of a tree in which nodes have two to four children."""
     parts = [f"g{k}:{rng.randrange(1, 9)}" for k in range(leaves)]
