@@ -30,10 +30,10 @@ def query(sql: str | None = None):
     return add
 
 
-def written(spark: SparkSession, rows: DataFrame, name: str) -> str:
+def written(spark: SparkSession, rows: DataFrame, name: str, compression: str = "none") -> str:
     """The path of the rows' one string column as lines."""
     path = fresh_path(spark, name)
-    sink.write_lines(rows, path)
+    sink.write_lines(rows, path, compression)
     return path
 
 
@@ -96,7 +96,7 @@ def graph_text(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     )
     wires = supplied.select((F.col("l_partkey")).alias("a"), F.col("l_suppkey").alias("b")).where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
     edge = F.concat(F.lit('  edge [\n    source "p'), "a", F.lit('"\n    target "p'), "b", F.lit('"\n    support '), "n", F.lit('\n    genomes [\n      "g'), F.col("a") % 5, F.lit('"\n    ]\n  ]'))
-    return tables.graph_markup(spark, written(spark, part.select(node.alias("value")).unionByName(wires.select(edge.alias("value"))), "markup"))
+    return tables.graph_markup(spark, written(spark, part.select(node.alias("value")).unionByName(wires.select(edge.alias("value"))), "markup", "gzip"))
 
 
 @query("""SELECT 'p' || p_partkey AS cluster_id, CAST(p_size AS BIGINT) AS support, p_size % 2 = 1 AS is_paralog, 'a' || p_partkey % 7 || ',b' || p_size % 3 AS genomes, 'm1;m' || p_partkey AS members, '[Fe] \\ "' || p_type || '" [' || p_name || ']' AS annotation, 'ACGT' AS sequence FROM part""")

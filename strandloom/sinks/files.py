@@ -23,9 +23,9 @@ def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
     df.write.mode("overwrite").csv(path, header=True, sep=sep)
 
 
-def write_lines(df: DataFrame, path: str) -> None:
+def write_lines(df: DataFrame, path: str, compression: str = "none") -> None:
     """df has one string column; order within a file is the order of df's partitions."""
-    df.write.mode("overwrite").text(path)
+    df.write.mode("overwrite").text(path, compression=compression)
 
 
 def write_one(spark: SparkSession, path: str, text: str) -> None:
