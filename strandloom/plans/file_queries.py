@@ -282,7 +282,7 @@ def growth_points(spark: SparkSession, d: str) -> DataFrame:
 
     gap = spark.createDataFrame([(0, "# n size"), (2, ""), (3, "# core")], "k int, value string")
     lines = gap.unionByName(block(1, tpch.table(spark, d, "orders"), "o_orderkey", "o_totalprice")).unionByName(block(4, tpch.table(spark, d, "customer"), "c_custkey", "c_acctbal"))
-    return tables.growth_points(spark, written(spark, lines.orderBy("k").coalesce(1).select("value"), "growth"))
+    return tables.growth_points(spark, written(spark, lines.orderBy("k", "value").select("value"), "growth"))
 
 
 ANI = "ani AS (SELECT 'g' || s_nationkey AS g1, 'g' || (s_suppkey % 25) AS g2, max(80 + s_suppkey % 20) / 100 AS ani FROM supplier WHERE s_nationkey <> s_suppkey % 25 GROUP BY 1, 2)"

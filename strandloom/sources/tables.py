@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import text as txt
+from strandloom.session import ship, stored
 from strandloom.sources.markup import graph_markup  # noqa: F401  one more reader
 
 #: The leading columns of the wide presence table.
@@ -196,12 +202,61 @@ def ani_pairs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def growth_points(spark: SparkSession, path: str) -> DataFrame:
-    """(block, n, size): pairs of numbers; a blank line starts the next block, '#' is a comment."""
-    files = spark.read.text(path, wholetext=True)
-    blocks = files.select(F.posexplode(F.split("value", r"\n\s*\n")).alias("block", "body"))
+    """(block, n, size): pairs of numbers; blank lines start the next block, '#' is a comment.
+
+    The part files of a folder, in the order of their names, are one text; any other file is its own.
+    Lines are read range by range: a task counts the runs of blank lines in its ranges, and only the
+    ranges' counts (one row a range) are added up.
+    """
+    ship(spark)
+    file = F.col("_metadata.file_path")
+    found = stored(spark.read.text(path, lineSep="\n").select(file.alias("file"), F.col("_metadata.file_block_start").alias("range"), "value").mapInArrow(_growth_lines, "file string, range long, runs long, line string, lead long, n long, blank_end boolean"), "growth")
+    text = F.coalesce(F.nullif(F.regexp_extract("file", r"^(.*/)part-[^/]*$", 1), F.lit("")), F.col("file"))
+    in_text = Window.partitionBy("text").orderBy("file", "range")
+    earlier = in_text.rowsBetween(Window.unboundedPreceding, -1)
+    total = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
+    ranges = found.where("n is not null").withColumn("text", text)
+    # a run over a border is counted by both ranges; one blank line at a text's beginning has no line before it
+    ranges = ranges.withColumn("twice", ((F.col("lead") > 0) & F.coalesce(F.lag("blank_end").over(in_text), F.lit(False))).cast("long")).withColumn("leading", F.when(total(F.col("n") - F.col("lead")) == 0, F.col("lead")).otherwise(0))
+    lone = (F.sum("leading").over(Window.partitionBy("text")) == 1).cast("long")
+    before = ranges.select("file", "range", (total("runs") - total("twice") - F.col("twice") - lone).alias("before"))
     f = F.split(F.trim("line"), r"\s+")
-    rows = blocks.select("block", F.explode(F.split("body", "\r?\n")).alias("line")).where(~F.col("line").startswith("#") & (F.size(f) >= 2))
-    return rows.select("block", f[0].try_cast("long").alias("n"), f[1].try_cast("double").alias("size")).where("n is not null and size is not null")
+    rows = found.where("line is not null").join(before, ["file", "range"]).where(~F.col("line").startswith("#") & (F.size(f) >= 2))
+    return rows.select((F.col("before") + F.col("runs")).cast("int").alias("block"), f[0].try_cast("long").alias("n"), f[1].try_cast("double").alias("size")).where("n is not null and size is not null")
+
+
+def _growth_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines that aren't blank, with the runs of blank ones before them in their range; after each range a row with its sums."""
+    names = ["file", "range", "runs", "line", "lead", "n", "blank_end"]
+    last = None  # file, range, runs, blank lines at the beginning, lines, whether the last one is blank
+
+    def closed() -> pa.RecordBatch:
+        at, start, runs, lead, n, end = last
+        return pa.RecordBatch.from_arrays([pa.array([at]), pa.array([start]), pa.array([runs]), pa.nulls(1, pa.string()), pa.array([lead]), pa.array([n]), pa.array([end])], names=names)
+
+    for batch in batches:
+        files, starts, lines = batch.column("file").dictionary_encode(), batch.column("range").to_numpy(), batch.column("value")
+        own = files.indices.to_numpy()
+        cuts = np.flatnonzero((np.diff(own) != 0) | (np.diff(starts) != 0)) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, len(lines)]):
+            if lo == hi:
+                continue
+            key = (files.dictionary[int(own[lo])].as_py(), int(starts[lo]))
+            if last is not None and last[:2] != key:
+                yield closed()
+                last = None
+            _, _, runs, lead, n, end = last or (*key, 0, 0, 0, False)
+            part = lines.slice(lo, hi - lo)
+            blank = pc.match_substring_regex(part, r"^[ \t\n\v\f\r]*$").to_numpy(zero_copy_only=False)
+            met = runs + np.cumsum(blank & ~np.concatenate(([end], blank[:-1])))
+            keep = pa.array(np.flatnonzero(~blank))
+            m = len(keep)
+            yield pa.RecordBatch.from_arrays([pa.repeat(key[0], m), pa.repeat(pa.scalar(key[1], pa.int64()), m), pa.array(met).take(keep), part.take(keep), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_())], names=names)
+            if lead == n:
+                lead += int(np.argmin(blank)) if not blank.all() else len(blank)
+            last = (*key, int(met[-1]), lead, n + len(blank), bool(blank[-1]))
+    if last is not None:
+        yield closed()
 
 
 def quality_report(files: DataFrame) -> DataFrame:

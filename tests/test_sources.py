@@ -1,3 +1,6 @@
+import random
+import re
+
 from strandloom.sources import annotation, tables
 from tests.genomes import random_gene, write_genome
 
@@ -49,3 +52,37 @@ def test_results_of_other_tools(spark, tmp_path):
     assert [(x.block, x.n, x["size"]) for x in tables.growth_points(spark, str(tmp_path / "growth.txt")).collect()] == [(0, 1, 10.0), (0, 2, 15.5), (1, 1, 10.0), (1, 2, 8.0)]
     (tmp_path / "assoc.csv").write_text("Gene,Naive_p,extra\na,0.01,1\nb,bad,2\n")
     assert [(x.gene, x.p_value, x.odds_ratio) for x in tables.associations(spark, str(tmp_path / "assoc.csv")).collect()] == [("a", 0.01, 1.0), ("b", 1.0, 1.0)]
+
+
+def test_growth_blocks_over_ranges_and_parts(spark, tmp_path):
+    """Blocks are those of the whole text however it is cut into ranges, batches and part files; no row holds a whole file."""
+    rng = random.Random(4)
+    lines = [[rng.choice(["1 2.5", "7 1e1 x", "# c", "", "", " \t", "3", "\r", "x 1", "4 5\r", "  6 7"]) for _ in range(60)] for _ in range(3)]
+    texts = ["\n" + "\n".join(lines[0]) + "\n", "\n\n" + "\n".join(lines[1]) + "\n", "8 9\n" + "\n".join(lines[2])]
+
+    def want(text):
+        found = []
+        for k, body in enumerate(re.split(r"\n\s*\n", text)):
+            for line in re.split("\r?\n", body):
+                f = re.split(r"\s+", line.strip(" "))
+                if not line.startswith("#") and len(f) >= 2 and f[0].isdigit() and f[1]:
+                    found.append((k, int(f[0]), float(f[1])))
+        return sorted(found)
+
+    for k, text in enumerate(texts):
+        (tmp_path / f"g{k}.txt").write_bytes(text.encode())
+    (tmp_path / "whole").mkdir()
+    whole = "".join(texts)
+    cuts = [0, *sorted(rng.sample([i + 1 for i, c in enumerate(whole) if c == "\n"], 6)), len(whole)]
+    for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        (tmp_path / "whole" / f"part-{k:05}-x.txt").write_bytes(whole[a:b].encode())
+    before = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "30")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+        for path, text in [(f"g{k}.txt", t) for k, t in enumerate(texts)] + [("whole", whole)]:
+            got = tables.growth_points(spark, f"file://{tmp_path}/{path}")
+            assert sorted((r.block, r.n, r["size"]) for r in got.collect()) == want(text), path
+    finally:
+        for c, x in before.items():
+            spark.conf.set(c, x)
