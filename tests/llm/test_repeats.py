@@ -103,3 +103,47 @@ def test_a_text_longer_than_a_chunk(spark):
     docs = spark.createDataFrame([(1, long), (2, long[700_000:700_450]), (3, "x" + long[5:404])], "doc_id long, text string")
     got = {r.doc_id: r.removed for r in remove_repeats(docs).collect()}
     assert got == {1: [[700_000, 700_450]], 2: [[0, 450]], 3: []}
+
+
+def shared_brute(rows, length):
+    texts = [(r.text or "").encode() for r in rows]
+    holders = Counter(w for x in texts for w in {x[i : i + length] for i in range(len(x) - length + 1)})
+    return sorted((str(r.doc_id), any(holders[x[i : i + length]] > 1 for i in range(len(x) - length + 1))) for r, x in zip(rows, texts))
+
+
+@pytest.mark.parametrize("length,piece,seed", [(400, 100, 1), (60, 20, 2), (40, 10, 3), (8, 3, 4)])
+def test_shared_is_in_another_row(spark, length, piece, seed):
+    docs = documents(spark, seed)
+    assert sorted((str(r.doc_id), r.shared) for r in remove_repeats(docs, length, piece).collect()) == shared_brute(docs.collect(), length)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_shared_where_texts_repeat_within_themselves(spark, seed):
+    """Few words, so runs repeat in one text and partly in others, and all three steps decide."""
+    import random
+
+    rng = random.Random(seed)
+    stock = ["".join(rng.choice("abc ") for _ in range(rng.randint(20, 90))) for _ in range(40)]
+    rows = []
+    for i in range(60):
+        own = [rng.choice(stock)[rng.randrange(9) :] if rng.random() < 0.15 else "".join(rng.choice("defg ") for _ in range(rng.randint(5, 60))) for _ in range(5)]
+        rows.append((i, "".join(rng.choice(own) for _ in range(9))))
+    rows += [(None, stock[0] + "x"), (None, stock[0] + "x"), (99, "h" * 39), (100, "h" * 40), (101, "i" * 41), (102, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = shared_brute(docs.collect(), 40)
+    got = remove_repeats(docs, 40, 10).select("doc_id", "n_bytes", "removed", "kept", "shared").collect()
+    assert sorted((str(r.doc_id), r.shared) for r in got) == want
+    assert sorted(str((r.doc_id, r.n_bytes, r.removed, bytes(r.kept))) for r in got) == brute(docs.collect(), 40)
+    assert 5 < sum(bool(r.removed) and not r.shared for r in got) and 5 < sum(r.shared for r in got)
+
+
+def test_the_query_marks_passages_of_other_documents(spark, tmp_path):
+    import random
+
+    rng = random.Random(9)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    passage, line = words(60), words(60)
+    rows = [(1, f"{words(90)} {passage} {words(10)}"), (2, f"{words(5)} {passage} {words(80)}"), (3, f"{line} {line} {words(9)}"), (4, words(500)), (5, passage[:399]), (6, words(3))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_removed > 0, r.shared) for r in op2_suffix_dedup(spark, f"file://{tmp_path}").collect()}
+    assert got == {1: (True, True), 2: (True, True), 3: (True, False), 4: (False, False), 5: (False, False), 6: (False, False)}
